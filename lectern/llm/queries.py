@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lectern.llm.language_id import op10_language_id
 from lectern.llm.png_media import op9_png_media
 
 QUERIES = {
     "op9_png_media": op9_png_media,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
