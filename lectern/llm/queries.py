@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lectern.llm.bpe_automaton import op7_bpe_automaton
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.png_media import op9_png_media
 
 QUERIES = {
+    "op7_bpe_automaton": op7_bpe_automaton,
     "op9_png_media": op9_png_media,
     "op10_language_id": op10_language_id,
 }
