@@ -5,9 +5,11 @@ from __future__ import annotations
 from lectern.llm.bpe_automaton import op7_bpe_automaton
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.png_media import op9_png_media
+from lectern.llm.rans_tokens import op8_rans_tokens
 
 QUERIES = {
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_rans_tokens": op8_rans_tokens,
     "op9_png_media": op9_png_media,
     "op10_language_id": op10_language_id,
 }
