@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from lectern.llm.bpe_automaton import op7_bpe_automaton
+from lectern.llm.chat_format import OP4_SQL, op4_chat_format
 from lectern.llm.language_id import op10_language_id
+from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.png_media import op9_png_media
 from lectern.llm.rans_tokens import op8_rans_tokens
 
 QUERIES = {
+    "op3_line_spread": op3_line_spread,
+    "op4_chat_format": op4_chat_format,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_rans_tokens": op8_rans_tokens,
     "op9_png_media": op9_png_media,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_line_spread": OP3_SQL,
+    "op4_chat_format": OP4_SQL,
+}
