@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.llm.bpe_automaton import op7_bpe_automaton
 from lectern.llm.chat_format import OP4_SQL, op4_chat_format
+from lectern.llm.containment import OP6_SQL, op6_containment
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.png_media import op9_png_media
@@ -12,6 +13,7 @@ from lectern.llm.rans_tokens import op8_rans_tokens
 QUERIES = {
     "op3_line_spread": op3_line_spread,
     "op4_chat_format": op4_chat_format,
+    "op6_containment": op6_containment,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_rans_tokens": op8_rans_tokens,
     "op9_png_media": op9_png_media,
@@ -21,4 +23,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_line_spread": OP3_SQL,
     "op4_chat_format": OP4_SQL,
+    "op6_containment": OP6_SQL,
 }
