@@ -23,28 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textkit import chunks, distinct_by_row, gram_hashes, mix, span_hashes, utf8, word_spans
+from lectern.llm.textkit import chunks, distinct_by_row, minima, mix, multipliers, shingles_of, utf8
 
-WORDS = 5
 N_HASH = 48
 #: Shingles in the smallest block; partitions hold items of up to 16, 32, 64, ... shingles.
 SMALLEST = 16
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 62, N_HASH, dtype=np.int64).astype(np.uint64)
-_TOP = np.uint64(2**64 - 1)
-
-
-def shingles_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of each row in order (A-Z lower-cased), and their bounds."""
-    starts, ends, first = word_spans(buf, offsets)
-    return gram_hashes(span_hashes(buf, starts, ends), first, WORDS)
-
-
-def minima(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over each stretch between cuts (none is empty): (n, N_HASH)."""
-    out = np.empty((len(cuts), N_HASH), np.uint64)
-    for j in range(N_HASH):
-        out[:, j] = np.minimum.reduceat(mix(values ^ _SEEDS[j]), cuts)
-    return out
+_SEEDS = multipliers(N_HASH, 11)
 
 
 class ItemBlock:
@@ -62,7 +46,7 @@ class ItemBlock:
             items = np.flatnonzero(level == k)
             flat = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in items])
             cuts = np.concatenate([[0], np.cumsum(sizes[items])[:-1]])
-            m = mix(minima(flat, cuts) + _SEEDS)  # the hash function's number is part of the key
+            m = mix(minima(flat, cuts, _SEEDS) + _SEEDS)  # the hash function's number is part of the key
             order = np.argsort(m.ravel(), kind="stable")
             self.partitions.append((k, m.ravel()[order], np.repeat(items, N_HASH)[order]))
 
@@ -74,7 +58,7 @@ class ItemBlock:
         blocks = -(-sizes // SMALLEST)
         row = np.repeat(np.arange(len(sizes)), blocks)
         upto = np.concatenate([[0], np.cumsum(blocks)])
-        low = minima(values, bounds[:-1][row] + (np.arange(len(row)) - upto[:-1][row]) * SMALLEST)
+        low = minima(values, bounds[:-1][row] + (np.arange(len(row)) - upto[:-1][row]) * SMALLEST, _SEEDS)
         found: set[tuple[int, int]] = set()
         level, at = 0, np.arange(len(row)) - upto[:-1][row]
         for k, keys, owners in self.partitions:

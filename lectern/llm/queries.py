@@ -7,12 +7,14 @@ from lectern.llm.chat_format import OP4_SQL, op4_chat_format
 from lectern.llm.containment import OP6_SQL, op6_containment
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.line_spread import OP3_SQL, op3_line_spread
+from lectern.llm.near_dedup import OP5_SQL, op5_near_dedup
 from lectern.llm.png_media import op9_png_media
 from lectern.llm.rans_tokens import op8_rans_tokens
 
 QUERIES = {
     "op3_line_spread": op3_line_spread,
     "op4_chat_format": op4_chat_format,
+    "op5_near_dedup": op5_near_dedup,
     "op6_containment": op6_containment,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_rans_tokens": op8_rans_tokens,
@@ -23,5 +25,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_line_spread": OP3_SQL,
     "op4_chat_format": OP4_SQL,
+    "op5_near_dedup": OP5_SQL,
     "op6_containment": OP6_SQL,
 }

@@ -144,6 +144,30 @@ def distinct_by_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return v[keep], np.concatenate([[0], np.cumsum(np.bincount(r[keep], minlength=len(bounds) - 1))])
 
 
+#: Words in a shingle.
+SHINGLE = 5
+
+
+def shingles_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of each row in order (A-Z lower-cased), and their bounds."""
+    starts, ends, first = word_spans(buf, offsets)
+    return gram_hashes(span_hashes(buf, starts, ends), first, SHINGLE)
+
+
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """Odd factors, one for each hash function on values that are scrambled already."""
+    return np.random.default_rng(seed).integers(1, 1 << 62, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(values: np.ndarray, cuts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The minimum of each hash function over each stretch between cuts (none is empty): (n, functions)."""
+    out = np.empty((len(cuts), len(factors)), np.uint64)
+    with np.errstate(over="ignore"):
+        for j, f in enumerate(factors):
+            out[:, j] = np.minimum.reduceat(values * f, cuts)
+    return out
+
+
 class HashIndex:
     """64-bit keys to consecutive numbers, looked up for whole arrays at once (linear probing)."""
 
