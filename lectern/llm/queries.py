@@ -10,8 +10,10 @@ from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.near_dedup import OP5_SQL, op5_near_dedup
 from lectern.llm.png_media import op9_png_media
 from lectern.llm.rans_tokens import op8_rans_tokens
+from lectern.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_line_spread": op3_line_spread,
     "op4_chat_format": op4_chat_format,
     "op5_near_dedup": op5_near_dedup,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": OP2_SQL,
     "op3_line_spread": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op5_near_dedup": OP5_SQL,
