@@ -8,11 +8,13 @@ from lectern.llm.containment import OP6_SQL, op6_containment
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.near_dedup import OP5_SQL, op5_near_dedup
+from lectern.llm.pitman_yor import op1_pitman_yor
 from lectern.llm.png_media import op9_png_media
 from lectern.llm.rans_tokens import op8_rans_tokens
 from lectern.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_spread": op3_line_spread,
     "op4_chat_format": op4_chat_format,
