@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lectern.plans import retrieval_queries
+
+_PARTS = (retrieval_queries,)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}
