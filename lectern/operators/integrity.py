@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.storage import stored
+
 #: What a failure kind means (fixed values); anything else is FATAL.
 FAILURE_RULES = (("error", "TRANSIENT", "PROVIDER_ERROR"), ("click", "TRANSIENT", "TIMEOUT"), ("purchase", "FATAL", "INVALID_CONTENT"))
 
@@ -140,6 +142,7 @@ def node_closure(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
     out = [level]
     for _ in range(max_depth):
         level = level.join(edges, (edges["material_id"] == level["material_id"]) & (edges["c"] == level["ancestor"])).select(level["material_id"], F.col("p").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
+        level = stored(level, "closure")
         if level.isEmpty():
             break
         out.append(level)
@@ -374,17 +377,17 @@ def validate_outputs(outputs: DataFrame) -> DataFrame:
 # ---- checks
 
 
-def cycle_nodes(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Nodes that are their own ancestor: followed upwards with early leave of those that reach a root."""
-    edges = nodes.select(F.col("node_id").alias("c"), F.col("parent_id").alias("p")).where("p is not null")
-    walk, found = edges.select(F.col("c").alias("start"), F.col("p").alias("at")), None
-    for _ in range(max_depth):
-        hit = walk.where("start = at").select(F.col("start").alias("node_id"))
-        found = hit if found is None else found.unionByName(hit)
-        walk = walk.where("start <> at").join(edges, F.col("at") == F.col("c")).select("start", F.col("p").alias("at"))
-        if walk.isEmpty():
-            break
-    return found.distinct()
+def cycle_nodes(nodes: DataFrame, doublings: int = 6) -> DataFrame:
+    """Nodes that are their own ancestor.
+
+    A jump goes 2**doublings parents up, by joining jumps of half the size; in an
+    outline less deep than that, only cycles are left to land on.
+    """
+    jump = stored(nodes.select(F.col("node_id").alias("a"), F.col("parent_id").alias("b")).where("b is not null"), "jumps")
+    for _ in range(doublings):
+        half = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jump = stored(jump.join(half, "b").select("a", F.col("c").alias("b")), "jumps")
+    return jump.select(F.col("b").alias("node_id")).distinct()
 
 
 def outline_violations(nodes: DataFrame) -> DataFrame:

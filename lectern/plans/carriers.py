@@ -137,7 +137,7 @@ CTE = {
   CASE WHEN doc_id % 5 = 0 THEN ['STRONG','LIMITED','POOR'][doc_id % 3 + 1] END AS quality, text AS content, lang FROM documents""",
     "k_lines": """SELECT doc_id, material_id, page_number, extraction_method, quality,
   generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no, unnest(string_split(content, chr(10))) AS line FROM k_pages""",
-    "k_nodes": """SELECT material_id, material_id || '/r' AS node_id, NULL::VARCHAR AS parent_id, 'DOCUMENT' AS node_type, material_id AS title, 1 AS ordinal, 1 AS start_page, max(page_number) AS end_page, 0 AS depth FROM k_pages GROUP BY material_id
+    "k_nodes": """SELECT material_id, material_id || '/r' AS node_id, NULL::VARCHAR AS parent_id, 'DOCUMENT' AS node_type, material_id AS title, 1::BIGINT AS ordinal, 1::BIGINT AS start_page, max(page_number) AS end_page, 0::BIGINT AS depth FROM k_pages GROUP BY material_id
  UNION ALL SELECT material_id, material_id || '/c' || k, material_id || '/r', 'CHAPTER', 'Chapter ' || k, k + 1, k * 10 + 1, least(k * 10 + 10, n), 1
   FROM (SELECT material_id, n, unnest(range(0, (n - 1) // 10 + 1)) AS k FROM (SELECT material_id, max(page_number) AS n FROM k_pages GROUP BY material_id))
  UNION ALL SELECT material_id, material_id || '/s' || k, material_id || '/c' || (k // 2), 'SECTION', 'Section ' || k, k % 2 + 1, k * 5 + 1, least(k * 5 + 5, n), 2

@@ -135,6 +135,7 @@ ORACLE_SQL = {
  t AS (SELECT *, concat_ws(' ', lag(line) OVER w, lead(line) OVER w, lead(line, 2) OVER w) AS nearby FROM k_lines WHERE trim(line) <> '' AND (quality IS NULL OR quality = 'STRONG') WINDOW w AS (PARTITION BY material_id, page_number ORDER BY line_no)),
  l AS (SELECT *, count(*) OVER (PARTITION BY material_id, page_number) AS n FROM t WHERE regexp_matches(line, '^(?i)(fig(ure)?\.?|table|in|de|the|la|le)\s'))
  SELECT visual_id, substring(trim(line), 1, 300) AS caption, nearby FROM v JOIN l USING (material_id, page_number) WHERE n = 1"""),
+    "chunk_uuid": c.sql("k_chunks", "SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8','9','a','b'][(list_position(['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f'], h[17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS uuid FROM (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('CHUNKER_V1' || chr(10) || material_id || chr(10) || chunk_index)) AS h FROM k_chunks)"),
     "ocr_quality": "SELECT l_suppkey, round(avg(40 + l_quantity), 6) AS mean_confidence, CASE WHEN avg(40 + l_quantity) >= 85 THEN 'STRONG' WHEN avg(40 + l_quantity) >= 60 THEN 'LIMITED' ELSE 'POOR' END AS quality FROM lineitem GROUP BY 1",
     "ocr_text": c.sql("k_lines", r"""WITH t AS (SELECT doc_id AS page, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM k_lines), e AS (SELECT page, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM t),
  s AS (SELECT *, CASE WHEN lag(line_no) OVER w IS NULL THEN '' WHEN lag(line_no) OVER w // 3 <> line_no // 3 THEN chr(10) || chr(10) WHEN lag(line_no) OVER w <> line_no THEN chr(10) ELSE ' ' END AS sep FROM e WINDOW w AS (PARTITION BY page ORDER BY line_no, k)) SELECT page, string_agg(sep || word, '' ORDER BY line_no, k) AS text FROM s GROUP BY 1"""),
