@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where it is unset, as in tests, a new local folder."""
     name = "spark.checkpoint.dir"
-    folder = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
-    if not folder:
+    folder = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{name} must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(name, folder)
-    return folder.rstrip("/")
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

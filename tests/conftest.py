@@ -20,9 +20,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
