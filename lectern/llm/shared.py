@@ -1,24 +1,14 @@
-"""The folder that driver and executors share, for tables written between jobs."""
+"""Tables written between jobs to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-SETTING = "spark.checkpoint.dir"
+from lectern.functions.storage import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset, as in tests, a new local folder."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(SETTING, folder)
-    return folder.rstrip("/")
+__all__ = ["shared_folder", "stored"]
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
