@@ -34,8 +34,8 @@ from lectern.llm.shared import stored
 from lectern.llm.textkit import chunks, mix, powers, ragged, span_hashes, utf8, word_spans
 
 LENGTH, SEED = 20, 8
-#: Words in a document shard and in an index shard, and the count from which a minimizer is very frequent.
-SHARD_WORDS, INDEX_WORDS, FREQUENT = 1_000_000, 1_500_000, 20_000
+#: Words in a document shard, for a range of minimizers and for an index shard, and the count from which a minimizer is very frequent.
+SHARD_WORDS, RANGE_WORDS, INDEX_WORDS, FREQUENT = 1_000_000, 500_000, 500_000, 20_000
 BODY, CODES, STRETCHES, VERDICTS = 0, 1, 2, 3
 
 
@@ -306,8 +306,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     bodies = stored(shards(docs, id_col, text_col, shard_words), "shards")
     words = bodies.agg(F.sum("src")).first()[0] or 0
-    n_ranges = max(8, -(-words // 4_000_000))
-    n_index = max(8, -(-words // index_words))
+    n_ranges = max(32, -(-words // RANGE_WORDS))
+    n_index = max(32, -(-words // index_words))
 
     def send_seeds(batches):
         for b in batches:
