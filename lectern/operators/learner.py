@@ -15,7 +15,7 @@ STRENGTH = {"CORRECT": "DEVELOPING", "PARTIAL": "WEAK", "INCORRECT": "INSUFFICIE
 #: The stage that follows an action (fixed values).
 STAGE_OF = {"UNDERSTAND": "UNDERSTANDING", "UNDERSTANDING_CHECK": "UNDERSTANDING", "RETRIEVE": "RETRIEVAL", "CONNECT": "CONNECTION", "APPLY": "APPLICATION", "REDUCE_DIFFICULTY": "APPLICATION", "PREREQUISITE_SUPPORT": "PREREQUISITE_SUPPORT", "FEEDBACK": "FEEDBACK", "REFLECT": "REFLECTION", "COMPLETE": "EVIDENCE_UPDATE"}
 #: Allowed changes of a mission's status (fixed values).
-ALLOWED = (("PLANNED", "ACTIVE"), ("PLANNED", "STOPPED"), ("ACTIVE", "PAUSED"), ("ACTIVE", "COMPLETED"), ("ACTIVE", "STOPPED"), ("PAUSED", "ACTIVE"), ("PAUSED", "STOPPED"))
+ALLOWED = (("PLANNED", "ACTIVE"), ("ACTIVE", "PAUSED"), ("ACTIVE", "COMPLETED"), ("ACTIVE", "STOPPED"), ("PAUSED", "ACTIVE"), ("PAUSED", "STOPPED"))
 
 
 @dataclass(frozen=True)

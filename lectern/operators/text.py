@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Namespace of chunk ids (fixed value).
-CHUNK_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+CHUNK_NAMESPACE = "bc9da86d-4f4f-5f4f-9f59-8cc72e70b86a"
+#: Forms of lines (fixed values): numbered headings, page numbers, captions, list entries, entries of a table of contents.
+CHAPTER = "(?i)^chapter\\s+(?:[0-9]{1,3}|[ivxlcdm]{1,8})(?:[.:)]?\\s+.+)?$"
+SECTION = "(?i)^section\\s+(?:[0-9]{1,3}|[ivxlcdm]{1,8})(?:[.:)]?\\s+.+)?$"
+DECIMAL = "^([0-9]{1,3}(?:\\.[0-9]{1,3}){0,2})[.):]?\\s+\\S.{0,500}$"
+ROMAN = "(?i)^[ivxlcdm]{1,8}[.):]?\\s+\\S.{0,500}$"
+PAGE_NUMBER = "^(?:[0-9]{1,5}|[ivxlcdm]{1,10})$"
+CAPTION = "(?i)^(?:figure|fig\\.?|table)\\s+[0-9ivxlcdm]+\\b.*$"
+LIST_ENTRY = "^(?:[-*•]|[a-zA-Z][.)])\\s+.+$"
+TOC_ENTRY = "^(.{2,480}?)(?:\\.{2,}|\\s{2,})([0-9ivxlcdm]{1,8})$"
+FIGURE_LABEL = "(?i)^\\s*(fig(?:ure)?\\.?\\s+\\d+(?:[-.]\\d+)?)(?:\\s*$|\\s*([.:\\-\u2013\u2014])\\s*(\\S.*))$"
 
 
 def token_count(text: Column) -> Column:
@@ -26,8 +36,8 @@ def byte_tokens(text: Column) -> Column:
 def canonical_line(line: Column) -> Column:
     """The form in which repeated lines are counted: trimmed, blanks collapsed, page numbers alike; null if over 512 signs."""
     t = F.trim(line)
-    number = t.rlike("^(?i)(page\\s+)?[0-9]+(\\s*(/|of)\\s*[0-9]+)?$")
-    return F.when(F.length(t) > 512, F.lit(None)).when(number, "<PAGE_NUMBER>").otherwise(F.regexp_replace(t, "[ \\t]+", " "))
+    number = t.rlike("^[0-9]+$") | t.rlike("^(?i)page[ \\t]+[0-9]+$")
+    return F.when((F.length(t) > 512) | (t == ""), F.lit(None)).when(number, "<PAGE_NUMBER>").otherwise(F.regexp_replace(t, "[ \\t]+", " "))
 
 
 def comparison_key(text: Column) -> Column:
@@ -65,49 +75,60 @@ def repeated_regions(lines: DataFrame, min_pages: int = 3, share: float = 0.2) -
 
 
 def toc_pages(lines: DataFrame, last_page: int = 12) -> DataFrame:
-    """Early pages with four lines that end in a number, or two below a contents label in the first five lines."""
-    entry = F.col("line").rlike("^.{3,}(\\.{2,}|\\s{2,}|\\s)[0-9]{1,4}\\s*$")
-    label = (F.col("line_no") < 5) & F.lower(F.trim("line")).isin("contents", "table of contents")
+    """Early pages with four entry lines, or two and a contents label in the first five lines."""
+    entry = F.trim("line").rlike(TOC_ENTRY)
+    label = (F.col("line_no") < 5) & comparison_key(F.col("line")).isin("contents", "table of contents")
     g = lines.where(F.col("page_number") <= last_page).groupBy("material_id", "page_number").agg(F.count_if(entry).alias("entries"), F.bool_or(label).alias("labelled"))
     return g.where((F.col("entries") >= 4) | (F.col("labelled") & (F.col("entries") >= 2)))
 
 
+def toc_titles(lines: DataFrame) -> DataFrame:
+    """(material_id, key): the titles that tables of contents name."""
+    pages = toc_pages(lines).select("material_id", "page_number")
+    title = F.regexp_extract(F.trim("line"), TOC_ENTRY, 1)
+    return lines.join(pages, ["material_id", "page_number"], "left_semi").where(title != "").select("material_id", comparison_key(title).alias("key")).distinct()
+
+
 def normalize_pages(pages: DataFrame, noise: DataFrame | None = None) -> DataFrame:
-    """Adds ``normalized``: wrapped lines joined, list and blank lines kept, hyphen breaks of native pages closed.
+    """Adds ``normalized``: wrapped lines joined, blank and list lines kept apart, hyphen breaks of native pages closed.
 
-    A hyphen goes if six letters a-z or more stand before it and the next line
-    begins with a-z; else the parts are joined without a space. Scanned pages keep
-    their hyphens. ``noise``: (material_id, slot, canonical) lines to leave out.
+    What stands between two lines depends on these two alone, so a page is one
+    pass over its lines. A hyphen goes if a word of six letters a-z or more stands
+    before it and the next line begins with a-z; another hyphen joins without a
+    space. Scanned pages keep their hyphens and spaces. ``noise``: (material_id,
+    slot, canonical) lines to leave out of native pages.
     """
+    native = F.col("extraction_method") == "NATIVE"
     lines = F.split("content", "\n")
     if noise is not None:
-        gone = noise.groupBy("material_id").agg(F.collect_set("canonical").alias("__noise"))
+        gone = noise.groupBy("material_id").agg(F.collect_set(F.concat_ws("|", "slot", "canonical")).alias("__noise"))
         pages = pages.join(gone, "material_id", "left")
-        solid = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.trim(F.element_at(lines, i)) != "")
-        edge = F.array_union(F.slice(solid, 1, 2), F.slice(F.reverse(solid), 1, 2))
-        native = F.col("extraction_method") == "NATIVE"
-        is_noise = lambda x, i: F.coalesce(native & F.array_contains(edge, i + 1) & F.array_contains("__noise", canonical_line(x)), F.lit(False))
+        solid = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
+        pages = pages.withColumn("__solid", solid)
+        place = {"TOP0": F.get("__solid", F.lit(0)), "TOP1": F.get("__solid", F.lit(1)), "BOTTOM0": F.get("__solid", F.size("__solid") - 1), "BOTTOM1": F.get("__solid", F.size("__solid") - 2)}
+
+        def is_noise(x: Column, i: Column) -> Column:
+            hit = F.lit(False)
+            for slot, at in place.items():
+                hit = hit | F.coalesce((at == i) & F.array_contains("__noise", F.concat_ws("|", F.lit(slot), canonical_line(x))), F.lit(False))
+            return native & hit
+
         lines = F.filter(lines, lambda x, i: ~is_noise(x, i))
-    scanned = F.col("extraction_method") != "NATIVE"
-    blank = lambda x: F.trim(x) == ""
-    listed = lambda x: x.rlike("^\\s*([-*•]|[0-9]+[.)])\\s+")
-
-    def join(acc: Column, raw: Column) -> Column:
-        x = F.trim(raw)
-        fresh = F.length(acc) == 0
-        apart = fresh | blank(x) | listed(raw) | F.endswith(acc, F.lit("\n"))
-        broken = acc.rlike("[a-z]{6}-$") & x.rlike("^[a-z]") & ~scanned
-        glued = F.endswith(acc, F.lit("-")) & ~scanned
+    pages = pages.withColumn("__lines", lines)
+    apart = lambda x: (F.trim(x) == "") | x.rlike("^\\s*(- |\\* |[0-9]+[.)] .*$)")
+    after = lambda i: F.get("__lines", i + 1)
+    broken = lambda x, i: native & x.rlike("(^|[ \\t])[a-z]{6,}[-\u00ad]$") & after(i).rlike("^[a-z]")
+
+    def piece(x: Column, i: Column) -> Column:
         return (
-            F.when(fresh, x)
-            .when(blank(x), F.concat(acc, F.lit("\n")))
-            .when(apart, F.concat(acc, F.when(F.endswith(acc, F.lit("\n")), F.lit("")).otherwise(F.lit("\n")), x))
-            .when(broken, F.concat(F.substring(acc, F.lit(1), F.length(acc) - 1), x))
-            .when(glued, F.concat(acc, x))
-            .otherwise(F.concat(acc, F.lit(" "), x))
+            F.when(after(i).isNull(), x)
+            .when(apart(x) | apart(after(i)), F.concat(x, F.lit("\n")))
+            .when(broken(x, i), F.substring(x, F.lit(1), F.length(x) - 1))
+            .when(native & F.endswith(x, F.lit("-")), x)
+            .otherwise(F.concat(x, F.lit(" ")))
         )
 
-    return pages.withColumn("normalized", F.aggregate(lines, F.lit(""), join)).drop("__noise")
+    return pages.withColumn("normalized", F.array_join(F.transform("__lines", piece), "")).drop("__noise", "__solid", "__lines")
 
 
 def paragraphs(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,17 +161,34 @@ def delimited_tables(lines: DataFrame) -> DataFrame:
     return island.groupBy("material_id", "page_number", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("rows"), F.max("width").cast("long").alias("width")).where("rows >= 2").drop("run")
 
 
-def score_headings(lines: DataFrame, threshold: int = 4) -> DataFrame:
-    """Lines that look like headings, with level and score: numbering 3, short 1, first of the page 1, no end mark 1, capital 1."""
+def score_headings(lines: DataFrame, toc: DataFrame | None = None, threshold: int = 4) -> DataFrame:
+    """Lines that are headings, with level, score and confidence.
+
+    Numbering counts 3, up to 120 signs 1, a title that the table of contents
+    names 1; layout columns, where the lines have them, count too: prominence
+    (STRONG 3, RAISED 2), emphasized 1, separated 1, alignment CENTRE 1. A line
+    without a number needs prominence and separation. Scanned pages of LIMITED
+    quality need one point more, poorer ones have no headings.
+    """
+    has = lambda c: c in lines.columns
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
     t = F.trim("line")
-    chapter, section = t.rlike("^(?i)chapter\\s+[0-9ivxlc]+\\b"), t.rlike("^(?i)section\\s+[0-9]+\\b")
-    dotted = F.regexp_extract(t, "^([0-9]+(?:\\.[0-9]+)*)[.)]?\\s+\\p{Lu}", 1)
-    depth = F.size(F.split(dotted, "\\.")).cast("long")
-    level = F.when(chapter, 1).when(section, 2).when(dotted != "", F.least(depth, F.lit(3))).otherwise(2).cast("long")
-    score = F.when(chapter | section | (dotted != ""), 3).otherwise(0) + F.when(F.length(t) <= 120, 1).otherwise(0) + F.when(F.col("line_no") == 0, 1).otherwise(0) + F.when(~t.rlike("[.,;:!?]$"), 1).otherwise(0) + F.when(t.rlike("^\\p{Lu}"), 1).otherwise(0)
-    limit = F.when(F.col("quality") == "LIMITED", threshold + 1).otherwise(threshold)
-    scored = lines.where(t != "").select("material_id", "page_number", "line_no", t.alias("title"), level.alias("level"), score.cast("long").alias("score"), "quality", limit.alias("limit"))
-    return scored.where((F.col("score") >= F.col("limit")) & ~F.col("quality").eqNullSafe("POOR")).drop("quality", "limit")
+    prominence = F.col("prominence") if has("prominence") else F.lit("PLAIN")
+    separated = F.coalesce(F.col("separated"), F.lit(False)) if has("separated") else F.lit(False)
+    lifted = prominence.isin("STRONG", "RAISED") & separated
+    number = F.regexp_extract(t, DECIMAL, 1)
+    level = F.when(t.rlike(CHAPTER), 1).when(t.rlike(SECTION), 2).when(number != "", F.least(F.size(F.split(number, "\\.")), F.lit(3))).when(t.rlike(ROMAN) & lifted, 1).otherwise(0)
+    named = lines.withColumns({"title": t, "number": level.cast("long")}).where((F.length("title") >= 3) & ~F.col("title").rlike(PAGE_NUMBER) & ~F.col("title").rlike(CAPTION) & ~F.col("title").rlike(LIST_ENTRY))
+    named = named.where((F.col("number") > 0) | lifted)
+    if toc is not None:
+        listed = toc.select("material_id", F.col("key").alias("__key"), F.lit(True).alias("__toc"))
+        named = named.withColumn("__key", comparison_key(F.col("title"))).join(listed, ["material_id", "__key"], "left")
+    score = F.when(F.col("number") > 0, 3).otherwise(0) + F.when(prominence == "STRONG", 3).when(prominence == "RAISED", 2).otherwise(0) + flag(separated) + flag(F.length("title") <= 120)
+    score = score + (flag(F.col("emphasized")) if has("emphasized") else 0) + (flag(F.col("alignment") == "CENTRE") if has("alignment") else 0) + (flag(F.col("__toc")) if toc is not None else 0)
+    limit = F.when(F.col("extraction_method") == "NATIVE", threshold).when(F.col("quality") == "STRONG", threshold).when(F.col("quality") == "LIMITED", threshold + 1)
+    found = named.withColumn("score", score.cast("long")).where(F.col("score") >= limit)
+    shown = F.when(F.col("number") == 0, 2).otherwise(F.col("number")).cast("long")
+    return found.select("material_id", "page_number", "line_no", "title", shown.alias("level"), "score", F.when(F.col("score") >= 7, "HIGH").when(F.col("score") >= 5, "MEDIUM").otherwise("LOW").alias("confidence"))
 
 
 def heading_parents(headings: DataFrame) -> DataFrame:
@@ -181,7 +219,7 @@ def heading_spans(headings: DataFrame, pages: DataFrame) -> DataFrame:
 
 def detect_structure(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """The outline of each material from its lines."""
-    return heading_spans(heading_parents(score_headings(lines)), pages)
+    return heading_spans(heading_parents(score_headings(lines, toc_titles(lines))), pages)
 
 
 def match_outline(outline: DataFrame, lines: DataFrame) -> DataFrame:
@@ -194,20 +232,20 @@ def match_outline(outline: DataFrame, lines: DataFrame) -> DataFrame:
     return hit.groupBy("page_id", "title").agg(F.min("line_no").alias("line_no"))
 
 
-def caption_visuals(visuals: DataFrame, lines: DataFrame) -> DataFrame:
+def caption_visuals(visuals: DataFrame, lines: DataFrame, label_pattern: str = FIGURE_LABEL) -> DataFrame:
     """(visual_id, caption, nearby): on pages with one visual and one caption line; at most three lines around it."""
     alone = Window.partitionBy("material_id", "page_number")
     one = visuals.withColumn("n", F.count("*").over(alone)).where("n = 1").drop("n")
     text = lines.where((F.trim("line") != "") & (F.col("quality").isNull() | (F.col("quality") == "STRONG")))
     w = Window.partitionBy("material_id", "page_number").orderBy("line_no")
     near = F.concat_ws(" ", F.lag("line").over(w), F.lead("line", 1).over(w), F.lead("line", 2).over(w))
-    label = text.withColumn("nearby", near).where(F.col("line").rlike("^(?i)(fig(ure)?\\.?|table|in|de|the|la|le)\\s")).withColumn("n", F.count("*").over(alone)).where("n = 1")
+    label = text.withColumn("nearby", near).where(F.col("line").rlike(label_pattern)).withColumn("n", F.count("*").over(alone)).where("n = 1")
     return one.join(label, ["material_id", "page_number"]).select("visual_id", F.substring(F.trim("line"), 1, 300).alias("caption"), "nearby")
 
 
 def chunk_uuid(version: Column, index: Column, namespace: str = CHUNK_NAMESPACE) -> Column:
-    """Name-based (version 5) UUID of the chunk's place."""
-    name = F.concat(F.lit("CHUNKER_V1\n"), version, F.lit("\n"), index.cast("string"))
+    """Name-based (version 5) UUID of the chunk's place; the first index is 1."""
+    name = F.concat(F.lit("CHUNKER_V1\n"), F.lower(version), F.lit("\n"), index.cast("string"))
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
     variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
@@ -287,7 +325,7 @@ def chunk_documents(pages: DataFrame, located: DataFrame, target: int = 800, har
     order = Window.partitionBy("material_id").orderBy("page_number", "paragraph_no")
     units = p.select("__k.*", "paragraph_no", F.col("paragraph").alias("text")).withColumn("unit_no", F.row_number().over(order)).join(located, ["material_id", "page_number"], "left")
     packed = pack_chunks(units, target, hard, overlap)
-    n = F.row_number().over(Window.partitionBy("material_id").orderBy("segment", "part")).cast("long") - 1
+    n = F.row_number().over(Window.partitionBy("material_id").orderBy("segment", "part")).cast("long")
     return packed.withColumn("chunk_index", n).withColumn("chunk_id", chunk_uuid(F.col("material_id"), F.col("chunk_index")))
 
 

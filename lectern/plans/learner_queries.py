@@ -110,7 +110,7 @@ ORACLE_SQL = {
     "next_actions": c.sql(A, f"{ACTIONS} SELECT mission_id, action, difficulty, rationale, intent FROM actions"),
     "next_stage": c.sql(A, f"{ACTIONS} SELECT mission_id, action, CASE action WHEN 'UNDERSTAND' THEN 'UNDERSTANDING' WHEN 'UNDERSTANDING_CHECK' THEN 'UNDERSTANDING' WHEN 'RETRIEVE' THEN 'RETRIEVAL' WHEN 'CONNECT' THEN 'CONNECTION' WHEN 'APPLY' THEN 'APPLICATION' WHEN 'REDUCE_DIFFICULTY' THEN 'APPLICATION' WHEN 'PREREQUISITE_SUPPORT' THEN 'PREREQUISITE_SUPPORT' WHEN 'FEEDBACK' THEN 'FEEDBACK' WHEN 'REFLECT' THEN 'REFLECTION' WHEN 'COMPLETE' THEN 'EVIDENCE_UPDATE' ELSE stage END AS next_stage FROM actions"),
     "failure_actions": c.sql(A, f"WITH {MISSIONS} SELECT mission_id, CASE mission_id % 5 WHEN 0 THEN CASE WHEN has_text THEN 'SOURCE_ONLY' ELSE 'COMMUNICATE_LIMITATION' END WHEN 1 THEN CASE WHEN grounding <> 'STRICT_SOURCE' THEN 'UNDERSTAND' ELSE 'COMMUNICATE_LIMITATION' END WHEN 2 THEN CASE WHEN connection_relevant THEN 'REUSE_VALIDATED_CONTENT' ELSE 'RETRY_DEPENDENCY' END WHEN 3 THEN CASE WHEN connection_relevant THEN 'REUSE_VALIDATED_CONTENT' WHEN grounding <> 'GENERAL_KNOWLEDGE' AND has_text THEN 'SOURCE_ONLY' ELSE 'PAUSE' END ELSE 'RETRY_DEPENDENCY' END AS action FROM missions"),
-    "illegal_transitions": c.sql(A, "WITH l AS (SELECT mission_id, event_id, status, lag(status) OVER (PARTITION BY mission_id ORDER BY ts, event_id) AS before FROM (SELECT *, ['PLANNED','ACTIVE','PAUSED','COMPLETED','STOPPED'][event_id % 5 + 1] AS status FROM k_attempts)) SELECT mission_id, event_id, before, status FROM l WHERE before <> status AND (before || '>' || status) NOT IN ('PLANNED>ACTIVE','PLANNED>STOPPED','ACTIVE>PAUSED','ACTIVE>COMPLETED','ACTIVE>STOPPED','PAUSED>ACTIVE','PAUSED>STOPPED')"),
+    "illegal_transitions": c.sql(A, "WITH l AS (SELECT mission_id, event_id, status, lag(status) OVER (PARTITION BY mission_id ORDER BY ts, event_id) AS before FROM (SELECT *, ['PLANNED','ACTIVE','PAUSED','COMPLETED','STOPPED'][event_id % 5 + 1] AS status FROM k_attempts)) SELECT mission_id, event_id, before, status FROM l WHERE before <> status AND (before || '>' || status) NOT IN ('PLANNED>ACTIVE','ACTIVE>PAUSED','ACTIVE>COMPLETED','ACTIVE>STOPPED','PAUSED>ACTIVE','PAUSED>STOPPED')"),
     "reusable_content": c.sql(A, f"{ACTIONS}, best AS (SELECT activity, difficulty, arg_max(event_id, {{'t': ts, 'e': event_id}}) AS artifact_id FROM k_attempts WHERE outcome = 'CORRECT' GROUP BY 1, 2) SELECT mission_id AS request_id, artifact_id FROM actions JOIN best ON best.activity = action AND best.difficulty IS NOT DISTINCT FROM actions.difficulty"),
     "grade_mcq": "SELECT event_id, CASE WHEN event_type = CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END THEN 'CORRECT' ELSE 'INCORRECT' END AS outcome FROM events",
 }

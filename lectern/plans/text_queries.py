@@ -44,18 +44,20 @@ def _fragments(spark, sf):
 
 FRAGMENTS = "fragments AS (SELECT l_suppkey AS page, floor(l_quantity / 10) AS y, l_partkey % 12 * 10.0::DOUBLE + l_orderkey / 1e7 + l_linenumber / 1e9 AS x, 1.0::DOUBLE AS width FROM lineitem)"
 TOKENS = r"(list_sum([ceil(length(x) / 4) FOR x IN regexp_extract_all({0}, '[\p{{L}}\p{{Nd}}\p{{M}}]+')] || [0]) + length(regexp_replace({0}, '[\s\p{{L}}\p{{Nd}}\p{{M}}]', '', 'g')))::BIGINT"
-CANON = r"(CASE WHEN length(trim({0})) > 512 THEN NULL WHEN regexp_matches(trim({0}), '^(?i)(page\s+)?[0-9]+(\s*(/|of)\s*[0-9]+)?$') THEN '<PAGE_NUMBER>' ELSE regexp_replace(trim({0}), '[ \t]+', ' ', 'g') END)"
+CANON = r"(CASE WHEN length(trim({0})) > 512 OR trim({0}) = '' THEN NULL WHEN regexp_matches(trim({0}), '^[0-9]+$') OR regexp_matches(trim({0}), '^(?i)page[ \t]+[0-9]+$') THEN '<PAGE_NUMBER>' ELSE regexp_replace(trim({0}), '[ \t]+', ' ', 'g') END)"
 KEY = r"substring(regexp_replace(regexp_replace(lower({0}), '\s+', ' ', 'g'), '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+$', '', 'g'), 1, 512)"
 SLOTS = f"""seen AS (SELECT *, row_number() OVER (PARTITION BY material_id, page_number ORDER BY line_no) AS t, row_number() OVER (PARTITION BY material_id, page_number ORDER BY line_no DESC) AS b FROM k_lines WHERE trim(line) <> ''),
  slots AS (SELECT material_id, page_number, line, extraction_method, 'TOP' || (t - 1) AS slot, 'TOP' AS band FROM seen WHERE t <= 2 UNION ALL SELECT material_id, page_number, line, extraction_method, 'BOTTOM' || (b - 1), 'BOTTOM' FROM seen WHERE b <= 2)"""
 # canonical lines of sources repeat on few pages: a share of 2 % stands in for the usual nine tenths
 NOISE = f"""{SLOTS}, noise AS (SELECT material_id, slot, {CANON.format('line')} AS canonical, count(DISTINCT page_number) AS pages FROM slots WHERE extraction_method = 'NATIVE' AND {CANON.format('line')} IS NOT NULL GROUP BY 1, 2, 3),
  totals AS (SELECT material_id, count(DISTINCT page_number) AS total FROM k_pages WHERE extraction_method = 'NATIVE' GROUP BY 1)"""
-SCORED = r"""bare AS (SELECT material_id, page_number, line_no, trim(line) AS t, quality FROM k_lines WHERE trim(line) <> ''),
- parts AS (SELECT *, regexp_matches(t, '^(?i)chapter\s+[0-9ivxlc]+\b') AS ch, regexp_matches(t, '^(?i)section\s+[0-9]+\b') AS se, regexp_extract(t, '^([0-9]+(?:\.[0-9]+)*)[.)]?\s+\p{Lu}', 1) AS dotted FROM bare),
- headings AS (SELECT material_id, page_number, line_no, t AS title, CASE WHEN ch THEN 1 WHEN se THEN 2 WHEN dotted <> '' THEN least(len(string_split(dotted, '.')), 3) ELSE 2 END AS level,
-  CASE WHEN ch OR se OR dotted <> '' THEN 3 ELSE 0 END + CASE WHEN length(t) <= 120 THEN 1 ELSE 0 END + CASE WHEN line_no = 0 THEN 1 ELSE 0 END + CASE WHEN NOT regexp_matches(t, '[.,;:!?]$') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '^\p{Lu}') THEN 1 ELSE 0 END AS score, quality FROM parts),
- found AS (SELECT material_id, page_number, line_no, title, level, score FROM headings WHERE score >= CASE WHEN quality = 'LIMITED' THEN 5 ELSE 4 END AND quality IS DISTINCT FROM 'POOR'),
+# the first line of most pages gets a number, and every third document's lines a page number at the end
+HEADED = r"""headed AS (SELECT * REPLACE (CASE WHEN line_no = 0 THEN CASE WHEN page_number % 10 = 1 THEN 'Chapter ' || page_number || '. ' WHEN page_number % 5 = 1 THEN 'Section ' || page_number || ': ' WHEN page_number % 3 = 0 THEN page_number || '.1.2 ' WHEN page_number % 3 = 1 THEN page_number || '.4 ' ELSE '' END || substring(line, 1, 60) ELSE line END AS line) FROM k_lines)"""
+SCORED = HEADED + r""", bare AS (SELECT material_id, page_number, line_no, trim(line) AS t, quality, extraction_method FROM headed WHERE length(trim(line)) >= 3),
+ parts AS (SELECT *, regexp_extract(t, '^([0-9]{1,3}(?:\.[0-9]{1,3}){0,2})[.):]?\s+\S.{0,500}$', 1) AS num, regexp_matches(t, '(?i)^chapter\s+(?:[0-9]{1,3}|[ivxlcdm]{1,8})(?:[.:)]?\s+.+)?$') AS ch, regexp_matches(t, '(?i)^section\s+(?:[0-9]{1,3}|[ivxlcdm]{1,8})(?:[.:)]?\s+.+)?$') AS se FROM bare
+  WHERE NOT regexp_matches(t, '^(?:[0-9]{1,5}|[ivxlcdm]{1,10})$') AND NOT regexp_matches(t, '(?i)^(?:figure|fig\.?|table)\s+[0-9ivxlcdm]+\b.*$') AND NOT regexp_matches(t, '^(?:[-*•]|[a-zA-Z][.)])\s+.+$')),
+ found AS (SELECT material_id, page_number, line_no, t AS title, CASE WHEN ch THEN 1 WHEN se THEN 2 ELSE least(len(string_split(num, '.')), 3) END::BIGINT AS level, (3 + (length(t) <= 120)::INT)::BIGINT AS score, 'LOW' AS confidence FROM parts
+  WHERE (ch OR se OR num <> '') AND 3 + (length(t) <= 120)::INT >= CASE WHEN extraction_method = 'NATIVE' OR quality = 'STRONG' THEN 4 WHEN quality = 'LIMITED' THEN 5 ELSE 99 END),
  posed AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY page_number, line_no) AS pos FROM found),
  parented AS (SELECT p.*, CASE level WHEN 1 THEN 0 WHEN 2 THEN coalesce((SELECT max(q.pos) FROM posed q WHERE q.material_id = p.material_id AND q.level = 1 AND q.pos <= p.pos), 0)
    ELSE (SELECT max(q.pos) FROM posed q WHERE q.material_id = p.material_id AND q.level = 2 AND q.pos <= p.pos AND q.pos > coalesce((SELECT max(r.pos) FROM posed r WHERE r.material_id = p.material_id AND r.level = 1 AND r.pos <= p.pos), 0)) END AS parent FROM posed p),
@@ -65,8 +67,17 @@ SCORED = r"""bare AS (SELECT material_id, page_number, line_no, trim(line) AS t,
  spans AS (SELECT o.material_id, o.pos, o.parent, o.ordinal, o.level, o.title, o.score, o.page_number AS start_page, greatest(o.page_number, least(o.own, coalesce(u.own, o.n))) AS end_page FROM owned o LEFT JOIN owned u ON u.material_id = o.material_id AND u.pos = o.parent)"""
 
 
+LISTED = r"^\s*(- |\* |[0-9]+[.)] .*$)"
+
+
+def _headed(spark, sf):
+    n = F.col("page_number")
+    head = F.when(n % 10 == 1, F.concat(F.lit("Chapter "), n, F.lit(". "))).when(n % 5 == 1, F.concat(F.lit("Section "), n, F.lit(": "))).when(n % 3 == 0, F.concat(n, F.lit(".1.2 "))).when(n % 3 == 1, F.concat(n, F.lit(".4 "))).otherwise("")
+    return c.k_lines(spark, sf).withColumn("line", F.when(F.col("line_no") == 0, F.concat(head, F.substring("line", 1, 60))).otherwise(F.col("line")))
+
+
 def _headings(spark, sf):
-    return tx.score_headings(c.k_lines(spark, sf))
+    return tx.score_headings(_headed(spark, sf))
 
 
 def _visuals(spark, sf):
@@ -93,17 +104,17 @@ QUERIES = {
     "comparison_key": lambda s, d: c.k_lines(s, d).select("doc_id", "line_no", tx.comparison_key(F.col("line")).alias("key")),
     "repeated_lines": lambda s, d: tx.repeated_lines(c.k_lines(s, d), 0.04),
     "repeated_regions": lambda s, d: tx.repeated_regions(c.k_lines(s, d), 2, 0.02),
-    "toc_pages": lambda s, d: tx.toc_pages(c.k_lines(s, d).withColumn("line", F.concat("line", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" .... "), F.col("line_no").cast("string"))).otherwise("")))).select("material_id", "page_number", "entries"),
+    "toc_pages": lambda s, d: tx.toc_pages(c.k_lines(s, d).withColumn("line", F.concat("line", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ...."), F.col("line_no").cast("string"))).otherwise("")))).select("material_id", "page_number", "entries"),
     "normalize_pages": lambda s, d: tx.normalize_pages(c.k_pages(s, d), tx.repeated_lines(c.k_lines(s, d), 0.04)).select("doc_id", "normalized"),
     "paragraphs": lambda s, d: tx.paragraphs(_docs(s, d).withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n \n"))), "doc_id", "text"),
     "classify_pages": lambda s, d: tx.classify_pages(c.table(s, d, "pages").withColumn("body", F.when(F.col("page_id") % 4 == 0, F.lit(" ab ")).when(F.col("page_id") % 4 == 1, F.lit(" \n")).otherwise(F.regexp_replace("html", "<[^>]*>", " "))), "body", F.col("page_id") % 3 == 0).select("page_id", "page_class"),
     "delimited_tables": lambda s, d: tx.delimited_tables(c.k_lines(s, d)),
     "score_headings": _headings,
     "heading_parents": lambda s, d: tx.heading_parents(_headings(s, d)).select("material_id", "pos", "parent", "ordinal", "level"),
-    "detect_structure": lambda s, d: tx.detect_structure(c.k_lines(s, d), c.k_pages(s, d)),
+    "detect_structure": lambda s, d: tx.detect_structure(_headed(s, d), c.k_pages(s, d)),
     "match_outline": lambda s, d: tx.match_outline(_outline(s, d), _html_lines(s, d)),
-    "caption_visuals": lambda s, d: tx.caption_visuals(_visuals(s, d), c.k_lines(s, d)),
-    "chunk_uuid": lambda s, d: c.k_chunks(s, d).select("chunk_id", tx.chunk_uuid(F.col("material_id"), F.col("chunk_index")).alias("uuid")),
+    "caption_visuals": lambda s, d: tx.caption_visuals(_visuals(s, d), c.k_lines(s, d), "^(?i)(fig(ure)?\\.?|table|in|de|the|la|le)\\s"),
+    "chunk_uuid": lambda s, d: c.k_chunks(s, d).select("chunk_id", tx.chunk_uuid(F.col("material_id"), F.col("chunk_index") + 1).alias("uuid")),
     "chunk_documents": lambda s, d: tx.chunk_documents(c.k_pages(s, d), _located(s, d)),
     "ocr_quality": lambda s, d: tx.ocr_quality(c.table(s, d, "lineitem").withColumn("confidence", 40 + F.col("l_quantity")), ["l_suppkey"], "confidence"),
     "ocr_text": lambda s, d: tx.ocr_text(_words(s, d)),
@@ -120,7 +131,14 @@ ORACLE_SQL = {
     "comparison_key": c.sql("k_lines", f"SELECT doc_id, line_no, {KEY.format('line')} AS key FROM k_lines"),
     "repeated_lines": c.sql("k_lines", f"WITH {NOISE} SELECT material_id, slot, canonical, pages FROM noise JOIN totals USING (material_id) WHERE total >= 3 AND pages >= ceil(total * 0.04)"),
     "repeated_regions": c.sql("k_lines", f"WITH {SLOTS} SELECT material_id, band, {KEY.format('line')} AS key, count(DISTINCT page_number) AS pages FROM slots JOIN (SELECT material_id, count(DISTINCT page_number) AS total FROM k_pages GROUP BY 1) USING (material_id) GROUP BY 1, 2, 3 HAVING count(DISTINCT page_number) >= 2 AND count(DISTINCT page_number) >= 0.02 * any_value(total)"),
-    "toc_pages": c.sql("k_lines", r"SELECT material_id, page_number, count(*) FILTER (regexp_matches(l, '^.{3,}(\.{2,}|\s{2,}|\s)[0-9]{1,4}\s*$')) AS entries FROM (SELECT *, line || CASE WHEN doc_id % 3 = 0 THEN ' .... ' || line_no ELSE '' END AS l FROM k_lines) WHERE page_number <= 12 GROUP BY 1, 2 HAVING entries >= 4 OR (bool_or(line_no < 5 AND lower(trim(l)) IN ('contents','table of contents')) AND entries >= 2)"),
+    "toc_pages": c.sql("k_lines", r"SELECT material_id, page_number, count(*) FILTER (regexp_matches(trim(l), '^(.{2,480}?)(?:\.{2,}|\s{2,})([0-9ivxlcdm]{1,8})$')) AS entries FROM (SELECT *, line || CASE WHEN doc_id % 3 = 0 THEN ' ....' || line_no ELSE '' END AS l FROM k_lines) WHERE page_number <= 12 GROUP BY 1, 2 HAVING entries >= 4 OR (bool_or(line_no < 5 AND lower(trim(l)) IN ('contents','table of contents')) AND entries >= 2)"),
+    "normalize_pages": c.sql("k_lines", f"""WITH {NOISE}, gone AS (SELECT material_id, slot, canonical FROM noise JOIN totals USING (material_id) WHERE total >= 3 AND pages >= ceil(total * 0.04)),
+ edge AS (SELECT doc_id, line_no, material_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS b FROM k_lines WHERE trim(line) <> '' AND extraction_method = 'NATIVE'),
+ bad AS (SELECT DISTINCT doc_id, line_no FROM edge e JOIN gone g ON g.material_id = e.material_id AND g.canonical = {CANON.format('e.line')} AND ((g.slot = 'TOP0' AND t = 1) OR (g.slot = 'TOP1' AND t = 2) OR (g.slot = 'BOTTOM0' AND b = 1) OR (g.slot = 'BOTTOM1' AND b = 2))),
+ l AS (SELECT k.*, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nx FROM k_lines k ANTI JOIN bad USING (doc_id, line_no)),
+ p AS (SELECT doc_id, line_no, CASE WHEN nx IS NULL THEN line WHEN trim(line) = '' OR trim(nx) = '' OR regexp_matches(line, '{LISTED}') OR regexp_matches(nx, '{LISTED}') THEN line || chr(10)
+   WHEN extraction_method = 'NATIVE' AND regexp_matches(line, '(^|[ \t])[a-z]{{6,}}[-\u00ad]$') AND regexp_matches(nx, '^[a-z]') THEN substring(line, 1, length(line) - 1) WHEN extraction_method = 'NATIVE' AND ends_with(line, '-') THEN line ELSE line || ' ' END AS piece FROM l)
+ SELECT d.doc_id, coalesce(string_agg(piece, '' ORDER BY line_no), '') AS normalized FROM k_pages d LEFT JOIN p USING (doc_id) GROUP BY 1"""),
     "paragraphs": r"WITH p AS (SELECT doc_id, string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\n[ \t]*\n\s*') AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS paragraph, generate_subscripts(t, 1) - 1 AS paragraph_no FROM p) SELECT * FROM e WHERE trim(paragraph) <> ''",
     "classify_pages": r"WITH b AS (SELECT page_id, length(regexp_replace(CASE page_id % 4 WHEN 0 THEN ' ab ' WHEN 1 THEN ' ' || chr(10) ELSE regexp_replace(html, '<[^>]*>', ' ', 'g') END, '[\s\p{C}\p{Z}]', '', 'g')) AS n FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 AND n >= 8 THEN 'MIXED' WHEN page_id % 3 = 0 THEN 'IMAGE_ONLY' WHEN n >= 1 THEN 'NATIVE_TEXT' ELSE 'UNREADABLE' END AS page_class FROM b",
     "delimited_tables": c.sql("k_lines", r"""WITH cells AS (SELECT *, contains(line, chr(9)) AS tab, [trim(x) FOR x IN CASE WHEN contains(line, chr(9)) AND NOT contains(line, '|') THEN string_split(line, chr(9)) WHEN contains(line, '|') AND NOT contains(line, chr(9)) THEN string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|') ELSE [''] END] AS cs FROM k_lines),
@@ -135,7 +153,7 @@ ORACLE_SQL = {
  t AS (SELECT *, concat_ws(' ', lag(line) OVER w, lead(line) OVER w, lead(line, 2) OVER w) AS nearby FROM k_lines WHERE trim(line) <> '' AND (quality IS NULL OR quality = 'STRONG') WINDOW w AS (PARTITION BY material_id, page_number ORDER BY line_no)),
  l AS (SELECT *, count(*) OVER (PARTITION BY material_id, page_number) AS n FROM t WHERE regexp_matches(line, '^(?i)(fig(ure)?\.?|table|in|de|the|la|le)\s'))
  SELECT visual_id, substring(trim(line), 1, 300) AS caption, nearby FROM v JOIN l USING (material_id, page_number) WHERE n = 1"""),
-    "chunk_uuid": c.sql("k_chunks", "SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8','9','a','b'][(list_position(['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f'], h[17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS uuid FROM (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('CHUNKER_V1' || chr(10) || material_id || chr(10) || chunk_index)) AS h FROM k_chunks)"),
+    "chunk_uuid": c.sql("k_chunks", "SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8','9','a','b'][(list_position(['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f'], h[17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS uuid FROM (SELECT chunk_id, sha1(unhex('bc9da86d4f4f5f4f9f598cc72e70b86a') || encode('CHUNKER_V1' || chr(10) || lower(material_id) || chr(10) || (chunk_index + 1))) AS h FROM k_chunks)"),
     "ocr_quality": "SELECT l_suppkey, round(avg(40 + l_quantity), 6) AS mean_confidence, CASE WHEN avg(40 + l_quantity) >= 85 THEN 'STRONG' WHEN avg(40 + l_quantity) >= 60 THEN 'LIMITED' ELSE 'POOR' END AS quality FROM lineitem GROUP BY 1",
     "ocr_text": c.sql("k_lines", r"""WITH t AS (SELECT doc_id AS page, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM k_lines), e AS (SELECT page, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM t),
  s AS (SELECT *, CASE WHEN lag(line_no) OVER w IS NULL THEN '' WHEN lag(line_no) OVER w // 3 <> line_no // 3 THEN chr(10) || chr(10) WHEN lag(line_no) OVER w <> line_no THEN chr(10) ELSE ' ' END AS sep FROM e WINDOW w AS (PARTITION BY page ORDER BY line_no, k)) SELECT page, string_agg(sep || word, '' ORDER BY line_no, k) AS text FROM s GROUP BY 1"""),
