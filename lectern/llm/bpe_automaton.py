@@ -42,9 +42,8 @@ def byte_letters() -> list[str]:
 class TokenizationAutomaton:
     """Compiled from a vocabulary, its merges in order, and the mark of a word's end."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 1_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 200_000):
         self.end, self.most_arcs = end, most_arcs
-        self.label = {i: t for t, i in vocab.items()}
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.born: dict[int, int] = {}

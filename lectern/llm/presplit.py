@@ -103,7 +103,7 @@ class PieceEncoder:
     ``most`` pieces, so memory stays bounded.
     """
 
-    def __init__(self, rule: Callable, fold: bool, new: Callable[[list[str]], list[np.ndarray]], slow: Callable[[str], np.ndarray], control: list[str], most: int = 1_000_000):
+    def __init__(self, rule: Callable, fold: bool, new: Callable[[list[str]], list[np.ndarray]], slow: Callable[[str], np.ndarray], control: list[str], most: int = 300_000):
         self.rule, self.fold, self.new, self.slow, self.most = rule, fold, new, slow, most
         self.control = regex.compile("|".join(map(regex.escape, control)))
         self.clear()
@@ -169,7 +169,7 @@ class PieceEncoder:
         parts = [np.asarray(self.slow(t), np.int32) if slow[i] else flat[bounds[i] : bounds[i + 1]] for i, t in enumerate(texts)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    def encode_column(self, column: pa.Array, most: int = 1_000_000):
+    def encode_column(self, column: pa.Array, most: int = 500_000):
         """(first row, ids, offsets) for bounded ranges of a column's rows; null is empty."""
         texts = [t or "" for t in column.to_pylist()]
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
