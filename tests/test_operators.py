@@ -1,0 +1,165 @@
+"""Small golden cases of operators that have no SQL form, and plan checks."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.functions import columns
+from lectern.operators import evaluation, integrity, learner, retrieval, text
+from lectern.sources import readers
+from lectern.streaming import state
+
+
+def test_token_counters_agree(spark):
+    texts = ["", "a", "abcd efghi", "Größe-2, ok!", "x" * 9 + " 12345", "naïve  …"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(text.token_count(F.col("t")).alias("n")).collect()] == [text.count_tokens(t) for t in texts]
+
+
+def test_long_units_are_split_inside_the_limit():
+    body = "One two three. " * 50 + "w" * 400
+    parts = text.split_oversized(body, 40)
+    assert all(text.count_tokens(p) <= 40 for p in parts)
+    assert "".join(body.split()) == "".join("".join(parts).split())
+
+
+def test_chunks_break_at_nodes_and_carry_an_overlap(spark):
+    rows = [("m", i, i // 3 + 1, "n1" if i < 6 else "n2", "NATIVE", f"para{i} " + "word " * 8) for i in range(9)]
+    units = spark.createDataFrame(rows, "material_id string, unit_no int, page_number long, node_id string, extraction_method string, text string")
+    out = sorted(text.pack_chunks(units, target=30, hard=60, overlap=100).collect(), key=lambda r: (r.segment, r.part))
+    assert {r.node_id for r in out} == {"n1", "n2"} and all(r.tokens <= 60 for r in out)
+    first, second = out[0].content.split("\n\n"), out[1].content.split("\n\n")
+    assert first[-1] == second[0]  # the last paragraph begins the next chunk
+    n2 = [r for r in out if r.node_id == "n2"]
+    assert n2[0].content.startswith("para6")  # nothing is carried over a node
+    assert {p.split()[0] for r in out for p in r.content.split("\n\n")} == {f"para{i}" for i in range(9)}
+
+
+def test_queries_with_phrases_alternatives_and_exclusions(spark):
+    chunks = spark.createDataFrame([(1, "the quick brown fox"), (2, "brown quick dogs"), (3, "lazy dogs sleep"), (4, "a quick brown cat")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "quick brown"), (2, '"quick brown"'), (3, '"quick brown" -cat'), (4, "fox or sleep"), (5, "missing")], "query_id long, query string")
+    got = {}
+    for r in retrieval.fts_match(queries, chunks).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert got == {1: {1, 2, 4}, 2: {1, 4}, 3: {1}, 4: {1, 3}}
+
+
+def test_literal_match_has_no_wildcards(spark):
+    chunks = spark.createDataFrame([(1, "100% of\ncases"), (2, "100 of cases"), (3, "UNDER_score")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "100%"), (2, "r_S"), (3, "%")], "query_id long, query string")
+    assert {(r.query_id, r.chunk_id) for r in retrieval.literal_match(queries, chunks).collect()} == {(1, 1), (2, 3)}
+
+
+def test_vector_search_skips_zero_vectors_and_breaks_ties_by_id(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 0.0])], "query_id long, embedding array<float>")
+    for block in (5_000, 1):
+        got = [(r.query_id, r.vec_id, r.rank_no) for r in retrieval.vector_search(q, e, 2, block).orderBy("rank_no").collect()]
+        assert got == [(9, 1, 1), (9, 2, 2)]
+    assert retrieval.vector_search(q.where("query_id = 8"), e).count() == 0
+
+
+def test_approximate_search_finds_most_neighbours(spark):
+    rng = random.Random(1)
+    e = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)], "vec_id long, embedding array<float>")
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in retrieval.vector_search(q, e, 3).collect()}
+    near = {(r.query_id, r.vec_id) for r in retrieval.approximate_vector_search(q, e, 3, planes=4).collect()}
+    assert len(exact & near) >= 0.8 * len(exact)
+
+
+def test_word_similarity(spark):
+    chunks = spark.createDataFrame([(1, "brachial plexus"), (2, "radial nerve")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "brachial")], "query_id long, query string")
+    assert [(r.chunk_id, r.similarity) for r in retrieval.word_similarity(queries, chunks).collect()] == [(1, 1.0)]
+
+
+def test_policies_are_checked():
+    with pytest.raises(ValueError):
+        retrieval.FusionPolicy(0, 0)
+    with pytest.raises(ValueError):
+        retrieval.FusionPolicy(float("nan"))
+    with pytest.raises(ValueError):
+        learner.PolicyConfiguration(hint_after=3, simplify_after=3)
+
+
+def test_negated_phrases_are_not_asserted(spark):
+    df = spark.createDataFrame([("The nerve is not the median nerve.", "median nerve"), ("The median nerve.", "median nerve"), ("x", "")], "t string, p string")
+    got = [(r.a, r.m) for r in df.select(evaluation.phrase_match(F.col("t"), F.col("p")).alias("a"), evaluation.phrase_match(F.col("t"), F.col("p"), False).alias("m")).collect()]
+    assert got == [(False, True), (True, True), (False, False)]
+
+
+def test_next_action_ladder(spark):
+    base = dict(mission_id=1, status="ACTIVE", stage="RETRIEVAL", concept=1, available_minutes=60, grounding="GENERAL_KNOWLEDGE", source_state="READY", has_text=True, visual_needed=False, visual_state="PRESENT", connection_relevant=False)
+    missions = spark.createDataFrame([base]).withColumn("started_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).withColumn("mission_id", F.col("mission_id").cast("long")).withColumn("concept", F.col("concept").cast("long"))
+    want = {0: "UNDERSTAND", 1: "RETRY", 2: "HINT", 3: "UNDERSTAND", 4: "PREREQUISITE_SUPPORT", 5: "RETRY", 6: "RETRY"}
+    for failures, action in want.items():
+        rows = [(i, 1, 1, i + 1, "RETRIEVE", "FOUNDATIONAL", "INCORRECT") for i in range(failures)]
+        attempts = spark.createDataFrame(rows, "event_id long, mission_id long, concept long, sequence long, activity string, difficulty string, outcome string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+        got = learner.next_actions(learner.assemble_states(attempts, missions, "2024-01-01 00:10:00")).first()
+        assert got.action == action, failures
+
+
+def test_throttle_equals_a_plain_loop(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(3), 1_700_000_000 + rng.randrange(600)) for i in range(200)]
+    src = spark.createDataFrame(rows, "event_id long, address long, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    src.coalesce(1).write.parquet(f"file://{tmp_path}/e")
+    stream = spark.readStream.schema(src.schema).parquet(f"file://{tmp_path}/e")
+    got = {r.event_id: r.allowed for r in state.run_to_end(state.stream_throttle(stream, 5, 60), "append").collect()}
+    opened, used, want = {}, {}, {}
+    for i, a, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if a not in opened or t >= opened[a] + 60:
+            opened[a], used[a] = t, 0
+        want[i] = used[a] < 5
+        used[a] += want[i]
+    assert got == want and not all(want.values())
+
+
+def test_golden_files_and_word_tables(spark, tmp_path):
+    data = {"version": "v", "cases": [{"id": "c", "query": "q", "subject": "s", "difficulty": "d", "vector": [1.0], "expected": ["k"], "acceptable": [], "irrelevant": ["z"]}], "corpus": [{"id": "k", "content": "x", "section": "1", "vector": [0.5]}]}
+    (tmp_path / "g.json").write_text(json.dumps(data, indent=1))
+    cases, corpus, judged = readers.read_golden(spark, f"file://{tmp_path}/g.json")
+    assert cases.count() == corpus.count() == 1 and {(r.grade, r.chunk_id) for r in judged.collect()} == {("EXPECTED", "k"), ("IRRELEVANT", "z")}
+    head = "\t".join(c.split()[0] for c in readers.WORD_COLUMNS.split(", "))
+    (tmp_path / "w.tsv").write_text(head + "\n1\t1\t0\t0\t0\t0\t0\t0\t9\t9\t-1\t\n5\t1\t1\t1\t1\t2\t0\t0\t9\t9\t91.5\tb\n5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t80\ta\n")
+    words = readers.read_ocr_words(spark, f"file://{tmp_path}/w.tsv")
+    assert [r.text for r in words.collect()] == ["b", "a"] and [r.text for r in readers.order_violations(words).collect()] == ["a"]
+    (tmp_path / "bad.tsv").write_text("level\tother\n")
+    with pytest.raises(ValueError):
+        readers.read_ocr_words(spark, f"file://{tmp_path}/bad.tsv")
+
+
+def test_embedding_function_must_answer_each_id(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_id long, content string")
+    none = spark.createDataFrame([], "chunk_id long, generation long")
+
+    def half(frames):
+        for f in frames:
+            f = f.head(1)
+            f["embedding"] = [[1.0]] * len(f)
+            yield f
+
+    with pytest.raises(Exception, match="each id once"):
+        retrieval.embed_missing(chunks.coalesce(1), none, 1, half).collect()
+
+
+def test_table_function(spark):
+    columns.register(spark)
+    assert [(r.line_no, r.cells) for r in spark.sql("SELECT * FROM delimited_rows('| a | b |\nplain\nx\ty')").collect()] == [(0, ["a", "b"]), (2, ["x", "y"])]
+
+
+def test_cycles_and_closure(spark):
+    n = spark.createDataFrame([("m", "a", None), ("m", "b", "a"), ("m", "c", "b"), ("m", "x", "z"), ("m", "y", "x"), ("m", "z", "y"), ("m", "t", "z")], "material_id string, node_id string, parent_id string")
+    assert {r.node_id for r in integrity.cycle_nodes(n).collect()} == {"x", "y", "z"}
+    tree = n.where("node_id in ('a','b','c')")
+    assert {(r.ancestor, r.descendant, r.distance) for r in integrity.node_closure(tree).collect()} == {("a", "a", 0), ("b", "b", 0), ("c", "c", 0), ("a", "b", 1), ("b", "c", 1), ("a", "c", 2)}
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("m", 1, 1, "t", "big")], "material_id string, page_number long, doc_id long, content string, other string").write.parquet(f"file://{tmp_path}/p")
+    plan = integrity.scan_blocks(spark.read.parquet(f"file://{tmp_path}/p"), "m", 1, 5).select("doc_id", "page_number")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1]
+    assert "material_id,m)" in pushed and "GreaterThanOrEqual(page_" in pushed and "other" not in plan.split("ReadSchema")[1]
