@@ -426,6 +426,15 @@ def chunk_violations(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).where("reason is not null").select("chunk_id", "reason")
 
 
+def link_violations(links: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(chunk_id, block_id, reason): links to blocks that aren't there, of another material, or outside the chunk's pages."""
+    c = chunks.select("chunk_id", "material_id", "start_page", "end_page")
+    b = blocks.select("block_id", F.col("material_id").alias("__m"), F.col("page_number").alias("__p"))
+    j = links.join(c, "chunk_id", "left").join(b, "block_id", "left")
+    reason = F.when(F.col("material_id").isNull(), "NO_CHUNK").when(F.col("__m").isNull(), "NO_BLOCK").when(F.col("__m") != F.col("material_id"), "MATERIAL").when(~F.col("__p").between(F.col("start_page"), F.col("end_page")), "PAGE")
+    return j.withColumn("reason", reason).where("reason is not null").select("chunk_id", "block_id", "reason")
+
+
 def visual_link_violations(links: DataFrame, chunks: DataFrame, visuals: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links whose visual isn't on a page, or under the node, of the chunk."""
     return links.join(link_visuals(chunks, visuals, nodes), ["chunk_id", "visual_id"], "left_anti").select("chunk_id", "visual_id")

@@ -382,6 +382,12 @@ def evidence_violations(packages: DataFrame) -> DataFrame:
     return packages.withColumn("reason", reason).where("reason is not null").select("query_id", "reason")
 
 
+def retrieval_query_text(objective: Column, concept: Column) -> Column:
+    """The objective, and the concept behind it unless it is inside already."""
+    inside = F.contains(F.lower(objective), F.lower(F.trim(concept)))
+    return F.when(F.trim(concept).eqNullSafe("") | concept.isNull() | inside, objective).otherwise(F.concat_ws(" ", objective, F.trim(concept)))
+
+
 def display_labels(refs: DataFrame) -> DataFrame:
     """``title · Page n · section`` of what is there; a page only if the range is one page."""
     page = F.when(F.col("start_page") == F.col("end_page"), F.concat(F.lit("Page "), F.col("start_page").cast("string")))

@@ -142,6 +142,7 @@ QUERIES = {
     "outline_tree": lambda s, d: it.outline_tree(c.k_nodes(s, d)),
     "link_visuals": lambda s, d: it.link_visuals(_wide_chunks(s, d), _visuals(s, d), c.k_nodes(s, d)),
     "visual_link_violations": lambda s, d: it.visual_link_violations(_wide_chunks(s, d).join(_visuals(s, d).select("visual_id", "material_id", "page_number"), "material_id").where("page_number between start_page and end_page").select("chunk_id", "visual_id"), _wide_chunks(s, d), _visuals(s, d), c.k_nodes(s, d)),
+    "link_violations": lambda s, d: it.link_violations(c.table(s, d, "embeddings").select(F.when(F.col("label") == 1, F.col("vec_id") + 10**6).otherwise(F.col("vec_id")).alias("chunk_id"), F.when(F.col("label") == 2, F.col("vec_id") + 10**6).when(F.col("label") == 3, F.col("vec_id") + 1).otherwise(F.col("vec_id")).alias("block_id")), c.k_chunks(s, d), c.k_pages(s, d).withColumnRenamed("doc_id", "block_id")),
     "resolve_references": lambda s, d: it.resolve_references(_refs(s, d), c.k_pages(s, d).where("material_id <> 'src2'"), c.k_nodes(s, d), c.k_chunks(s, d)).select("ref_id"),
     "is_latest_version": lambda s, d: it.is_latest_version(_versions(s, d)).select("version_id", "is_latest"),
     "validate_grounding": lambda s, d: it.validate_grounding(_citations(s, d), _cited(s, d, 7), _cited(s, d, 5), _cited(s, d, 3)),
@@ -205,6 +206,7 @@ ORACLE_SQL = {
     "outline_tree": c.sql("k_nodes", f"WITH {CLOSURE}, k AS (SELECT c.material_id, descendant AS node_id, list(n.ordinal ORDER BY n.depth) AS key, max(n.depth) AS depth FROM closure c JOIN k_nodes n ON n.node_id = c.ancestor GROUP BY 1, 2) SELECT material_id, node_id, depth, row_number() OVER (PARTITION BY material_id ORDER BY key, node_id) AS place FROM k", True),
     "link_visuals": c.sql("k_chunks k_nodes", f"WITH {CLOSURE}, {LINKED} SELECT * FROM linked", True),
     "visual_link_violations": c.sql("k_chunks k_nodes", f"WITH {CLOSURE}, {LINKED} SELECT chunk_id, visual_id FROM wide w JOIN visuals v ON v.material_id = w.material_id AND v.page_number BETWEEN start_page AND end_page ANTI JOIN linked USING (chunk_id, visual_id)", True),
+    "link_violations": c.sql("k_chunks", "WITH l AS (SELECT CASE WHEN label = 1 THEN vec_id + 1000000 ELSE vec_id END AS chunk_id, CASE WHEN label = 2 THEN vec_id + 1000000 WHEN label = 3 THEN vec_id + 1 ELSE vec_id END AS block_id FROM embeddings), j AS (SELECT l.*, CASE WHEN k.chunk_id IS NULL THEN 'NO_CHUNK' WHEN p.doc_id IS NULL THEN 'NO_BLOCK' WHEN p.material_id <> k.material_id THEN 'MATERIAL' WHEN p.page_number NOT BETWEEN k.start_page AND k.end_page THEN 'PAGE' END AS reason FROM l LEFT JOIN k_chunks k USING (chunk_id) LEFT JOIN k_pages p ON p.doc_id = l.block_id) SELECT * FROM j WHERE reason IS NOT NULL"),
     "resolve_references": c.sql("k_chunks k_nodes", f"WITH {REFS} SELECT ref_id FROM refs WHERE (material_id IS NULL OR (material_id <> 'src2' AND material_id IN (SELECT material_id FROM k_pages))) AND (node_id IS NULL OR node_id IN (SELECT node_id FROM k_nodes)) AND (chunk_id IS NULL OR chunk_id IN (SELECT chunk_id FROM k_chunks))"),
     "is_latest_version": c.sql("k_pages", "SELECT doc_id AS version_id, page_number = max(page_number) OVER (PARTITION BY material_id) AS is_latest FROM k_pages"),
     "validate_grounding": f"WITH {CIT} SELECT answer_id, source_id, CASE WHEN source_id IS NULL THEN 'MISSING_ID' WHEN source_id % 7 = 0 THEN 'NOT_PROMPTED' WHEN source_id % 5 = 0 THEN 'NOT_IN_EVIDENCE' WHEN source_id % 3 = 0 THEN 'NOT_CURRENT' END AS reason FROM cit",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.storage import stored
 from lectern.operators import evaluation as ev
 from lectern.operators import retrieval as re_
 from lectern.plans import carriers as c
@@ -56,20 +57,20 @@ def fused(spark, sf):
     return re_.hybrid_fuse(lexical(spark, sf), v)
 
 
-def _ranked(spark, sf):
+def _ranked(spark, sf, hits=None):
     k = c.k_chunks(spark, sf).select("chunk_id", "quality", "node_id", "content", "material_id")
-    return fused(spark, sf).join(k, "chunk_id").withColumnRenamed("node_id", "section")
+    return (fused(spark, sf) if hits is None else hits).join(k, "chunk_id").withColumnRenamed("node_id", "section")
 
 
 RANKED = FUSED + ", ranked AS (SELECT f.*, quality, node_id AS section, content, material_id FROM fused f JOIN k_chunks USING (chunk_id))"
 
 
-def _judged(spark, sf):
+def _judged(spark, sf, hits=None):
     """Expected: holds the later passage; acceptable: same section as the query's number; irrelevant: OCR pages of poor quality."""
     q, k = c.k_queries(spark, sf), c.k_chunks(spark, sf)
     probe = q.select("query_id", F.col("probe").alias("query"))
     expected = re_.literal_match(probe, k).withColumn("grade", F.lit("EXPECTED"))
-    rest = fused(spark, sf).join(k, "chunk_id").join(expected.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    rest = (fused(spark, sf) if hits is None else hits).join(k, "chunk_id").join(expected.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     other = rest.select("query_id", "chunk_id", F.when(F.col("quality") == "POOR", "IRRELEVANT").otherwise("ACCEPTABLE").alias("grade")).where((F.col("grade") == "IRRELEVANT") | (F.col("chunk_id") % 2 == 0))
     return expected.unionByName(other).join(k.select("chunk_id", F.col("node_id").alias("section")), "chunk_id")
 
@@ -86,7 +87,8 @@ METRICS = JUDGED + """, per AS (SELECT r.query_id, count(*) FILTER (grade = 'EXP
 
 
 def metrics(spark, sf):
-    return ev.retrieval_metrics(_ranked(spark, sf), _judged(spark, sf), c.k_queries(spark, sf))
+    hits = stored(fused(spark, sf), "hits")  # used twice below
+    return stored(ev.retrieval_metrics(_ranked(spark, sf, hits), _judged(spark, sf, hits), c.k_queries(spark, sf)), "metrics")
 
 
 def _answers(spark, sf):
@@ -115,8 +117,8 @@ def _results(spark, sf):
 
 def _packages(spark, sf):
     q = c.k_queries(spark, sf)
-    quality = re_.retrieval_quality(_ranked(spark, sf), q)
-    return re_.build_evidence(quality, _ranked(spark, sf), _visual_links(spark, sf), 3, 2)
+    ranked = stored(_ranked(spark, sf), "ranked")
+    return re_.build_evidence(re_.retrieval_quality(ranked, q), ranked, _visual_links(spark, sf), 3, 2)
 
 
 PACKAGES = RANKED + ", " + VISUALS + """, quality_of AS (SELECT query_id, CASE WHEN bool_or(r.query_id IS NOT NULL AND quality IN ('LIMITED','POOR')) THEN 'LIMITED' WHEN count(r.chunk_id) = 0 THEN 'INSUFFICIENT' ELSE 'STRONG' END AS retrieval_quality FROM k_queries q LEFT JOIN ranked r USING (query_id) GROUP BY query_id),
@@ -159,6 +161,12 @@ def _scope_rows(spark, sf):
     return c.k_nodes(spark, sf).where("depth = 2 and start_page > 5").select("material_id", F.when(F.length("material_id") == 5, F.col("node_id")).alias("node_id"))
 
 
+def _baseline(m):
+    """The measures against themselves with half the cases gone and some values moved."""
+    old = m.where("query_id % 2 = 0").withColumn("mrr", F.round(F.col("mrr") + (F.col("query_id") % 4) / 100, 9))
+    return ev.baseline_diff(ev.melt_metrics(m, ["query_id"]), ev.melt_metrics(old, ["query_id"]), ["query_id"])
+
+
 QUERIES = {
     "lexical_search": lexical,
     "vector_search": vector,
@@ -181,13 +189,14 @@ QUERIES = {
     "materialize_references": lambda s, d: re_.materialize_references(_packages(s, d), c.k_chunks(s, d)),
     "collect_visuals": lambda s, d: re_.collect_visuals(_ranked(s, d), _visual_links(s, d)).withColumn("chunk_ids", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",")),
     "linked_visuals": lambda s, d: re_.linked_visuals(_ranked(s, d).select("query_id", "chunk_id", "material_id"), _visual_links(s, d).select("chunk_id", "visual_id"), _visual_links(s, d).select("visual_id", F.concat(F.lit("src"), F.col("page_number").cast("string")).alias("material_id"))),
+    "retrieval_query_text": lambda s, d: _answers(s, d).select("id", re_.retrieval_query_text(F.col("prompt"), F.when(F.col("id") % 3 == 0, F.col("expected")).when(F.col("id") % 3 == 1, F.col("concept"))).alias("query")),
     "foreign_hits": lambda s, d: re_.foreign_hits(fused(s, d), c.k_chunks(s, d), c.k_queries(s, d).select("query_id", F.lit("en").alias("owner_id"))),
     "authorized_chunks": lambda s, d: re_.authorized_chunks(c.k_chunks(s, d), "en").select("chunk_id", "material_id", "chunk_index"),
     "filter_scope": lambda s, d: re_.filter_scope(c.k_chunks(s, d), _scope_rows(s, d)).select("chunk_id", "node_id"),
     "build_scope": lambda s, d: _scopes(s, d).withColumn("nodes", F.array_join("nodes", ",")),
     "freeze_scope": lambda s, d: _frozen(s, d).withColumn("nodes", F.array_join("nodes", ",")),
     "retrieval_metrics": metrics,
-    "baseline_diff": lambda s, d: ev.baseline_diff(ev.melt_metrics(metrics(s, d), ["query_id"]), ev.melt_metrics(metrics(s, d).where("query_id % 2 = 0").withColumn("mrr", F.round(F.col("mrr") + (F.col("query_id") % 4) / 100, 9)), ["query_id"]), ["query_id"]),
+    "baseline_diff": lambda s, d: _baseline(metrics(s, d)),
     "metrics_summary": lambda s, d: ev.metrics_summary(metrics(s, d).withColumns({"subject": (F.col("query_id") % 3).cast("string"), "difficulty": (F.col("query_id") % 2).cast("string")}), ["subject", "difficulty"], ["recall_3", "precision_3", "mrr"]),
     "golden_violations": lambda s, d: ev.golden_violations(c.k_queries(s, d).withColumn("query", F.when(F.col("query_id") % 7 == 0, " ").otherwise(F.col("query"))), _judged(s, d), c.k_chunks(s, d).where("chunk_id % 5 > 0"), 64, c.table(s, d, "embeddings"), 5),
     "phrase_match": lambda s, d: _answers(s, d).select("id", ev.phrase_match(F.col("output"), F.col("concept")).alias("asserted"), ev.phrase_match(F.col("output"), F.col("concept"), False).alias("mentioned")),
@@ -225,6 +234,7 @@ ORACLE_SQL = {
     "materialize_references": c.sql(Q, f"WITH {PACKAGES} SELECT query_id, chunk_id, material_id || ' · Page ' || start_page || ' · ' || node_id AS label FROM (SELECT query_id, unnest(chunk_ids) AS chunk_id FROM packages) JOIN k_chunks USING (chunk_id)"),
     "collect_visuals": c.sql(Q, f"WITH {RANKED}, {VISUALS} SELECT query_id, visual_id, page_number, status, min(rank_no) AS first_rank, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_ids FROM ranked JOIN visuals USING (chunk_id) GROUP BY 1, 2, 3, 4"),
     "linked_visuals": c.sql(Q, f"WITH {RANKED}, {VISUALS} SELECT DISTINCT query_id, chunk_id, visual_id FROM ranked JOIN visuals USING (chunk_id) WHERE 'src' || page_number = material_id"),
+    "retrieval_query_text": f"WITH {ANSWERS}, x AS (SELECT id, prompt, CASE id % 3 WHEN 0 THEN expected WHEN 1 THEN concept END AS k FROM answers) SELECT id, CASE WHEN k IS NULL OR trim(k) = '' OR contains(lower(prompt), lower(trim(k))) THEN prompt ELSE prompt || ' ' || trim(k) END AS query FROM x",
     "foreign_hits": c.sql(Q, f"WITH {FUSED} SELECT query_id, chunk_id FROM fused JOIN k_chunks USING (chunk_id) WHERE owner_id IS DISTINCT FROM 'en'"),
     "authorized_chunks": c.sql("k_chunks", "SELECT chunk_id, material_id, chunk_index FROM k_chunks WHERE is_active AND owner_id = 'en'"),
     "filter_scope": c.sql("k_chunks k_nodes", "SELECT chunk_id, node_id FROM k_chunks k WHERE EXISTS (SELECT 1 FROM k_nodes n WHERE depth = 2 AND n.start_page > 5 AND n.material_id = k.material_id AND (length(n.material_id) <> 5 OR n.node_id = k.node_id))"),
