@@ -136,13 +136,13 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab = model["vocab"]
+        vocab = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.automaton = TokenizationAutomaton(self.vocab, merges, model.get("end_of_word_suffix") or "")
+        self.automaton = TokenizationAutomaton(vocab, merges, model.get("end_of_word_suffix") or "")
         self.control = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.path, self._library = path, None
-        self.labels = [b""] * (max([*self.vocab.values(), *self.control.values()]) + 1)
-        for text, i in [*self.vocab.items(), *self.control.items()]:
+        self.labels = [b""] * (max([*vocab.values(), *self.control.values()]) + 1)
+        for text, i in [*vocab.items(), *self.control.items()]:
             self.labels[i] = text.encode()
         self.encoder = PieceEncoder(split_words, True, self._new, self._slow, [*self.control])
 
@@ -174,9 +174,16 @@ class WordTokenizer:
         return np.array(out, np.int32)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids_out: str = "ids") -> DataFrame:
+def spelled(labels: list[bytes], ids: list[int]) -> str:
+    """The labels of the arcs to these tokens, joined by a space."""
+    return b" ".join([labels[i] for i in ids]).decode()
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids_out: str = "ids", decoded_out: str | None = None) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text, no special tokens added; null and empty give none.
 
+    With ``decoded_out`` the ids are decoded again in the same pass, as by ``decode``.
+
     ``path`` is the tokenizer file, which each executor must have. Rows stay
     where they are, so hot keys and repeated rows need no care; other columns
     are dropped.
@@ -186,11 +193,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         tokenizer = WordTokenizer.of(path)
         for b in batches:
             for lo, ids, off in tokenizer.encoder.encode_column(b.column(1)):
-                rows = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.record_batch([b.column(0).slice(lo, len(off) - 1), rows], ["doc_id", ids_out])
+                cols = [b.column(0).slice(lo, len(off) - 1), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded_out:
+                    cols.append(pa.array([spelled(tokenizer.labels, ids[x:y].tolist()) for x, y in zip(off[:-1], off[1:])], pa.string()))
+                yield pa.record_batch(cols, ["doc_id", ids_out, *([decoded_out] if decoded_out else [])])
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, `{ids_out}` array<int>")
+    return source.mapInArrow(run, f"doc_id long, `{ids_out}` array<int>" + (f", `{decoded_out}` string" if decoded_out else ""))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_out: str = "decoded") -> DataFrame:
@@ -201,7 +210,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_out: str = "deco
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = [None if ids is None else b" ".join([labels[i] for i in ids]).decode() for ids in part.column(1).to_pylist()]
+                texts = [None if ids is None else spelled(labels, ids) for ids in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", text_out])
 
     return df.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id long, ids array<int>, `{text_out}` string")
@@ -214,7 +223,7 @@ def default_path() -> str:
 
 
 def _digests(df: DataFrame, path: str) -> DataFrame:
-    back = decode(encode(df, path), path)
+    back = encode(df, path, decoded_out="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

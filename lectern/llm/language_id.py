@@ -169,7 +169,7 @@ def identify(df: DataFrame, model: KernelModel, text_col: str = "text", lang_out
         m = shared.value
         for b in batches:
             buf, off = utf8(b.column(place))
-            for lo, hi in chunks(off, 1_000_000, 96):
+            for lo, hi in chunks(off, 400_000, 48):
                 langs, scores = m.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 part = b.slice(lo, hi - lo)
                 yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang_out, score_out])

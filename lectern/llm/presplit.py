@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from lectern.llm.textkit import HashIndex, chunks, mix, powers
+from lectern.llm.textkit import HashIndex, chunks, mix, powers, utf8
 
 #: Code points of the tables; a text with any other one takes the caller's slow path.
 KNOWN = 0x2E80
@@ -170,8 +170,7 @@ class PieceEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def encode_column(self, column: pa.Array, most: int = 500_000):
-        """(first row, ids, offsets) for bounded ranges of a column's rows; null is empty."""
-        texts = [t or "" for t in column.to_pylist()]
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        """(first row, ids, offsets) for ranges of a column's rows of at most so many bytes, or one row; null is empty."""
+        _, off = utf8(column)
         for lo, hi in chunks(off, most):
-            yield (lo, *self.encode(texts[lo:hi]))
+            yield (lo, *self.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()]))
