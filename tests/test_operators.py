@@ -1,6 +1,7 @@
 """Small golden cases of operators that have no SQL form, and plan checks."""
 
 import json
+import os
 import random
 
 import pytest
@@ -70,6 +71,18 @@ def test_approximate_search_finds_most_neighbours(spark):
     assert len(exact & near) >= 0.8 * len(exact)
 
 
+def test_approximate_search_reaches_its_recall_as_registered(spark):
+    from lectern.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    exact = {(r.query_id, r.vec_id): r.similarity for r in QUERIES["vector_search"](spark, sf).collect()}
+    near = {(r.query_id, r.vec_id): r.similarity for r in QUERIES["vector_search_approx"](spark, sf).collect()}
+    assert len(exact.keys() & near.keys()) >= 0.9 * len(exact) and len(near) == len(exact)
+    assert all(abs(near[k] - exact[k]) < 1e-8 for k in exact.keys() & near.keys())
+
+
 def test_word_similarity(spark):
     chunks = spark.createDataFrame([(1, "brachial plexus"), (2, "radial nerve")], "chunk_id long, content string")
     queries = spark.createDataFrame([(1, "brachial")], "query_id long, query string")
