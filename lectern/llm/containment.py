@@ -1,6 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-The test items are partitioned by size. A document is cut, for each partition,
+The test items are partitioned by size. Those of up to ``SMALLEST`` shingles are
+looked up exactly: a document that holds enough of an item holds one of any
+n - need + 1 of its n shingles, so these, the rarest among the items first, are
+keys for every shingle of the document. For the others a document is cut, for each partition,
 into overlapping windows of twice the partition's upper size, so that an item
 and the window that holds it have a Jaccard similarity of useful size however
 long the document is. An item is a candidate of a document if one of
@@ -23,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textkit import chunks, distinct_by_row, minima, mix, multipliers, shingles_of, utf8
+from lectern.llm.textkit import chunks, distinct_by_row, minima, mix, multipliers, ragged, shingles_of, utf8
 
 N_HASH = 48
-#: Shingles in the smallest block; partitions hold items of up to 16, 32, 64, ... shingles.
+#: Shingles in the smallest block, and the most of an item looked up exactly; the other partitions hold items of up to 32, 64, ... shingles.
 SMALLEST = 16
 _SEEDS = multipliers(N_HASH, 11)
+_LOW = np.uint64((1 << 20) - 1)
 
 
 class ItemBlock:
@@ -41,8 +45,19 @@ class ItemBlock:
         self.values, self.bounds = values, bounds
         sizes = np.diff(bounds)
         level = np.where(sizes > 0, np.ceil(np.log2(np.maximum(sizes, 1) / SMALLEST)).clip(0), -1).astype(int)
+        short = np.flatnonzero(level == 0)
+        of = np.repeat(short, sizes[short])
+        flat = values[ragged(bounds[:-1][short], sizes[short])]
+        _, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((flat, often[inverse], of))  # an item's shingles, the rarest first
+        flat, of = flat[order], of[order]
+        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes[short]) - sizes[short], sizes[short])
+        order = np.argsort(flat, kind="stable")
+        self.short = flat[order], of[order], place[order]
+        self.maybe = np.zeros(1 << 20, bool)  # most shingles of a document are in no item
+        self.maybe[flat & _LOW] = True
         self.partitions = []
-        for k in sorted(set(level[level >= 0].tolist())):
+        for k in sorted(set(level[level > 0].tolist())):
             items = np.flatnonzero(level == k)
             flat = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in items])
             cuts = np.concatenate([[0], np.cumsum(sizes[items])[:-1]])
@@ -52,14 +67,44 @@ class ItemBlock:
 
     def search(self, values: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, int, int, int]]:
         """(row, item, shared shingles, item's shingles) of the rows that hold enough of an item."""
-        if not len(values) or not self.partitions:
-            return []
+        found: set[tuple[int, int]] = set()
+        if len(values) and len(self.short[0]):
+            self._look_up(values, bounds, threshold, found)
+        if len(values) and self.partitions:
+            self._meet(values, bounds, found)
+        out = []
+        by_row: dict[int, list[int]] = {}
+        for r, i in sorted(found):
+            by_row.setdefault(r, []).append(i)
+        for r, items in by_row.items():
+            mine = np.unique(values[bounds[r] : bounds[r + 1]])
+            for i in items:
+                want = self.values[self.bounds[i] : self.bounds[i + 1]]
+                shared = int(np.isin(want, mine, assume_unique=True).sum())
+                if shared >= threshold * len(want):
+                    out.append((r, i, shared, len(want)))
+        return out
+
+    def _look_up(self, values: np.ndarray, bounds: np.ndarray, threshold: float, found: set[tuple[int, int]]) -> None:
+        """Adds the candidates (row, item) among the short items: those with one of the shingles that can't all be missing."""
+        keys, owners, place = self.short
+        n = np.diff(self.bounds)[owners]
+        lead = place <= n - np.maximum(np.ceil(threshold * n - 1e-9), 1)
+        keys, owners = keys[lead], owners[lead]
+        at = np.flatnonzero(self.maybe[values & _LOW])
+        lo, hi = np.searchsorted(keys, values[at], "left"), np.searchsorted(keys, values[at], "right")
+        hit = np.flatnonzero(hi > lo)
+        row = np.searchsorted(bounds, at[hit], "right") - 1
+        pairs = np.unique(np.stack([np.repeat(row, (hi - lo)[hit]), owners[ragged(lo[hit], (hi - lo)[hit])]]), axis=1)
+        found.update(zip(*pairs.tolist()))
+
+    def _meet(self, values: np.ndarray, bounds: np.ndarray, found: set[tuple[int, int]]) -> None:
+        """Adds the candidates (row, item) of the other partitions: those with a minimum in common with some window."""
         sizes = np.diff(bounds)
         blocks = -(-sizes // SMALLEST)
         row = np.repeat(np.arange(len(sizes)), blocks)
         upto = np.concatenate([[0], np.cumsum(blocks)])
         low = minima(values, bounds[:-1][row] + (np.arange(len(row)) - upto[:-1][row]) * SMALLEST, _SEEDS)
-        found: set[tuple[int, int]] = set()
         level, at = 0, np.arange(len(row)) - upto[:-1][row]
         for k, keys, owners in self.partitions:
             while level < k:  # blocks twice as long, from pairs
@@ -77,18 +122,6 @@ class ItemBlock:
             hi = np.searchsorted(keys, m[hit], "right")
             for h, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
                 found.update((int(row[h // N_HASH]), int(i)) for i in owners[a:b])
-        out = []
-        by_row: dict[int, list[int]] = {}
-        for r, i in sorted(found):
-            by_row.setdefault(r, []).append(i)
-        for r, items in by_row.items():
-            mine = np.unique(values[bounds[r] : bounds[r + 1]])
-            for i in items:
-                want = self.values[self.bounds[i] : self.bounds[i + 1]]
-                shared = int(np.isin(want, mine, assume_unique=True).sum())
-                if shared >= threshold * len(want):
-                    out.append((r, i, shared, len(want)))
-        return out
 
 
 def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = 100_000) -> DataFrame:

@@ -226,6 +226,31 @@ def test_contained_items(spark, docs, empty, monkeypatch):
     assert containment.find_contained(empty, bench).count() == 0 and containment.find_contained(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_in_long_documents(spark):
+    """Items of 5 to 8 words, whole or with 3 of 4 shingles, are found wherever they stand; none may be left to chance."""
+    rng = random.Random(12)
+    texts = [[f"v{d}x{rng.randrange(10**6)}" for _ in range(400)] for d in range(60)]
+    items, common = [], ["all", "of", "the", "above", "answers"]
+    for d, t in enumerate(texts):
+        for n in (5, 6, 7, 8):
+            s = rng.randrange(0, 380)
+            items.append((len(items), " ".join(t[s : s + n])))
+            if n == 8:
+                items.append((len(items), " ".join([*t[s : s + 7], "changed"])))
+        items.append((len(items), " ".join([*common, *t[10:13]])))
+        t[200:205] = common
+    docs = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    mine = {d: shingles(t) for d, t in docs}
+    want = {(d, i, len(q & mine[d]), len(q)) for i, x in items for q in [shingles(x)] for d, _ in docs if len(q & mine[d]) >= 0.75 * len(q)}
+    assert len(want) > 250
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (100_000, 40):
+        assert {tuple(r) for r in containment.find_contained(df, bench, block_items=block).collect()} == want
+    few = spark.createDataFrame([items[k] for k in (0, 7)], bench.schema)
+    left = {r.doc_id for r in containment.without_contained(df, few).collect()}
+    assert left == set(mine) - {d for d, i, *_ in want if i in (0, 7)}
+
+
 def test_bpe_round_trip(spark, docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe_automaton.default_path()
