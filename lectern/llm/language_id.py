@@ -22,22 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.textkit import chunks, utf8
+from lectern.llm.textkit import chunks, mix, ragged, utf8
 
-#: Symbols of the kernel's alphabet; code points beyond the 62 most frequent share one.
-SIDE = 64
-GRAMS = SIDE + SIDE**2 + SIDE**3
-#: Below this code point letters are folded and told apart by table.
-KNOWN = 0x3000
+#: Code points there are; each is a symbol of its own, after folding.
+POINTS = 0x110000
 UNDETERMINED = "und"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    fold = np.arange(KNOWN, dtype=np.uint32)
-    for i in range(KNOWN):
-        low = chr(i).lower()
-        fold[i] = ord(low) if len(low) == 1 and ord(low) < KNOWN else i
+    letter = np.fromiter((chr(i).isalpha() for i in range(POINTS)), bool, POINTS)
+    fold = np.fromiter((ord(low) if len(low := chr(i).lower()) == 1 else i for i in range(POINTS)), np.uint32, POINTS)
     fold[[*range(48, 58)]] = 48
     fold[[*range(9, 14)]] = 32
     return letter, fold
@@ -53,47 +47,65 @@ def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return cp, heads[offsets]
 
 
-def presence(cp: np.ndarray, offsets: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
-    """One row for each text: which n-grams over the mapped alphabet occur in it."""
-    n = len(offsets) - 1
-    sym = symbol_of[np.minimum(_FOLD[np.minimum(cp, KNOWN - 1)], KNOWN - 1)].astype(np.int64)
-    row = np.repeat(np.arange(n), np.diff(offsets)) * GRAMS
-    out = np.zeros(n * GRAMS, bool)
-    out[row + sym] = True
-    if len(sym) > 1:
-        two, same = sym[:-1] * SIDE + sym[1:], row[:-1] == row[1:]
-        out[(row[:-1] + SIDE + two)[same]] = True
-        if len(sym) > 2:
-            three, same3 = two[:-1] * SIDE + sym[2:], row[:-2] == row[2:]
-            out[(row[:-2] + SIDE + SIDE**2 + three)[same3]] = True
-    return out.reshape(n, GRAMS)
+#: Rows whose n-grams one array may hold: the row's number stands above the n-gram's 58 bits.
+ROWS = 64
+_BITS = np.uint64(58)
+#: Meetings of a text's n-gram with a landmark that are worked on at once.
+MEETINGS = 1_000_000
 
 
-_PARTS = (slice(0, SIDE), slice(SIDE, SIDE + SIDE**2), slice(SIDE + SIDE**2, GRAMS))
+def gram_sets(cp: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the lengths 1 to 3 the distinct n-grams of each text, as (row, hash), by row and hash.
+
+    Up to ROWS texts. An n-gram of true code points has at most 63 bits, which a bijection scrambles; 58 of them are kept.
+    """
+    sym = _FOLD[np.minimum(cp, POINTS - 1)].astype(np.uint64)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    out, gram = [], sym
+    for n in (1, 2, 3):
+        if n > 1:
+            gram = gram[:-1] << np.uint64(21) | sym[n - 1 :]
+        inside = row[: len(gram)] == row[n - 1 :]
+        keys = np.sort(row[: len(gram)][inside] << _BITS | mix(gram[inside]) >> np.uint64(64) - _BITS)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        keys = keys[new]
+        out.append(((keys >> _BITS).astype(np.int64), keys & (np.uint64(1) << _BITS) - np.uint64(1)))
+    return out
 
 
 @dataclass
 class KernelModel:
-    """Alphabet, landmark n-grams and ridge weights; a few MB whatever the input."""
+    """The n-grams of the landmarks and ridge weights; as large as the landmark texts, whatever the input.
+
+    ``grams`` has for each length the sorted n-grams, the places of their
+    landmarks in the next array, those landmarks, and each landmark's number of n-grams.
+    """
 
     langs: list[str]
-    symbol_of: np.ndarray
-    columns: np.ndarray
-    landmarks: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     weights: np.ndarray
     scale: float = 4.0
 
-    def kernel(self, present: np.ndarray) -> np.ndarray:
-        """Blended kernel values of each text with each landmark (columns: landmark n-grams, by length)."""
+    def kernel(self, sets: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+        """Blended kernel values of each text of ``gram_sets`` with each landmark."""
         out = 0
-        for part in _PARTS:
-            mine = (self.columns >= part.start) & (self.columns < part.stop)
-            size = np.sqrt(np.count_nonzero(present[:, part], axis=1).astype(np.float32))
-            x = present[:, self.columns[mine]].astype(np.float32)
-            z = self.landmarks[mine]
-            norm = np.outer(size, np.sqrt(z.sum(0)))
-            out = out + np.divide(x @ z, norm, out=np.zeros((len(x), z.shape[1]), np.float32), where=norm > 0)
-        return out / len(_PARTS)
+        for (row, gram), (known, first, landmark, size) in zip(sets, self.grams):
+            mine = np.sqrt(np.bincount(row, minlength=rows).astype(np.float32))
+            norm = np.outer(mine, np.sqrt(size.astype(np.float32)))
+            shared = np.zeros((rows, len(size)), np.float32)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                hit = known[at] == gram
+                at, row = at[hit], row[hit]
+                many = first[at + 1] - first[at]
+                step = max(1, MEETINGS // len(size))
+                for a in range(0, len(at), step):
+                    part, n = at[a : a + step], many[a : a + step]
+                    cell = np.repeat(row[a : a + step] * len(size), n) + landmark[ragged(first[part], n)]
+                    shared += np.bincount(cell, minlength=shared.size).reshape(shared.shape)
+            out = out + np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
+        return out / 3
 
     def predict(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """A language and a score for each text; ``und`` and 0 where it has no letter."""
@@ -102,7 +114,7 @@ class KernelModel:
         known = letters[off[1:]] > letters[off[:-1]]
         if not self.langs:
             return [UNDETERMINED] * len(known), np.zeros(len(known))
-        margins = np.round(self.kernel(presence(cp, off, self.symbol_of)) @ self.weights, 5) * self.scale
+        margins = np.round(self.kernel(gram_sets(cp, off), len(known)) @ self.weights, 5) * self.scale
         p = np.exp(margins - margins.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = margins.argmax(1)
@@ -130,19 +142,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = sorted(picked.select("lang", "rank", "text").collect())
     langs = sorted({r.lang for r in rows})
     if not langs:
-        return KernelModel([], np.zeros(KNOWN, np.uint8), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+        return KernelModel([], [], np.zeros((0, 0), np.float32))
     buf, off = utf8(pa.array([r.text for r in rows]))
     cp, cpo = code_points(buf, off)
-    seen = np.bincount(_FOLD[np.minimum(cp, KNOWN - 1)], minlength=KNOWN)
-    common = np.argsort(-seen, kind="stable")[: SIDE - 2]
-    symbol_of = np.full(KNOWN, SIDE - 1, np.uint8)
-    symbol_of[common] = np.arange(len(common))
-    present = np.concatenate([presence(cp[cpo[a] : cpo[b]], cpo[a : b + 1] - cpo[a], symbol_of) for a, b in chunks(cpo, 1_000_000, 64)])
+    parts = [*chunks(cpo, 1_000_000, ROWS)]
+    sets = [gram_sets(cp[cpo[a] : cpo[b]], cpo[a : b + 1] - cpo[a]) for a, b in parts]
     lang = np.array([langs.index(r.lang) for r in rows])
     chosen = np.array([r.rank <= landmarks_per_lang for r in rows])
-    columns = np.flatnonzero(present[chosen].any(0))
-    model = KernelModel(langs, symbol_of, columns, present[np.ix_(chosen, columns)].T.astype(np.float32), np.zeros((0, 0)))
-    k = model.kernel(present).astype(np.float64)
+    number = np.cumsum(chosen) - 1
+    grams = []
+    for n in range(3):
+        of = np.concatenate([x[n][0] + a for x, (a, _) in zip(sets, parts)])
+        gram = np.concatenate([x[n][1] for x in sets])[chosen[of]]
+        of = number[of[chosen[of]]]
+        order = np.argsort(gram, kind="stable")
+        known, first = np.unique(gram[order], return_index=True)
+        grams.append((known, np.append(first, len(gram)), of[order].astype(np.int32), np.bincount(of, minlength=int(chosen.sum()))))
+    model = KernelModel(langs, grams, np.zeros((0, 0)))
+    k = np.concatenate([model.kernel(x, b - a) for x, (a, b) in zip(sets, parts)]).astype(np.float64)
     values, vectors = np.linalg.eigh((k[chosen] + k[chosen].T) / 2)
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])

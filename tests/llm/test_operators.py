@@ -298,6 +298,17 @@ def test_language(spark, empty):
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
 
 
+def test_languages_of_several_scripts(spark):
+    """Twelve languages, made of letters of their own script; three of them in code points that share their range."""
+    rng = random.Random(8)
+    letters = {"zh": "的一是不了在人有我他这中大来上国", "ja": "のはをにがでとたしてるいなもさ日", "ko": "이다는을의가에한고하도로지사서", "yi": "ꀀꀁꀂꀃꀄꀅꀆꀇꀈꀉꀊ", "zh2": "們個這來國說為會學後過發無開見", "he": "אבגדהוזחטיכלמנס", "ar": "ابتثجحخدذرزسشصض", "el": "αβγδεζηθικλμνξο", "ru": "абвгдежзиклмноп", "hi": "कखगघचछजझटठडढतथद", "th": "กขคงจฉชซญดตถทธน", "am": "ሀለሐመሠረሰሸቀበተቸኀነ"}
+    rows = [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(2, 6))) for _ in range(12)), k) for i, k in enumerate(sorted(letters) * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df.where("doc_id < 120"), per_lang=10, landmarks_per_lang=5)
+    out = language_id.identify(df, model).collect()
+    assert len(out) == 240 and [r for r in out if r.lang_pred != r.lang] == []
+
+
 def test_pipeline(spark):
     import os
 
