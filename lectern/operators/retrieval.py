@@ -140,13 +140,31 @@ def word_similarity(queries: DataFrame, chunks: DataFrame, threshold: float = 0.
     return shared.select("query_id", id_col, F.round(F.col("m") / F.col("n"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, chunk_id, exact, rank, rank_no): all-word matches, literal ones first, then by cover density."""
+def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10, similarity: float | None = 0.6) -> DataFrame:
+    """(query_id, chunk_id, exact, rank, trigram, rank_no): matches by all words, literally or by trigrams.
+
+    Literal ones come first, then by cover density, then by the share of the
+    query's trigrams in the text. ``similarity`` is the share from which trigrams
+    alone are a match; None leaves this branch and its column out.
+    """
+    pair = ["query_id", "chunk_id"]
     hits = fts_match(queries, chunks)
     exact = literal_match(queries, chunks).withColumn("exact", F.lit(True))
-    ranked = hits.unionByName(exact.select("query_id", "chunk_id")).distinct().join(exact, ["query_id", "chunk_id"], "left").join(cover_density(queries, chunks), ["query_id", "chunk_id"], "left")
-    signals = ranked.select("query_id", "chunk_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("rank"), "chunk_id")
+    union, order = hits.unionByName(exact.select(*pair)), [F.desc("exact"), F.desc("rank")]
+    if similarity is not None:
+        alike = word_similarity(queries, chunks, similarity)
+        union = union.unionByName(alike.select(*pair))
+    ranked = union.distinct().join(exact, pair, "left").join(cover_density(queries, chunks), pair, "left")
+    signals = ranked.select(*pair, F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
+    if similarity is not None:
+        # matches by words or literally may be less alike than the threshold; their score is worked out pair by pair
+        scored = signals.join(alike, pair, "left")
+        rest = scored.where("similarity is null").join(queries.select("query_id", trigrams(F.col("query")).alias("g")), "query_id").join(chunks.select("chunk_id", trigrams(F.col("content")).alias("t")), "chunk_id")
+        share = F.round(F.size(F.array_intersect("g", "t")) / F.size("g"), 6)
+        rest = rest.select(*signals.columns, F.coalesce(F.when(F.size("g") > 0, share), F.lit(0.0)).alias("trigram"))
+        signals = scored.where("similarity is not null").withColumnRenamed("similarity", "trigram").unionByName(rest)
+        order.append(F.desc("trigram"))
+    w = Window.partitionBy("query_id").orderBy(*order, "chunk_id")
     return signals.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit)
 
 

@@ -44,7 +44,8 @@ FUSED = LEX + ", " + VEC + """, fused AS (SELECT *, row_number() OVER (PARTITION
 
 
 def lexical(spark, sf):
-    return re_.lexical_search(c.k_queries(spark, sf), c.k_chunks(spark, sf))
+    # the SQL below has no trigram branch, so it is left out here as well
+    return re_.lexical_search(c.k_queries(spark, sf), c.k_chunks(spark, sf), similarity=None)
 
 
 def vector(spark, sf):
