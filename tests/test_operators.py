@@ -118,6 +118,12 @@ def test_negated_phrases_are_not_asserted(spark):
     assert got == [(False, True), (True, True), (False, False)]
 
 
+def test_texts_cut_inside_a_word_are_contained(spark):
+    rows = [(1, "the zebra network classification of many other different things entirely"), (2, "zebra network classificat"), (3, "ra network classification of many"), (4, "zebra networ"), (5, "nothing alike here")]
+    got = {(r.a, r.b) for r in evaluation.near_duplicates(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 4)}
+
+
 def test_next_action_ladder(spark):
     base = dict(mission_id=1, status="ACTIVE", stage="RETRIEVAL", concept=1, available_minutes=60, grounding="GENERAL_KNOWLEDGE", source_state="READY", has_text=True, visual_needed=False, visual_state="PRESENT", connection_relevant=False)
     missions = spark.createDataFrame([base]).withColumn("started_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).withColumn("mission_id", F.col("mission_id").cast("long")).withColumn("concept", F.col("concept").cast("long"))
