@@ -1,19 +1,20 @@
 """Byte-pair encoding by a deterministic tokenization automaton.
 
-The automaton reads tokens: a state is the token read last, and the arc to a
-token exists where the two may stand next to each other in a correct encoding.
-It is made merge by merge. At the start every pair of base symbols has an arc.
-The gadget of the merge (u, v) -> w takes away, from every state that ends in a
-live u, the arcs to tokens that begin with a live v, and adds the state w,
-whose way in is that of u and whose way out is that of v. A merge whose own
-arc u -> v is gone by then can never fire; its token gets no state.
-
-Gadgets are kept as tables (when a symbol was born and into what it went), not
-as a matrix: 49,000 states would have two thousand million arcs. An arc is
-worked out on first use from the gadgets on the two boundary spines, and then
-kept in the transition table. Every prefix of a word has exactly one path, so
-encoding walks a word once and looks transitions up; decoding emits the labels
-of the arcs.
+The automaton is compiled merge by merge. Its letters are bytes, the last byte
+of a word being a letter of its own. At the start every base symbol may follow
+every other. The gadget of the merge (u, v) -> w takes away, from every symbol
+that ends in a live u, the way to those that begin with a live v, and adds the
+symbol w, whose way in is that of u and whose way out is that of v. A merge whose
+own way u -> v is gone by then can never fire; its token gets no state.
+
+Spelling the tokens out byte by byte makes that automaton nondeterministic, and
+the subset construction makes it deterministic again: a state is the set of
+(token before, spelling so far) that the bytes read leave open. In each state
+exactly one open spelling is complete, the last token of the encoding of what
+was read, and that token is the label of the arc. ``compile`` fills the table
+(state, byte) -> (state, label) along all spellings of the vocabulary; an arc
+beyond these is added when it is first needed. Encoding is one table look-up a
+byte and one walk back over the labels; decoding emits the labels of arcs.
 """
 
 from __future__ import annotations
@@ -26,104 +27,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.presplit import PieceEncoder, split_words
+from lectern.llm.presplit import PieceEncoder, byte_letters, split_words
 
 _FOREVER = 1 << 60
-START = -1
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+#: Bits of a token and of a spelling's number in the table's numbers, and the letter of a word's last byte beyond the byte.
+_BITS, LAST = 21, 256
+_LOW = (1 << _BITS) - 1
 
 
 class TokenizationAutomaton:
-    """Compiled from a vocabulary, its merges in order, and the mark of a word's end."""
+    """Compiled from a vocabulary, its merges in order, and the mark of a word's end.
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 200_000):
+    The table is emptied down to the vocabulary's spellings beyond ``most_arcs``.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 1_000_000):
         self.end, self.most_arcs = end, most_arcs
+        self.spelled: dict[int, tuple[int, ...]] = {}
+        # the symbols at a token's ends, outermost last, each with the merge that took it in
+        self._left: dict[int, list[tuple[int, int]]] = {}
+        self._right: dict[int, list[tuple[int, int]]] = {}
+        self._with: dict[int, dict[int, int]] = {}  # second symbol -> first symbol -> merge
+        self._next: dict[int, int] = {}  # spelling and letter -> spelling
+        self._whole, self._longer = [0], [False]  # the token of each spelling (plus 1), and whether it goes on
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.born: dict[int, int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.inner: dict[bytes, int] = {}
-        self.final: dict[bytes, int] = {}
-        bases = [c + e for c in letters for e in {"", end} if c + e in vocab]
-        for t in bases:
-            self._state(t, vocab[t], -1, byte_of)
+        for text in (c + e for c in letters for e in {"", end}):
+            if text in vocab:
+                self._symbol(vocab[text], text, byte_of, None, -1)
         for k, (a, b) in enumerate(merges):
-            self._gadget(k, vocab[a], vocab[b], a + b, vocab[a + b], byte_of)
-        self.arcs.clear()
-        self.longest = max(map(len, [*self.inner, *self.final, b"x"]))
-
-    def _state(self, text: str, token: int, born: int, byte_of: dict[str, int]) -> None:
-        self.born[token] = born
-        ends = bool(self.end) and text.endswith(self.end)
-        body = bytes(byte_of[c] for c in (text[: -len(self.end)] if ends else text))
-        (self.final if ends else self.inner)[body] = token
-
-    def _gadget(self, k: int, u: int, v: int, text: str, w: int, byte_of: dict[str, int]) -> None:
+            self._gadget(k, vocab[a], vocab[b], vocab[a + b], a + b, byte_of)
+        self.compile()
+
+    def _symbol(self, token: int, text: str, byte_of: dict[str, int], halves: tuple[int, int] | None, born: int) -> None:
+        last = bool(self.end) and text.endswith(self.end)
+        spelling = [byte_of[c] for c in (text[: -len(self.end)] if last else text)]
+        if last:
+            spelling[-1] += LAST
+        self.spelled[token] = tuple(spelling)
+        self._left[token] = self._right[token] = [(token, _FOREVER)]
+        if halves:
+            u, v = halves
+            self._left[token] = [(token, _FOREVER), (u, born), *self._left[u][1:]]
+            self._right[token] = [(token, _FOREVER), (v, born), *self._right[v][1:]]
+        at = 0
+        for x in spelling:
+            key = at << 9 | x
+            if key not in self._next:
+                self._next[key] = len(self._whole)
+                self._whole.append(0)
+                self._longer.append(False)
+            self._longer[at] = True
+            at = self._next[key]
+        self._whole[at] = token + 1
+
+    def _gadget(self, k: int, u: int, v: int, w: int, text: str, byte_of: dict[str, int]) -> None:
         """Applies one merge to the automaton of the merges before it."""
-        if w in self.born:
+        if w in self.spelled:
             raise ValueError(f"two merges make {text!r}")
-        if u not in self.born or v not in self.born:
+        if u not in self.spelled or v not in self.spelled:
             return
-        alive = self._arc(u, v)
-        self.rank[u, v] = k
+        alive = self._follows(u, v)
+        self._with.setdefault(v, {})[u] = k
         if alive:
-            self.halves[w] = (u, v)
-            self._state(text, w, k, byte_of)
-
-    def _arc(self, a: int, b: int) -> bool:
-        """Whether no gadget so far takes the arc a -> b away."""
-        left, right = _FOREVER, _FOREVER  # when the two symbols went into larger ones
-        while True:
-            r = self.rank.get((a, b))
-            if r is not None and r < left and r <= right:
-                return False
-            ha, hb = self.halves.get(a), self.halves.get(b)
-            if ha and (not hb or self.born[a] >= self.born[b]):
-                left, a = self.born[a], ha[1]
-            elif hb:
-                right, b = self.born[b], hb[0]
-            else:
-                return True
+            self._symbol(w, text, byte_of, (u, v), k)
+
+    def _follows(self, a: int, b: int) -> bool:
+        """Whether no gadget so far took the way from a to b away."""
+        for y, right in self._left[b]:
+            firsts = self._with.get(y)
+            if firsts:
+                for x, left in self._right[a]:
+                    k = firsts.get(x)
+                    if k is not None and k < left and k <= right:
+                        return False
+        return True
+
+    def compile(self) -> None:
+        """The deterministic table along all spellings."""
+        self.states: dict[tuple[int, ...], int] = {(0,): 0}
+        self._open: list[tuple[int, ...]] = [(0,)]
+        self.table: dict[int, int] = {}
+        for spelling in self.spelled.values():
+            state = 0
+            for x in spelling:
+                arc = self.table.get(state << 9 | x)
+                if arc is None:
+                    arc = self._arc(state, x)
+                state = arc >> _BITS
+
+    def _arc(self, state: int, x: int) -> int:
+        """Adds the arc of one letter; what is open is coded as (token before plus 1, spelling)."""
+        label, still = 0, []
+        for pair in self._open[state]:
+            at = self._next.get((pair & _LOW) << 9 | x)
+            if at is None:
+                continue
+            token = self._whole[at]
+            if token and not label and (pair <= _LOW or self._follows((pair >> _BITS) - 1, token - 1)):
+                label = token
+            if self._longer[at]:
+                still.append(pair & ~_LOW | at)
+        if not label:
+            raise ValueError(f"no token spells the letter {x}")
+        still.append(label << _BITS)
+        key = tuple(still) if x < LAST else ()  # a word's last letter leaves nothing open
+        if key not in self.states:
+            self.states[key] = len(self._open)
+            self._open.append(key)
+        arc = self.table[state << 9 | x] = self.states[key] << _BITS | label - 1
+        return arc
 
     def encode_word(self, word: bytes) -> list[int]:
         """The tokens on the one path that spells the word (not empty)."""
-        n, arcs = len(word), self.arcs
-        whole = (self.final if self.end else self.inner).get(word)
-        if whole is not None:
-            return [whole]
-        last = [START] * (n + 1)
-        back = [0] * (n + 1)
-        for i in range(1, n + 1):
-            table = self.final if self.end and i == n else self.inner
-            for s in range(max(0, i - self.longest), i):
-                t = table.get(word[s:i])
-                if t is None:
-                    continue
-                if s:
-                    key = (last[s], t)
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) >= self.most_arcs:
-                            arcs.clear()
-                        ok = arcs[key] = self._arc(*key)
-                    if not ok:
-                        continue
-                last[i], back[i] = t, s
-                break
-            else:
-                raise ValueError(f"no path for {word!r}")
-        out, i = [], n
+        if len(self.table) > self.most_arcs:
+            self.compile()
+        table, state, labels = self.table, 0, []
+        letters = [*word[:-1], word[-1] + LAST] if self.end else word
+        for x in letters:
+            arc = table.get(state << 9 | x)
+            if arc is None:
+                arc = self._arc(state, x)
+            labels.append(arc & _LOW)
+            state = arc >> _BITS
+        out, i = [], len(labels)
         while i:
-            out.append(last[i])
-            i = back[i]
+            out.append(labels[i - 1])
+            i -= len(self.spelled[labels[i - 1]])
         return out[::-1]
 
 
@@ -152,8 +182,10 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _new(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(self.automaton.encode_word(p.encode()), np.int32) for p in pieces]
+    def _new(self, signs: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = signs.astype(np.uint32).tobytes().decode("utf-32-le")
+        ids = [self.automaton.encode_word(text[a:z].encode()) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
     def _slow(self, text: str) -> np.ndarray:
         """Texts with rare signs or control strings: split by the library's rules, encoded by the automaton."""
@@ -203,7 +235,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_out: str = "decoded") -> DataFrame:
-    """(doc_id, ids, decoded): the labels of the arcs, joined by a space, special tokens included. Null ids give null."""
+    """(doc_id, ids, decoded): the labels of the arcs, joined by a space, special tokens included.
+
+    Null ids give null, an empty list gives the empty string. Rows stay where they
+    are: repeated rows give repeated rows, an empty table gives no rows, and other
+    columns are dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = WordTokenizer.of(path).labels

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from lectern.llm.textkit import HashIndex, chunks, mix, powers, utf8
+from lectern.llm.textkit import HashIndex, Ragged, chunks, mix, powers, ragged, utf8
 
 #: Code points of the tables; a text with any other one takes the caller's slow path.
 KNOWN = 0x2E80
@@ -49,6 +49,18 @@ _ONE[[ord(c) for c in "stmd"]] = True
 _PAIRS = [(ord("r"), ord("e")), (ord("v"), ord("e")), (ord("l"), ord("l"))]
 
 
+def blank(cp: np.ndarray) -> np.ndarray:
+    """Which code points of the tables are white space."""
+    return _KIND[cp] == SPACE
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
 def _contractions(cp: np.ndarray, start: np.ndarray, opens: np.ndarray, row: np.ndarray, kind: np.ndarray) -> None:
     """Marks the pieces 's 't 'm 'd 're 've 'll that begin at ``opens``."""
     n = len(cp)
@@ -98,31 +110,34 @@ def split_spaced(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class PieceEncoder:
     """Encodes texts through a cache of the pieces met so far, a whole block of texts at a time.
 
-    ``new`` turns distinct pieces (strings) into arrays of ids; ``slow`` encodes
-    one text that the tables don't cover. The cache is emptied beyond
-    ``most`` pieces, so memory stays bounded.
+    ``new`` gets distinct pieces (their code points one after another, and n + 1
+    offsets) and gives their ids one after another with the number of each;
+    ``slow`` encodes one text that the tables don't cover. A piece is looked up by
+    a hash and compared sign by sign, so that pieces of one hash are never mixed
+    up. The cache is emptied beyond ``most`` pieces, so memory stays bounded.
     """
 
-    def __init__(self, rule: Callable, fold: bool, new: Callable[[list[str]], list[np.ndarray]], slow: Callable[[str], np.ndarray], control: list[str], most: int = 300_000):
+    def __init__(self, rule: Callable, fold: bool, new: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slow: Callable[[str], np.ndarray], control: list[str], most: int = 600_000):
         self.rule, self.fold, self.new, self.slow, self.most = rule, fold, new, slow, most
         self.control = regex.compile("|".join(map(regex.escape, control)))
         self.clear()
 
     def clear(self) -> None:
         self.index = HashIndex()
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in ids], np.int64)
-        more = int(sizes.sum())
-        while self.used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if more:
-            self.flat[self.used : self.used + more] = np.concatenate(ids)
-        self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.used += more
+        self.ids, self.signs = Ragged(np.int32), Ragged(np.uint16)
+
+    def _numbers(self, h: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each piece in the cache; -1 where it is new, -2 where another piece has its hash."""
+        number = self.index.find(h)
+        hit = np.flatnonzero(number >= 0)
+        known = number[hit]
+        same = self.signs.size[known] == sizes[hit]
+        hit, known = hit[same], known[same]
+        equal = self.signs.flat[ragged(self.signs.at[known], sizes[hit])] == cp[ragged(starts[hit], sizes[hit])]
+        good = np.logical_and.reduceat(equal, np.cumsum(sizes[hit]) - sizes[hit]) if len(hit) else np.zeros(0, bool)
+        out = np.where(number >= 0, -2, -1)
+        out[hit[good]] = known[good]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and n + 1 offsets."""
@@ -144,28 +159,34 @@ class PieceEncoder:
         if self.fold:
             cp = _FOLD[cp]
         starts, ends = self.rule(cp, row) if len(cp) else (np.zeros(0, np.int64),) * 2
-        n_pieces = np.bincount(row[starts], minlength=len(texts)) if len(starts) else np.zeros(len(texts), np.int64)
+        sizes = ends - starts
         with np.errstate(over="ignore"):
             up, down = powers(len(cp))
             sums = np.zeros(len(cp) + 1, np.uint64)
             np.cumsum(_SYMBOL[cp] * up[: len(cp)], out=sums[1:])
             h = mix((sums[ends] - sums[starts]) * down[starts]) if len(starts) else np.zeros(0, np.uint64)
-        number = self.index.find(h)
-        missing = np.flatnonzero(number < 0)
+        number = self._numbers(h, cp, starts, sizes)
+        missing = np.flatnonzero(number == -1)
         if len(missing):
             fresh, place = np.unique(h[missing], return_index=True)
-            pieces = [cp[starts[i] : ends[i]].tobytes().decode("utf-32-le") for i in missing[place]]
-            self._learn(self.new(pieces))
+            first = missing[place]
+            signs = cp[ragged(starts[first], sizes[first])]
+            self.ids.add(*self.new(signs, np.concatenate([[0], np.cumsum(sizes[first])])))
+            self.signs.add(signs, sizes[first])
             self.index.add(fresh)
-            number[missing] = self.index.find(h[missing])
-        size = self.size[number]
-        total = int(size.sum())
-        begin = np.cumsum(size) - size
-        flat = self.flat[np.arange(total) + np.repeat(self.at[number] - begin, size)] if total else np.zeros(0, np.int32)
-        counts = np.bincount(np.repeat(np.arange(len(texts)), n_pieces), weights=size, minlength=len(texts)).astype(np.int64) if len(starts) else np.zeros(len(texts), np.int64)
-        if not slow.any():
-            return flat, np.concatenate([[0], np.cumsum(counts)])
+            number[missing] = self._numbers(h[missing], cp, starts[missing], sizes[missing])
+        clash = np.flatnonzero(number == -2)
+        ids, number = self.ids, number.copy()
+        if len(clash):  # these are encoded for this block only
+            own, n = self.new(cp[ragged(starts[clash], sizes[clash])], np.concatenate([[0], np.cumsum(sizes[clash])]))
+            number[clash] = len(ids.size) + np.arange(len(clash))
+            ids = ids.with_more(own, n)
+        size = ids.size[number]
+        flat = ids.flat[ragged(ids.at[number], size)]
+        counts = np.bincount(row[starts], weights=size, minlength=len(texts)).astype(np.int64) if len(starts) else np.zeros(len(texts), np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts)])
+        if not slow.any():
+            return flat, bounds
         parts = [np.asarray(self.slow(t), np.int32) if slow[i] else flat[bounds[i] : bounds[i + 1]] for i, t in enumerate(texts)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 

@@ -24,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.presplit import PieceEncoder, split_spaced
+from lectern.llm.presplit import PieceEncoder, blank, byte_letters, split_spaced
 from lectern.llm.shared import shared_folder
+from lectern.llm.textkit import ragged
 
 MAGIC = b"RANSEG01"
 SCALE = 18  # frequencies sum to 2**SCALE
 LANES = 32
 BLOCK = 32_768  # tokens
 LOW = np.uint64(1 << 31)
+PIECES_A_CALL = 500
 _HEAD = struct.Struct("<8sQIIIII")
 
 
@@ -179,6 +181,10 @@ class ByteTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         control = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        letters, vocab = byte_letters(), self.library.get_vocab()
+        self.opens, self.breaks = np.zeros((2, max(vocab.values()) + 1), bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(letters[32])]] = True
+        self.breaks[vocab[letters[10]]] = True
         self.encoder = PieceEncoder(split_spaced, False, self._new, self._slow, control)
 
     @classmethod
@@ -187,12 +193,43 @@ class ByteTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _new(self, pieces: list[str]) -> list[np.ndarray]:
+    def _new(self, signs: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces: many pieces are given to the library as one text that it splits into just these again.
+
+        Pieces that begin with a plain space stand side by side; those that begin
+        with a visible sign have line breaks between them; runs of white space go
+        one by one. The tokens with a space in front, or the breaks, tell where a
+        piece begins.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        out: list[np.ndarray] = []
-        for lo in range(0, len(pieces), 5_000):
-            out += [np.array(e.ids, np.int32) for e in self.library.encode_batch(pieces[lo : lo + 5_000], add_special_tokens=False)]
-        return out
+        size, first = np.diff(off), signs[off[:-1]]
+        second = signs[np.minimum(off[:-1] + 1, len(signs) - 1)]
+        led = (first == 32) & (size > 1) & ~blank(second)
+        bare = ~blank(first)
+        n = np.zeros(len(size), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # pieces and their ids, one after another
+        for which, marks, between in ((led, self.opens, 0), (bare, self.breaks, 1)):
+            at = np.flatnonzero(which)
+            for lo in range(0, len(at), PIECES_A_CALL):
+                part = at[lo : lo + PIECES_A_CALL]
+                width = size[part] + between
+                flat = np.full(int(width.sum()), 10, np.uint32)
+                flat[ragged(np.cumsum(width) - width + between, size[part])] = signs[ragged(off[:-1][part], size[part])]
+                ids = np.array(self.library.encode(flat.tobytes().decode("utf-32-le"), add_special_tokens=False).ids, np.int32)
+                begin = np.flatnonzero(marks[ids])
+                if len(begin) != len(part):
+                    raise RuntimeError("the library split a block of pieces in another way")
+                n[part] = np.diff(np.append(begin, len(ids))) - between
+                found.append((part, np.delete(ids, begin) if between else ids))
+        rest = np.flatnonzero(~led & ~bare)
+        if len(rest):
+            alone = [np.array(e.ids, np.int32) for e in self.library.encode_batch([signs[off[i] : off[i + 1]].tobytes().decode("utf-32-le") for i in rest], add_special_tokens=False)]
+            n[rest] = [len(x) for x in alone]
+            found.append((rest, np.concatenate(alone)))
+        out, begin = np.empty(int(n.sum()), np.int32), np.cumsum(n) - n
+        for part, ids in found:
+            out[ragged(begin[part], n[part])] = ids
+        return out, n
 
     def _slow(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
@@ -248,6 +285,8 @@ def read_segments(segments: DataFrame) -> DataFrame:
 
     The offsets come from the token counts beside the bodies: within a part by a
     window over its few segments, over the parts by a window over one row each.
+    Rows of one id stay apart, each with a start of its own; a segment that is
+    damaged is an error; no segment gives no rows.
     """
     sizes = segments.select("part", "segment", "n_tokens")
     inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)

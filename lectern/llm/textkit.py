@@ -226,3 +226,37 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     at = np.cumsum(lengths) - lengths
     return np.arange(total) - np.repeat(at - starts, lengths)
+
+
+class Ragged:
+    """Rows of numbers of various lengths, one after another; grows by doubling."""
+
+    def __init__(self, kind):
+        self._flat, self._at, self._size, self.used, self.n = np.zeros(1 << 14, kind), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0, 0
+
+    flat = property(lambda self: self._flat[: self.used])
+    at = property(lambda self: self._at[: self.n])
+    size = property(lambda self: self._size[: self.n])
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self._flat = self._room(self._flat, self.used, self.used + len(flat))
+        self._at, self._size = (self._room(x, self.n, self.n + len(sizes)) for x in (self._at, self._size))
+        self._flat[self.used : self.used + len(flat)] = flat
+        self._at[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self._size[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def with_more(self, flat: np.ndarray, sizes: np.ndarray) -> "Ragged":
+        """A copy with these rows behind its own."""
+        out = Ragged(self._flat.dtype)
+        out.add(self.flat, self.size)
+        out.add(flat, sizes)
+        return out
+
+    @staticmethod
+    def _room(a: np.ndarray, used: int, need: int) -> np.ndarray:
+        if need <= len(a):
+            return a
+        out = np.zeros(max(need, 2 * len(a)), a.dtype)
+        out[:used] = a[:used]
+        return out
