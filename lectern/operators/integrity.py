@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import stored
+from lectern.operators.text import chunk_uuid
 
 #: What a failure kind means (fixed values); anything else is FATAL.
 FAILURE_RULES = (("error", "TRANSIENT", "PROVIDER_ERROR"), ("click", "TRANSIENT", "TIMEOUT"), ("purchase", "FATAL", "INVALID_CONTENT"))
@@ -135,18 +136,24 @@ def locate_nodes(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.withColumn("n", F.row_number().over(w)).where("n = 1").select("material_id", "page_number", "node_id")
 
 
-def node_closure(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(material_id, ancestor, descendant, distance), each node its own ancestor at 0; bounded self-joins."""
+def node_closure(nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """(material_id, ancestor, descendant, distance), each node its own ancestor at 0.
+
+    One join a level, until a level is empty. A node above itself, or an outline
+    deeper than ``max_depth``, is an error.
+    """
     edges = nodes.select("material_id", F.col("parent_id").alias("p"), F.col("node_id").alias("c")).where("p is not null")
     level = nodes.select("material_id", F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant"), F.lit(0).cast("long").alias("distance"))
     out = [level]
-    for _ in range(max_depth):
+    while True:
         level = level.join(edges, (edges["material_id"] == level["material_id"]) & (edges["c"] == level["ancestor"])).select(level["material_id"], F.col("p").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
         level = stored(level, "closure")
-        if level.isEmpty():
-            break
+        rows, loops = level.agg(F.count("*"), F.count_if(F.col("ancestor") == F.col("descendant"))).first()
+        if not rows:
+            return reduce(DataFrame.unionByName, out)
+        if loops or len(out) > max_depth:
+            raise ValueError("a node is its own ancestor" if loops else f"the outline is deeper than {max_depth}")
         out.append(level)
-    return reduce(DataFrame.unionByName, out)
 
 
 def heading_paths(nodes: DataFrame) -> DataFrame:
@@ -224,10 +231,13 @@ def link_gaps(links: DataFrame, group: str, position: str) -> DataFrame:
     return g.where("lo <> 1 or hi <> n or d <> n").select(group, "n", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
-def chunk_sequence_check(chunks: DataFrame) -> DataFrame:
-    """Chunks whose index isn't their place in the material."""
+def chunk_sequence_check(chunks: DataFrame, version_col: str = "material_id", uuid_col: str | None = None) -> DataFrame:
+    """(chunk_id, chunk_index, place, reason): chunks whose index isn't their place in the material, or whose id isn't that of version and index."""
     w = Window.partitionBy("material_id").orderBy("chunk_index", "chunk_id")
-    return chunks.withColumn("place", F.row_number().over(w).cast("long") - 1).where("place <> chunk_index").select("chunk_id", "chunk_index", "place")
+    wrong = F.col(uuid_col) != chunk_uuid(F.col(version_col), F.col("chunk_index") + 1) if uuid_col else F.lit(False)
+    reason = F.when(F.col("place") != F.col("chunk_index"), "POSITION").when(wrong, "ID")
+    placed = chunks.withColumn("place", F.row_number().over(w).cast("long") - 1)
+    return placed.withColumn("reason", reason).where("reason is not null").select("chunk_id", "chunk_index", "place", "reason")
 
 
 def quality_profile(pages: DataFrame) -> DataFrame:
@@ -241,9 +251,15 @@ def worst_quality(parts: DataFrame, group: str) -> DataFrame:
     return parts.groupBy(group).agg(F.max(rank).alias("r")).select(group, F.when(F.col("r").isNotNull(), F.get(names, F.col("r"))).alias("quality"))
 
 
-def usage_rollup(requests: DataFrame) -> DataFrame:
-    """Counts, mean latency and failures by provider, task and status, with sub-totals."""
-    return requests.rollup("provider", "task", "status").agg(F.count("*").alias("requests"), F.round(F.avg("latency"), 6).alias("mean_latency"), F.count_if(F.col("status") == "FAILED").alias("failures"))
+def usage_rollup(requests: DataFrame, accuracy: int = 1_000_000) -> DataFrame:
+    """Counts, latencies, failures, tokens, cost and retries by provider, task and status, with sub-totals.
+
+    The percentiles are exact for groups of up to ``accuracy`` rows; a group's sketch holds no more values than that.
+    """
+    at = lambda p: F.percentile_approx("latency", p, accuracy)
+    return requests.rollup("provider", "task", "status").agg(
+        F.count("*").alias("requests"), F.round(F.avg("latency"), 6).alias("mean_latency"), at(0.5).alias("median_latency"), at(0.95).alias("p95_latency"),
+        F.count_if(F.col("status") == "FAILED").alias("failures"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.sum("retries").alias("retries"), F.count_if(F.col("retries") > 0).alias("retried"))
 
 
 def transition_counts(jobs: DataFrame) -> DataFrame:
@@ -259,6 +275,19 @@ def derive_readiness(facts: DataFrame) -> DataFrame:
     return facts.withColumn("state", state)
 
 
+def parent_status(versions: DataFrame) -> DataFrame:
+    """Adds ``parent``: the material's status after one of its versions got ``state``.
+
+    A deleted material stays so. A failed version fails the material unless
+    another version is active and ready, whose status then stays; any other state
+    is the material's own.
+    """
+    active, same = F.col("active_version").isNotNull(), F.col("active_version").eqNullSafe(F.col("version"))
+    ready = active & ~same & F.col("active_status").isin("READY", "PARTIALLY_READY")
+    parent = F.when(F.col("current_parent").eqNullSafe("DELETED"), "DELETED").when((F.col("state") == "FAILED") & F.coalesce(ready, F.lit(False)), F.col("active_status")).otherwise(F.col("state"))
+    return versions.withColumn("parent", parent)
+
+
 def preferred_generation(generations: DataFrame) -> DataFrame:
     """(model, generation, result): the one active generation, else the one being built, else a conflict or none."""
     active, building = F.col("status") == "ACTIVE", F.col("status") == "BUILDING"
@@ -377,16 +406,17 @@ def validate_outputs(outputs: DataFrame) -> DataFrame:
 # ---- checks
 
 
-def cycle_nodes(nodes: DataFrame, doublings: int = 6) -> DataFrame:
+def cycle_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes that are their own ancestor.
 
-    A jump goes 2**doublings parents up, by joining jumps of half the size; in an
-    outline less deep than that, only cycles are left to land on.
+    A jump goes 2**k parents up, by joining jumps of half the size, until it is
+    longer than the largest outline has nodes: only cycles are left to land on.
     """
-    jump = stored(nodes.select(F.col("node_id").alias("a"), F.col("parent_id").alias("b")).where("b is not null"), "jumps")
-    for _ in range(doublings):
-        half = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jump = stored(jump.join(half, "b").select("a", F.col("c").alias("b")), "jumps")
+    jump = stored(nodes.select("material_id", F.col("node_id").alias("a"), F.col("parent_id").alias("b")).where("b is not null"), "jumps")
+    most = jump.groupBy("material_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        half = jump.select("material_id", F.col("a").alias("b"), F.col("b").alias("c"))
+        jump = stored(jump.join(half, ["material_id", "b"]).select("material_id", "a", F.col("c").alias("b")), "jumps")
     return jump.select(F.col("b").alias("node_id")).distinct()
 
 
@@ -440,13 +470,33 @@ def visual_link_violations(links: DataFrame, chunks: DataFrame, visuals: DataFra
     return links.join(link_visuals(chunks, visuals, nodes), ["chunk_id", "visual_id"], "left_anti").select("chunk_id", "visual_id")
 
 
-def suggestion_violations(suggestions: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node_id, reason): the first reason against a suggested title of a node."""
-    n = nodes.select("node_id", F.col("start_page").alias("page"), "material_id", F.col("title").alias("old"))
+#: What may stand under what in an outline (fixed values).
+VALID_CHILDREN = ("DOCUMENT>CHAPTER", "DOCUMENT>SECTION", "CHAPTER>SECTION", "SECTION>SUBSECTION")
+
+
+def suggestion_violations(suggestions: DataFrame, nodes: DataFrame, lines: DataFrame, most_chars: int = 500) -> DataFrame:
+    """(node_id, title, reason): the first reason against a suggested title and type of a node.
+
+    ``suggestions``: (node_id, title, node_type). Only nodes of low confidence may
+    be changed, to a line of their page; the type must fit the parent and the
+    children, and no other node of the page may have the title.
+    """
+    n = nodes.select("node_id", F.col("start_page").alias("page"), "material_id", F.col("title").alias("old"), "confidence", "parent_id")
+    legal = lambda a, b: F.concat(a, F.lit(">"), b).isin(*VALID_CHILDREN)
     there = lines.select("material_id", F.col("page_number").alias("page"), F.trim("line").alias("title")).distinct().withColumn("__l", F.lit(True))
-    j = suggestions.join(n, "node_id", "left").join(there, ["material_id", "page", "title"], "left")
+    parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("node_type").alias("__parent"))
+    twins = nodes.groupBy("material_id", F.col("start_page").alias("page"), F.lower(F.trim("title")).alias("__key")).agg(F.collect_set("node_id").alias("__twins"))
+    under = suggestions.select("node_id", "node_type").distinct().join(nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), F.col("node_type").alias("__child")), "node_id")
+    unfit = under.where(~legal(F.col("node_type"), F.col("__child"))).select("node_id", "node_type").distinct().withColumn("__unfit", F.lit(True))
+    j = suggestions.join(n, "node_id", "left").join(there, ["material_id", "page", "title"], "left").join(parents, "parent_id", "left")
+    j = j.withColumn("__key", F.lower("title")).join(twins, ["material_id", "page", "__key"], "left").join(unfit, ["node_id", "node_type"], "left")
     count = F.count("*").over(Window.partitionBy("node_id"))
-    reason = F.when(F.col("old").isNull(), "UNKNOWN_NODE").when(count > 1, "REPEATED").when(F.col("title") == F.col("old"), "SAME").when(F.col("__l").isNull(), "NOT_A_LINE")
+    other = F.size(F.filter("__twins", lambda x: x != F.col("node_id"))) > 0
+    reason = (
+        F.when(F.col("old").isNull(), "UNKNOWN_NODE").when(count > 1, "REPEATED").when(~F.col("confidence").eqNullSafe("LOW"), "NOT_LOW").when(F.col("title") == F.col("old"), "SAME")
+        .when((F.trim("title") != F.col("title")) | (F.length("title") > most_chars) | F.col("title").rlike("\\p{Cntrl}") | F.col("__l").isNull(), "NOT_A_LINE")
+        .when(~legal(F.coalesce("__parent", F.lit("DOCUMENT")), F.col("node_type")), "PARENT").when(other, "DUPLICATE").when(F.col("__unfit"), "CHILD")
+    )
     return j.withColumn("reason", reason).where("reason is not null").select("node_id", "title", "reason")
 
 

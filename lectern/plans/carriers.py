@@ -111,6 +111,9 @@ def k_requests(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCEEDED").alias("status"),
         F.col("value").alias("latency"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
+        (F.col("event_id") % 900 + 20).alias("tokens"),
+        ((F.col("event_id") % 40) / 8).alias("cost"),
+        F.when(F.col("event_type") == "error", F.col("event_id") % 3).otherwise(0).cast("long").alias("retries"),
     )
 
 
@@ -149,7 +152,8 @@ CTE = {
   SELECT event_id, user_id AS mission_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, (props::JSON->>'k')::BIGINT % 5 AS concept,
   CASE event_type WHEN 'purchase' THEN 'CORRECT' WHEN 'click' THEN 'PARTIAL' WHEN 'error' THEN 'INCORRECT' END AS outcome, event_type, value FROM events)""",
     "k_requests": """SELECT event_id, 'provider-' || (user_id % 2) AS provider, 'task-' || ((props::JSON->>'k')::BIGINT % 5) AS task,
-  CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, value AS latency, ts FROM events""",
+  CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, value AS latency, ts,
+  event_id % 900 + 20 AS tokens, (event_id % 40) / 8 AS cost, CASE WHEN event_type = 'error' THEN event_id % 3 ELSE 0 END AS retries FROM events""",
     "k_jobs": """SELECT event_id, user_id AS job_id, ['EXTRACT','STRUCTURE','VISUALS','TABLES','NORMALIZE','CHUNK'][(props::JSON->>'k')::BIGINT % 6 + 1] AS stage,
   CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'PENDING' ELSE 'RETRY' END AS status, ts, value, event_id % 4 + 1 AS attempt FROM events""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import integrity as it
+from lectern.operators import text as tx
 from lectern.plans import carriers as c
 
 T0 = "2024-01-20 00:00:00"
@@ -116,6 +117,16 @@ def _cited(spark, sf, mod):
     return _citations(spark, sf).where(F.col("source_id") % mod != 0).where("source_id is not null").distinct()
 
 
+def _faulty_nodes(spark, sf):
+    """The outline with high confidence on some pages, a type that fits nowhere, and a section under a section."""
+    return c.k_nodes(spark, sf).withColumns({
+        "confidence": F.when(F.col("start_page") % 7 == 0, "HIGH").otherwise("LOW"),
+        "node_type": F.when(F.col("node_id").endswith("1/c1"), "PART").otherwise(F.col("node_type")),
+        "parent_id": F.when(F.col("node_id").endswith("2/s6"), F.concat("material_id", F.lit("/s4"))).otherwise(F.col("parent_id")),
+    })
+
+
+FAULTS = "faults AS (SELECT * REPLACE (CASE WHEN ends_with(node_id, '1/c1') THEN 'PART' ELSE node_type END AS node_type, CASE WHEN ends_with(node_id, '2/s6') THEN material_id || '/s4' ELSE parent_id END AS parent_id), CASE WHEN start_page % 7 = 0 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM k_nodes)"
 CIT = "cit AS (SELECT user_id AS answer_id, CASE WHEN event_id % 10 <> 0 THEN event_id % 50 END AS source_id FROM events)"
 
 QUERIES = {
@@ -135,7 +146,7 @@ QUERIES = {
     "classify_failures": lambda s, d: it.classify_failures(c.table(s, d, "events").select("event_id", F.col("event_type").alias("failure"))).select("event_id", "kind", "code"),
     "chunk_corpus": lambda s, d: it.chunk_corpus(c.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("version_id")), c.table(s, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("material_id")), c.table(s, d, "customer").select(F.col("c_custkey").alias("material_id"), "c_nationkey")).groupBy("c_nationkey").agg(F.count("*").alias("chunks")),
     "authorized_targets": lambda s, d: it.authorized_targets(_refs(s, d).select("ref_id", F.coalesce("material_id", F.lit("src1")).alias("material_id"), "node_id"), c.k_nodes(s, d)).select("ref_id", "material_id", "node_id"),
-    "resolve_sources": lambda s, d: it.resolve_sources(c.k_pages(s, d).select("material_id").distinct(), c.k_chunks(s, d).where("chunk_id % 50 < 20"), _visuals(s, d)),
+    "resolve_sources": lambda s, d: it.resolve_sources(c.k_pages(s, d).select("material_id").distinct(), c.k_chunks(s, d), _visuals(s, d)),
     "locate_nodes": lambda s, d: it.locate_nodes(c.k_pages(s, d), c.k_nodes(s, d)),
     "node_closure": lambda s, d: it.node_closure(c.k_nodes(s, d)),
     "heading_paths": lambda s, d: it.heading_paths(c.k_nodes(s, d)),
@@ -150,12 +161,13 @@ QUERIES = {
     "page_set_check": lambda s, d: it.page_set_check(c.k_pages(s, d).where("doc_id % 97 > 0")),
     "table_set_check": lambda s, d: it.table_set_check(c.k_pages(s, d), _visuals(s, d).where("visual_id % 5 > 1"), c.k_nodes(s, d)),
     "link_gaps": lambda s, d: it.link_gaps(c.table(s, d, "lineitem"), "l_orderkey", "l_linenumber"),
-    "chunk_sequence_check": lambda s, d: it.chunk_sequence_check(c.k_chunks(s, d).where("chunk_id % 101 > 0")),
+    "chunk_sequence_check": lambda s, d: it.chunk_sequence_check(c.k_chunks(s, d).withColumns({"chunk_index": F.when(F.col("chunk_id") % 101 == 0, F.col("chunk_index") + 1).otherwise(F.col("chunk_index")), "uuid": tx.chunk_uuid(F.col("material_id"), F.col("chunk_index") + F.when(F.col("chunk_id") % 103 == 0, 2).otherwise(1))}), uuid_col="uuid"),
     "quality_profile": lambda s, d: it.quality_profile(c.k_pages(s, d)),
     "worst_quality": lambda s, d: it.worst_quality(c.k_pages(s, d), "material_id"),
     "usage_rollup": lambda s, d: it.usage_rollup(c.k_requests(s, d)),
     "transition_counts": lambda s, d: it.transition_counts(c.k_jobs(s, d)),
     "derive_readiness": lambda s, d: it.derive_readiness(_facts(s, d)).select("job_id", "state"),
+    "parent_status": lambda s, d: it.parent_status(it.derive_readiness(_facts(s, d)).select("job_id", "state", F.col("job_id").alias("version"), F.when(F.col("job_id") % 3 > 0, F.col("job_id") + F.col("job_id") % 2).alias("active_version"), F.when(F.col("job_id") % 5 == 0, "FAILED").when(F.col("job_id") % 5 < 3, "READY").otherwise("PARTIALLY_READY").alias("active_status"), F.when(F.col("job_id") % 13 == 0, "DELETED").alias("current_parent"))).select("job_id", "state", "parent"),
     "preferred_generation": lambda s, d: it.preferred_generation(c.table(s, d, "orders").select((F.col("o_custkey") % 200).alias("model"), F.col("o_orderkey").alias("generation"), F.when(F.col("o_orderkey") % 80 == 0, "ACTIVE").when(F.col("o_orderkey") % 60 == 1, "BUILDING").otherwise("OLD").alias("status"))),
     "embedding_coverage": lambda s, d: it.embedding_coverage(c.k_chunks(s, d), c.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))),
     "aggregate_judgments": lambda s, d: it.aggregate_judgments(_judgments(s, d)),
@@ -177,11 +189,12 @@ QUERIES = {
     "check_rules": lambda s, d: it.check_rules(c.k_pages(s, d), "doc_id", {"METHOD": F.col("extraction_method").isin("NATIVE", "OCR"), "QUALITY": F.col("quality") != "POOR", "PAGE": F.col("page_number") <= 45, "TEXT": F.length("content") > 60}),
     "duplicate_keys": lambda s, d: it.duplicate_keys(c.k_pages(s, d), ["material_id", "quality", "lang"], F.col("doc_id") % 2 == 0),
     "chunk_violations": lambda s, d: it.chunk_violations(c.k_chunks(s, d).withColumns({"end_page": F.when(F.col("chunk_id") % 40 == 0, 0).otherwise(F.col("end_page")), "node_id": F.when(F.col("chunk_id") % 37 == 0, "src1/s0").otherwise(F.col("node_id"))}), c.k_nodes(s, d)),
-    "suggestion_violations": lambda s, d: it.suggestion_violations(c.k_nodes(s, d).where("depth = 2").join(c.k_lines(s, d).where("line_no = 0").select("material_id", F.col("page_number").alias("start_page"), "line"), ["material_id", "start_page"]).select(F.when(F.col("ordinal") == 1, F.col("node_id")).otherwise(F.concat("material_id", F.lit("/s0"))).alias("node_id"), F.when(F.col("start_page") % 3 == 0, F.col("title")).otherwise(F.trim("line")).alias("title")), c.k_nodes(s, d), c.k_lines(s, d)),
+    "suggestion_violations": lambda s, d: it.suggestion_violations(c.k_nodes(s, d).where("depth = 2").join(c.k_lines(s, d).where("line_no = 0").select("material_id", F.col("page_number").alias("start_page"), "line"), ["material_id", "start_page"]).select(F.when(F.col("ordinal") == 1, F.col("node_id")).otherwise(F.concat("material_id", F.lit("/s0"))).alias("node_id"), F.when(F.col("start_page") % 3 == 0, F.col("title")).otherwise(F.trim("line")).alias("title"), F.when(F.col("start_page") % 4 == 1, "CHAPTER").otherwise("SECTION").alias("node_type")), _faulty_nodes(s, d), c.k_lines(s, d)),
     "provenance_valid": lambda s, d: it.provenance_valid(c.k_pages(s, d).where("doc_id % 197 > 0"), _bent_nodes(s, d), c.k_chunks(s, d)),
 }
 
 J = "k_jobs"
+READY = "WITH g AS (SELECT job_id, count(*) FILTER (status = 'COMPLETED') AS c, count(*) FILTER (status = 'FAILED') AS f, ['SATISFIED','SATISFIED','ABSENT','FAILED'][job_id % 4 + 1] AS x FROM k_jobs GROUP BY 1), ready AS (SELECT job_id, CASE WHEN f > 12 OR x = 'FAILED' THEN 'FAILED' WHEN c <= 3 THEN 'UPLOADED' WHEN c % 3 = 0 THEN 'PROCESSING' WHEN job_id % 8 = 0 OR job_id % 9 = 0 THEN 'FAILED' WHEN x <> 'SATISFIED' THEN 'PROCESSING' WHEN job_id % 2 = 0 THEN 'PARTIALLY_READY' ELSE 'READY' END AS state FROM g)"
 ORACLE_SQL = {
     "scan_blocks": c.sql("k_pages", "SELECT doc_id, page_number, extraction_method FROM k_pages WHERE material_id = 'src0' AND page_number BETWEEN 3 AND 20"),
     "eligible_versions": c.sql("k_pages", f"WITH {VERSIONS} SELECT version_id, material_id FROM versions WHERE status <> 'DELETED' AND content_type = 'application/pdf' AND trim(storage_key) <> '' AND size > 0 AND page_count > 0"),
@@ -214,12 +227,13 @@ ORACLE_SQL = {
     "page_set_check": c.sql("k_pages", "SELECT material_id, count(*) AS pages, min(page_number) AS first, max(page_number) AS last, bool_and(coalesce(trim(content) <> '', false)) AS valid, min(page_number) = 1 AND max(page_number) = count(*) AND count(DISTINCT page_number) = count(*) AS complete FROM k_pages WHERE doc_id % 97 > 0 GROUP BY 1"),
     "table_set_check": c.sql("k_pages k_nodes", f"WITH {VISUALS}, g AS (SELECT v.material_id, count(*) AS tables, bool_and(coalesce(n.material_id = v.material_id, false)) AS valid FROM visuals v LEFT JOIN k_nodes n ON n.node_id = v.node_id WHERE visual_id % 5 > 1 GROUP BY 1) SELECT DISTINCT p.material_id, coalesce(tables, 0) AS tables, coalesce(valid, true) AS valid FROM k_pages p LEFT JOIN g ON g.material_id = p.material_id"),
     "link_gaps": "SELECT l_orderkey, count(*) AS n, min(l_linenumber)::BIGINT AS lo, max(l_linenumber)::BIGINT AS hi FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)",
-    "chunk_sequence_check": c.sql("k_chunks", "SELECT chunk_id, chunk_index, place FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY chunk_index, chunk_id) - 1 AS place FROM k_chunks WHERE chunk_id % 101 > 0) WHERE place <> chunk_index"),
+    "chunk_sequence_check": c.sql("k_chunks", "WITH m AS (SELECT * REPLACE (CASE WHEN chunk_id % 101 = 0 THEN chunk_index + 1 ELSE chunk_index END AS chunk_index), chunk_index + CASE WHEN chunk_id % 103 = 0 THEN 2 ELSE 1 END AS named FROM k_chunks), p AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY chunk_index, chunk_id) - 1 AS place FROM m) SELECT chunk_id, chunk_index, place, CASE WHEN place <> chunk_index THEN 'POSITION' ELSE 'ID' END AS reason FROM p WHERE place <> chunk_index OR named <> chunk_index + 1"),
     "quality_profile": c.sql("k_pages", "SELECT extraction_method, quality, count(*) AS pages FROM k_pages GROUP BY 1, 2"),
     "worst_quality": c.sql("k_pages", "SELECT material_id, ['STRONG','LIMITED','POOR'][max(CASE quality WHEN 'STRONG' THEN 1 WHEN 'LIMITED' THEN 2 WHEN 'POOR' THEN 3 END)] AS quality FROM k_pages GROUP BY 1"),
-    "usage_rollup": c.sql("k_requests", "SELECT provider, task, status, count(*) AS requests, round(avg(latency), 6) AS mean_latency, count(*) FILTER (status = 'FAILED') AS failures FROM k_requests GROUP BY ROLLUP (provider, task, status)"),
+    "usage_rollup": c.sql("k_requests", "SELECT provider, task, status, count(*) AS requests, round(avg(latency), 6) AS mean_latency, quantile_disc(latency, 0.5) AS median_latency, quantile_disc(latency, 0.95) AS p95_latency, count(*) FILTER (status = 'FAILED') AS failures, sum(tokens)::BIGINT AS tokens, round(sum(cost), 4) AS cost, sum(retries)::BIGINT AS retries, count(*) FILTER (retries > 0) AS retried FROM k_requests GROUP BY ROLLUP (provider, task, status)"),
     "transition_counts": c.sql(J, "SELECT stage, status, count(*) AS n FROM k_jobs GROUP BY 1, 2"),
-    "derive_readiness": c.sql(J, "WITH g AS (SELECT job_id, count(*) FILTER (status = 'COMPLETED') AS c, count(*) FILTER (status = 'FAILED') AS f, ['SATISFIED','SATISFIED','ABSENT','FAILED'][job_id % 4 + 1] AS x FROM k_jobs GROUP BY 1) SELECT job_id, CASE WHEN f > 12 OR x = 'FAILED' THEN 'FAILED' WHEN c <= 3 THEN 'UPLOADED' WHEN c % 3 = 0 THEN 'PROCESSING' WHEN job_id % 8 = 0 OR job_id % 9 = 0 THEN 'FAILED' WHEN x <> 'SATISFIED' THEN 'PROCESSING' WHEN job_id % 2 = 0 THEN 'PARTIALLY_READY' ELSE 'READY' END AS state FROM g"),
+    "derive_readiness": c.sql(J, READY + " SELECT * FROM ready"),
+    "parent_status": c.sql(J, READY + ", v AS (SELECT *, CASE WHEN job_id % 3 > 0 THEN job_id + job_id % 2 END AS av, CASE WHEN job_id % 5 = 0 THEN 'FAILED' WHEN job_id % 5 < 3 THEN 'READY' ELSE 'PARTIALLY_READY' END AS st FROM ready) SELECT job_id, state, CASE WHEN job_id % 13 = 0 THEN 'DELETED' WHEN state = 'FAILED' AND av <> job_id AND st <> 'FAILED' THEN st ELSE state END AS parent FROM v"),
     "preferred_generation": "WITH g AS (SELECT o_custkey % 200 AS model, count(*) FILTER (o_orderkey % 80 = 0) AS a, count(*) FILTER (o_orderkey % 80 <> 0 AND o_orderkey % 60 = 1) AS b, max(o_orderkey) FILTER (o_orderkey % 80 = 0) AS ga, max(o_orderkey) FILTER (o_orderkey % 80 <> 0 AND o_orderkey % 60 = 1) AS gb FROM orders GROUP BY 1) SELECT model, CASE WHEN a = 1 THEN ga WHEN a = 0 AND b = 1 THEN gb END AS generation, CASE WHEN a > 1 THEN 'CONFLICT' WHEN a = 1 THEN 'ACTIVE' WHEN b > 1 THEN 'CONFLICT' WHEN b = 1 THEN 'BUILDING' ELSE 'NONE' END AS result FROM g",
     "embedding_coverage": c.sql("k_chunks", "SELECT material_id, count(*) AS eligible, count(vec_id) AS durable, round(count(vec_id) / count(*), 9) AS coverage FROM k_chunks LEFT JOIN embeddings ON vec_id = chunk_id WHERE is_active GROUP BY 1"),
     "aggregate_judgments": f"WITH {JUDG}, g AS (SELECT answer_id, evaluable, bool_and(judgment = 'SUPPORTED') AS al, bool_or(judgment IN ('SUPPORTED','PARTIAL')) AS so, flatten(list(CASE WHEN judgment = 'PARTIAL' THEN [missing_part] WHEN judgment IN ('MISSING','CONTRADICTED') THEN [concept, missing_part] ELSE [] END ORDER BY concept_no)) AS m FROM judg GROUP BY 1, 2), u AS (SELECT answer_id, list_filter(m, lambda x, i: x IS NOT NULL AND list_position(m, x) = i) AS m FROM g) SELECT g.answer_id, CASE WHEN NOT evaluable THEN 'UNCERTAIN' WHEN al THEN 'CORRECT' WHEN so THEN 'PARTIAL' ELSE 'INCORRECT' END AS outcome, CASE WHEN evaluable THEN array_to_string(u.m, ',') ELSE '' END AS missing FROM g JOIN u USING (answer_id)",
@@ -241,6 +255,6 @@ ORACLE_SQL = {
     "check_rules": c.sql("k_pages", "WITH r AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(quality <> 'POOR', false) THEN NULL ELSE 'QUALITY' END, CASE WHEN page_number > 45 THEN 'PAGE' END, CASE WHEN length(content) <= 60 THEN 'TEXT' END], lambda x: x IS NOT NULL), ',') AS failed FROM k_pages) SELECT * FROM r WHERE failed <> ''"),
     "duplicate_keys": c.sql("k_pages", "SELECT material_id, quality, lang, count(*) AS n FROM k_pages WHERE doc_id % 2 = 0 GROUP BY 1, 2, 3 HAVING count(*) > 1"),
     "chunk_violations": c.sql("k_chunks k_nodes", "SELECT chunk_id, CASE WHEN chunk_id % 40 = 0 THEN 'RANGE' ELSE 'NODE' END AS reason FROM k_chunks WHERE chunk_id % 40 = 0 OR (chunk_id % 37 = 0 AND material_id <> 'src1')"),
-    "suggestion_violations": c.sql("k_lines k_nodes", "WITH s AS (SELECT CASE WHEN ordinal = 1 THEN n.node_id ELSE n.material_id || '/s0' END AS node_id, CASE WHEN n.start_page % 3 = 0 THEN title ELSE trim(line) END AS title FROM k_nodes n JOIN k_lines l ON l.material_id = n.material_id AND l.page_number = n.start_page AND line_no = 0 WHERE depth = 2), j AS (SELECT s.*, n.title AS old, n.material_id, n.start_page, count(*) OVER (PARTITION BY s.node_id) AS c FROM s LEFT JOIN k_nodes n ON n.node_id = s.node_id), r AS (SELECT node_id, title, CASE WHEN old IS NULL THEN 'UNKNOWN_NODE' WHEN c > 1 THEN 'REPEATED' WHEN title = old THEN 'SAME' WHEN NOT EXISTS (SELECT 1 FROM k_lines l WHERE l.material_id = j.material_id AND l.page_number = j.start_page AND trim(l.line) = j.title) THEN 'NOT_A_LINE' END AS reason FROM j) SELECT * FROM r WHERE reason IS NOT NULL"),
+    "suggestion_violations": c.sql("k_lines k_nodes", "WITH " + FAULTS + ", s AS (SELECT CASE WHEN ordinal = 1 THEN n.node_id ELSE n.material_id || '/s0' END AS node_id, CASE WHEN n.start_page % 3 = 0 THEN title ELSE trim(line) END AS title, CASE WHEN n.start_page % 4 = 1 THEN 'CHAPTER' ELSE 'SECTION' END AS node_type FROM k_nodes n JOIN k_lines l ON l.material_id = n.material_id AND l.page_number = n.start_page AND line_no = 0 WHERE depth = 2), j AS (SELECT s.*, n.title AS old, n.material_id, n.start_page, n.confidence, coalesce(p.node_type, 'DOCUMENT') AS above, count(*) OVER (PARTITION BY s.node_id) AS c FROM s LEFT JOIN faults n ON n.node_id = s.node_id LEFT JOIN faults p ON p.node_id = n.parent_id), r AS (SELECT node_id, title, CASE WHEN old IS NULL THEN 'UNKNOWN_NODE' WHEN c > 1 THEN 'REPEATED' WHEN confidence <> 'LOW' THEN 'NOT_LOW' WHEN title = old THEN 'SAME' WHEN length(title) > 500 OR NOT EXISTS (SELECT 1 FROM k_lines l WHERE l.material_id = j.material_id AND l.page_number = j.start_page AND trim(l.line) = j.title) THEN 'NOT_A_LINE' WHEN above || '>' || node_type NOT IN ('DOCUMENT>CHAPTER', 'DOCUMENT>SECTION', 'CHAPTER>SECTION', 'SECTION>SUBSECTION') THEN 'PARENT' WHEN EXISTS (SELECT 1 FROM faults o WHERE o.material_id = j.material_id AND o.start_page = j.start_page AND o.node_id <> j.node_id AND lower(trim(o.title)) = lower(j.title)) THEN 'DUPLICATE' WHEN EXISTS (SELECT 1 FROM faults o WHERE o.parent_id = j.node_id AND j.node_type || '>' || o.node_type NOT IN ('DOCUMENT>CHAPTER', 'DOCUMENT>SECTION', 'CHAPTER>SECTION', 'SECTION>SUBSECTION')) THEN 'CHILD' END AS reason FROM j) SELECT * FROM r WHERE reason IS NOT NULL"),
     "provenance_valid": c.sql("k_chunks k_nodes", f"WITH {VIOL}, p AS (SELECT material_id, min(page_number) = 1 AND max(page_number) = count(*) AND bool_and(trim(content) <> '') AS ok FROM k_pages WHERE doc_id % 197 > 0 GROUP BY 1) SELECT material_id, ok AND material_id NOT IN (SELECT material_id FROM bent WHERE node_id IN (SELECT node_id FROM viol)) AND material_id NOT IN (SELECT k.material_id FROM k_chunks k LEFT JOIN bent n USING (node_id) WHERE trim(content) = '' OR n.material_id IS DISTINCT FROM k.material_id) AS valid FROM p"),
 }
