@@ -9,8 +9,10 @@ half; at a similarity of 0.75 a pair meets nowhere with a probability below
 The texts that meet, directly or by others, form a family. Families are
 compared exactly on full shingle sets: a family is dealt into blocks of bounded
 size, each pair of blocks is one task that multiplies presence matrices, and
-only labels of linked texts leave the task, never pairs. The components of
-those labels are the result.
+only labels of linked texts leave the task, never pairs. A family of more than
+``HALVES**2`` blocks is compared table bucket by table bucket instead, so that no
+text is copied more often than it has table keys. The components of the labels
+are the result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
-from lectern.llm.shared import stored
+from lectern.llm.shared import discard, stored
 from lectern.llm.textkit import chunks, distinct_by_row, minima, mix, multipliers, shingles_of, utf8
 
 HALVES = 12
@@ -65,32 +67,40 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, halves array<long>")
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _salt(*cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
-def meetings(texts: DataFrame) -> DataFrame:
-    """(a, b): each text of a table bucket and the bucket's smallest text; input (rep, halves).
+def _spread(rows: DataFrame, keys: list[str], *aggregates, where: str) -> DataFrame:
+    """Aggregates of the groups of ``rows``, a row for each salt that the group has, to be joined by keys and salt.
+
+    A large group is added up, and joined, in up to SALTS parts; a small one costs no more rows than it has.
+    """
+    parts = rows.groupBy(*keys, "salt").agg(F.count("*").alias("n"), *(f(c).alias(name) for f, c, name in aggregates))
+    whole = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts"), *(f(name).alias(name) for f, _, name in aggregates))
+    return whole.where(where).select(*keys, *(name for *_, name in aggregates), F.explode("salts").alias("salt"))
+
+
+def table_keys(texts: DataFrame, made: list[str]) -> DataFrame:
+    """(rep, key, salt) of each text's table keys; input (rep, halves).
 
     Half-keys that only one text has are left out before any table key is made,
     so unlike texts cost 2 * HALVES rows, not HALVES**2.
     """
-    halves = texts.select("rep", F.posexplode("halves").alias("place", "half"))
-    common = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    live = halves.withColumn("salt", _salt("rep")).join(_salted(common), ["half", "salt"], "left_semi")
+    halves = texts.select("rep", F.posexplode("halves").alias("place", "half")).withColumn("salt", _salt("rep"))
+    live = halves.join(_spread(halves, ["half"], where="n > 1"), ["half", "salt"], "left_semi")
     sides = live.groupBy("rep").agg(
         F.collect_set(F.when(F.col("place") < HALVES, F.col("half"))).alias("left"),
         F.collect_set(F.when(F.col("place") >= HALVES, F.col("half"))).alias("right"),
     )
     keys = sides.select("rep", "right", F.explode("left").alias("l")).select("rep", "l", F.explode("right").alias("r")).select("rep", F.xxhash64("l", "r").alias("key"))
-    keys = stored(keys, "table-keys")
-    lowest = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    met = keys.withColumn("salt", _salt("rep")).join(_salted(lowest), ["key", "salt"])
-    return met.where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    return stored(keys.withColumn("salt", _salt("rep")), "table-keys", made)
+
+
+def meetings(keys: DataFrame) -> DataFrame:
+    """(a, b): each text of a table bucket and the bucket's smallest text."""
+    lowest = _spread(keys, ["key"], (F.min, "rep", "a"), where="n > 1")
+    return keys.join(lowest, ["key", "salt"]).where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
 
 def _linked(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
@@ -127,9 +137,10 @@ def _linked(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
 
 def compare_families(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) links that join all texts of a family that are linked; ``members``: (rep, family, n_shingles)."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.withColumn("salt", _salt("rep")).join(_salted(blocks), ["family", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.withColumn("salt", _salt("rep"))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK_TEXTS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    sizes = _spread(members.withColumn("one", F.lit(1)), ["family"], (F.sum, "one", "count"), (F.sum, "n_shingles", "weight"), where="true").select("family", "salt", blocks.alias("blocks"))
+    dealt = members.join(sizes, ["family", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "rep", "family", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
@@ -178,20 +189,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     are expected to have the same text. A row with a null id can't be named: its
     component is null and it is kept. Other columns are ignored.
     """
-    rows = stored(signatures(docs, id_col, text_col), "signatures")
+    made: list[str] = []
+    rows = stored(signatures(docs, id_col, text_col), "signatures", made)
     named = rows.where("n_shingles > 0 and doc_id is not null")
     sets = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"))
-    sets = stored(sets, "sets")
-    reps = sets.select("rep")
-    texts = named.withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").select("rep", "halves").dropDuplicates(["rep"])
-    families = components(meetings(texts)).select(F.col("node").alias("rep"), F.col("root").alias("family"))
-    members = families.join(sets.select("rep", "n_shingles"), "rep")
-    links = stored(compare_families(members, docs, percent, id_col, text_col), "links")
-    roots = components(links).select(F.col("node").alias("rep"), "root")
+    sets = stored(sets, "sets", made)
+    texts = named.withColumnRenamed("doc_id", "rep").join(sets.select("rep"), "rep", "left_semi").select("rep", "halves").dropDuplicates(["rep"])
+    keys = table_keys(texts, made)
+    families = components(meetings(keys), made=made).select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    members = stored(families.join(sets.select("rep", "n_shingles"), "rep"), "members", made)
+    links = compare_families(_groups(members, keys), docs, percent, id_col, text_col)
+    roots = components(links, made=made).select(F.col("node").alias("rep"), "root")
     named_sets = sets.join(roots, "rep", "left").where("n > 1 or root is not null").select("fp1", "fp2", F.coalesce("root", "rep").alias("component"))
-    out = rows.withColumn("salt", _salt("doc_id")).join(_salted(named_sets), ["fp1", "fp2", "salt"], "left")
+    # a set of many rows is joined in parts, like the groups above
+    salted = rows.withColumn("salt", _salt("doc_id"))
+    many = _spread(salted.where("n_shingles > 0"), ["fp1", "fp2"], where="true").join(named_sets, ["fp1", "fp2"])
+    out = salted.join(many, ["fp1", "fp2", "salt"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    result = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    result = stored(result, "near-duplicates")
+    discard(docs.sparkSession, made)
+    return result
+
+
+def _groups(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(rep, family, n_shingles) of what is compared together: families, and the table buckets of very large ones."""
+    large = members.groupBy("family").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("weight"))
+    large = large.where((F.col("count") > BLOCK_TEXTS * HALVES**2) | (F.col("weight") > BLOCK_SHINGLES * HALVES**2)).select("family")
+    small = members.join(large, "family", "left_anti")
+    buckets = members.join(large, "family", "left_semi").join(keys.select("rep", "key"), "rep").select("rep", F.col("key").alias("family"), "n_shingles")
+    return small.unionByName(buckets)
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -221,6 +248,16 @@ FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes z USING (doc_id) GR
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One document of each component stays, the one with the smallest id; all columns stay as they were.
+
+    Texts that are null or have no word are linked with nothing and stay, as do
+    rows with a null id. Of several rows with one id one stays (that whose text
+    has the smallest hash). An empty table gives no rows.
+    """
+    found = near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    row = F.min_by(F.struct(*docs.columns), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("__row")
+    again = left.join(twice, left["doc_id"] == F.col("__twice"), "left_semi").groupBy("doc_id").agg(row).select("__row.*")
+    return left.join(twice, left["doc_id"] == F.col("__twice"), "left_anti").unionByName(again)

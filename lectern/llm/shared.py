@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.storage import shared_folder
 
-__all__ = ["shared_folder", "stored"]
+__all__ = ["discard", "shared_folder", "stored"]
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes the rows to a new table in the shared folder and reads them from there: lineage ends here."""
+def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Writes the rows to a new table in the shared folder and reads them from there: lineage ends here.
+
+    The table's folder is added to ``made``, for ``discard`` after the last read.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    if made is not None:
+        made.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes tables of the shared folder that nothing will read again."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
