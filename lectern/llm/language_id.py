@@ -121,24 +121,27 @@ class KernelModel:
         return [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, p.max(1).astype(np.float64), 0.0)
 
 
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int) -> DataFrame:
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int, most_chars: int) -> DataFrame:
     """At most ``per_lang`` texts of each of the ``max_langs`` most frequent languages, first by a hash of the id.
 
+    Texts of more than ``most_chars`` signs are not in the sample, so its size is bounded.
     The ranking carries ids only, and ties fall to the text's hash, so the sample is the same in each run.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw")).where("lang is not null and text is not null")
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw")).where("lang is not null and text is not null").where(F.length("text") <= most_chars)
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
     w = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
     return rows.join(F.broadcast(top), "lang", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_lang)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, landmarks_per_lang: int = 16, max_langs: int = 200, ridge: float = 1e-3) -> KernelModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, landmarks_per_lang: int = 16, max_langs: int = 200, most_chars: int = 20_000, ridge: float = 1e-3) -> KernelModel:
     """Fits the model on the bounded sample of ``training_sample``.
 
-    The driver holds per_lang * max_langs whole texts at most. No labelled row
-    gives a model that answers ``und``.
+    The driver holds per_lang * max_langs whole texts of up to most_chars signs at
+    most. Rows without a language or text are left out; of equal languages in
+    frequency the first by name is taken. No labelled row gives a model without
+    languages, which answers ``und``.
     """
-    picked = training_sample(labelled, id_col, text_col, lang_col, per_lang, max_langs)
+    picked = training_sample(labelled, id_col, text_col, lang_col, per_lang, max_langs, most_chars)
     rows = sorted(picked.select("lang", "rank", "text").collect())
     langs = sorted({r.lang for r in rows})
     if not langs:
@@ -206,8 +209,32 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(docs).alias("held_out"), "lang_pred", "score")
 
 
+def select_languages(df: DataFrame, model: KernelModel, languages: list[str] | None = None, min_score: float = 0.5, min_letters: int = 20, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in one of ``languages`` (None: any that the model knows).
+
+    A text is rejected if it has no letter; if its language is another one; or if
+    it has ``min_letters`` letters or more, enough to tell, and the likeliest
+    language scores less than ``min_score``, so that it is in none of them. A
+    model without languages decides nothing: all rows stay. Repeated rows are
+    judged alike; all columns stay as they were.
+    """
+    if not model.langs:
+        return df
+    lang, score, letters = F.col("__lang_pred"), F.col("__lang_score"), F.length(F.regexp_replace(text_col, "\\P{L}+", ""))
+    known = lang != UNDETERMINED
+    if languages is not None:
+        known = known & lang.isin(languages)
+    judged = identify(df, model, text_col, "__lang_pred", "__lang_score").where(known & ((score >= min_score) | (letters < min_letters)))
+    return judged.drop("__lang_pred", "__lang_score")
+
+
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose text has no letter (``und``); all columns stay as they were."""
-    model = fit(docs.where(~_held_out(docs)))
-    kept = identify(docs, model, lang_out="__lang_pred", score_out="__lang_score").where(F.col("__lang_pred") != UNDETERMINED)
-    return kept.drop("__lang_pred", "__lang_score")
+    """Drops the documents that are in none of the corpus's languages, by ``select_languages``.
+
+    The model is learnt from the rows with a language that are not held out. Null
+    and empty texts have no letter and go. A corpus without a labelled row, or
+    without the column ``lang``, stays whole; an empty one gives no rows.
+    """
+    if "lang" not in docs.columns:
+        return docs
+    return select_languages(docs, fit(docs.where(~_held_out(docs))))
