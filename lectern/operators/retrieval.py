@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.storage import stored
+
 TOKEN = "[\\p{L}\\p{Nd}\\p{M}]+"
 
 
@@ -44,22 +46,64 @@ def freeze_scope(authorized: DataFrame, frozen: DataFrame) -> DataFrame:
     return out.where(F.col("whole") | (F.size("nodes") > 0))
 
 
-def literal_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def visible(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """The pairs (query_id, chunk_id, ...) that the query's owner may see.
+
+    Queries with ``owner_id`` see active chunks of that owner; ``scope``
+    (query_id, material_id, node_id; a null node is the whole material) narrows
+    that, and a query without a row in it sees nothing.
+    """
+    owned = "owner_id" in queries.columns
+    if not owned and scope is None:
+        return pairs
+    there = chunks.select("chunk_id", *[F.col(c).alias(f"__{c}") for c in ("owner_id", "is_active", "material_id", "node_id") if c in chunks.columns])
+    out = pairs.join(there, "chunk_id")
+    if owned:
+        owners = queries.select(F.col("query_id").alias("__q"), F.col("owner_id").alias("__owner"))
+        out = out.join(owners, (F.col("query_id") == F.col("__q")) & (F.col("__owner") == F.col("__owner_id")), "left_semi").where("__is_active")
+    if scope is not None:
+        s = scope.select(F.col("query_id").alias("__q"), F.col("material_id").alias("__m"), F.col("node_id").alias("__n"))
+        out = out.join(s, (F.col("query_id") == F.col("__q")) & (F.col("__material_id") == F.col("__m")) & (F.col("__n").isNull() | (F.col("__n") == F.col("__node_id"))), "left_semi")
+    return out.select(pairs.columns)
+
+
+def query_postings(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, pos, token) of the words that some query has: what every lexical signal is worked out from."""
+    vocabulary = queries.select(F.explode(F.regexp_extract_all(F.lower("query"), F.lit(TOKEN), F.lit(0))).alias("token")).distinct()
+    return tokens(chunks, "chunk_id", "content").join(vocabulary, "token", "left_semi").select("chunk_id", "pos", "token")
+
+
+def literal_match(queries: DataFrame, chunks: DataFrame, postings: DataFrame | None = None, block: int = 1_000) -> DataFrame:
     """Pairs where the text holds the query literally, whatever the case; % and _ are plain signs.
 
-    The longest word of the query leads: its first signs are looked up among the
-    short pieces of the vocabulary, so only texts with such a token are compared.
-    A query without a letter or digit finds nothing.
+    A word inside the query stands whole in the text, so the longest one of a query
+    of three words or more leads, by an equi-join with the postings. A shorter
+    query may be cut inside its words: the first signs of its longest word are
+    looked up among the short pieces of the vocabulary. Queries without a letter
+    or digit go out in blocks, and each text is tested for all of a block.
     """
-    postings = tokens(chunks, "chunk_id", "content").select("chunk_id", "token").distinct()
     parts = F.regexp_extract_all(F.lower("query"), F.lit(TOKEN), F.lit(0))
-    longest = F.try_element_at(F.array_sort(parts, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)), F.lit(1))
-    probes = queries.select("query_id", "query", longest.alias("probe")).where("probe is not null").withColumn("piece", F.substring("probe", 1, 3))
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("token") - i + 1)), lambda n: F.substring(F.col("token"), i, n))))
-    words = postings.select("token").distinct().select("token", F.explode(F.array_distinct(cut)).alias("piece"))
-    found = words.join(probes.select("probe", "piece").distinct(), "piece").where(F.contains("token", "probe")).select("token", "probe").distinct()
-    cand = postings.join(found, "token").select("chunk_id", "probe").distinct().join(probes, "probe")
-    return cand.join(chunks.select("chunk_id", "content"), "chunk_id").where(F.contains(F.lower("content"), F.lower("query"))).select("query_id", "chunk_id")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = lambda words: F.try_element_at(F.array_sort(words, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)), F.lit(1))
+    q = queries.select("query_id", F.lower("query").alias("query"), longest(inner).alias("whole"), longest(parts).alias("probe")).where("query <> ''")
+    if postings is None:
+        postings = query_postings(queries, chunks)
+    met = q.where("whole is not null").join(postings.select("chunk_id", "token").distinct(), F.col("whole") == F.col("token")).select("query_id", "query", "chunk_id")
+    short = q.where("whole is null and probe is not null").withColumn("piece", F.substring("probe", 1, 3))
+    if not short.isEmpty():
+        seen = tokens(chunks, "chunk_id", "content").select("chunk_id", "token").distinct()
+        cut = F.flatten(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("token") - i + 1)), lambda n: F.substring(F.col("token"), i, n))))
+        words = seen.select("token").distinct().select("token", F.explode(F.array_distinct(cut)).alias("piece"))
+        found = words.join(short, "piece").where(F.contains("token", "probe")).select("token", "query_id", "query").distinct()
+        met = met.unionByName(seen.join(found, "token").select("query_id", "query", "chunk_id").distinct())
+    out = met.join(chunks.select("chunk_id", F.lower("content").alias("content")), "chunk_id").where(F.contains("content", "query")).select("query_id", "chunk_id")
+    bare = q.where("probe is null").select("query_id", "query")
+    for lo in range(0, -(-bare.count() // block)):
+        part = bare.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-bare.count() // block))) == lo).collect()
+        signs = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.query).alias("query")) for r in part])
+        hits = chunks.select("chunk_id", F.explode(F.filter(signs, lambda x: F.contains(F.col("content"), x["query"]))).alias("x"))
+        out = out.unionByName(hits.select("x.query_id", "chunk_id"))
+    return out
 
 
 # ---- lexical search
@@ -84,32 +128,40 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _phrases(terms: DataFrame, postings: DataFrame, id_col: str) -> DataFrame:
-    """(query_id, alternative, part, id): where all words of a part stand side by side."""
+    """(query_id, alternative, part, id): where all words of a part stand side by side; a part of one word needs no place."""
+    part = ["query_id", "alternative", "part", "n_parts"]
     size = F.max("pos").over(Window.partitionBy("query_id", "alternative", "part")) + 1
-    sized = terms.withColumn("size", size).select("query_id", "alternative", "part", "n_parts", "token", "size", F.col("pos").alias("q_pos"))
-    met = postings.join(sized, "token").select("query_id", "alternative", "part", "n_parts", "size", id_col, "q_pos", (F.col("pos") - F.col("q_pos")).alias("anchor"))
-    whole = met.groupBy("query_id", "alternative", "part", "n_parts", "size", id_col, "anchor").agg(F.count("*").alias("n")).where("n = size")
-    return whole.select("query_id", "alternative", "part", "n_parts", id_col).distinct()
+    sized = terms.withColumn("size", size).select(*part, "token", "size", F.col("pos").alias("q_pos"))
+    single = sized.where("size = 1").join(postings.select(id_col, "token").distinct(), "token").select(*part, id_col)
+    met = postings.join(sized.where("size > 1"), "token").select(*part, "size", id_col, (F.col("pos") - F.col("q_pos")).alias("anchor"))
+    whole = met.groupBy(*part, "size", id_col, "anchor").agg(F.count("*").alias("n")).where("n = size")
+    return single.unionByName(whole.select(*part, id_col)).distinct()
 
 
-def fts_match(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+def fts_match(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", postings: DataFrame | None = None) -> DataFrame:
     """(query_id, id) of the chunks that match; an equi-join on tokens, never query by chunk."""
     terms = query_terms(queries)
-    postings = tokens(chunks, id_col, text_col)
+    if postings is None:
+        postings = tokens(chunks, id_col, text_col).join(terms.select("token").distinct(), "token", "left_semi")
     hits = _phrases(terms.where(~F.col("negative")), postings, id_col)
     full = hits.groupBy("query_id", "alternative", "n_parts", id_col).agg(F.count("*").alias("n")).where("n = n_parts")
     banned = _phrases(terms.where("negative"), postings, id_col).select("query_id", "alternative", id_col)
     return full.join(banned, ["query_id", "alternative", id_col], "left_anti").select("query_id", id_col).distinct()
 
 
-def cover_density(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+def cover_density(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", postings: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank): the sum over minimal covers of all query words of 1 / cover length.
 
     A cover ends at a place where the earliest of the words' last places moves on.
+    ``pairs`` (query_id, id) limits the work to these.
     """
     words = tokens(queries, "query_id", "query").select("query_id", "token").distinct()
     words = words.withColumn("n_words", F.count("*").over(Window.partitionBy("query_id")))
-    met = tokens(chunks, id_col, text_col).join(words, "token")
+    if postings is None:
+        postings = tokens(chunks, id_col, text_col).join(words.select("token").distinct(), "token", "left_semi")
+    if pairs is not None:
+        words = words.join(pairs.select("query_id", id_col), "query_id")
+    met = postings.join(words, ["token"] if pairs is None else ["token", id_col])
     # the last place of each word so far: a map with as many entries as the query has words
     places = met.groupBy("query_id", "n_words", id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p")).where("size(p) >= n_words")
     zero = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("covers"))
@@ -140,21 +192,26 @@ def word_similarity(queries: DataFrame, chunks: DataFrame, threshold: float = 0.
     return shared.select("query_id", id_col, F.round(F.col("m") / F.col("n"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10, similarity: float | None = 0.6) -> DataFrame:
-    """(query_id, chunk_id, exact, rank, trigram, rank_no): matches by all words, literally or by trigrams.
+def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10, similarity: float | None = 0.6, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, exact, rank, trigram, rank_no): matches by all words, literally or by trigrams, that the query may see.
 
+    Owner and ``scope`` narrow the candidates before they are ranked, by ``visible``.
     Literal ones come first, then by cover density, then by the share of the
-    query's trigrams in the text. ``similarity`` is the share from which trigrams
-    alone are a match; None leaves this branch and its column out.
+    query's trigrams in the text, then by chunk_index (where there is one) and id.
+    ``similarity`` is the share from which trigrams alone are a match; None leaves
+    this branch and its column out. The texts are split into words once.
     """
     pair = ["query_id", "chunk_id"]
-    hits = fts_match(queries, chunks)
-    exact = literal_match(queries, chunks).withColumn("exact", F.lit(True))
-    union, order = hits.unionByName(exact.select(*pair)), [F.desc("exact"), F.desc("rank")]
+    if "owner_id" in queries.columns:
+        chunks = chunks.where("is_active")
+    postings = stored(query_postings(queries, chunks), "postings")
+    exact = visible(literal_match(queries, chunks, postings), queries, chunks, scope).withColumn("exact", F.lit(True))
+    union, order = visible(fts_match(queries, chunks, postings=postings), queries, chunks, scope).unionByName(exact.select(*pair)), [F.desc("exact"), F.desc("rank")]
     if similarity is not None:
-        alike = word_similarity(queries, chunks, similarity)
+        alike = visible(word_similarity(queries, chunks, similarity), queries, chunks, scope)
         union = union.unionByName(alike.select(*pair))
-    ranked = union.distinct().join(exact, pair, "left").join(cover_density(queries, chunks), pair, "left")
+    union = stored(union.distinct(), "lexical-pairs")
+    ranked = union.join(exact, pair, "left").join(cover_density(queries, chunks, postings=postings, pairs=union), pair, "left")
     signals = ranked.select(*pair, F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
     if similarity is not None:
         # matches by words or literally may be less alike than the threshold; their score is worked out pair by pair
@@ -164,8 +221,12 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10, simil
         rest = rest.select(*signals.columns, F.coalesce(F.when(F.size("g") > 0, share), F.lit(0.0)).alias("trigram"))
         signals = scored.where("similarity is not null").withColumnRenamed("similarity", "trigram").unionByName(rest)
         order.append(F.desc("trigram"))
+    columns = signals.columns
+    if "chunk_index" in chunks.columns:
+        signals = signals.join(chunks.select("chunk_id", "chunk_index"), "chunk_id")
+        order.append("chunk_index")
     w = Window.partitionBy("query_id").orderBy(*order, "chunk_id")
-    return signals.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit)
+    return signals.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit).select(*columns, "rank_no")
 
 
 # ---- vector search
@@ -178,52 +239,108 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def embedding_violations(embeddings: DataFrame, dimension: int) -> DataFrame:
-    """Vectors of a wrong size, with a value that isn't finite, or of norm zero, with the reason."""
+def embedding_violations(embeddings: DataFrame, dimension: int, generations: DataFrame | None = None) -> DataFrame:
+    """Vectors of a wrong size, with a value that isn't finite, or of norm zero, with the reason.
+
+    With ``generations`` (generation, model, dimension) a vector's generation must
+    be there, its model that of the generation, and its size that generation's.
+    """
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    reason = F.when(v.isNull(), "MISSING").when(F.size(v) != dimension, "DIMENSION").when(bad, "NOT_FINITE").when(~F.exists(v, lambda x: x != 0), "ZERO_NORM")
+    size = F.lit(dimension)
+    reason = F.when(v.isNull(), "MISSING")
+    if generations is not None:
+        g = generations.select("generation", F.col("model").alias("__model"), F.col("dimension").alias("__size"))
+        embeddings, size = embeddings.join(g, "generation", "left"), F.col("__size")
+        reason = reason.when(F.col("__model").isNull(), "GENERATION").when(~F.col("model").eqNullSafe(F.col("__model")), "MODEL")
+    reason = reason.when(F.size(v) != size, "DIMENSION").when(bad, "NOT_FINITE").when(~F.exists(v, lambda x: x != 0), "ZERO_NORM")
     return embeddings.withColumn("reason", reason).where("reason is not null").select("vec_id", "reason")
 
 
-def vector_search(queries: DataFrame, embeddings: DataFrame, limit: int = 10, block: int = 5_000) -> DataFrame:
-    """(query_id, vec_id, similarity, rank_no): exact nearest vectors by cosine.
-
-    ``queries``: (query_id, embedding). Queries go out in blocks of at most
-    ``block`` (a bound of some MB); each Arrow batch keeps its best ``limit`` for
-    each query, and a window ranks those. Zero and null vectors have no rank.
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that have a norm, and their vectors scaled to 1, without Python lists."""
+    column = column.cast(pa.list_(pa.float64()))
+    size = np.diff(column.offsets.to_numpy())
+    some = np.flatnonzero(size)
+    if not len(some):
+        return some, np.zeros((0, 0))
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False))
+    width = int(size[some[0]])
+    if (size[some] != width).any():
+        raise ValueError("vectors of several sizes")
+    x = flat.reshape(-1, width)
+    norm = np.linalg.norm(x, axis=1)
+    good = norm > 0
+    return some[good], x[good] / norm[good, None]
+
+
+class _Best:
+    """The best rows of each query so far: similarity falling, then the tie's number, then the id."""
+
+    def __init__(self, n: int, limit: int):
+        self.limit, self.sim = limit, np.full((n, 0), -np.inf)
+        self.tie, self.vec = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)
+
+    def add(self, sim: np.ndarray, tie: np.ndarray, vec: np.ndarray) -> None:
+        """``sim``: (queries, rows), -inf for rows that the query may not see."""
+        if sim.shape[1] > self.limit:  # ties at the edge stay until they are ordered below
+            edge = -np.partition(-sim, self.limit - 1, axis=1)[:, self.limit - 1]
+            keep = (sim >= edge[:, None]).any(0)
+            sim, tie, vec = sim[:, keep], tie[keep], vec[keep]
+        s = np.concatenate([self.sim, sim], axis=1)
+        t = np.concatenate([self.tie, np.broadcast_to(tie, sim.shape)], axis=1)
+        v = np.concatenate([self.vec, np.broadcast_to(vec, sim.shape)], axis=1)
+        order = np.lexsort((v, t, -s), axis=1)[:, : self.limit]
+        self.sim, self.tie, self.vec = (np.take_along_axis(x, order, 1) for x in (s, t, v))
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        q, k = np.nonzero(np.isfinite(self.sim))
+        return pa.record_batch([pa.array(names[q]), pa.array(self.vec[q, k]), pa.array(self.tie[q, k]), pa.array(self.sim[q, k])], ["query_id", "vec_id", "tie", "similarity"])
+
+
+def vector_search(queries: DataFrame, embeddings: DataFrame, limit: int = 10, by: list[str] | None = None, tie: str | None = None, most_values: int = 4_000_000) -> DataFrame:
+    """(query_id, vec_id, similarity, rank_no): exact nearest vectors by cosine; of equal ones the lower ``tie``, then the lower id.
+
+    ``queries``: (query_id, embedding). ``by``: columns of both tables that must be
+    equal, such as the owner, so that a query is only compared with what it may see.
+    Queries go out in blocks of at most ``most_values`` numbers (32 MB); each task
+    keeps its best ``limit`` for each query, whatever the number of its rows, and a
+    window ranks those. Zero and null vectors have no rank.
     """
-    spark = queries.sparkSession
-    total = queries.count()
-    passes = max(1, -(-total // block))
+    spark, by = queries.sparkSession, by or []
+    same = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), same.alias("same")).where(F.size("embedding") > 0)
+    total, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    passes = max(1, -(-total * (width or 1) // most_values))
     out = None
     for p in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        rows = [r for r in part.select("query_id", "embedding").collect() if r.embedding and any(r.embedding)]
+        rows = (asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)).collect()
         if not rows:
             continue
-        ids = np.array([r.query_id for r in rows])
-        matrix = np.array([r.embedding for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+        at, matrix = _vectors(pa.array([r.embedding for r in rows], pa.list_(pa.float64())))
+        shared = spark.sparkContext.broadcast((np.array([rows[i].query_id for i in at]), np.array([rows[i].same for i in at]), matrix))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
+            names, group, q = shared.value
+            top = _Best(len(names), limit)
+            step = max(limit, 4_000_000 // max(1, len(names)))
             for b in batches:
-                held = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v and any(v)]
-                for lo in range(0, len(held), 2_000):
-                    vec = np.array([i for i, _ in held[lo : lo + 2_000]])
-                    x = np.array([v for _, v in held[lo : lo + 2_000]], np.float64)
-                    sim = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 9)
-                    order = np.lexsort((np.broadcast_to(vec[:, None], sim.shape), -sim), axis=0)[:limit]
-                    col = np.broadcast_to(np.arange(sim.shape[1]), order.shape)
-                    yield pa.record_batch([pa.array(names[col.ravel()]), pa.array(vec[order.ravel()]), pa.array(sim[order, col].ravel())], ["query_id", "vec_id", "similarity"])
-
-        found = embeddings.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, similarity double")
+                for lo in range(0, b.num_rows, step):
+                    part = b.slice(lo, step)
+                    at, x = _vectors(part.column(3))
+                    if len(at):
+                        sim = np.round(q @ x.T, 9)
+                        sim[group[:, None] != part.column(2).to_numpy()[at][None, :]] = -np.inf
+                        top.add(sim, part.column(1).to_numpy()[at], part.column(0).to_numpy()[at])
+            yield top.rows(names)
+
+        held = embeddings.select(F.col("vec_id").cast("long"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"), same.alias("same"), F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("embedding"))
+        found = held.mapInArrow(best, "query_id long, vec_id long, tie long, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return queries.select(F.col("query_id").cast("long"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank_no")).where("false")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return out.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "tie", "vec_id")
+    return out.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit).drop("tie")
 
 
 def approximate_vector_search(queries: DataFrame, embeddings: DataFrame, limit: int = 10, planes: int = 8, tables: int = 24, seed: int = 5, probe: int = 1, block: int = 5_000) -> DataFrame:
@@ -279,16 +396,18 @@ def approximate_vector_search(queries: DataFrame, embeddings: DataFrame, limit:
 
 
 def vector_status(queries: DataFrame, dimension: int) -> DataFrame:
-    """The state of the vector channel of each query (scope_size, generations, embedding may be missing)."""
-    v = F.col("embedding")
-    status = (
-        F.when(F.col("scope_size") == 0, "EMPTY_SCOPE")
-        .when(F.col("generations") == 0, "NO_GENERATION")
-        .when(v.isNull(), "NO_PROVIDER")
-        .when(F.size(v) != dimension, "INCOMPATIBLE")
-        .when(~F.exists(v, lambda x: x != 0), "INVALID")
-        .otherwise("AVAILABLE")
-    )
+    """The state of the vector channel of each query (scope_size, generations, embedding may be missing).
+
+    Where the columns are there: ``provider`` tells whether there is one at all,
+    ``failed`` whether it failed, ``model`` and ``generation_model`` must be equal.
+    """
+    v, has = F.col("embedding"), queries.columns
+    status = F.when(F.col("scope_size") == 0, "EMPTY_SCOPE").when(F.col("generations") == 0, "NO_GENERATION")
+    status = status.when(~F.col("provider"), "NO_PROVIDER") if "provider" in has else status
+    status = status.when(F.col("failed"), "FAILED") if "failed" in has else status
+    status = status.when(v.isNull(), "FAILED" if "provider" in has else "NO_PROVIDER")
+    status = status.when(~F.col("model").eqNullSafe(F.col("generation_model")), "INCOMPATIBLE") if "model" in has else status
+    status = status.when(F.size(v) != dimension, "INVALID" if "model" in has else "INCOMPATIBLE").when(~F.exists(v, lambda x: x != 0), "INVALID").otherwise("AVAILABLE")
     return queries.select("query_id", status.alias("status"))
 
 
@@ -331,12 +450,22 @@ class FusionPolicy:
             raise ValueError("weights must be finite, not negative and not both zero; k at least 1")
 
 
-def merge_channels(lexical: DataFrame, vector: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, lexical_rank, vector_rank): the union of both channels."""
-    a = lexical.select("query_id", "chunk_id", F.col("rank_no").alias("lexical_rank"))
-    b = vector.select("query_id", "chunk_id", F.col("rank_no").alias("vector_rank"))
+def merge_channels(lexical: DataFrame, vector: DataFrame, provenance: list[str] | None = None) -> DataFrame:
+    """(query_id, chunk_id, lexical_rank, vector_rank): the union of both channels.
+
+    A chunk that a channel gives twice for a query is an error, and so is one whose
+    ``provenance`` columns differ between the channels.
+    """
+    where = provenance or []
+    a = lexical.select("query_id", "chunk_id", *where, F.col("rank_no").alias("lexical_rank"))
+    b = vector.select("query_id", "chunk_id", *where, F.col("rank_no").alias("vector_rank"))
     both = a.unionByName(b, allowMissingColumns=True)
-    return both.groupBy("query_id", "chunk_id").agg(F.min("lexical_rank").alias("lexical_rank"), F.min("vector_rank").alias("vector_rank"))
+    kinds = F.count_distinct(F.struct(*where)) if where else F.lit(1)
+    merged = both.groupBy("query_id", "chunk_id").agg(F.count("lexical_rank").alias("nl"), F.count("vector_rank").alias("nv"), kinds.alias("kinds"), F.min("lexical_rank").alias("lexical_rank"), F.min("vector_rank").alias("vector_rank"), *[F.first(c).alias(c) for c in where])
+    twice = F.raise_error(F.concat(F.lit("a channel has chunk "), F.col("chunk_id").cast("string"), F.lit(" twice for query "), F.col("query_id").cast("string")))
+    other = F.raise_error(F.concat(F.lit("the channels disagree on where chunk "), F.col("chunk_id").cast("string"), F.lit(" comes from")))
+    rank = lambda c: F.when((F.col("nl") > 1) | (F.col("nv") > 1), twice.cast("long")).when(F.col("kinds") > 1, other.cast("long")).otherwise(F.col(c)).alias(c)
+    return merged.select("query_id", "chunk_id", rank("lexical_rank"), rank("vector_rank"), *where)
 
 
 def hybrid_fuse(lexical: DataFrame, vector: DataFrame, policy: FusionPolicy = FusionPolicy(), limit: int = 10) -> DataFrame:

@@ -77,9 +77,9 @@ def k_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items: the first four words are the query, a later passage tells the expected chunks."""
-    words = F.slice(F.filter(F.split("text", "\\s+"), lambda x: x != ""), 1, 4)
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.substring("text", 21, 80).alias("probe"))
+    """Benchmark items: the first sentence is the query, the whole item tells the expected chunks; every fifth query is of another owner."""
+    i = F.col("item_id")
+    return table(spark, sf, "benchmark").select(i.alias("query_id"), F.regexp_extract("text", "^[^.]+", 0).alias("query"), F.col("text").alias("probe"), F.when(i % 5 == 4, "fr").otherwise("en").alias("owner_id"))
 
 
 def k_attempts(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +147,7 @@ CTE = {
   FROM (SELECT material_id, n, unnest(range(0, (n - 1) // 5 + 1)) AS k FROM (SELECT material_id, max(page_number) AS n FROM k_pages GROUP BY material_id))""",
     "k_chunks": """SELECT doc_id AS chunk_id, material_id, page_number - 1 AS chunk_index, page_number AS start_page, page_number AS end_page,
   material_id || '/s' || ((page_number - 1) // 5) AS node_id, content, coalesce(quality, 'STRONG') AS quality, doc_id % 11 <> 0 AS is_active, lang AS owner_id FROM k_pages""",
-    "k_queries": r"""SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:4], ' ') AS query, substring(text, 21, 80) AS probe FROM benchmark""",
+    "k_queries": r"""SELECT item_id AS query_id, regexp_extract(text, '^[^.]+') AS query, text AS probe, CASE WHEN item_id % 5 = 4 THEN 'fr' ELSE 'en' END AS owner_id FROM benchmark""",
     "k_attempts": """SELECT *, ['UNDERSTAND','RETRIEVE','CONNECT','APPLY'][sequence % 4 + 1] AS activity, ['FOUNDATIONAL','INTERMEDIATE','APPLIED'][event_id % 3 + 1] AS difficulty FROM (
   SELECT event_id, user_id AS mission_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, (props::JSON->>'k')::BIGINT % 5 AS concept,
   CASE event_type WHEN 'purchase' THEN 'CORRECT' WHEN 'click' THEN 'PARTIAL' WHEN 'error' THEN 'INCORRECT' END AS outcome, event_type, value FROM events)""",

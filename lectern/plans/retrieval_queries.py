@@ -24,22 +24,26 @@ def _visual_links(spark, sf) -> DataFrame:
 
 
 VISUALS = "visuals AS (SELECT vec_id AS chunk_id, vec_id + 100000 AS visual_id, (label + 1)::BIGINT AS page_number, CASE WHEN label < 6 THEN 'SUPPORTED' WHEN label < 8 THEN 'LIMITED' ELSE 'FAILED' END AS status FROM embeddings)"
-LEX = r"""qt AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{Nd}\p{M}]+'))) AS token, len(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{Nd}\p{M}]+'))) AS n FROM k_queries),
+LEX = r"""alt AS (SELECT query_id, unnest(string_split_regex(lower(query), '\s+or\s+')) AS text, generate_subscripts(string_split_regex(lower(query), '\s+or\s+'), 1) AS part FROM k_queries),
+ aw AS (SELECT DISTINCT query_id, part, unnest(regexp_extract_all(text, '[\p{L}\p{Nd}\p{M}]+')) AS token FROM alt),
+ qt AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{Nd}\p{M}]+'))) AS token, len(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{Nd}\p{M}]+'))) AS n FROM k_queries),
  post AS (SELECT chunk_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{Nd}\p{M}]+') AS t FROM k_chunks)),
  met AS (SELECT DISTINCT query_id, n, chunk_id, token, pos FROM qt JOIN post USING (token)),
- hits AS (SELECT query_id, chunk_id FROM met GROUP BY query_id, chunk_id, n HAVING count(DISTINCT token) = n),
+ hits AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, part, chunk_id FROM aw JOIN (SELECT DISTINCT query_id, chunk_id, token FROM met) USING (query_id, token) JOIN (SELECT query_id, part, count(*) AS n FROM aw GROUP BY 1, 2) USING (query_id, part) GROUP BY query_id, part, chunk_id, n HAVING count(*) = n)),
+ ok AS (SELECT query_id, chunk_id, chunk_index FROM k_queries q JOIN k_chunks k ON k.is_active AND k.owner_id = q.owner_id),
  ends AS (SELECT m.query_id, m.chunk_id, m.pos AS fin, (SELECT min(last) FROM (SELECT max(x.pos) AS last FROM met x WHERE x.query_id = m.query_id AND x.chunk_id = m.chunk_id AND x.pos <= m.pos GROUP BY x.token)) AS start,
    (SELECT count(DISTINCT x.token) FROM met x WHERE x.query_id = m.query_id AND x.chunk_id = m.chunk_id AND x.pos <= m.pos) AS seen, m.n FROM met m SEMI JOIN hits USING (query_id, chunk_id)),
  density AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (fin - start + 1)), 6) AS rank FROM (SELECT query_id, chunk_id, start, min(fin) AS fin FROM ends WHERE seen = n GROUP BY ALL) GROUP BY ALL),
  literal AS (SELECT query_id, chunk_id FROM k_queries JOIN k_chunks ON contains(lower(content), lower(query))),
- lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, rank DESC, chunk_id) AS rank_no FROM (
-   SELECT query_id, chunk_id, l.chunk_id IS NOT NULL AS exact, coalesce(rank, 0) AS rank FROM (SELECT * FROM hits UNION SELECT * FROM literal) h LEFT JOIN (SELECT query_id, chunk_id FROM literal) l USING (query_id, chunk_id) LEFT JOIN density USING (query_id, chunk_id))) WHERE rank_no <= 10)"""
+ lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, rank DESC, chunk_index, chunk_id) AS rank_no FROM (
+   SELECT query_id, chunk_id, chunk_index, l.chunk_id IS NOT NULL AS exact, coalesce(rank, 0) AS rank FROM (SELECT * FROM hits UNION SELECT * FROM literal) h JOIN ok USING (query_id, chunk_id) LEFT JOIN (SELECT query_id, chunk_id FROM literal) l USING (query_id, chunk_id) LEFT JOIN density USING (query_id, chunk_id))) WHERE rank_no <= 10)"""
 VEC = """sims AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
  vector AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank_no FROM sims) WHERE rank_no <= 10)"""
+SCOPED = """scoped AS (SELECT query_id, vec_id, similarity, rank_no FROM (SELECT s.query_id // 20 AS query_id, s.vec_id, similarity, row_number() OVER (PARTITION BY s.query_id ORDER BY similarity DESC, chunk_index, vec_id) AS rank_no FROM sims s JOIN ok ON ok.query_id = s.query_id // 20 AND ok.chunk_id = s.vec_id) WHERE rank_no <= 10)"""
 # the vector channel of benchmark query i are the neighbours of vector 20 i
-FUSED = LEX + ", " + VEC + """, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank_no FROM (
+FUSED = LEX + ", " + VEC + ", " + SCOPED + """, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank_no FROM (
   SELECT query_id, chunk_id, min(lr) AS lexical_rank, min(vr) AS vector_rank, round(coalesce(1.0::DOUBLE / (60 + min(lr)), 0) + coalesce(1.0::DOUBLE / (60 + min(vr)), 0), 9) AS score FROM (
-    SELECT query_id, chunk_id, rank_no AS lr, NULL::BIGINT AS vr FROM lexical UNION ALL SELECT query_id // 20, vec_id, NULL, rank_no FROM vector WHERE query_id // 20 IN (SELECT query_id FROM k_queries)) GROUP BY 1, 2)
+    SELECT query_id, chunk_id, rank_no AS lr, NULL::BIGINT AS vr FROM lexical UNION ALL SELECT query_id, vec_id, NULL, rank_no FROM scoped) GROUP BY 1, 2)
   QUALIFY rank_no <= 10)"""
 
 
@@ -52,10 +56,16 @@ def vector(spark, sf):
     return re_.vector_search(_vec_queries(spark, sf), c.table(spark, sf, "embeddings"))
 
 
+def scoped(spark, sf):
+    """Each embedding stands for the chunk of its number; benchmark query i asks with vector 20 i, for chunks of its owner."""
+    chunks = c.k_chunks(spark, sf).where("is_active").select(F.col("chunk_id").alias("vec_id"), "chunk_index", "owner_id")
+    vectors = c.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 20 = 0").withColumn("query_id", F.floor(F.col("vec_id") / 20)).join(c.k_queries(spark, sf).select("query_id", "owner_id"), "query_id")
+    return re_.vector_search(asked, vectors.join(chunks, "vec_id"), by=["owner_id"], tie="chunk_index")
+
+
 def fused(spark, sf):
-    v = vector(spark, sf).select(F.floor(F.col("query_id") / 20).alias("query_id"), F.col("vec_id").alias("chunk_id"), "rank_no")
-    v = v.join(c.k_queries(spark, sf).select("query_id"), "query_id", "left_semi")
-    return re_.hybrid_fuse(lexical(spark, sf), v)
+    return re_.hybrid_fuse(lexical(spark, sf), scoped(spark, sf).select("query_id", F.col("vec_id").alias("chunk_id"), "rank_no"))
 
 
 def _ranked(spark, sf, hits=None):
@@ -168,9 +178,18 @@ def _baseline(m):
     return ev.baseline_diff(ev.melt_metrics(m, ["query_id"]), ev.melt_metrics(old, ["query_id"]), ["query_id"])
 
 
+def _violated(spark, sf):
+    """Quality labels as measures: the baseline has another version, a case less and one more, and values out of range."""
+    n = c.table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.lit("v1").alias("version"), F.explode(F.array(F.lit(1), F.lit(3))).alias("k"), F.lit("recall").alias("metric"), (F.col("quality") / 2).alias("value"))
+    other = F.when(F.col("query_id") % 50 == 0, F.lit(1.5)).when(F.col("query_id") % 51 == 0, F.lit(None)).otherwise(F.col("value"))
+    base = n.withColumns({"version": F.lit("v2"), "value": other, "query_id": F.when(F.col("query_id") % 40 == 3, -F.col("query_id")).otherwise(F.col("query_id"))}).where("k = 1")
+    return ev.baseline_violations(base, n)
+
+
 QUERIES = {
     "lexical_search": lexical,
     "vector_search": vector,
+    "vector_search_scoped": scoped,
     "hybrid_search": fused,
     "literal_match": lambda s, d: re_.literal_match(c.k_queries(s, d), c.k_chunks(s, d)),
     "fts_match": lambda s, d: re_.fts_match(c.k_queries(s, d), c.k_chunks(s, d)),
@@ -198,6 +217,7 @@ QUERIES = {
     "freeze_scope": lambda s, d: _frozen(s, d).withColumn("nodes", F.array_join("nodes", ",")),
     "retrieval_metrics": metrics,
     "baseline_diff": lambda s, d: _baseline(metrics(s, d)),
+    "baseline_violations": lambda s, d: _violated(s, d),
     "metrics_summary": lambda s, d: ev.metrics_summary(metrics(s, d).withColumns({"subject": (F.col("query_id") % 3).cast("string"), "difficulty": (F.col("query_id") % 2).cast("string")}), ["subject", "difficulty"], ["recall_3", "precision_3", "mrr"]),
     "golden_violations": lambda s, d: ev.golden_violations(c.k_queries(s, d).withColumn("query", F.when(F.col("query_id") % 7 == 0, " ").otherwise(F.col("query"))), _judged(s, d), c.k_chunks(s, d).where("chunk_id % 5 > 0"), 64, c.table(s, d, "embeddings"), 5),
     "phrase_match": lambda s, d: _answers(s, d).select("id", ev.phrase_match(F.col("output"), F.col("concept")).alias("asserted"), ev.phrase_match(F.col("output"), F.col("concept"), False).alias("mentioned")),
@@ -219,6 +239,7 @@ Q = "k_pages k_chunks k_queries"
 ORACLE_SQL = {
     "lexical_search": c.sql(Q, f"WITH {LEX} SELECT query_id, chunk_id, exact, rank, rank_no FROM lexical"),
     "vector_search": f"WITH {VEC} SELECT query_id, vec_id, similarity, rank_no FROM vector",
+    "vector_search_scoped": c.sql(Q, f"WITH {LEX}, {VEC}, {SCOPED} SELECT * FROM scoped"),
     "hybrid_search": c.sql(Q, f"WITH {FUSED} SELECT * FROM fused"),
     "literal_match": c.sql(Q, f"WITH {LEX} SELECT * FROM literal"),
     "fts_match": c.sql(Q, f"WITH {LEX} SELECT * FROM hits"),
@@ -243,11 +264,12 @@ ORACLE_SQL = {
     "freeze_scope": c.sql("k_nodes", f"WITH {SCOPES}, o AS (SELECT topic, material_id, length(material_id) = 4 AS wb, list_filter(nodes, lambda x: NOT ends_with(x, 's1')) AS nb FROM scopes), b AS (SELECT topic, material_id, whole AND wb AS whole, CASE WHEN whole AND wb THEN [] WHEN whole THEN nb WHEN wb THEN nodes ELSE list_sort(list_intersect(nodes, nb)) END AS nodes FROM scopes JOIN o USING (topic, material_id)) SELECT topic, material_id, whole, array_to_string(nodes, ',') AS nodes FROM b WHERE whole OR len(nodes) > 0"),
     "retrieval_metrics": c.sql(Q, f"WITH {METRICS} SELECT * FROM metrics"),
     "baseline_diff": c.sql(Q, f"WITH {METRICS}, o AS (UNPIVOT metrics ON COLUMNS(* EXCLUDE query_id) INTO NAME metric VALUE value), b AS (SELECT query_id, metric, CASE WHEN metric = 'mrr' THEN round(value + (query_id % 4) / 100, 9) ELSE value END AS value FROM o WHERE query_id % 2 = 0) SELECT query_id, metric, o.value AS observed, b.value AS baseline, CASE WHEN b.value IS NULL THEN 'NOT_IN_BASELINE' ELSE 'DIFFERENT' END AS kind FROM o LEFT JOIN b USING (query_id, metric) WHERE b.value IS NULL OR abs(o.value - b.value) > 1e-12"),
+    "baseline_violations": "WITH b AS (SELECT CASE WHEN doc_id % 40 = 3 THEN -doc_id ELSE doc_id END AS id, CASE WHEN doc_id % 50 = 0 THEN 1.5 WHEN doc_id % 51 = 0 THEN NULL ELSE quality / 2 END AS value FROM labels) SELECT 'VERSION' AS rule, 'v2' AS ref UNION ALL SELECT 'K_VALUES', '1' UNION ALL SELECT DISTINCT 'MISSING_CASE', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT id FROM b) UNION ALL SELECT DISTINCT 'UNKNOWN_CASE', id::VARCHAR FROM b WHERE id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'RANGE', id || '.recall' FROM b WHERE value IS NULL OR value NOT BETWEEN 0 AND 1",
     "metrics_summary": c.sql(Q, f"WITH {METRICS}, a AS (SELECT *, (query_id % 3)::VARCHAR AS subject, (query_id % 2)::VARCHAR AS difficulty FROM metrics) SELECT subject, difficulty, count(*) AS cases, round(avg(recall_3), 6) AS recall_3, round(avg(precision_3), 6) AS precision_3, round(avg(mrr), 6) AS mrr FROM a GROUP BY GROUPING SETS ((subject), (difficulty), ())"),
     "golden_violations": c.sql(Q, f"WITH {JUDGED} SELECT 'BLANK_QUERY' AS rule, query_id::VARCHAR AS ref FROM k_queries WHERE query_id % 7 = 0 UNION ALL SELECT 'UNKNOWN_CHUNK', chunk_id::VARCHAR FROM judged WHERE chunk_id % 5 = 0 UNION ALL SELECT 'NOTHING_EXPECTED', query_id::VARCHAR FROM k_queries WHERE query_id NOT IN (SELECT query_id FROM expected)"),
     "phrase_match": f"WITH {RESULTS} SELECT id, {MATCH} AS asserted, (len(p) > 0 AND len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) > 0) AS mentioned FROM toks",
     "output_rules": f"WITH {RESULTS} SELECT id, replace(replace(failed, ',CONCEPT_MISSING', ''), 'CONCEPT_MISSING', '') AS failed FROM results",
     "evaluate_outputs": f"WITH {RESULTS} SELECT *, failed = '' AS passed FROM results",
     "pass_rates": f"WITH {RESULTS} SELECT provider, task, count(*) AS cases, round(avg((failed = '')::INT), 9) AS pass_rate FROM results GROUP BY CUBE (provider, task)",
-    "near_duplicate_questions": "WITH w AS (SELECT doc_id AS id, lower(trim(text)) AS text, list_distinct(list_filter(" + SEM.format("text") + ", lambda x: length(x) >= 3)) AS w FROM documents), e AS (SELECT id, unnest(w) AS word FROM w), p AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2) SELECT a, b FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE n >= 0.75 * (len(x.w) + len(y.w) - n) OR contains(x.text, y.text) OR contains(y.text, x.text)",
+    "near_duplicate_questions": "WITH r AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS text FROM documents), c AS (SELECT text, min(id) AS id FROM r WHERE text <> '' GROUP BY text), w AS (SELECT id, text, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 3)) AS w FROM c), e AS (SELECT id, unnest(w) AS word FROM w), p AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2) SELECT a, b FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE n >= 0.75 * (len(x.w) + len(y.w) - n) UNION SELECT x.id, y.id FROM c x JOIN c y ON x.id < y.id AND (contains(x.text, y.text) OR contains(y.text, x.text)) UNION SELECT c.id, r.id FROM r JOIN c USING (text) WHERE r.id <> c.id",
 }

@@ -22,16 +22,17 @@ def _events(spark, sf):
 
 
 def _ingest(spark, sf):
+    """Documents one by one as materials of their own, in two runs, the second over all again."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     docs = spark.readStream.schema(c.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
 
     def chunks(batch):
-        pages = batch.select(F.col("source").alias("material_id"), F.col("doc_id").alias("page_number"), F.lit("NATIVE").alias("extraction_method"), F.col("text").alias("content"))
-        located = pages.select("material_id", "page_number", F.concat(F.col("material_id"), F.lit("/"), F.col("page_number").cast("string")).alias("node_id"))
+        pages = batch.select(F.col("doc_id").cast("string").alias("material_id"), F.lit(1).cast("long").alias("page_number"), F.lit("NATIVE").alias("extraction_method"), F.col("text").alias("content"))
+        located = pages.select("material_id", "page_number", F.concat(F.col("material_id"), F.lit("/r")).alias("node_id"))
         return tx.chunk_documents(pages, located).select("chunk_id", "material_id", "chunk_index", "content")
 
-    for n in range(2):  # a second run over the same documents adds nothing
-        st.stream_ingest(docs, chunks, f"{folder}/chunks", ["chunk_id"], f"{folder}/state-{n}")
+    st.stream_ingest(docs.where("doc_id % 2 = 0"), chunks, f"{folder}/chunks", ["chunk_id"], f"{folder}/state-0")
+    st.stream_ingest(docs, chunks, f"{folder}/chunks", ["chunk_id"], f"{folder}/state-1")
     return spark.read.parquet(f"{folder}/chunks").select("chunk_id", "material_id", "chunk_index", "content")
 
 

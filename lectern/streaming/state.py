@@ -111,6 +111,10 @@ def stream_job_state(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("job_id").agg(newest.alias("n"), F.count("*").alias("rows")).select("job_id", "n.status", "n.stage", "rows")
 
 
+#: Folders of a store, by a hash of the material, so that a batch reads only those it touches.
+BUCKETS = 64
+
+
 def ingest_once(existing: DataFrame | None, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """The chunks that aren't stored yet; a stored one with another content is an error row (state CONFLICT)."""
     from lectern.operators.integrity import append_or_verify
@@ -120,20 +124,31 @@ def ingest_once(existing: DataFrame | None, chunks: DataFrame, keys: list[str])
     return append_or_verify(existing, chunks, keys).where("state <> 'SAME'")
 
 
-def stream_ingest(stream: DataFrame, make_chunks: Callable[[DataFrame], DataFrame], folder: str, keys: list[str], checkpoint: str) -> None:
-    """Adds the chunks of new documents to the table at ``folder``; running a batch twice adds nothing."""
+def stream_ingest(stream: DataFrame, make_chunks: Callable[[DataFrame], DataFrame], folder: str, keys: list[str], checkpoint: str, material: str = "material_id") -> None:
+    """Adds the chunks of new documents to the table at ``folder``; running a batch twice adds nothing.
+
+    ``make_chunks`` gets the documents of a batch and must name each chunk by its
+    document alone (a document is never split over batches), so that batches give
+    the same chunks as one run over all. The store is kept in folders by a hash of
+    ``material``, and a batch reads those of its own materials. Chunks whose key is
+    stored with another content go to ``folder`` + "-conflicts", with the batch.
+    """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(material), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks = make_chunks(batch)
+        chunks = make_chunks(batch).withColumn("bucket", bucket)
+        touched = [r.bucket for r in chunks.select("bucket").distinct().collect()]
         try:
-            existing = spark.read.parquet(folder)
+            existing = spark.read.schema(chunks.schema).parquet(folder).where(F.col("bucket").isin(touched))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             existing = None
-        fresh = ingest_once(existing.drop("state") if existing is not None else None, chunks, keys)
-        fresh.where("state = 'NEW'").write.mode("append").parquet(folder)
+        fresh = ingest_once(existing, chunks, keys).persist()
+        fresh.where("state = 'NEW'").drop("state").write.mode("append").partitionBy("bucket").parquet(folder)
+        fresh.where("state <> 'NEW'").drop("state", "bucket").withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}-conflicts")
+        fresh.unpersist()
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
