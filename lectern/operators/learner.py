@@ -75,12 +75,16 @@ def failure_streak(attempts: DataFrame, only: str | None = None) -> DataFrame:
 
 
 def accidental_repeats(attempts: DataFrame, window: int = 3) -> DataFrame:
-    """Attempts with the same activity and difficulty as one of the ``window`` before, of the same concept."""
+    """Attempts that repeat one of the ``window`` before, of the same concept.
+
+    A repeat has the same template, or the same question intent, activity and
+    difficulty; what has no template or intent repeats nothing by it.
+    """
     w = Window.partitionBy("mission_id", "concept").orderBy("sequence")
-    before = [(F.lag("activity", i).over(w) == F.col("activity")) & (F.lag("difficulty", i).over(w) == F.col("difficulty")) for i in range(1, window + 1)]
     repeat = F.lit(False)
-    for b in before:
-        repeat = repeat | F.coalesce(b, F.lit(False))
+    for i in range(1, window + 1):
+        same = lambda c: F.lag(c, i).over(w) == F.col(c)  # noqa: E731, B023
+        repeat = repeat | F.coalesce(same("template"), F.lit(False)) | F.coalesce(same("question_intent") & same("activity") & same("difficulty"), F.lit(False))
     return attempts.withColumn("repeat", repeat).where("repeat").select("event_id", "mission_id", "concept", "activity", "difficulty")
 
 
@@ -88,7 +92,8 @@ def assemble_states(attempts: DataFrame, missions: DataFrame, now: str, window:
     """The state of each mission: evidence and history of its current concept, and minutes left.
 
     ``missions``: (mission_id, status, stage, concept, available_minutes, started_at,
-    grounding, source_state, has_text, visual_needed, visual_state, connection_relevant).
+    grounding, source_state, has_text, visual_needed, visual_state, connection_relevant,
+    template, question_intent).
     Newest is the highest sequence; a presentation without an outcome is history only.
     """
     key = ["mission_id", "concept"]
@@ -96,7 +101,7 @@ def assemble_states(attempts: DataFrame, missions: DataFrame, now: str, window:
     ranked = attempts.withColumn("age", F.row_number().over(w)).where(F.col("age") <= window)
     recent = ranked.groupBy(*key).agg(
         F.max(F.when(F.col("age") == 1, F.struct("activity", "outcome", "difficulty"))).alias("newest"),
-        F.collect_set(F.struct("activity", "difficulty")).alias("recent"),
+        F.collect_set(F.struct("activity", "difficulty", F.col("template").alias("t"), F.col("question_intent").alias("q"))).alias("recent"),
     )
     streaks = failure_streak(attempts)
     applied = failure_streak(attempts, "APPLY").select(*key, F.col("failures").alias("apply_failures"), F.col("failed_difficulty").alias("apply_difficulty"))
@@ -114,12 +119,33 @@ def _action(action: str | Column, rationale: str | Column, difficulty: str | Col
 _BASIC = "FOUNDATIONAL"
 
 
+def _source_safe(a: Column) -> Column:
+    """The action ``a``, or what takes its place if its source or visual isn't there."""
+    outside = F.col("grounding") != "STRICT_SOURCE"
+    alt = lambda why: F.when(outside, _action("UNDERSTAND", why, _BASIC)).otherwise(_action("COMMUNICATE_LIMITATION", why))
+    needs = F.col("grounding").isin("STRICT_SOURCE", "SOURCE_FIRST")
+    limited = F.struct(a["action"].alias("action"), a["difficulty"].alias("difficulty"), F.lit("SOURCE_LIMITED").alias("rationale"), a["intent"].alias("intent"))
+    return (
+        F.when(F.col("visual_needed") & (F.col("visual_state") == "MISSING"), alt("VISUAL_UNAVAILABLE"))
+        .when(F.col("visual_needed") & (F.col("visual_state") == "UNRELIABLE"), alt("VISUAL_UNRELIABLE"))
+        .when(~needs, a)
+        .when((F.col("source_state") == "READY") & F.col("has_text"), a)
+        .when((F.col("source_state") == "LIMITED") & F.col("has_text"), limited)
+        .otherwise(alt("SOURCE_UNAVAILABLE"))
+    )
+
+
+def _lifecycle() -> Column:
+    status = F.col("status")
+    return F.when(status == "PLANNED", _action("START", "LIFECYCLE")).when(status == "PAUSED", _action("RESUME", "LIFECYCLE")).when(status == "COMPLETED", _action("COMPLETE", "LIFECYCLE")).when(status == "STOPPED", _action("STOP", "LIFECYCLE"))
+
+
 def next_actions(states: DataFrame, config: PolicyConfiguration = PolicyConfiguration()) -> DataFrame:
     """(mission_id, action, difficulty, rationale, intent): lifecycle, progress, scaffold, source, time, repetition, in this order."""
     U, R, C, A = (F.col(x) for x in ("understanding", "recall", "connection", "application"))
     newest, stage = F.col("newest"), F.col("stage")
     failed = newest["outcome"].isin("PARTIAL", "INCORRECT")
-    lifecycle = F.when(F.col("status") == "PLANNED", _action("START", "LIFECYCLE")).when(F.col("status") == "PAUSED", _action("RESUME", "LIFECYCLE")).when(F.col("status") == "COMPLETED", _action("COMPLETE", "LIFECYCLE")).when(F.col("status") == "STOPPED", _action("STOP", "LIFECYCLE"))
+    lifecycle = _lifecycle()
     shown = newest["activity"].isin("UNDERSTAND", "HINT", "PREREQUISITE_SUPPORT") & newest["outcome"].isNull()
     understand = _action("UNDERSTAND", "FOUNDATION_INSUFFICIENT", _BASIC)
     retrieve = _action("RETRIEVE", "RETRIEVAL_READY", F.when(R == 3, "INTERMEDIATE").otherwise(_BASIC))
@@ -142,19 +168,7 @@ def next_actions(states: DataFrame, config: PolicyConfiguration = PolicyConfigur
     stepped = states.withColumn("a", progress)
     scaffold = ((F.col("a.action") == "APPLY") | (stage != "APPLICATION")) & newest.isNotNull() & ~newest["outcome"].eqNullSafe("CORRECT")
     stepped = stepped.withColumn("a", F.when(scaffold, F.coalesce(ladder, F.col("a"))).otherwise(F.col("a")))
-    outside = F.col("grounding") != "STRICT_SOURCE"
-    alt = lambda why: F.when(outside, _action("UNDERSTAND", why, _BASIC)).otherwise(_action("COMMUNICATE_LIMITATION", why))
-    needs = F.col("grounding").isin("STRICT_SOURCE", "SOURCE_FIRST")
-    limited = F.struct(F.col("a.action"), F.col("a.difficulty"), F.lit("SOURCE_LIMITED").alias("rationale"), F.col("a.intent"))
-    source = (
-        F.when(F.col("visual_needed") & (F.col("visual_state") == "MISSING"), alt("VISUAL_UNAVAILABLE"))
-        .when(F.col("visual_needed") & (F.col("visual_state") == "UNRELIABLE"), alt("VISUAL_UNRELIABLE"))
-        .when(~needs, F.col("a"))
-        .when((F.col("source_state") == "READY") & F.col("has_text"), F.col("a"))
-        .when((F.col("source_state") == "LIMITED") & F.col("has_text"), limited)
-        .otherwise(alt("SOURCE_UNAVAILABLE"))
-    )
-    stepped = stepped.withColumn("a", source)
+    stepped = stepped.withColumn("a", _source_safe(F.col("a")))
     left = F.col("minutes_left")
     fits = lambda a: F.lit(config.minutes.get(a, config.default_minutes)) <= left
     cost = _lookup(F.col("a.action"), config.minutes, F.lit(config.default_minutes))
@@ -162,13 +176,18 @@ def next_actions(states: DataFrame, config: PolicyConfiguration = PolicyConfigur
     timed = F.when(free | (cost <= left), F.col("a")).when(F.col("a.action").isin("UNDERSTAND", "CONNECT", "APPLY") & (U >= 2) & fits("RETRIEVE"), _action("RETRIEVE", "TIME_LIMIT", _BASIC)).when(fits("REFLECT"), _action("REFLECT", "TIME_LIMIT")).otherwise(_action("COMPLETE", "TIME_LIMIT"))
     stepped = stepped.withColumn("a", timed)
     exempt = F.col("a.action").isin("FEEDBACK", "REFLECT", "COMPLETE") | F.col("a.rationale").isin("SOURCE_LIMITED", "SOURCE_UNAVAILABLE", "VISUAL_UNAVAILABLE", "VISUAL_UNRELIABLE", "TIME_LIMIT") | (F.col("a.intent") != "STANDARD")
-    seen = F.coalesce(F.exists("recent", lambda x: (x["activity"] == F.col("a.action")) & (x["difficulty"] == F.col("a.difficulty"))), F.lit(False))
+    same = lambda x: (x["q"] == F.col("question_intent")) & (x["activity"] == F.col("a.action")) & (x["difficulty"] == F.col("a.difficulty"))
+    seen = F.coalesce(F.exists("recent", lambda x: F.coalesce(x["t"] == F.col("template"), F.lit(False)) | F.coalesce(same(x), F.lit(False))), F.lit(False))
     stepped = stepped.withColumn("a", F.when(~exempt & seen, _action("REFLECT", "REPETITION")).otherwise(F.col("a")))
     return stepped.withColumn("a", F.coalesce(lifecycle, F.col("a"))).select("mission_id", "a.action", "a.difficulty", "a.rationale", "a.intent")
 
 
 def failure_actions(failures: DataFrame) -> DataFrame:
-    """(mission_id, action) after a dependency failure; ``failures``: (mission_id, failure, grounding, has_text, reusable)."""
+    """(mission_id, action) after a dependency failure: lifecycle, the failure's own rule, then the source policy.
+
+    ``failures``: (mission_id, status, failure, reusable) and what ``next_actions`` knows of the
+    source. A pause, reused content and an alternative without a source depend on none.
+    """
     outside, needs = F.col("grounding") != "STRICT_SOURCE", F.col("grounding").isin("STRICT_SOURCE", "SOURCE_FIRST")
     kind = F.col("failure")
     action = (
@@ -178,7 +197,10 @@ def failure_actions(failures: DataFrame) -> DataFrame:
         .when(kind == "AI_UNAVAILABLE", F.when(F.col("reusable"), "REUSE_VALIDATED_CONTENT").when(needs & F.col("has_text"), "SOURCE_ONLY").otherwise("PAUSE"))
         .when(kind == "AI_EVALUATION_FAILED", "RETRY_DEPENDENCY")
     )
-    return failures.select("mission_id", action.alias("action"))
+    own = failures.withColumn("a", _action(action, "DEPENDENCY_FAILURE"))
+    free = F.col("a.action").isin("PAUSE", "REUSE_VALIDATED_CONTENT", "UNDERSTAND")
+    safe = F.when(free, F.col("a")).otherwise(_source_safe(F.col("a")))
+    return own.select("mission_id", F.coalesce(_lifecycle(), safe)["action"].alias("action"))
 
 
 def next_stage(actions: DataFrame, current: str = "stage") -> DataFrame:
@@ -195,10 +217,15 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
 
 
 def reusable_content(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(request_id, artifact_id): the newest validated artifact with the same type and difficulty (null equals null)."""
-    a = artifacts.where("validated").select("artifact_id", F.col("activity").alias("t"), F.col("difficulty").alias("d"), "ts")
-    best = a.groupBy("t", "d").agg(F.max_by("artifact_id", F.struct("ts", "artifact_id")).alias("artifact_id"))
-    return requests.join(best, requests["activity"].eqNullSafe(F.col("t")) & requests["difficulty"].eqNullSafe(F.col("d"))).select("request_id", "artifact_id")
+    """(request_id, artifact_id): the newest validated artifact with the same type, difficulty, question intent and template (null equals null).
+
+    A request that needs a visual reuses nothing.
+    """
+    same = ["activity", "difficulty", "question_intent", "template"]
+    a = artifacts.where("validated").select("artifact_id", *[F.col(c).alias(f"__{c}") for c in same], "ts")
+    best = a.groupBy(*[f"__{c}" for c in same]).agg(F.max_by("artifact_id", F.struct("ts", "artifact_id")).alias("artifact_id"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
+    return requests.where(~F.col("visual_needed")).join(best, on).select("request_id", "artifact_id")
 
 
 def grade_mcq(answers: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Namespace of chunk ids (fixed value).
 CHUNK_NAMESPACE = "bc9da86d-4f4f-5f4f-9f59-8cc72e70b86a"
@@ -40,10 +42,22 @@ def canonical_line(line: Column) -> Column:
     return F.when((F.length(t) > 512) | (t == ""), F.lit(None)).when(number, "<PAGE_NUMBER>").otherwise(F.regexp_replace(t, "[ \\t]+", " "))
 
 
+@F.pandas_udf(StringType())
+def _compatible(text: pd.Series) -> pd.Series:
+    """Compatibility forms (NFKC), which no built-in function makes."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
 def comparison_key(text: Column) -> Column:
-    """Lower case, no punctuation at the ends, single spaces, at most 512 signs (compatibility forms only for ASCII)."""
-    low = F.regexp_replace(F.lower(text), "\\s+", " ")
-    return F.substring(F.regexp_replace(low, "^[^\\p{L}\\p{Nd}]+|[^\\p{L}\\p{Nd}]+$", ""), 1, 512)
+    """Compatibility forms, lower case, no ASCII punctuation at the ends, single spaces, at most 512 signs.
+
+    Texts of ASCII and Latin letters are their own compatibility forms and stay in
+    the JVM; the Python function gets nulls in their place.
+    """
+    other = text.rlike("[^\\x00-\\x7F\u00c0-\u00ff]")
+    plain = F.when(other, _compatible(F.when(other, text))).otherwise(text)
+    low = F.regexp_replace(F.lower(F.trim(plain)), "^[\\p{Punct}\\s]+|[\\p{Punct}\\s]+$", "")
+    return F.substring(F.regexp_replace(low, "\\s+", " "), 1, 512)
 
 
 def _slots(lines: DataFrame) -> DataFrame:
@@ -217,9 +231,75 @@ def heading_spans(headings: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("material_id", "pos", "parent", "ordinal", "level", "title", "score", F.col("page_number").alias("start_page"), "end_page")
 
 
-def detect_structure(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """The outline of each material from its lines."""
-    return heading_spans(heading_parents(score_headings(lines, toc_titles(lines))), pages)
+def attach_layout(lines: DataFrame, layout: DataFrame) -> DataFrame:
+    """Lines with the layout of the first layout line of their page that has the same comparison key.
+
+    ``layout``: (material_id, page_number, line_order, text, prominence, separated,
+    emphasized, alignment, band). Lines without one keep nulls.
+    """
+    key = ["material_id", "page_number", "__key"]
+    w = Window.partitionBy(*key).orderBy("line_order")
+    first = layout.withColumn("__key", comparison_key(F.col("text"))).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return lines.withColumn("__key", comparison_key(F.col("line"))).join(first.select(*key, "prominence", "separated", "emphasized", "alignment", "band"), key, "left").drop("__key")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Equal keys, or one inside the other if both have eight signs."""
+    return (a == b) | ((F.length(a) >= 8) & (F.length(b) >= 8) & (F.contains(a, b) | F.contains(b, a)))
+
+
+def apply_outline(headings: DataFrame, outline: DataFrame, lines: DataFrame, pages: DataFrame, most_chars: int = 500) -> DataFrame:
+    """Headings after the document's own outline: (material_id, page_number, line_no, title, level, score, confidence, origin).
+
+    ``outline``: (material_id, page_number, title, depth, source_order). An entry
+    takes over the first heading of its page that is alike, or else the first line
+    that is. An entry found nowhere stands by itself on a poor or blank page, and on
+    other pages where no heading speaks against it. Of headings with one key on a
+    page the outline's stays, else the first.
+    """
+    page = ["material_id", "page_number"]
+    native, q = F.col("extraction_method") == "NATIVE", F.col("quality")
+    facts = pages.select(*page, F.when(native, "HIGH").otherwise(F.when(q == "STRONG", "HIGH").when(q == "LIMITED", "MEDIUM").otherwise("LOW")).alias("sure"), ((F.trim("content") == "") | (~native & q.eqNullSafe("POOR"))).alias("poor"), (native | q.eqNullSafe("STRONG")).alias("strong"))
+    own = headings.withColumn("key", comparison_key(F.col("title")))
+    entries = outline.select(*page, "title", "source_order", F.least(F.lit(3), "depth").cast("long").alias("level"), comparison_key(F.col("title")).alias("o_key"))
+    best = lambda t, *cols: F.min(F.struct("line_no", *cols))
+    met = entries.join(own.select(*page, "line_no", F.col("title").alias("h_title"), F.col("score").alias("h_score"), "key"), page).where(_alike(F.col("o_key"), F.col("key")))
+    met = met.groupBy(*page, "source_order").agg(best(met, "h_title", "h_score", "key").alias("h"))
+    body = lines.select(*page, "line_no", F.trim("line").alias("b_title")).where((F.col("b_title") != "") & (F.length("b_title") <= most_chars)).withColumn("key", comparison_key(F.col("b_title")))
+    there = entries.join(body, page).where(_alike(F.col("o_key"), F.col("key"))).groupBy(*page, "source_order").agg(F.min(F.struct("line_no", "b_title")).alias("b"))
+    some = headings.select(*page).distinct().withColumn("any", F.lit(True))
+    e = entries.join(met, [*page, "source_order"], "left").join(there, [*page, "source_order"], "left").join(facts, page).join(some, page, "left")
+    h, b = F.col("h").isNotNull(), F.col("b").isNotNull()
+    against = F.coalesce("any", F.lit(False)) & F.col("strong")
+    native_rows = e.where(h | b | F.col("poor") | ~against).select(
+        *page,
+        F.when(h, F.col("h.line_no")).when(b, F.col("b.line_no")).otherwise(F.col("source_order")).cast("long").alias("line_no"),
+        F.when(h, F.col("h.h_title")).when(b, F.col("b.b_title")).otherwise(F.col("title")).alias("title"),
+        "level",
+        F.when(h, F.greatest("h.h_score", F.lit(6))).when(b, 5).when(F.col("poor"), 2).otherwise(4).cast("long").alias("score"),
+        F.when(h | b, F.col("sure")).when(F.col("poor"), "LOW").otherwise("MEDIUM").alias("confidence"),
+        F.lit("NATIVE").alias("origin"),
+    )
+    both = native_rows.unionByName(headings.select(*native_rows.columns[:-1], F.lit("HEURISTIC").alias("origin"))).withColumn("key", comparison_key(F.col("title")))
+    w = Window.partitionBy(*page, "key").orderBy(F.col("origin") != "NATIVE", "line_no", "level")
+    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "key")
+
+
+def detect_structure(lines: DataFrame, pages: DataFrame, outline: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
+    """The outline of each material from its lines, with their layout and the document's own outline where these are given.
+
+    Headings in the top or bottom band that are repeated there on many pages are no headings.
+    """
+    if layout is not None:
+        lines = attach_layout(lines, layout)
+    found = score_headings(lines, toc_titles(lines))
+    if layout is not None:
+        again = repeated_regions(lines).select("material_id", "band", F.col("key").alias("__key"))
+        banded = lines.where(F.col("band").isin("TOP", "BOTTOM")).select("material_id", "page_number", "line_no", "band", comparison_key(F.col("line")).alias("__key"))
+        found = found.join(banded.join(again, ["material_id", "band", "__key"], "left_semi"), ["material_id", "page_number", "line_no"], "left_anti")
+    if outline is not None:
+        found = apply_outline(found, outline, lines, pages)
+    return heading_spans(heading_parents(found), pages)
 
 
 def match_outline(outline: DataFrame, lines: DataFrame) -> DataFrame:

@@ -100,6 +100,8 @@ def k_attempts(spark: SparkSession, sf: str) -> DataFrame:
         )
         .withColumn("activity", F.element_at(F.array(*map(F.lit, ("UNDERSTAND", "RETRIEVE", "CONNECT", "APPLY"))), (F.col("sequence") % 4 + 1).cast("int")))
         .withColumn("difficulty", F.element_at(F.array(*map(F.lit, ("FOUNDATIONAL", "INTERMEDIATE", "APPLIED"))), (F.col("event_id") % 3 + 1).cast("int")))
+        .withColumn("template", F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("t"), (F.col("event_id") % 9).cast("string"))))
+        .withColumn("question_intent", F.when(F.col("activity") != "UNDERSTAND", F.concat(F.lit("q"), (F.col("event_id") % 2).cast("string"))))
     )
 
 
@@ -148,7 +150,8 @@ CTE = {
     "k_chunks": """SELECT doc_id AS chunk_id, material_id, page_number - 1 AS chunk_index, page_number AS start_page, page_number AS end_page,
   material_id || '/s' || ((page_number - 1) // 5) AS node_id, content, coalesce(quality, 'STRONG') AS quality, doc_id % 11 <> 0 AS is_active, lang AS owner_id FROM k_pages""",
     "k_queries": r"""SELECT item_id AS query_id, regexp_extract(text, '^[^.]+') AS query, text AS probe, CASE WHEN item_id % 5 = 4 THEN 'fr' ELSE 'en' END AS owner_id FROM benchmark""",
-    "k_attempts": """SELECT *, ['UNDERSTAND','RETRIEVE','CONNECT','APPLY'][sequence % 4 + 1] AS activity, ['FOUNDATIONAL','INTERMEDIATE','APPLIED'][event_id % 3 + 1] AS difficulty FROM (
+    "k_attempts": """SELECT *, ['UNDERSTAND','RETRIEVE','CONNECT','APPLY'][sequence % 4 + 1] AS activity, ['FOUNDATIONAL','INTERMEDIATE','APPLIED'][event_id % 3 + 1] AS difficulty,
+  CASE WHEN event_id % 5 > 0 THEN 't' || (event_id % 9) END AS template, CASE WHEN sequence % 4 > 0 THEN 'q' || (event_id % 2) END AS question_intent FROM (
   SELECT event_id, user_id AS mission_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, (props::JSON->>'k')::BIGINT % 5 AS concept,
   CASE event_type WHEN 'purchase' THEN 'CORRECT' WHEN 'click' THEN 'PARTIAL' WHEN 'error' THEN 'INCORRECT' END AS outcome, event_type, value FROM events)""",
     "k_requests": """SELECT event_id, 'provider-' || (user_id % 2) AS provider, 'task-' || ((props::JSON->>'k')::BIGINT % 5) AS task,

@@ -28,13 +28,14 @@ def _missions(spark, sf):
         _pick(("STRICT_SOURCE", "SOURCE_FIRST", "GENERAL_KNOWLEDGE"), i % 3).alias("grounding"),
         _pick(("READY", "READY", "LIMITED", "ABSENT"), F.floor(i / 3) % 4).alias("source_state"),
         (i % 7 != 0).alias("has_text"), (i % 5 == 0).alias("visual_needed"), _pick(("PRESENT", "MISSING", "UNRELIABLE"), F.floor(i / 5) % 3).alias("visual_state"), (i % 2 == 0).alias("connection_relevant"),
+        F.when(i % 4 == 0, F.concat(F.lit("t"), (i % 9).cast("string"))).alias("template"), F.when(i % 3 > 0, F.concat(F.lit("q"), (i % 2).cast("string"))).alias("question_intent"),
     )
 
 
 MISSIONS = f"""missions AS (SELECT mission_id, concept, CASE WHEN mission_id % 10 = 0 THEN ['PLANNED','PAUSED','COMPLETED','STOPPED'][mission_id // 10 % 4 + 1] ELSE 'ACTIVE' END AS status,
   ['UNDERSTANDING','RETRIEVAL','CONNECTION','APPLICATION','PREREQUISITE_SUPPORT','FEEDBACK','REFLECTION','EVIDENCE_UPDATE'][mission_id % 8 + 1] AS stage, 30 + mission_id % 40 AS available_minutes, mission_id % 45 AS spent,
   ['STRICT_SOURCE','SOURCE_FIRST','GENERAL_KNOWLEDGE'][mission_id % 3 + 1] AS grounding, ['READY','READY','LIMITED','ABSENT'][mission_id // 3 % 4 + 1] AS source_state, mission_id % 7 <> 0 AS has_text, mission_id % 5 = 0 AS visual_needed,
-  ['PRESENT','MISSING','UNRELIABLE'][mission_id // 5 % 3 + 1] AS visual_state, mission_id % 2 = 0 AS connection_relevant FROM (SELECT mission_id, arg_max(concept, sequence) AS concept FROM k_attempts GROUP BY 1))"""
+  ['PRESENT','MISSING','UNRELIABLE'][mission_id // 5 % 3 + 1] AS visual_state, mission_id % 2 = 0 AS connection_relevant, CASE WHEN mission_id % 4 = 0 THEN 't' || (mission_id % 9) END AS template, CASE WHEN mission_id % 3 > 0 THEN 'q' || (mission_id % 2) END AS question_intent FROM (SELECT mission_id, arg_max(concept, sequence) AS concept FROM k_attempts GROUP BY 1))"""
 SNAPSHOT = """ev AS (SELECT event_id, mission_id, concept, CASE activity WHEN 'UNDERSTAND' THEN 'UNDERSTANDING' WHEN 'RETRIEVE' THEN 'RECALL' WHEN 'CONNECT' THEN 'CONNECTION' ELSE 'APPLICATION' END AS dimension, CASE outcome WHEN 'CORRECT' THEN 'DEVELOPING' WHEN 'PARTIAL' THEN 'WEAK' ELSE 'INSUFFICIENT' END AS strength FROM k_attempts WHERE outcome IS NOT NULL),
  snap AS (SELECT mission_id, concept, coalesce(max(r) FILTER (dimension = 'UNDERSTANDING'), 0) AS understanding, coalesce(max(r) FILTER (dimension = 'RECALL'), 0) AS recall, coalesce(max(r) FILTER (dimension = 'CONNECTION'), 0) AS connection, coalesce(max(r) FILTER (dimension = 'APPLICATION'), 0) AS application
   FROM (SELECT *, CASE strength WHEN 'DEVELOPING' THEN 2 WHEN 'WEAK' THEN 1 ELSE 0 END::BIGINT AS r FROM ev) GROUP BY 1, 2)"""
@@ -47,8 +48,8 @@ def _streak(name: str, cond: str = "true") -> str:
 
 STATES = f"""WITH {MISSIONS}, {SNAPSHOT}, {_streak('streak')}, {_streak('ap', "activity = 'APPLY'")},
  aged AS (SELECT *, row_number() OVER (PARTITION BY mission_id, concept ORDER BY sequence DESC) AS age FROM k_attempts),
- rec AS (SELECT mission_id, concept, max(activity) FILTER (age = 1) AS n_act, max(outcome) FILTER (age = 1) AS n_out, list(activity || ':' || difficulty) AS recent FROM aged WHERE age <= 3 GROUP BY 1, 2),
- st AS (SELECT m.*, coalesce(understanding, 0) AS u, coalesce(recall, 0) AS r, coalesce(connection, 0) AS c, coalesce(application, 0) AS a, n_act, n_out, recent, coalesce(s.failures, 0) AS failures, s.failed_difficulty, coalesce(p.failures, 0) AS apf, p.failed_difficulty AS apd, greatest(0, available_minutes - spent) AS minutes_left
+ rec AS (SELECT mission_id, concept, max(activity) FILTER (age = 1) AS n_act, max(outcome) FILTER (age = 1) AS n_out, list(activity || ':' || difficulty || ':' || question_intent) AS recent, list(template) AS templates FROM aged WHERE age <= 3 GROUP BY 1, 2),
+ st AS (SELECT m.*, coalesce(understanding, 0) AS u, coalesce(recall, 0) AS r, coalesce(connection, 0) AS c, coalesce(application, 0) AS a, n_act, n_out, recent, templates, coalesce(s.failures, 0) AS failures, s.failed_difficulty, coalesce(p.failures, 0) AS apf, p.failed_difficulty AS apd, greatest(0, available_minutes - spent) AS minutes_left
   FROM missions m LEFT JOIN snap USING (mission_id, concept) LEFT JOIN rec USING (mission_id, concept) LEFT JOIN streak s USING (mission_id, concept) LEFT JOIN ap p USING (mission_id, concept)),
  s2 AS (SELECT *, CASE WHEN u < 2 AND n_act = 'UNDERSTAND' AND n_out IS NULL THEN 'UNDERSTANDING_CHECK|FOUNDATIONAL|UNDERSTANDING_UNCHECKED|STANDARD' WHEN u < 2 THEN 'UNDERSTAND|FOUNDATIONAL|FOUNDATION_INSUFFICIENT|STANDARD'
    WHEN r < 2 AND n_act = 'RETRIEVE' AND n_out IN ('PARTIAL','INCORRECT') THEN 'UNDERSTAND|FOUNDATIONAL|RETRIEVAL_GAP|REASSESSMENT' WHEN r < 2 THEN 'RETRIEVE|FOUNDATIONAL|RETRIEVAL_READY|STANDARD'
@@ -63,7 +64,7 @@ STATES = f"""WITH {MISSIONS}, {SNAPSHOT}, {_streak('streak')}, {_streak('ap', "a
    WHEN act IN ('UNDERSTAND','CONNECT','APPLY') AND u >= 2 AND minutes_left >= 4 THEN 'RETRIEVE|FOUNDATIONAL|TIME_LIMIT|STANDARD' WHEN minutes_left >= 2 THEN 'REFLECT||TIME_LIMIT|STANDARD' ELSE 'COMPLETE||TIME_LIMIT|STANDARD' END AS x) FROM (SELECT *, split_part(x, '|', 1) AS act FROM s4)),
  s6 AS (SELECT *, CASE status WHEN 'PLANNED' THEN 'START||LIFECYCLE|STANDARD' WHEN 'PAUSED' THEN 'RESUME||LIFECYCLE|STANDARD' WHEN 'COMPLETED' THEN 'COMPLETE||LIFECYCLE|STANDARD' WHEN 'STOPPED' THEN 'STOP||LIFECYCLE|STANDARD' ELSE
    CASE WHEN split_part(x, '|', 1) NOT IN ('FEEDBACK','REFLECT','COMPLETE') AND split_part(x, '|', 3) NOT IN ('SOURCE_LIMITED','SOURCE_UNAVAILABLE','VISUAL_UNAVAILABLE','VISUAL_UNRELIABLE','TIME_LIMIT') AND split_part(x, '|', 4) = 'STANDARD'
-     AND coalesce(list_contains(recent, split_part(x, '|', 1) || ':' || split_part(x, '|', 2)), false) THEN 'REFLECT||REPETITION|STANDARD' ELSE x END END AS y FROM s5)"""
+     AND (coalesce(list_contains(templates, template), false) OR coalesce(list_contains(recent, split_part(x, '|', 1) || ':' || split_part(x, '|', 2) || ':' || question_intent), false)) THEN 'REFLECT||REPETITION|STANDARD' ELSE x END END AS y FROM s5)"""
 ACTIONS = STATES + ", actions AS (SELECT mission_id, stage, split_part(y, '|', 1) AS action, nullif(split_part(y, '|', 2), '') AS difficulty, split_part(y, '|', 3) AS rationale, split_part(y, '|', 4) AS intent FROM s6)"
 
 
@@ -77,7 +78,7 @@ def actions(spark, sf):
 
 def _failures(spark, sf):
     m = _missions(spark, sf)
-    return m.select("mission_id", _pick(("RAG_LIMITED", "RAG_INSUFFICIENT", "RAG_FAILED", "AI_UNAVAILABLE", "AI_EVALUATION_FAILED"), F.col("mission_id") % 5).alias("failure"), "grounding", "has_text", F.col("connection_relevant").alias("reusable"))
+    return m.select("mission_id", _pick(("RAG_LIMITED", "RAG_INSUFFICIENT", "RAG_FAILED", "AI_UNAVAILABLE", "AI_EVALUATION_FAILED"), F.col("mission_id") % 5).alias("failure"), "grounding", "has_text", "status", "source_state", "visual_needed", "visual_state", F.col("connection_relevant").alias("reusable"))
 
 
 def _log(spark, sf):
@@ -95,7 +96,7 @@ QUERIES = {
     "next_stage": lambda s, d: ln.next_stage(actions(s, d).join(_missions(s, d).select("mission_id", "stage"), "mission_id")).select("mission_id", "action", "next_stage"),
     "failure_actions": lambda s, d: ln.failure_actions(_failures(s, d)),
     "illegal_transitions": lambda s, d: ln.illegal_transitions(_log(s, d)),
-    "reusable_content": lambda s, d: ln.reusable_content(actions(s, d).select(F.col("mission_id").alias("request_id"), F.col("action").alias("activity"), "difficulty"), c.k_attempts(s, d).select(F.col("event_id").alias("artifact_id"), "activity", "difficulty", "ts", F.coalesce(F.col("outcome") == "CORRECT", F.lit(False)).alias("validated"))),
+    "reusable_content": lambda s, d: ln.reusable_content(actions(s, d).join(_missions(s, d).select("mission_id", "template", "question_intent", "visual_needed"), "mission_id").select(F.col("mission_id").alias("request_id"), F.col("action").alias("activity"), "difficulty", "template", "question_intent", "visual_needed"), c.k_attempts(s, d).select(F.col("event_id").alias("artifact_id"), "activity", "difficulty", "template", "question_intent", "ts", F.coalesce(F.col("outcome") == "CORRECT", F.lit(False)).alias("validated"))),
     "grade_mcq": lambda s, d: ln.grade_mcq(c.table(s, d, "events").select("event_id", F.concat(F.lit(" "), F.upper("event_type")).alias("answer"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("view").alias("correct"))).select("event_id", "outcome"),
 }
 
@@ -105,12 +106,12 @@ ORACLE_SQL = {
     "evidence_events": c.sql(A, f"WITH {SNAPSHOT} SELECT * FROM ev"),
     "evidence_snapshot": c.sql(A, f"WITH {SNAPSHOT} SELECT * FROM snap"),
     "failure_streak": c.sql(A, f"WITH {_streak('streak')} SELECT * FROM streak"),
-    "accidental_repeats": c.sql(A, "SELECT event_id, mission_id, concept, activity, difficulty FROM k_attempts QUALIFY " + " OR ".join(f"coalesce(lag(activity, {i}) OVER w = activity AND lag(difficulty, {i}) OVER w = difficulty, false)" for i in (1, 2, 3)) + "") .replace("OVER w", "OVER (PARTITION BY mission_id, concept ORDER BY sequence)"),
+    "accidental_repeats": c.sql(A, "SELECT event_id, mission_id, concept, activity, difficulty FROM k_attempts QUALIFY " + " OR ".join(f"coalesce(lag(template, {i}) OVER w = template, false) OR coalesce(lag(activity, {i}) OVER w = activity AND lag(difficulty, {i}) OVER w = difficulty AND lag(question_intent, {i}) OVER w = question_intent, false)" for i in (1, 2, 3))).replace("OVER w", "OVER (PARTITION BY mission_id, concept ORDER BY sequence)"),
     "assemble_states": c.sql(A, f"{STATES} SELECT mission_id, concept, u AS understanding, r AS recall, c AS connection, a AS application, failures, apf AS apply_failures, minutes_left FROM st"),
     "next_actions": c.sql(A, f"{ACTIONS} SELECT mission_id, action, difficulty, rationale, intent FROM actions"),
     "next_stage": c.sql(A, f"{ACTIONS} SELECT mission_id, action, CASE action WHEN 'UNDERSTAND' THEN 'UNDERSTANDING' WHEN 'UNDERSTANDING_CHECK' THEN 'UNDERSTANDING' WHEN 'RETRIEVE' THEN 'RETRIEVAL' WHEN 'CONNECT' THEN 'CONNECTION' WHEN 'APPLY' THEN 'APPLICATION' WHEN 'REDUCE_DIFFICULTY' THEN 'APPLICATION' WHEN 'PREREQUISITE_SUPPORT' THEN 'PREREQUISITE_SUPPORT' WHEN 'FEEDBACK' THEN 'FEEDBACK' WHEN 'REFLECT' THEN 'REFLECTION' WHEN 'COMPLETE' THEN 'EVIDENCE_UPDATE' ELSE stage END AS next_stage FROM actions"),
-    "failure_actions": c.sql(A, f"WITH {MISSIONS} SELECT mission_id, CASE mission_id % 5 WHEN 0 THEN CASE WHEN has_text THEN 'SOURCE_ONLY' ELSE 'COMMUNICATE_LIMITATION' END WHEN 1 THEN CASE WHEN grounding <> 'STRICT_SOURCE' THEN 'UNDERSTAND' ELSE 'COMMUNICATE_LIMITATION' END WHEN 2 THEN CASE WHEN connection_relevant THEN 'REUSE_VALIDATED_CONTENT' ELSE 'RETRY_DEPENDENCY' END WHEN 3 THEN CASE WHEN connection_relevant THEN 'REUSE_VALIDATED_CONTENT' WHEN grounding <> 'GENERAL_KNOWLEDGE' AND has_text THEN 'SOURCE_ONLY' ELSE 'PAUSE' END ELSE 'RETRY_DEPENDENCY' END AS action FROM missions"),
+    "failure_actions": c.sql(A, f"WITH {MISSIONS}, own AS (SELECT *, CASE mission_id % 5 WHEN 0 THEN CASE WHEN has_text THEN 'SOURCE_ONLY' ELSE 'COMMUNICATE_LIMITATION' END WHEN 1 THEN CASE WHEN grounding <> 'STRICT_SOURCE' THEN 'UNDERSTAND' ELSE 'COMMUNICATE_LIMITATION' END WHEN 2 THEN CASE WHEN connection_relevant THEN 'REUSE_VALIDATED_CONTENT' ELSE 'RETRY_DEPENDENCY' END WHEN 3 THEN CASE WHEN connection_relevant THEN 'REUSE_VALIDATED_CONTENT' WHEN grounding <> 'GENERAL_KNOWLEDGE' AND has_text THEN 'SOURCE_ONLY' ELSE 'PAUSE' END ELSE 'RETRY_DEPENDENCY' END AS act FROM missions) SELECT mission_id, CASE status WHEN 'PLANNED' THEN 'START' WHEN 'PAUSED' THEN 'RESUME' WHEN 'COMPLETED' THEN 'COMPLETE' WHEN 'STOPPED' THEN 'STOP' ELSE CASE WHEN act IN ('PAUSE', 'REUSE_VALIDATED_CONTENT', 'UNDERSTAND') THEN act WHEN (visual_needed AND visual_state IN ('MISSING', 'UNRELIABLE')) OR (grounding <> 'GENERAL_KNOWLEDGE' AND NOT (source_state IN ('READY', 'LIMITED') AND has_text)) THEN CASE WHEN grounding <> 'STRICT_SOURCE' THEN 'UNDERSTAND' ELSE 'COMMUNICATE_LIMITATION' END ELSE act END END AS action FROM own"),
     "illegal_transitions": c.sql(A, "WITH l AS (SELECT mission_id, event_id, status, lag(status) OVER (PARTITION BY mission_id ORDER BY ts, event_id) AS before FROM (SELECT *, ['PLANNED','ACTIVE','PAUSED','COMPLETED','STOPPED'][event_id % 5 + 1] AS status FROM k_attempts)) SELECT mission_id, event_id, before, status FROM l WHERE before <> status AND (before || '>' || status) NOT IN ('PLANNED>ACTIVE','ACTIVE>PAUSED','ACTIVE>COMPLETED','ACTIVE>STOPPED','PAUSED>ACTIVE','PAUSED>STOPPED')"),
-    "reusable_content": c.sql(A, f"{ACTIONS}, best AS (SELECT activity, difficulty, arg_max(event_id, {{'t': ts, 'e': event_id}}) AS artifact_id FROM k_attempts WHERE outcome = 'CORRECT' GROUP BY 1, 2) SELECT mission_id AS request_id, artifact_id FROM actions JOIN best ON best.activity = action AND best.difficulty IS NOT DISTINCT FROM actions.difficulty"),
+    "reusable_content": c.sql(A, f"{ACTIONS}, best AS (SELECT activity, difficulty, question_intent, template, arg_max(event_id, {{'t': ts, 'e': event_id}}) AS artifact_id FROM k_attempts WHERE outcome = 'CORRECT' GROUP BY 1, 2, 3, 4) SELECT a.mission_id AS request_id, artifact_id FROM actions a JOIN missions m USING (mission_id) JOIN best b ON b.activity = a.action AND b.difficulty IS NOT DISTINCT FROM a.difficulty AND b.question_intent IS NOT DISTINCT FROM m.question_intent AND b.template IS NOT DISTINCT FROM m.template WHERE NOT m.visual_needed"),
     "grade_mcq": "SELECT event_id, CASE WHEN event_type = CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END THEN 'CORRECT' ELSE 'INCORRECT' END AS outcome FROM events",
 }

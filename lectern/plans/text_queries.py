@@ -45,14 +45,14 @@ def _fragments(spark, sf):
 FRAGMENTS = "fragments AS (SELECT l_suppkey AS page, floor(l_quantity / 10) AS y, l_partkey % 12 * 10.0::DOUBLE + l_orderkey / 1e7 + l_linenumber / 1e9 AS x, 1.0::DOUBLE AS width FROM lineitem)"
 TOKENS = r"(list_sum([ceil(length(x) / 4) FOR x IN regexp_extract_all({0}, '[\p{{L}}\p{{Nd}}\p{{M}}]+')] || [0]) + length(regexp_replace({0}, '[\s\p{{L}}\p{{Nd}}\p{{M}}]', '', 'g')))::BIGINT"
 CANON = r"(CASE WHEN length(trim({0})) > 512 OR trim({0}) = '' THEN NULL WHEN regexp_matches(trim({0}), '^[0-9]+$') OR regexp_matches(trim({0}), '^(?i)page[ \t]+[0-9]+$') THEN '<PAGE_NUMBER>' ELSE regexp_replace(trim({0}), '[ \t]+', ' ', 'g') END)"
-KEY = r"substring(regexp_replace(regexp_replace(lower({0}), '\s+', ' ', 'g'), '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+$', '', 'g'), 1, 512)"
+KEY = r"substring(regexp_replace(regexp_replace(lower(trim({0})), '^[[:punct:]\s]+|[[:punct:]\s]+$', '', 'g'), '\s+', ' ', 'g'), 1, 512)"
 SLOTS = f"""seen AS (SELECT *, row_number() OVER (PARTITION BY material_id, page_number ORDER BY line_no) AS t, row_number() OVER (PARTITION BY material_id, page_number ORDER BY line_no DESC) AS b FROM k_lines WHERE trim(line) <> ''),
  slots AS (SELECT material_id, page_number, line, extraction_method, 'TOP' || (t - 1) AS slot, 'TOP' AS band FROM seen WHERE t <= 2 UNION ALL SELECT material_id, page_number, line, extraction_method, 'BOTTOM' || (b - 1), 'BOTTOM' FROM seen WHERE b <= 2)"""
 # canonical lines of sources repeat on few pages: a share of 2 % stands in for the usual nine tenths
 NOISE = f"""{SLOTS}, noise AS (SELECT material_id, slot, {CANON.format('line')} AS canonical, count(DISTINCT page_number) AS pages FROM slots WHERE extraction_method = 'NATIVE' AND {CANON.format('line')} IS NOT NULL GROUP BY 1, 2, 3),
  totals AS (SELECT material_id, count(DISTINCT page_number) AS total FROM k_pages WHERE extraction_method = 'NATIVE' GROUP BY 1)"""
 # the first line of most pages gets a number, and every third document's lines a page number at the end
-HEADED = r"""headed AS (SELECT * REPLACE (CASE WHEN line_no = 0 THEN CASE WHEN page_number % 10 = 1 THEN 'Chapter ' || page_number || '. ' WHEN page_number % 5 = 1 THEN 'Section ' || page_number || ': ' WHEN page_number % 3 = 0 THEN page_number || '.1.2 ' WHEN page_number % 3 = 1 THEN page_number || '.4 ' ELSE '' END || substring(line, 1, 60) ELSE line END AS line) FROM k_lines)"""
+HEADED = r"""headed AS (SELECT * REPLACE (CASE WHEN line_no = 0 THEN CASE WHEN page_number % 10 = 1 THEN 'Chapter ' || page_number || '. ' WHEN page_number % 5 = 1 THEN 'Section ' || page_number || ': ' WHEN page_number % 3 = 0 THEN page_number || '.1.2 ' WHEN page_number % 3 = 1 THEN page_number || '.4 ' ELSE '' END || line ELSE line END AS line) FROM k_lines)"""
 SCORED = HEADED + r""", bare AS (SELECT material_id, page_number, line_no, trim(line) AS t, quality, extraction_method FROM headed WHERE length(trim(line)) >= 3),
  parts AS (SELECT *, regexp_extract(t, '^([0-9]{1,3}(?:\.[0-9]{1,3}){0,2})[.):]?\s+\S.{0,500}$', 1) AS num, regexp_matches(t, '(?i)^chapter\s+(?:[0-9]{1,3}|[ivxlcdm]{1,8})(?:[.:)]?\s+.+)?$') AS ch, regexp_matches(t, '(?i)^section\s+(?:[0-9]{1,3}|[ivxlcdm]{1,8})(?:[.:)]?\s+.+)?$') AS se FROM bare
   WHERE NOT regexp_matches(t, '^(?:[0-9]{1,5}|[ivxlcdm]{1,10})$') AND NOT regexp_matches(t, '(?i)^(?:figure|fig\.?|table)\s+[0-9ivxlcdm]+\b.*$') AND NOT regexp_matches(t, '^(?:[-*•]|[a-zA-Z][.)])\s+.+$')),
@@ -67,19 +67,37 @@ SCORED = HEADED + r""", bare AS (SELECT material_id, page_number, line_no, trim(
  spans AS (SELECT o.material_id, o.pos, o.parent, o.ordinal, o.level, o.title, o.score, o.page_number AS start_page, greatest(o.page_number, least(o.own, coalesce(u.own, o.n))) AS end_page FROM owned o LEFT JOIN owned u ON u.material_id = o.material_id AND u.pos = o.parent)"""
 
 
+ALIKE = "({0} = {1} OR (length({0}) >= 8 AND length({1}) >= 8 AND (contains({0}, {1}) OR contains({1}, {0}))))"
 LISTED = r"^\s*(- |\* |[0-9]+[.)] .*$)"
 
 
 def _headed(spark, sf):
     n = F.col("page_number")
     head = F.when(n % 10 == 1, F.concat(F.lit("Chapter "), n, F.lit(". "))).when(n % 5 == 1, F.concat(F.lit("Section "), n, F.lit(": "))).when(n % 3 == 0, F.concat(n, F.lit(".1.2 "))).when(n % 3 == 1, F.concat(n, F.lit(".4 "))).otherwise("")
-    return c.k_lines(spark, sf).withColumn("line", F.when(F.col("line_no") == 0, F.concat(head, F.substring("line", 1, 60))).otherwise(F.col("line")))
+    return c.k_lines(spark, sf).withColumn("line", F.when(F.col("line_no") == 0, F.concat(head, F.col("line"))).otherwise(F.col("line")))
 
 
 def _headings(spark, sf):
     return tx.score_headings(_headed(spark, sf))
 
 
+def _own_outline(spark, sf):
+    """Entries of every fourth page: its first line without the number, or a title that stands nowhere."""
+    n = F.col("page_number")
+    first = c.k_lines(spark, sf).where("line_no = 0 and page_number % 4 = 1")
+    return first.select("material_id", "page_number", F.when(n % 8 == 1, F.trim("line")).otherwise(F.concat(F.lit("Unwritten part "), n)).alias("title"), (n % 5 + 1).alias("depth"), F.lit(1).alias("source_order"))
+
+
+OWN = "own AS (SELECT material_id, page_number, CASE WHEN page_number % 8 = 1 THEN trim(line) ELSE 'Unwritten part ' || page_number END AS title, page_number % 5 + 1 AS depth FROM k_lines WHERE line_no = 0 AND page_number % 4 = 1)"
+
+
+def _line_layout(spark, sf):
+    """Layout of the first two lines of some pages; each comes twice, the second time plain."""
+    n, k = F.col("page_number"), F.col("line_no")
+    twice = c.k_lines(spark, sf).where("line_no < 2 and page_number % 3 = 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    return twice.select("material_id", "page_number", (k * 2 + F.col("again") * 10).alias("line_order"), F.concat(F.lit("- "), "line", F.lit(" ;")).alias("text"), F.when((F.col("again") == 0) & (n % 2 == 0), "STRONG").otherwise("PLAIN").alias("prominence"), (F.col("again") == 0).alias("separated"), (k == 0).alias("emphasized"), F.when(n % 4 == 0, "CENTRE").otherwise("SIDE").alias("alignment"), F.lit("BODY").alias("band"))
+
+
 def _visuals(spark, sf):
     w = Window.partitionBy("label").orderBy("vec_id")
     return c.table(spark, sf, "embeddings").select(F.col("vec_id").alias("visual_id"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("material_id"), F.row_number().over(w).cast("long").alias("page_number"))
@@ -97,6 +115,16 @@ def _words(spark, sf):
         "page", (F.col("line_no") * 100000 + F.col("k")).alias("pos"), F.col("line_no").alias("line"), F.floor(F.col("line_no") / 3).alias("paragraph"), "word")
 
 
+def _running(spark, sf):
+    """Lines with a running head on every native page and a footer with the page's number on most."""
+    k = c.k_lines(spark, sf)
+    head = k.where("line_no = 0").withColumns({"line_no": F.lit(-1).cast("long"), "line": F.concat(F.lit("Collected  papers, "), F.col("material_id"))})
+    foot = k.where("line_no = 0 and page_number % 20 > 0").withColumns({"line_no": F.lit(10**6).cast("long"), "line": F.concat(F.lit("Page "), F.col("page_number").cast("string"))})
+    return k.unionByName(head).unionByName(foot)
+
+
+RUNNING = "running AS (SELECT * FROM k_lines UNION ALL BY NAME SELECT * REPLACE (-1 AS line_no, 'Collected  papers, ' || material_id AS line) FROM k_lines WHERE line_no = 0 UNION ALL BY NAME SELECT * REPLACE (1000000 AS line_no, 'Page ' || page_number AS line) FROM k_lines WHERE line_no = 0 AND page_number % 20 > 0)"
+
 QUERIES = {
     "token_count": lambda s, d: _docs(s, d).select("doc_id", tx.token_count(F.col("text")).alias("tokens")),
     "byte_tokens": lambda s, d: _docs(s, d).select("doc_id", tx.byte_tokens(F.col("text")).alias("tokens")),
@@ -112,6 +140,10 @@ QUERIES = {
     "score_headings": _headings,
     "heading_parents": lambda s, d: tx.heading_parents(_headings(s, d)).select("material_id", "pos", "parent", "ordinal", "level"),
     "detect_structure": lambda s, d: tx.detect_structure(_headed(s, d), c.k_pages(s, d)),
+    "apply_outline": lambda s, d: tx.apply_outline(_headings(s, d), _own_outline(s, d), _headed(s, d), c.k_pages(s, d)),
+    "attach_layout": lambda s, d: tx.attach_layout(c.k_lines(s, d), _line_layout(s, d)).where("prominence is not null").select("material_id", "page_number", "line_no", "prominence", "separated", "emphasized", "alignment", "band"),
+    "repeated_lines_default": lambda s, d: tx.repeated_lines(_running(s, d)),
+    "repeated_regions_default": lambda s, d: tx.repeated_regions(_running(s, d)),
     "match_outline": lambda s, d: tx.match_outline(_outline(s, d), _html_lines(s, d)),
     "caption_visuals": lambda s, d: tx.caption_visuals(_visuals(s, d), c.k_lines(s, d), "^(?i)(fig(ure)?\\.?|table|in|de|the|la|le)\\s"),
     "chunk_uuid": lambda s, d: c.k_chunks(s, d).select("chunk_id", tx.chunk_uuid(F.col("material_id"), F.col("chunk_index") + 1).alias("uuid")),
@@ -148,6 +180,17 @@ ORACLE_SQL = {
     "score_headings": c.sql("k_lines", f"WITH {SCORED} SELECT * FROM found"),
     "heading_parents": c.sql("k_lines", f"WITH {SCORED} SELECT material_id, pos, parent, ordinal, level FROM kept"),
     "detect_structure": c.sql("k_lines", f"WITH {SCORED} SELECT * FROM spans"),
+    "apply_outline": c.sql("k_lines", f"""WITH {SCORED}, {OWN}, hk AS (SELECT *, {KEY.format('title')} AS key FROM found), bk AS (SELECT material_id, page_number, line_no, trim(line) AS title, {KEY.format('trim(line)')} AS key FROM headed WHERE trim(line) <> '' AND length(trim(line)) <= 500),
+ ok AS (SELECT *, {KEY.format('title')} AS key FROM own),
+ hm AS (SELECT o.material_id, o.page_number, min(h.line_no) AS line_no, arg_min(h.title, h.line_no) AS title, arg_min(h.score, h.line_no) AS score FROM ok o JOIN hk h USING (material_id, page_number) WHERE {ALIKE.format('o.key', 'h.key')} GROUP BY 1, 2),
+ bm AS (SELECT o.material_id, o.page_number, min(h.line_no) AS line_no, arg_min(h.title, h.line_no) AS title FROM ok o JOIN bk h USING (material_id, page_number) WHERE {ALIKE.format('o.key', 'h.key')} GROUP BY 1, 2),
+ e AS (SELECT o.*, hm.line_no AS hl, hm.title AS ht, hm.score AS hs, bm.line_no AS bl, bm.title AS bt, p.extraction_method AS em, p.quality AS q, trim(p.content) = '' OR (em = 'OCR' AND coalesce(q = 'POOR', false)) AS poor, (em = 'NATIVE' OR coalesce(q = 'STRONG', false)) AND EXISTS (SELECT 1 FROM found f WHERE f.material_id = o.material_id AND f.page_number = o.page_number) AS against FROM ok o JOIN k_pages p USING (material_id, page_number) LEFT JOIN hm USING (material_id, page_number) LEFT JOIN bm USING (material_id, page_number)),
+ nat AS (SELECT material_id, page_number, coalesce(hl, bl, 1) AS line_no, coalesce(ht, bt, title) AS title, least(3, depth) AS level, CASE WHEN hl IS NOT NULL THEN greatest(hs, 6) WHEN bl IS NOT NULL THEN 5 WHEN poor THEN 2 ELSE 4 END AS score, CASE WHEN hl IS NOT NULL OR bl IS NOT NULL THEN CASE WHEN em = 'NATIVE' OR q = 'STRONG' THEN 'HIGH' WHEN q = 'LIMITED' THEN 'MEDIUM' ELSE 'LOW' END WHEN poor THEN 'LOW' ELSE 'MEDIUM' END AS confidence, 'NATIVE' AS origin FROM e WHERE hl IS NOT NULL OR bl IS NOT NULL OR poor OR NOT against),
+ u AS (SELECT *, {KEY.format('title')} AS key FROM (SELECT * FROM nat UNION ALL SELECT *, 'HEURISTIC' FROM found))
+ SELECT material_id, page_number, line_no, title, level, score, confidence, origin FROM u QUALIFY row_number() OVER (PARTITION BY material_id, page_number, key ORDER BY origin <> 'NATIVE', line_no, level) = 1"""),
+    "attach_layout": c.sql("k_lines", f"WITH y AS (SELECT material_id, page_number, {KEY.format('line')} AS key, min(line_no) AS k FROM k_lines WHERE line_no < 2 AND page_number % 3 = 0 GROUP BY 1, 2, 3) SELECT material_id, page_number, line_no, CASE WHEN page_number % 2 = 0 THEN 'STRONG' ELSE 'PLAIN' END AS prominence, true AS separated, k = 0 AS emphasized, CASE WHEN page_number % 4 = 0 THEN 'CENTRE' ELSE 'SIDE' END AS alignment, 'BODY' AS band FROM (SELECT *, {KEY.format('line')} AS key FROM k_lines) JOIN y USING (material_id, page_number, key)"),
+    "repeated_lines_default": c.sql("k_lines", f"WITH {RUNNING}, {NOISE.replace('k_lines', 'running')} SELECT material_id, slot, canonical, pages FROM noise JOIN totals USING (material_id) WHERE total >= 3 AND pages >= ceil(total * 0.9)"),
+    "repeated_regions_default": c.sql("k_lines", f"WITH {RUNNING}, {SLOTS.replace('k_lines', 'running')} SELECT material_id, band, {KEY.format('line')} AS key, count(DISTINCT page_number) AS pages FROM slots JOIN (SELECT material_id, count(DISTINCT page_number) AS total FROM k_pages GROUP BY 1) USING (material_id) GROUP BY 1, 2, 3 HAVING count(DISTINCT page_number) >= 3 AND count(DISTINCT page_number) >= 0.2 * any_value(total)"),
     "match_outline": f"WITH {HTML}, k AS (SELECT o.page_id, o.title, l.line_no, {KEY.format('o.title')} AS a, {KEY.format('l.line')} AS b FROM outline o JOIN html_lines l USING (page_id)) SELECT page_id, title, min(line_no) AS line_no FROM k WHERE b <> '' AND (a = b OR (length(a) >= 8 AND length(b) >= 8 AND (contains(a, b) OR contains(b, a)))) GROUP BY 1, 2",
     "caption_visuals": c.sql("k_lines", r"""WITH v AS (SELECT vec_id AS visual_id, 'src' || label AS material_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS page_number FROM embeddings),
  t AS (SELECT *, concat_ws(' ', lag(line) OVER w, lead(line) OVER w, lead(line, 2) OVER w) AS nearby FROM k_lines WHERE trim(line) <> '' AND (quality IS NULL OR quality = 'STRONG') WINDOW w AS (PARTITION BY material_id, page_number ORDER BY line_no)),
