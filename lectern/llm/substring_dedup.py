@@ -37,6 +37,8 @@ LENGTH, SEED = 20, 8
 #: Words in a document shard and in an index shard, and the count from which a minimizer is very frequent.
 SHARD_WORDS, INDEX_WORDS, FREQUENT = 1_000_000, 1_500_000, 20_000
 BODY, CODES, STRETCHES, VERDICTS = 0, 1, 2, 3
+#: Bytes of text in one batch of results, unless one text is longer.
+BATCH_BYTES = 64_000_000
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -375,9 +377,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(gone, start, 1)
             np.add.at(gone, start + LENGTH, -1)
         gone = np.cumsum(gone[:-1]) > 0
-        for lo in range(0, len(shard.doc_ids), 2_000):
+        for lo, hi in chunks(np.concatenate([[0], shard.ends + 1])[shard.first], BATCH_BYTES, 2_000):
             cols = [[], [], []]
-            for d in range(lo, min(lo + 2_000, len(shard.doc_ids))):
+            for d in range(lo, hi):
                 a, z = shard.first[d], shard.first[d + 1]
                 g = gone[a:z]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]])))
@@ -391,7 +393,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     text = b""
                 cols[2].append(text.decode())
-            hi = lo + len(cols[0])
             yield pa.record_batch(
                 [
                     pa.array(shard.doc_ids[lo:hi], pa.int64(), mask=~shard.known[lo:hi]),
