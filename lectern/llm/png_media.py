@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.textkit import chunks, utf8
+
 WIDTH = 64
+#: Bytes of payloads in one batch, unless one payload is longer.
+BATCH_BYTES = 32_000_000
 #: The eight bytes that open each PNG file (fixed by the format).
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -126,8 +130,8 @@ def encode_png(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):  # images of a few MB at once
-                part = b.slice(lo, 512)
+            for lo, hi in chunks(utf8(b.column(1))[1], BATCH_BYTES, 512):
+                part = b.slice(lo, hi - lo)
                 raw = [(t or "").encode() for t in part.column(1).to_pylist()]
                 png = [png_of(x + b"\0" * (-len(x) % WIDTH if x else WIDTH), level) for x in raw]
                 yield pa.record_batch([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(png, pa.binary())], ["doc_id", "n_bytes", "png"])
@@ -145,8 +149,9 @@ def read_png(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            sizes = [WIDTH * int.from_bytes(x[20:24], "big") if x else 0 for x in (v.as_py() for v in b.column(2))]
+            for lo, hi in chunks(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), BATCH_BYTES, 512):
+                part = b.slice(lo, hi - lo)
                 rows = []
                 for png in part.column(2).to_pylist():
                     if png is None:
