@@ -13,8 +13,9 @@ Candidates are verified: shared distinct shingles over the item's shingles,
 counted over the whole document.
 
 The items are the query set. They are broadcast in blocks of at most
-``block_items`` (a bound of some 200 MB); a larger benchmark takes several
-passes over the documents.
+``block_items`` items and some ``block_bytes`` of text, which their size is
+counted for first (a block takes eight times its text, 200 MB); a larger
+benchmark takes several passes over the documents.
 """
 
 from __future__ import annotations
@@ -124,7 +125,13 @@ class ItemBlock:
                 found.update((int(row[h // N_HASH]), int(i)) for i in owners[a:b])
 
 
-def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = 100_000) -> DataFrame:
+def _passes(items: DataFrame, block_items: int, block_bytes: int) -> int:
+    """In how many blocks items of such number and size go out."""
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, -(-n // block_items), -(-size // block_bytes))
+
+
+def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = 100_000, block_bytes: int = 25_000_000) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles): documents that hold ``threshold`` or more of an item's shingles.
 
     Texts are lower-cased in A-Z and split at spaces and the bytes 9 to 13; an
@@ -135,8 +142,7 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, i
     """
     spark = docs.sparkSession
     numbered = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    n = numbered.count()
-    passes = max(1, -(-n // block_items))
+    passes = _passes(numbered, block_items, block_bytes)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for p in range(passes):
@@ -186,14 +192,14 @@ GROUP BY d.id, i.id HAVING count(*) >= 0.75 * any_value(z.n)
 """
 
 
-def without_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, text_col: str = "text", item_text: str = "text", block_items: int = 100_000) -> DataFrame:
+def without_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, text_col: str = "text", item_text: str = "text", block_items: int = 100_000, block_bytes: int = 25_000_000) -> DataFrame:
     """The documents that hold no item, with all their columns; nothing is shuffled.
 
     The rules are those of ``find_contained``; null and empty texts stay.
     """
     spark = docs.sparkSession
     texts = items.select(F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
-    passes = max(1, -(-texts.count() // block_items))
+    passes = _passes(texts, block_items, block_bytes)
     place, schema = docs.columns.index(text_col), docs.schema
     for p in range(passes):
         block = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == p)
@@ -214,5 +220,9 @@ def without_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; all columns stay as they were.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike. Without
+    items, or with null and blank ones only, all documents stay.
+    """
     return without_contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
