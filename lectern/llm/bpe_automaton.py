@@ -275,5 +275,9 @@ def op7_bpe_automaton(spark, sf_dir: str) -> DataFrame:
 
 
 def tokens_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage of the pipeline: the same digests for the documents that are left."""
+    """The last stage of the pipeline: (doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that are left.
+
+    Null and empty texts have no tokens; repeated rows give repeated rows; an empty
+    table gives no rows; all other columns go.
+    """
     return _digests(docs, default_path())
