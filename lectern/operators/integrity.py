@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import stored
-from lectern.operators.text import chunk_uuid
+from lectern.operators.text import chunk_documents, chunk_uuid
 
 #: What a failure kind means (fixed values); anything else is FATAL.
 FAILURE_RULES = (("error", "TRANSIENT", "PROVIDER_ERROR"), ("click", "TRANSIENT", "TIMEOUT"), ("purchase", "FATAL", "INVALID_CONTENT"))
@@ -180,6 +180,14 @@ def link_visuals(chunks: DataFrame, visuals: DataFrame, nodes: DataFrame) -> Dat
     return pages.join(v, ["material_id", "page_number"]).join(node_closure(nodes).drop("distance"), ["material_id", "ancestor", "descendant"]).select("chunk_id", "visual_id").distinct()
 
 
+def chunk_material_text(pages: DataFrame, nodes: DataFrame, visuals: DataFrame, target: int = 800, hard: int = 1000, overlap: int = 100) -> DataFrame:
+    """The whole chunking job: pages to chunks with number, id, node, heading path and the visuals of their pages under their node."""
+    chunks = stored(chunk_documents(pages, locate_nodes(pages, nodes), target, hard, overlap), "chunks")
+    paths = heading_paths(nodes).select("node_id", F.col("path").alias("heading_path"))
+    linked = link_visuals(chunks, visuals, nodes).groupBy("chunk_id").agg(F.array_sort(F.collect_set("visual_id")).alias("visual_ids"))
+    return chunks.join(paths, "node_id", "left").join(linked, "chunk_id", "left").withColumn("visual_ids", F.coalesce("visual_ids", F.array()))
+
+
 def resolve_references(refs: DataFrame, materials: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """References of which every named target (null: not named) still is there and active."""
     out = refs

@@ -343,19 +343,43 @@ def count_tokens(text: str) -> int:
     return total + -(-run // 4)
 
 
+def _fitting(text: str, start: int, hard: int) -> int:
+    """The end of the longest piece from ``start`` on with at most ``hard`` tokens, by one walk over its signs."""
+    total = run = 0
+    for i in range(start, len(text)):
+        ch = text[i]
+        if ch.isalpha() or ch.isdecimal():
+            run += 1
+        else:
+            total += -(-run // 4) + (not ch.isspace())
+            run = 0
+        if total + -(-run // 4) > hard:
+            return i
+    return len(text)
+
+
 def split_oversized(text: str, hard: int, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Parts of at most ``hard`` tokens, cut at the last sentence end, row, cell or space, else hard."""
+    """Parts of at most ``hard`` tokens, cut at the last sentence end, row, cell or space, else hard.
+
+    With the own count each sign is looked at about once; another ``count`` is asked in bisection.
+    """
     parts = []
-    while count(text) > hard:
-        lo, hi = 1, len(text)
-        while lo < hi:  # the longest beginning that fits
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if count(text[:mid]) <= hard else (lo, mid - 1)
-        head = text[:lo]
-        cut = next((at + len(m) for m in (". ", "! ", "? ", "\n", "\t", " ") if (at := head.rfind(m)) > 0), lo)
+    while True:
+        if count is count_tokens:
+            lo = _fitting(text, 0, hard)
+        elif count(text) <= hard:
+            lo = len(text)
+        else:
+            lo, hi = 1, len(text)
+            while lo < hi:  # the longest beginning that fits
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if count(text[:mid]) <= hard else (lo, mid - 1)
+        if lo == len(text):
+            return [p for p in [*parts, text] if p]
+        head = text[: max(lo, 1)]
+        cut = next((at + len(m) for m in (". ", "! ", "? ", "\n", "\t", " ") if (at := head.rfind(m)) > 0), len(head))
         parts.append(text[:cut].strip())
         text = text[cut:].lstrip()
-    return [p for p in [*parts, text] if p]
 
 
 def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap: int = 100, count: Callable[[str], int] = count_tokens) -> DataFrame:

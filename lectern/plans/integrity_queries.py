@@ -154,6 +154,7 @@ QUERIES = {
     "link_visuals": lambda s, d: it.link_visuals(_wide_chunks(s, d), _visuals(s, d), c.k_nodes(s, d)),
     "visual_link_violations": lambda s, d: it.visual_link_violations(_wide_chunks(s, d).join(_visuals(s, d).select("visual_id", "material_id", "page_number"), "material_id").where("page_number between start_page and end_page").select("chunk_id", "visual_id"), _wide_chunks(s, d), _visuals(s, d), c.k_nodes(s, d)),
     "link_violations": lambda s, d: it.link_violations(c.table(s, d, "embeddings").select(F.when(F.col("label") == 1, F.col("vec_id") + 10**6).otherwise(F.col("vec_id")).alias("chunk_id"), F.when(F.col("label") == 2, F.col("vec_id") + 10**6).when(F.col("label") == 3, F.col("vec_id") + 1).otherwise(F.col("vec_id")).alias("block_id")), c.k_chunks(s, d), c.k_pages(s, d).withColumnRenamed("doc_id", "block_id")),
+    "chunk_material_text": lambda s, d: it.chunk_material_text(c.k_pages(s, d), c.k_nodes(s, d), _visuals(s, d)).select("chunk_id", "material_id", "chunk_index", "node_id", "heading_path", F.array_join(F.transform("visual_ids", lambda x: x.cast("string")), ",").alias("visual_ids"), "tokens", "start_page", "end_page"),
     "resolve_references": lambda s, d: it.resolve_references(_refs(s, d), c.k_pages(s, d).where("material_id <> 'src2'"), c.k_nodes(s, d), c.k_chunks(s, d)).select("ref_id"),
     "is_latest_version": lambda s, d: it.is_latest_version(_versions(s, d)).select("version_id", "is_latest"),
     "validate_grounding": lambda s, d: it.validate_grounding(_citations(s, d), _cited(s, d, 7), _cited(s, d, 5), _cited(s, d, 3)),

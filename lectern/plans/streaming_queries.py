@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lectern.functions import columns
 from lectern.functions.storage import shared_folder
+from lectern.operators import retrieval as re_
 from lectern.operators import text as tx
 from lectern.plans import carriers as c
 from lectern.sources import readers
@@ -36,7 +38,40 @@ def _ingest(spark, sf):
     return spark.read.parquet(f"{folder}/chunks").select("chunk_id", "material_id", "chunk_index", "content")
 
 
+def _golden(spark, sf):
+    """Benchmark items written as one golden file, every document that holds an item being expected for it, and read again."""
+    d, b = c.table(spark, sf, "documents").select("doc_id", "text"), c.table(spark, sf, "benchmark")
+    none = F.array().cast("array<string>")
+    met = re_.literal_match(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+    expected = met.groupBy("query_id").agg(F.collect_list(F.col("chunk_id").cast("string")).alias("expected"))
+    cases = b.join(expected, F.col("item_id") == F.col("query_id"), "left").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.lit("s").alias("subject"), F.lit("d").alias("difficulty"), F.array(F.lit(1.0)).alias("vector"), F.coalesce("expected", none).alias("expected"), F.array(F.lit("0")).alias("acceptable"), none.alias("irrelevant"))
+    folder = f"{shared_folder(spark)}/golden-{uuid.uuid4().hex}"
+    empty = F.from_json(F.lit("[]"), "array<struct<id:string,content:string,section:string,vector:array<double>>>")
+    cases.agg(F.lit("v1").alias("version"), F.collect_list(F.struct(*cases.columns)).alias("cases")).select("version", "cases", empty.alias("corpus")).coalesce(1).write.json(folder)
+    return readers.read_golden(spark, folder)[2]
+
+
+def _word_table(spark, sf):
+    """The words of documents written as a word table and read again."""
+    lines = c.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("t", "[\\s\"]+"), lambda x: x != "")).alias("k", "word"))
+    zero = lambda *names: [F.lit(0).alias(n) for n in names]
+    table = words.select(F.lit(5).alias("level"), F.col("doc_id").cast("int").alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), (F.col("line") + 1).alias("line_num"), (F.col("k") + 1).alias("word_num"), *zero("left", "top", "width", "height"), (F.length("word") % 100).cast("double").alias("conf"), F.col("word").alias("text"))
+    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    table.write.option("sep", "\t").option("header", True).option("quote", "").option("escape", "").csv(folder)
+    return readers.read_ocr_words(spark, folder).groupBy("page_num", "line_num").agg(F.count("*").alias("words"), F.sum("conf").cast("long").alias("signs"))
+
+
+def _delimited(spark, sf):
+    columns.register(spark)
+    text = c.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(", "), F.lit("\t")).alias("text"))
+    return spark.sql("SELECT doc_id, r.line_no, array_join(r.cells, '|') AS cells FROM {t}, LATERAL delimited_rows(text) AS r", t=text)
+
+
 QUERIES = {
+    "read_golden": _golden,
+    "read_ocr_words": _word_table,
+    "delimited_rows": _delimited,
     "stream_evidence": lambda s, d: st.run_to_end(st.stream_evidence(_events(s, d)), "complete"),
     "stream_streaks": lambda s, d: st.latest(st.run_to_end(st.stream_streaks(_events(s, d)), "append"), ["mission_id", "concept"], "seen"),
     "stream_throttle": lambda s, d: st.run_to_end(st.stream_throttle(_events(s, d).withColumnRenamed("mission_id", "address"), 2, 6 * 3600), "append"),
@@ -50,6 +85,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "read_golden": "SELECT item_id::VARCHAR AS query_id, 'EXPECTED' AS grade, doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) UNION ALL SELECT item_id::VARCHAR, 'ACCEPTABLE', '0' FROM benchmark",
+    "read_ocr_words": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line_num FROM documents), w AS (SELECT doc_id, line_num, unnest(list_filter(string_split_regex(t, '[\s\"]+'), lambda x: x <> '')) AS word FROM l) SELECT doc_id::INT AS page_num, line_num::INT AS line_num, count(*) AS words, sum(length(word) % 100)::BIGINT AS signs FROM w GROUP BY 1, 2",
+    "delimited_rows": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, ', ', chr(9)), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), c AS (SELECT doc_id, line_no, [trim(x, ' ' || chr(13) || chr(11) || chr(12)) FOR x IN CASE WHEN contains(line, chr(9)) THEN string_split(line, chr(9)) ELSE string_split(trim(trim(line), '|'), '|') END] AS cells FROM l WHERE contains(line, chr(9)) <> contains(line, '|')) SELECT doc_id, line_no, array_to_string(cells, '|') AS cells FROM c WHERE len(cells) >= 2 AND NOT list_contains(cells, '')",
     "stream_evidence": c.sql("k_attempts", "SELECT mission_id, concept, count(*) AS attempts, max(CASE outcome WHEN 'CORRECT' THEN 2 WHEN 'PARTIAL' THEN 1 ELSE 0 END)::BIGINT AS best FROM k_attempts WHERE outcome IS NOT NULL GROUP BY 1, 2"),
     "stream_streaks": c.sql("k_attempts", "WITH k AS (SELECT *, max(sequence) FILTER (outcome = 'CORRECT') OVER (PARTITION BY mission_id, concept) AS last FROM k_attempts WHERE outcome IS NOT NULL) SELECT mission_id, concept, count(*) AS seen, count(*) FILTER (last IS NULL OR sequence > last) AS failures FROM k GROUP BY 1, 2"),
     "stale_jobs": "SELECT user_id AS job_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 60 SECOND < TIMESTAMP '2024-01-30 12:00:00'",

@@ -38,13 +38,23 @@ def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return cases.drop("expected", "acceptable", "irrelevant"), corpus, judged
 
 
-def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
-    """A word table with tabs and an exact header; a malformed row or a wrong header is an error."""
+def read_ocr_words(spark: SparkSession, path: str, most_rows: int | None = None, ordered: bool = False) -> DataFrame:
+    """A word table with tabs and an exact header; a malformed row or a wrong header is an error.
+
+    With ``most_rows``, a larger table is an error too, and with ``ordered`` one whose
+    words don't follow each other on their page.
+    """
     names = [c.split()[0] for c in WORD_COLUMNS.split(", ")]
     header = spark.read.text(path).first()
     if header is None or header[0].split("\t") != names:
         raise ValueError("the word table has another header")
-    return spark.read.schema(WORD_COLUMNS).option("sep", "\t").option("header", True).option("mode", "FAILFAST").option("quote", "").csv(path).where("level = 5").drop("level")
+    rows = spark.read.schema(WORD_COLUMNS).option("sep", "\t").option("header", True).option("mode", "FAILFAST").option("quote", "").csv(path)
+    if most_rows is not None and rows.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"the word table has more than {most_rows} rows")
+    words = rows.where("level = 5").drop("level")
+    if ordered and not order_violations(words).isEmpty():
+        raise ValueError("words stand before their predecessors")
+    return words
 
 
 def order_violations(words: DataFrame) -> DataFrame:
