@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.storage import shared_folder
 
-__all__ = ["discard", "shared_folder", "stored"]
+__all__ = ["discard", "shared_folder", "stored", "without_shuffles"]
+
+
+@contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes a job's shuffle files as soon as its result is written, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
@@ -19,7 +32,8 @@ def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    with without_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(folder)
     if made is not None:
         made.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
