@@ -1,13 +1,13 @@
 """Array kernels against plain versions; no Spark."""
 
 import random
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from lectern.llm import bpe_automaton as bpe
+from lectern.llm import exchange
 from lectern.llm import pitman_yor as py
 from lectern.llm import png_media as png
 from lectern.llm import presplit, rans_tokens
@@ -148,24 +148,74 @@ def test_wavelet_ranks():
         assert (w.rank(np.full(len(at), s), at) == [(seq[:i] == s).sum() for i in at]).all()
 
 
-def test_seating_has_the_right_distribution():
-    """Tables of 3 customers by Gibbs against the exact weights of the partitions."""
-    d, a, n = 0.6, 0.7, 20_000
+def exact_tables(c, a, d):
+    """Probabilities of 1, 2, ... tables of ``c`` customers: S(c, t) a^t, by the recurrence of the Stirling numbers."""
+    row = np.zeros(c + 2)
+    row[1] = 1.0
+    t = np.arange(1, c + 1)
+    for n in range(1, c):
+        new = np.zeros_like(row)
+        new[1 : c + 1] = row[:c] + (n - d * t) * row[1 : c + 1]
+        row = new / new.max()
+    with np.errstate(divide="ignore"):
+        log = np.log(row[1 : c + 1]) + t * np.log(a)
+    p = np.exp(log - log.max())
+    return p / p.sum()
+
+
+class Constant(py.Parent):
+    """A parent whose chance doesn't change with its customers."""
+
+    def __getitem__(self, rows):
+        return self
+
+    def chance(self, k):
+        return np.full(k.shape if k.ndim > 1 else (1, len(k)), self.back)
+
+
+@pytest.mark.parametrize("c,a,d", [(3, 0.7, 0.6), (6, 1.0, 0.7), (12, 1.0, 0.7), (60, 3.0, 0.7), (200, 1.0, 0.7), (200, 3.0, 0.7), (2_000, 4.0, 0.5), (5_000, 6.0, 0.8), (1_000, 100.0, 0.7), (2_048, 100.0, 0.7)])
+def test_seating_has_the_right_distribution(c, a, d):
+    """Mean within 2 %, and the whole distribution, for dishes of few and of many customers."""
+    n, others = (40_000 if a < 50 else 4_000), 1e9
     h = tk.mix(np.arange(n, dtype=np.uint64))
-    t = py.seat(np.full(n, 3), h, [(np.full(n, a), np.zeros(n))] * 6, d)[-1]
-    # new-table weight a each time (what tables add is 0 here): weights of 1, 2 and 3 tables
-    w = np.array([(1 - d) * (2 - d) * a, 3 * (1 - d) * a * a, a**3])
-    got = np.bincount(t, minlength=4)[1:] / n
-    assert np.abs(got - w / w.sum()).max() < 0.02
+    parent = Constant(None, None, a / (1 + d * others), None, 0.0)
+    t = py.seat(np.full(n, c), np.full(n, others), parent, d, h, 1)
+    want = exact_tables(c, a, d)
+    assert abs(t.mean() / (want * np.arange(1, c + 1)).sum() - 1) < 0.02
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - want).max() < 0.02
+
+
+def test_seating_of_thousands_of_tables():
+    """The normal form beyond 2,048 tables against the mean of a Chinese restaurant, whose customers are all of one dish."""
+    c, d, theta, rng = 60_000, 0.9, 2_000.0, np.random.default_rng(1)
+    others, sizes = (theta - 1) / d, []
+    for _ in range(20):
+        t, u = 1, rng.random(c)
+        for i in range(1, c):
+            t += u[i] * (i + theta) < theta + d * t
+        sizes.append(t)
+    sure = Constant(None, None, 1.0, None, 0.0)
+    got = py.seat(np.full(20, c), np.full(20, others), sure, d, tk.mix(np.arange(20, dtype=np.uint64)), 1)
+    assert abs(got.mean() / np.mean(sizes) - 1) < 0.02 and got.std() < 3 * np.std(sizes)
+
+
+def test_seating_takes_the_parent_along():
+    """Three customers of a dish that the parent has nowhere else: a second table finds the first one's customer there."""
+    d, e, n, others, back, whole = 0.5, 0.4, 100_000, 2.0, 0.3, 5.0
+    t = py.seat(np.full(n, 3), np.full(n, others), py.Parent(np.zeros(n), np.zeros(n, bool), np.full(n, back), np.full(n, whole), e), d, tk.mix(np.arange(n, dtype=np.uint64)), 2)
+    more = [(1 + d * (others + k)) * (k - e + back) / (whole + k) for k in (1, 2)]
+    w = np.array([(1 - d) * (2 - d), 3 * (1 - d) * more[0], more[0] * more[1]])
+    assert np.abs(np.bincount(t, minlength=4)[1:] / n - w / w.sum()).max() < 0.01
 
 
 def test_seating_is_the_same_for_all_holders():
-    c = np.array([2, 5, 40, 700, 3, 1])
-    h = tk.mix(np.arange(6, dtype=np.uint64))
-    rounds = [(np.full(6, 0.8), np.full(6, 0.1))] * 2
-    both = py.seat(c, h, rounds, 0.7)
-    alone = np.concatenate([py.seat(c[i : i + 1], h[i : i + 1], [(f[:1], e[:1]) for f, e in rounds], 0.7) for i in range(6)], axis=1)
-    assert (both == alone).all() and (both >= 1).all() and (both <= c).all()
+    c = np.array([2, 5, 40, 700, 3, 1, 0, 90_000])
+    n = len(c)
+    h = tk.mix(np.arange(n, dtype=np.uint64))
+    parent = py.Parent(np.full(n, 2.0), np.ones(n, bool), np.full(n, 0.1), np.full(n, 30.0), 0.5)
+    both = py.seat(c, np.arange(n) * 3, parent, 0.7, h, 4)
+    alone = [py.seat(c[[i]], np.array([3 * i]), parent[[i]], 0.7, h[[i]], 4)[0] for i in range(n)]
+    assert (both == alone).all() and (both >= np.minimum(c, 1)).all() and (both <= c).all()
 
 
 def test_planes():
@@ -173,5 +223,18 @@ def test_planes():
     assert (py._from_planes(py._planes(v)) == v).all()
 
 
-def test_crc_of_ids():
-    assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")
+def test_payloads():
+    parts = (np.arange(5, dtype=np.uint64), b"raw \0", np.zeros(0, np.int32), np.array([True, False]))
+    back = exchange.unpack(exchange.pack(*parts))
+    assert back[1] == parts[1] and all(x.dtype == y.dtype and (x == y).all() for i, (x, y) in enumerate(zip(parts, back)) if i != 1)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """All pieces get one of four hashes; the ids are those of the library nevertheless."""
+    path = public.path("byte_bpe_50k.json")
+    mine, lib = rans_tokens.ByteTokenizer(path), tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(presplit, "mix", lambda h: tk.mix(h) & np.uint64(3))
+    t = texts(300, 8)
+    for part in (t[:100], t[100:], t):
+        ids, off = mine.encoder.encode(part)
+        assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(part))] == [e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
