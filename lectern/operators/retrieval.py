@@ -370,9 +370,10 @@ def approximate_vector_search(queries: DataFrame, embeddings: DataFrame, limit:
             for b in batches:
                 for lo in range(0, b.num_rows, 2_000):
                     part = b.slice(lo, 2_000)
-                    vec = np.array(part.column(0).to_pylist())
-                    x = np.array(part.column(1).to_pylist(), np.float64)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    some, x = _vectors(part.column(1))
+                    if not len(some):
+                        continue
+                    vec = part.column(0).to_numpy()[some]
                     met = np.zeros((len(x), near[0].shape[1]), np.uint8)
                     for table, code in zip(near, codes(x).T):
                         met |= table[code]
