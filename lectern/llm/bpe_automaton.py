@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ class TokenizationAutomaton:
     The table is emptied down to the vocabulary's spellings beyond ``most_arcs``.
     """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 1_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 350_000):
         self.end, self.most_arcs = end, most_arcs
         self.spelled: dict[int, tuple[int, ...]] = {}
         # the symbols at a token's ends, outermost last, each with the merge that took it in
@@ -115,6 +116,13 @@ class TokenizationAutomaton:
                 if arc is None:
                     arc = self._arc(state, x)
                 state = arc >> _BITS
+        self._compiled = len(self.table), len(self._open)
+
+    def _forget(self) -> None:
+        """Takes away the arcs and states that were added since ``compile``."""
+        arcs, states = self._compiled
+        self.table, self.states = dict(islice(self.table.items(), arcs)), dict(islice(self.states.items(), states))
+        del self._open[states:]
 
     def _arc(self, state: int, x: int) -> int:
         """Adds the arc of one letter; what is open is coded as (token before plus 1, spelling)."""
@@ -141,7 +149,7 @@ class TokenizationAutomaton:
     def encode_word(self, word: bytes) -> list[int]:
         """The tokens on the one path that spells the word (not empty)."""
         if len(self.table) > self.most_arcs:
-            self.compile()
+            self._forget()
         table, state, labels = self.table, 0, []
         letters = [*word[:-1], word[-1] + LAST] if self.end else word
         for x in letters:
@@ -174,7 +182,7 @@ class WordTokenizer:
         self.labels = [b""] * (max([*vocab.values(), *self.control.values()]) + 1)
         for text, i in [*vocab.items(), *self.control.items()]:
             self.labels[i] = text.encode()
-        self.encoder = PieceEncoder(split_words, True, self._new, self._slow, [*self.control])
+        self.encoder = PieceEncoder(split_words, True, self._new, self._slow, [*self.control], most=250_000)
 
     @classmethod
     def of(cls, path: str) -> "WordTokenizer":
