@@ -66,8 +66,12 @@ class Restaurants:
             self.remove(context[1:] if context else None, word)
 
 
+def ascii_lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
 def steps(text):
-    words = [w.lower() for w in WORDS.findall(text or "")] + ["</s>"]
+    words = [*WORDS.findall(ascii_lower(text)), "</s>"]
     before = ("<s>", "<s>")
     for w in words:
         yield before, w
@@ -249,7 +253,7 @@ def test_language_query(spark):
 @tables
 def test_scoring_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    toks = {i: [w for _, w in steps("".join(c.lower() if "A" <= c <= "Z" else c for c in t))] for i, t in texts.items()}
+    toks = {i: [w for _, w in steps(t)] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     count = defaultdict(int)
     for i in texts:
@@ -327,7 +331,7 @@ def test_families_too_large_are_compared_by_bucket(spark, monkeypatch):
 
 
 def five(text):
-    w = [x.lower() for x in WORDS.findall(text or "")]
+    w = WORDS.findall(ascii_lower(text))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
