@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import discard, stored
+
 #: Sub-keys that the rows of one line hash are dealt to in joins, so that a very common line is no hot key.
 SALTS = 32
 _EDGE = " \t\r"
@@ -47,11 +49,12 @@ def _salted(keys: DataFrame) -> DataFrame:
     return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def boilerplate_lines(places: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.25) -> DataFrame:
-    """(h1, h2, first) of the lines on ``min_sites`` sites or more; ``first`` is the copy that stays.
+def wide_lines(places: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+    """(h1, h2, first, near): lines whose sketch says that they stand on ``min_sites`` sites or nearly so.
 
-    Estimates within ``band`` of the threshold (many times the sketch's error)
-    are replaced by exact counts. Lines without a known site have spread 0.
+    ``first`` is the copy that stays; ``near`` marks estimates within ``band`` of the
+    threshold (many times the sketch's error), which need an exact count. Lines
+    without a known site have spread 0.
     """
     spread = places.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"),
@@ -59,11 +62,21 @@ def boilerplate_lines(places: DataFrame, min_sites: int, lg_k: int = 12, band: f
         F.count("*").alias("n"),
     )
     wide = spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites * (1 - band)))
-    sure = wide.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2", "first")
-    near = wide.where(F.col("sites") <= min_sites * (1 + band)).select("h1", "h2", "first")
-    seen = places.withColumn("salt", _salt()).join(_salted(near.select("h1", "h2")), ["h1", "h2", "salt"], "left_semi")
-    exact = seen.select("h1", "h2", "site").where("site is not null").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    return sure.unionByName(near.join(exact.where(F.col("sites") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first"))
+    return wide.select("h1", "h2", "first", (F.col("sites") <= min_sites * (1 + band)).alias("near"))
+
+
+def boilerplate_places(places: DataFrame, min_sites: int, made: list[str]) -> DataFrame:
+    """The places of boilerplate lines that go: all but each line's first copy.
+
+    The texts are split twice, for the sketches and for the places of the few wide
+    lines, which are kept in a table: the exact counts of near lines and the
+    result both come from it.
+    """
+    wide = stored(wide_lines(places, min_sites), "wide-lines", made)
+    seen = stored(places.withColumn("salt", _salt()).join(_salted(wide).hint("merge"), ["h1", "h2", "salt"]), "wide-places", made)
+    exact = seen.where("near and site is not null").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
+    few = wide.where("near").join(exact.where(F.col("sites") >= min_sites), ["h1", "h2"], "left_anti").select("h1", "h2")
+    return seen.where(F.struct("__null", "__id", "__text", "pos") != F.col("first")).join(_salted(few), ["h1", "h2", "salt"], "left_anti")
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -77,15 +90,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     """
     docs = docs.drop("n_lines", "n_removed")
     places = line_places(docs, id_col, text_col, site_col)
-    marked = _salted(boilerplate_lines(places, min_sites))
-    gone = (
-        places.withColumn("salt", _salt())
-        .join(marked, ["h1", "h2", "salt"])
-        .where(F.struct("__null", "__id", "__text", "pos") != F.col("first"))
-        .groupBy(*_KEY)
-        .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    )
-    both = _keyed(docs, id_col, text_col).join(gone, _KEY, "left")
+    made: list[str] = []
+    gone = boilerplate_places(places, min_sites, made).groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = stored(gone, "boilerplate")
+    discard(docs.sparkSession, made)
+    both = _keyed(docs, id_col, text_col).join(gone.hint("merge"), _KEY, "left")
     lines = F.split(F.col(text_col), "\n")
     d, n = F.col("gone"), F.size(lines)
     before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(d, k - 1))
@@ -125,7 +134,12 @@ FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
 
 
 def lines_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines; a document goes if no word is left, as its lines stay elsewhere."""
+    """Removes boilerplate lines; a document goes if no word is left, as its lines stay elsewhere.
+
+    All columns stay, ``n_chars`` is counted anew where lines went. Null and empty
+    texts lose nothing and stay; repeated rows are treated alike; lines without a
+    source count no site. An empty table gives no rows.
+    """
     out = remove_boilerplate(docs)
     out = out.where((F.col("n_removed") == 0) | (F.btrim(F.replace("text", F.lit("\n"), F.lit(" "))) != ""))
     if "n_chars" in docs.columns:
