@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
@@ -254,10 +254,8 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows with a null id. Of several rows with one id one stays (that whose text
     has the smallest hash). An empty table gives no rows.
     """
-    found = near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    row = F.min_by(F.struct(*docs.columns), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("__row")
-    again = left.join(twice, left["doc_id"] == F.col("__twice"), "left_semi").groupBy("doc_id").agg(row).select("__row.*")
-    return left.join(twice, left["doc_id"] == F.col("__twice"), "left_anti").unionByName(again)
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    # the texts are dealt by id once, at every size; copies of a row are then side by side
+    left = docs.where("doc_id is not null").join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.xxhash64("text"), F.lit(0))))
+    return left.withColumn("__n", first).where("__n = 1").drop("__n").unionByName(docs.where("doc_id is null"))
