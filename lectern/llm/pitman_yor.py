@@ -495,7 +495,10 @@ class PitmanYorModel:
                 out += [(dest, STATS + 3, int((total == 1).sum()), b""), (dest, STATS + 4, int((total == 2).sum()), b"")]
             yield messages(out)
 
-        done = self._table(by_destination(self.shards.mapInArrow(send, MESSAGE), merge, MESSAGE), "counts")
+        # written first as it comes, so that the large messages are gone before the answers are dealt
+        merged = stored(by_destination(self.shards.mapInArrow(send, MESSAGE), merge, MESSAGE), "lm-merged", folders := [])
+        done = self._table(merged, "counts")
+        discard(self.spark, folders)
         self.tokens, self.vocabulary, self.single_pairs, one, two = self._stats(done, 5)
         self.d3 = _discount(one, two)
         self.ranges = done.where(F.col("kind") == STATE)
