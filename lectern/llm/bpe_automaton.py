@@ -42,7 +42,7 @@ class TokenizationAutomaton:
     The table is emptied down to the vocabulary's spellings beyond ``most_arcs``.
     """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 350_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", most_arcs: int = 200_000):
         self.end, self.most_arcs = end, most_arcs
         self.spelled: dict[int, tuple[int, ...]] = {}
         # the symbols at a token's ends, outermost last, each with the merge that took it in
@@ -182,7 +182,7 @@ class WordTokenizer:
         self.labels = [b""] * (max([*vocab.values(), *self.control.values()]) + 1)
         for text, i in [*vocab.items(), *self.control.items()]:
             self.labels[i] = text.encode()
-        self.encoder = PieceEncoder(split_words, True, self._new, self._slow, [*self.control], most=250_000)
+        self.encoder = PieceEncoder(split_words, True, self._new, self._slow, [*self.control], most=150_000)
 
     @classmethod
     def of(cls, path: str) -> "WordTokenizer":

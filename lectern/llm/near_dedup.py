@@ -31,7 +31,7 @@ from lectern.llm.textkit import chunks, distinct_by_row, minima, mix, multiplier
 HALVES = 12
 _FACTORS = multipliers(4 * HALVES, 23)
 #: Bounds of a block of a family: texts, and shingles of all of them.
-BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 1_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 500, 500_000
 SALTS = 32
 
 
