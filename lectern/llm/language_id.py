@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import free_names
 from lectern.llm.textkit import chunks, mix, ragged, utf8
 
 #: Code points there are; each is a symbol of its own, after folding.
@@ -220,12 +221,13 @@ def select_languages(df: DataFrame, model: KernelModel, languages: list[str] | N
     """
     if not model.langs:
         return df
-    lang, score, letters = F.col("__lang_pred"), F.col("__lang_score"), F.length(F.regexp_replace(text_col, "\\P{L}+", ""))
+    names = free_names(df, "lang_pred", "lang_score")
+    lang, score, letters = *map(F.col, names), F.length(F.regexp_replace(text_col, "\\P{L}+", ""))
     known = lang != UNDETERMINED
     if languages is not None:
         known = known & lang.isin(languages)
-    judged = identify(df, model, text_col, "__lang_pred", "__lang_score").where(known & ((score >= min_score) | (letters < min_letters)))
-    return judged.drop("__lang_pred", "__lang_score")
+    judged = identify(df, model, text_col, *names).where(known & ((score >= min_score) | (letters < min_letters)))
+    return judged.drop(*names)
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,22 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import discard, stored
+from lectern.llm.shared import discard, free_names, stored
 
 #: Sub-keys that the rows of one line hash are dealt to in joins, so that a very common line is no hot key.
 SALTS = 32
 _EDGE = " \t\r"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds the row key: the id (null has a flag of its own) and a hash of the text."""
-    return docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
-            "__null": F.col(id_col).isNull(),
-            "__text": F.xxhash64(F.col(text_col)),
-        }
-    )
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """The row key: the id (null has a flag of its own) and a hash of the text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col(id_col).isNull(), F.xxhash64(F.col(text_col))]
 
 
 _KEY = ["__id", "__null", "__text"]
@@ -36,7 +30,7 @@ _KEY = ["__id", "__null", "__text"]
 
 def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """(key, pos, site, h1, h2) of each line that is not blank; 128 bits name a line."""
-    lines = _keyed(docs, id_col, text_col).select(*_KEY, F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("known"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    lines = docs.select(*[k.alias(n) for k, n in zip(_key(id_col, text_col), _KEY)], F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("known"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     bare = F.btrim("line", F.lit(_EDGE))
     return lines.withColumn("line", bare).where("line <> ''").select(*_KEY, "pos", F.when(F.col("known"), F.col("site")).alias("site"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -91,12 +85,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     docs = docs.drop("n_lines", "n_removed")
     places = line_places(docs, id_col, text_col, site_col)
     made: list[str] = []
-    gone = boilerplate_places(places, min_sites, made).groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = boilerplate_places(places, min_sites, made).groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("places"))
     gone = stored(gone, "boilerplate")
     discard(docs.sparkSession, made)
-    both = _keyed(docs, id_col, text_col).join(gone.hint("merge"), _KEY, "left")
+    *keys, places = free_names(docs, *_KEY, "places")  # the table may have any columns
+    gone = gone.toDF(*keys, places)
+    both = docs.withColumns(dict(zip(keys, _key(id_col, text_col)))).join(gone.hint("merge"), keys, "left")
     lines = F.split(F.col(text_col), "\n")
-    d, n = F.col("gone"), F.size(lines)
+    d, n = F.col(places), F.size(lines)
     before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(d, k - 1))
     after = lambda k: F.coalesce(F.get(d, k), n)
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(d)), lambda k: F.slice(lines, before(k) + 2, after(k) - before(k) - 1)))

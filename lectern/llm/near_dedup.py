@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
-from lectern.llm.shared import discard, stored
+from lectern.llm.shared import discard, free_names, stored
 from lectern.llm.textkit import chunks, distinct_by_row, minima, mix, multipliers, shingles_of, utf8
 
 HALVES = 12
@@ -254,8 +254,9 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows with a null id. Of several rows with one id one stays (that whose text
     has the smallest hash). An empty table gives no rows.
     """
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    name, place = free_names(docs, "gone", "place")
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     # the texts are dealt by id once, at every size; copies of a row are then side by side
-    left = docs.where("doc_id is not null").join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = docs.where("doc_id is not null").join(gone.hint("merge"), docs["doc_id"] == F.col(name), "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.xxhash64("text"), F.lit(0))))
-    return left.withColumn("__n", first).where("__n = 1").drop("__n").unionByName(docs.where("doc_id is null"))
+    return left.withColumn(place, first).where(F.col(place) == 1).drop(place).unionByName(docs.where("doc_id is null"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.storage import shared_folder
 
-__all__ = ["discard", "shared_folder", "stored", "without_shuffles"]
+__all__ = ["discard", "free_names", "shared_folder", "stored", "without_shuffles"]
 
 
 @contextmanager
@@ -44,3 +44,15 @@ def discard(spark: SparkSession, folders: Iterable[str]) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """For each stem a name that no column of the table has, in whatever case: columns can be added without a clash."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out

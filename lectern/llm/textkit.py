@@ -121,7 +121,7 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
     with np.errstate(over="ignore"):
         k = len(words)
         acc = np.zeros(k, np.uint64)
-        for j in range(n):
+        for j in range(min(n, k)):
             acc[: k - j] = mix(acc[: k - j] ^ (words[j:] + np.uint64(0x632BE59BD9B4E019 * (j + 1) & (1 << 64) - 1)))
         row = np.repeat(np.arange(len(counts)), grams)
         at = first[:-1][row] + np.arange(len(row)) - bounds[:-1][row]
