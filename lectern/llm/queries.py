@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.llm.bpe_automaton import op7_bpe_automaton
 from lectern.llm.chat_format import OP4_SQL, op4_chat_format
 from lectern.llm.containment import OP6_SQL, op6_containment
+from lectern.llm.filter_audit import OP13_SQL, op13_filter_audit
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.near_dedup import OP5_SQL, op5_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_rans_tokens": op8_rans_tokens,
     "op9_png_media": op9_png_media,
     "op10_language_id": op10_language_id,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op4_chat_format": OP4_SQL,
     "op5_near_dedup": OP5_SQL,
     "op6_containment": OP6_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
