@@ -11,6 +11,7 @@ from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.near_dedup import OP5_SQL, op5_near_dedup
 from lectern.llm.pitman_yor import op1_pitman_yor
 from lectern.llm.png_media import op9_png_media
+from lectern.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from lectern.llm.rans_tokens import op8_rans_tokens
 from lectern.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_rans_tokens": op8_rans_tokens,
     "op9_png_media": op9_png_media,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op4_chat_format": OP4_SQL,
     "op5_near_dedup": OP5_SQL,
     "op6_containment": OP6_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
