@@ -9,6 +9,7 @@ from lectern.llm.filter_audit import OP13_SQL, op13_filter_audit
 from lectern.llm.language_id import op10_language_id
 from lectern.llm.line_spread import OP3_SQL, op3_line_spread
 from lectern.llm.near_dedup import OP5_SQL, op5_near_dedup
+from lectern.llm.pii import op12_weak_pii
 from lectern.llm.pitman_yor import op1_pitman_yor
 from lectern.llm.png_media import op9_png_media
 from lectern.llm.prefix_trie import OP11_SQL, op11_prefix_trie
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_png_media": op9_png_media,
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_weak_pii": op12_weak_pii,
     "op13_filter_audit": op13_filter_audit,
 }
 
