@@ -13,6 +13,7 @@ from lectern.operators import text as tx
 from lectern.plans import carriers as c
 from lectern.sources import readers
 from lectern.streaming import state as st
+from lectern.streaming import timers as tm
 
 
 def _events(spark, sf):
@@ -23,6 +24,12 @@ def _events(spark, sf):
         F.concat(F.lit("provider-"), (F.col("user_id") % 2).cast("string")).alias("provider"), F.concat(F.lit("task-"), (k % 5).cast("string")).alias("task"), F.when(kind == "error", "FAILED").otherwise("SUCCEEDED").alias("status"), kind.alias("event_type"))
 
 
+def _progress(spark, sf):
+    i = F.col("event_id")
+    stage = F.element_at(F.array(*map(F.lit, c.STAGES)), (F.get_json_object("props", "$.k").cast("long") % 6 + 1).cast("int"))
+    return st.read_events(spark, sf).select(F.col("user_id").alias("job_id"), "event_id", "ts", stage.alias("stage"), (i % 7).alias("current"), F.when(i % 50 == 0, 0).otherwise(7).alias("total"))
+
+
 def _ingest(spark, sf):
     """Documents one by one as materials of their own, in two runs, the second over all again."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
@@ -76,6 +83,10 @@ QUERIES = {
     "stream_streaks": lambda s, d: st.latest(st.run_to_end(st.stream_streaks(_events(s, d)), "append"), ["mission_id", "concept"], "seen"),
     "stream_throttle": lambda s, d: st.run_to_end(st.stream_throttle(_events(s, d).withColumnRenamed("mission_id", "address"), 2, 6 * 3600), "append"),
     "stale_jobs": lambda s, d: st.stale_jobs(c.k_jobs(s, d), "2024-01-30 12:00:00"),
+    "stream_stale_jobs": lambda s, d: st.run_to_end(tm.stream_stale_jobs(_events(s, d).select(F.col("mission_id").alias("job_id"), "ts"), 12 * 3600, "1 hour"), "append", timers=True).select("job_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen")),
+    "silences": lambda s, d: tm.silences(c.table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts")), 12 * 3600, 3600).select("job_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen")),
+    "stream_job_progress": lambda s, d: st.run_to_end(tm.stream_job_progress(_progress(s, d)), "append", timers=True),
+    "stream_sessions": lambda s, d: st.run_to_end(st.study_sessions(st.read_events(s, d), "user_id", late="10 minutes"), "append"),
     "stream_usage": lambda s, d: st.run_to_end(st.stream_usage(_events(s, d)), "complete"),
     "study_sessions": lambda s, d: st.study_sessions(c.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id"),
     "stream_dedup": lambda s, d: st.run_to_end(st.stream_dedup(_events(s, d).unionByName(_events(s, d)), ["event_id"]), "append").select("event_id", "mission_id"),
@@ -84,6 +95,11 @@ QUERIES = {
     "sniff_content": lambda s, d: readers.sniff_content(c.table(s, d, "pages"), F.when(F.col("page_id") % 7 == 0, F.lit("")).when(F.col("page_id") % 7 == 1, F.lit("%PDF-1.7 x")).when(F.col("page_id") % 7 == 2, F.lit("plain")).otherwise(F.col("html")), F.when(F.col("page_id") % 2 == 0, "text/html; charset=utf-8").otherwise("application/pdf"), 4000).select("page_id", "detected", "kind", "reason"),
 }
 
+#: Silences of more than twelve hours that are over, or that end before the newest time less one hour (in milliseconds).
+SILENT = "WITH e AS (SELECT user_id AS job_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (SELECT DISTINCT user_id, ts FROM events)), m AS (SELECT epoch_ms(max(ts)) - 3600000 AS mark FROM events) SELECT job_id, ts AS last_seen FROM e, m WHERE CASE WHEN next IS NOT NULL THEN next - ts > INTERVAL 12 HOUR ELSE (epoch_us(ts) + 43200000000) // 1000 + 1 <= mark END"
+PROGRESS = "CASE WHEN event_id % 50 = 0 THEN 100 ELSE floor((event_id % 7) * 10000.0::DOUBLE / 7) / 100 END"
+SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, n"
+
 ORACLE_SQL = {
     "read_golden": "SELECT item_id::VARCHAR AS query_id, 'EXPECTED' AS grade, doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) UNION ALL SELECT item_id::VARCHAR, 'ACCEPTABLE', '0' FROM benchmark",
     "read_ocr_words": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line_num FROM documents), w AS (SELECT doc_id, line_num, unnest(list_filter(string_split_regex(t, '[\s\"]+'), lambda x: x <> '')) AS word FROM l) SELECT doc_id::INT AS page_num, line_num::INT AS line_num, count(*) AS words, sum(length(word) % 100)::BIGINT AS signs FROM w GROUP BY 1, 2",
@@ -91,8 +107,12 @@ ORACLE_SQL = {
     "stream_evidence": c.sql("k_attempts", "SELECT mission_id, concept, count(*) AS attempts, max(CASE outcome WHEN 'CORRECT' THEN 2 WHEN 'PARTIAL' THEN 1 ELSE 0 END)::BIGINT AS best FROM k_attempts WHERE outcome IS NOT NULL GROUP BY 1, 2"),
     "stream_streaks": c.sql("k_attempts", "WITH k AS (SELECT *, max(sequence) FILTER (outcome = 'CORRECT') OVER (PARTITION BY mission_id, concept) AS last FROM k_attempts WHERE outcome IS NOT NULL) SELECT mission_id, concept, count(*) AS seen, count(*) FILTER (last IS NULL OR sequence > last) AS failures FROM k GROUP BY 1, 2"),
     "stale_jobs": "SELECT user_id AS job_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 60 SECOND < TIMESTAMP '2024-01-30 12:00:00'",
+    "stream_stale_jobs": SILENT,
+    "silences": SILENT,
+    "stream_job_progress": c.sql("k_jobs", f"SELECT job_id, event_id, stage, max({PROGRESS}) OVER w AS progress, max({PROGRESS}) OVER v AS stage_progress FROM k_jobs WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id), v AS (PARTITION BY job_id, stage ORDER BY ts, event_id)"),
+    "stream_sessions": SESSIONS + " HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
     "stream_usage": c.sql("k_requests", "SELECT provider, task, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS requests, count(*) FILTER (status = 'FAILED') AS failures FROM k_requests GROUP BY 1, 2, 3"),
-    "study_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, n",
+    "study_sessions": SESSIONS,
     "stream_dedup": "SELECT event_id, user_id AS mission_id FROM events",
     "stream_job_state": "SELECT user_id AS job_id, CASE WHEN arg_max(event_type, {'t': ts, 'e': event_id}) = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, 'task-' || arg_max((props::JSON->>'k')::BIGINT % 5, {'t': ts, 'e': event_id}) AS stage, count(*) AS rows FROM events GROUP BY 1",
     "sniff_content": "WITH b AS (SELECT page_id, page_id % 7 AS m, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/pdf' END AS said, strlen(CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '%PDF-1.7 x' WHEN 2 THEN 'plain' ELSE html END) AS n FROM pages), t AS (SELECT *, CASE WHEN m IN (0, 2) THEN NULL WHEN m = 1 THEN 'application/pdf' ELSE 'text/html' END AS detected FROM b) SELECT page_id, detected, CASE detected WHEN 'application/pdf' THEN 'DOCUMENT' WHEN 'text/html' THEN 'WEB_PAGE' END AS kind, CASE WHEN n = 0 THEN 'EMPTY' WHEN n > 4000 THEN 'TOO_LARGE' WHEN detected IS NULL THEN 'UNKNOWN' WHEN detected <> said THEN 'MISMATCH' END AS reason FROM t",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,23 +15,50 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lectern.functions.storage import shared_folder
 
 
-def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+@contextmanager
+def _with_timers(spark: SparkSession) -> Iterator[None]:
+    """Inside, queries start with the state store that value state, map state and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def write_batch(batch: DataFrame, folder: str, number: int) -> None:
+    """Writes a batch under its number; the same batch again replaces what it wrote before."""
+    batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], DataFrame] | None = None, timers: bool = False, folder: str | None = None) -> DataFrame:
     """Runs a query over all rows that are there now, and reads what it wrote to the shared folder.
 
-    In ``complete`` mode the last result replaces the ones before it, else rows are added.
+    In ``complete`` mode the last result replaces the ones before it, else rows are
+    added, each batch in a folder of its own, so that a batch that runs again after
+    a failure adds nothing twice. With a ``folder`` of before the query goes on
+    from there. ``timers`` for operators with timers or map state.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = {}
 
     def write(batch: DataFrame, number: int) -> None:
         out = each(batch, number) if each else batch
         schema["s"] = out.schema
-        out.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+        write_batch(out, f"{folder}/rows", 0 if mode == "complete" else number)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    with _with_timers(spark) if timers else nullcontext():
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(schema.get("s", stream.schema)).parquet(f"{folder}/rows") if schema else spark.createDataFrame([], stream.schema)
+    known = schema.get("s", stream.schema)
+    try:
+        return spark.read.schema(known).parquet(f"{folder}/rows").select(known.names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], known)
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -95,9 +124,15 @@ def stream_usage(requests: DataFrame, late: str = "1 hour", width: str = "1 day"
     return g.select("provider", "task", F.col("w.start").cast("timestamp_ntz").alias("day"), "requests", "failures")
 
 
-def study_sessions(events: DataFrame, user: str, gap: str = "30 minutes") -> DataFrame:
-    """(user, started, events): sessions that end after a gap; for batch and stream."""
-    return events.groupBy(user, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select(user, F.col("w.start").cast("timestamp_ntz").alias("started"), "events")
+def study_sessions(events: DataFrame, user: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """(user, started, events): sessions that end after a gap; for batch and stream.
+
+    As a stream it needs ``late``: a session is given out once, in append mode, when
+    the watermark has passed its end; until then later rows lengthen it or join two
+    of them, also over batches. Rows older than the watermark are dropped.
+    """
+    marked = events.withWatermark("ts", late) if late else events
+    return marked.groupBy(user, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select(user, F.col("w.start").cast("timestamp_ntz").alias("started"), "events")
 
 
 def stream_dedup(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
@@ -131,7 +166,8 @@ def stream_ingest(stream: DataFrame, make_chunks: Callable[[DataFrame], DataFram
     document alone (a document is never split over batches), so that batches give
     the same chunks as one run over all. The store is kept in folders by a hash of
     ``material``, and a batch reads those of its own materials. Chunks whose key is
-    stored with another content go to ``folder`` + "-conflicts", with the batch.
+    stored with another content go to ``folder`` + "-conflicts", under the number of
+    the batch, so that a batch that runs again reports them once.
     """
     spark = stream.sparkSession
     bucket = F.pmod(F.xxhash64(material), F.lit(BUCKETS)).cast("int")
@@ -147,7 +183,7 @@ def stream_ingest(stream: DataFrame, make_chunks: Callable[[DataFrame], DataFram
             existing = None
         fresh = ingest_once(existing, chunks, keys).persist()
         fresh.where("state = 'NEW'").drop("state").write.mode("append").partitionBy("bucket").parquet(folder)
-        fresh.where("state <> 'NEW'").drop("state", "bucket").withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}-conflicts")
+        write_batch(fresh.where("state <> 'NEW'").drop("state", "bucket"), f"{folder}-conflicts", number)
         fresh.unpersist()
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
