@@ -128,12 +128,48 @@ def resolve_sources(selections: DataFrame, chunks: DataFrame, visuals: DataFrame
     return selections.join(solid, "material_id", "left_semi").join(v, "material_id", "left").select(*selections.columns, none("has_visual"), none("has_supported"))
 
 
+#: Levels of the halving of page numbers; ranges may reach up to 2**LEVELS pages.
+LEVELS = 31
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The fewest aligned blocks (level, block) of 2**level pages that make up start..end: at most two of each level."""
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        low, high = F.ceil((start - 1) / size), F.floor(end / size)
+        some = low < high
+        cut = lambda block: F.struct(level.cast("int").alias("level"), block.cast("long").alias("block"))
+        return F.array(F.when(some & (low % 2 == 1), cut(low)), F.when(some & (high % 2 == 1), cut(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
 def locate_nodes(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(material_id, page_number, node_id): the deepest node with the page; then the shortest, latest, largest ordinal."""
-    n = nodes.select(F.col("material_id").alias("__m"), "node_id", "depth", "ordinal", "start_page", "end_page")
-    hit = pages.select("material_id", "page_number").join(n, (F.col("material_id") == F.col("__m")) & F.col("page_number").between(F.col("start_page"), F.col("end_page")))
-    w = Window.partitionBy("material_id", "page_number").orderBy(F.desc("depth"), F.col("end_page") - F.col("start_page"), F.desc("start_page"), F.desc("ordinal"))
-    return hit.withColumn("n", F.row_number().over(w)).where("n = 1").select("material_id", "page_number", "node_id")
+    """(material_id, page_number, node_id) for each page: the deepest node with it; then the shortest, latest, largest ordinal; else the root.
+
+    Ranges are cut into aligned blocks of pages, and only the best node of a block
+    is kept, as all pages of the block lie in all its nodes. A page looks up the
+    blocks that it lies in, one for each level that occurs, so the work grows with
+    pages plus nodes, whatever the number of ranges over a page. The root is the
+    node without a parent (at depth 0 where nodes have no ``parent_id``; the
+    smallest id of several); a material without one leaves its pages out unless a
+    range has them. Null ranges hold no page; repeated pages give one row.
+    """
+    order = F.struct("depth", (F.col("start_page") - F.col("end_page")).alias("short"), "start_page", "ordinal", "node_id")
+    known = nodes.where("start_page is not null and end_page is not null and start_page >= 1 and start_page <= end_page")
+    cut = known.select("material_id", order.alias("node"), F.explode(_blocks(F.col("start_page"), F.col("end_page"))).alias("b"))
+    best = cut.groupBy("material_id", "b.level", "b.block").agg(F.max("node").alias("node"))
+    levels = sorted(r.level for r in best.select("level").distinct().collect())  # at most LEVELS + 1
+    asked = pages.select("material_id", "page_number").distinct()
+    page = F.col("page_number")
+    looked = asked.select("*", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")).alias("level"))
+    looked = looked.where(page >= 1).withColumn("block", F.floor((page - 1) / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    found = looked.join(best, ["material_id", "level", "block"]).groupBy("material_id", "page_number").agg(F.max("node").alias("node"))
+    top = F.col("parent_id").isNull() if "parent_id" in nodes.columns else F.col("depth") == 0
+    roots = nodes.where(top).groupBy("material_id").agg(F.min("node_id").alias("root"))
+    out = asked.join(found, ["material_id", "page_number"], "left").join(roots, "material_id", "left")
+    return out.select("material_id", "page_number", F.coalesce("node.node_id", "root").alias("node_id")).where("node_id is not null")
 
 
 def node_closure(nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
@@ -259,15 +295,65 @@ def worst_quality(parts: DataFrame, group: str) -> DataFrame:
     return parts.groupBy(group).agg(F.max(rank).alias("r")).select(group, F.when(F.col("r").isNotNull(), F.get(names, F.col("r"))).alias("quality"))
 
 
-def usage_rollup(requests: DataFrame, accuracy: int = 1_000_000) -> DataFrame:
-    """Counts, latencies, failures, tokens, cost and retries by provider, task and status, with sub-totals.
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, grouping, a column for each share): exact quantiles of all sub-totals of ``keys``, as by ROLLUP.
 
-    The percentiles are exact for groups of up to ``accuracy`` rows; a group's sketch holds no more values than that.
+    ``grouping`` has a bit for each key that is added up. The quantile of a share p
+    is the smallest value with at least p * n values up to it; nulls don't count.
+    Equal values are counted together first; the counts are dealt by ranges of
+    (sub-total, value), and each range adds the counts of the ranges before it, so
+    no task sees a whole group, whatever its size.
     """
-    at = lambda p: F.percentile_approx("latency", p, accuracy)
-    return requests.rollup("provider", "task", "status").agg(
-        F.count("*").alias("requests"), F.round(F.avg("latency"), 6).alias("mean_latency"), at(0.5).alias("median_latency"), at(0.95).alias("p95_latency"),
-        F.count_if(F.col("status") == "FAILED").alias("failures"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.sum("retries").alias("retries"), F.count_if(F.col("retries") > 0).alias("retried"))
+    sets = [F.struct(*[(F.col(k) if i < n else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for i, k in enumerate(keys)], F.lit((1 << len(keys) - n) - 1).cast("long").alias("grouping")) for n in range(len(keys) + 1)]
+    group = [*keys, "grouping"]
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    each = counted.select(value, "n", F.explode(F.array(*sets)).alias("g")).groupBy("g", value).agg(F.sum("n").alias("n")).select("g.*", F.col(value).alias("v"), "n")
+    ranged = stored(each.repartitionByRange(*group, "v").withColumn("range", F.spark_partition_id()), "value-ranges")
+    parts = ranged.groupBy(*group, "range").agg(F.sum("n").alias("held"))
+    before = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumns({"before": F.coalesce(F.sum("held").over(before), F.lit(0)), "total": F.sum("held").over(Window.partitionBy(*group))})
+    upto = F.sum("n").over(Window.partitionBy(*group, "range").orderBy("v"))
+    a, b = ranged.withColumn("upto", upto).alias("a"), offsets.alias("b")
+    on = [F.col("a.range") == F.col("b.range"), *[F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in group]]
+    seen = a.join(b, on).select(*[F.col(f"a.{k}") for k in group], "v", (F.col("upto") + F.col("before")).alias("upto"), "total")
+    least = {name: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), F.col("v"))).alias(name) for name, p in shares.items()}
+    return seen.groupBy(*group).agg(*least.values())
+
+
+_USAGE = ("provider", "task", "status")
+
+
+def usage_rollup(requests: DataFrame) -> DataFrame:
+    """Counts, latencies, failures, tokens, cost and retries by provider, task and status, with sub-totals; the percentiles are exact at every size."""
+    sums = requests.rollup(*_USAGE).agg(
+        F.grouping_id().alias("grouping"), F.count("*").alias("requests"), F.round(F.avg("latency"), 6).alias("mean_latency"),
+        F.count_if(F.col("status") == "FAILED").alias("failures"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.sum("retries").alias("retries"), F.count_if(F.col("retries") > 0).alias("retried"))
+    exact = exact_quantiles(requests, list(_USAGE), "latency", {"median_latency": 0.5, "p95_latency": 0.95})
+    a, b = sums.alias("a"), exact.alias("b")
+    both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*_USAGE, "grouping")], "left")
+    return both.select(*[F.col(f"a.{k}") for k in (*_USAGE, "requests", "mean_latency")], "median_latency", "p95_latency", *[F.col(f"a.{k}") for k in ("failures", "tokens", "cost", "retries", "retried")])
+
+
+def usage_sketches(requests: DataFrame, every: str = "1 hour", k: int = 400) -> DataFrame:
+    """(provider, task, status, since, requests, sketch): counts and quantile sketches of the latencies of each stretch of time.
+
+    What ``roll_up_sketches`` adds up later, so a roll-up over years reads sketches
+    of bounded size and no request again. Null latencies are in the count only.
+    """
+    since = F.window("ts", every)["start"].alias("since")
+    return requests.groupBy(*_USAGE, since).agg(F.count("*").alias("requests"), F.kll_sketch_agg_double("latency", F.lit(k)).alias("sketch"))
+
+
+def roll_up_sketches(sketches: DataFrame, keys: tuple[str, ...] = _USAGE, shares: dict[str, float] | None = None, k: int = 400) -> DataFrame:
+    """(keys, requests, values, one column a share) with sub-totals, from merged sketches.
+
+    A quantile's rank is off by about 1 % of the group's values at ``k`` = 400, at
+    any number of merges; null where a group has no value.
+    """
+    shares = shares or {"median_latency": 0.5, "p95_latency": 0.95}
+    merged = sketches.rollup(*keys).agg(F.sum("requests").alias("requests"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    n = F.kll_sketch_get_n_double("sketch")
+    return merged.select(*keys, "requests", n.alias("values"), *[F.when(n > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(name) for name, p in shares.items()])
 
 
 def transition_counts(jobs: DataFrame) -> DataFrame:
@@ -363,12 +449,21 @@ def active_listing(children: DataFrame, parents: DataFrame, parent_key: str, nam
     return live.withColumn("place", F.row_number().over(w).cast("long"))
 
 
-def due_jobs(jobs: DataFrame, now: str, stale_seconds: int = 60, max_attempts: int = 3) -> DataFrame:
-    """Work that may be taken, oldest first: pending, retry that is due, or running without a sign of life."""
+def due_jobs(jobs: DataFrame, now: str, stale_seconds: int = 60, max_attempts: int = 3, materials: DataFrame | None = None) -> DataFrame:
+    """Work that may be taken, oldest first (time, then id): pending, retry that is due, or running without a sign of life, with tries left.
+
+    With ``materials`` (material_id, owner_id, status), a job that names a material
+    (``material_id``, ``owner_id``) needs it to be there, of the job's owner and not
+    DELETED; jobs without a material need none.
+    """
     t = F.lit(now).cast("timestamp_ntz")
     old = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(stale_seconds).cast("decimal(18,6)")) < t
     ready = (F.col("status") == "PENDING") | ((F.col("status") == "RETRY") & (F.col("due") <= t)) | ((F.col("status") == "RUNNING") & old)
-    return jobs.where(ready & (F.col("attempt") < max_attempts)).select("event_id", "job_id", "status", "ts")
+    due = jobs.where(ready & (F.col("attempt") < max_attempts))
+    if materials is not None:
+        live = materials.where("status <> 'DELETED'").select("material_id", "owner_id").distinct()
+        due = due.where("material_id is not null").join(live, ["material_id", "owner_id"], "left_semi").select(due.columns).unionByName(due.where("material_id is null"))
+    return due.select("event_id", "job_id", "status", "ts").orderBy("ts", "event_id")
 
 
 def rank_providers(candidates: DataFrame) -> DataFrame:

@@ -41,6 +41,25 @@ def _refs(spark, sf):
 REFS = "refs AS (SELECT doc_id AS ref_id, CASE WHEN doc_id % 2 = 0 THEN material_id END AS material_id, CASE WHEN doc_id % 3 = 0 THEN material_id || '/s' || (doc_id % 30) END AS node_id, CASE WHEN doc_id % 5 = 0 THEN doc_id + 500 END AS chunk_id FROM k_pages)"
 
 
+def _gapped(spark, sf):
+    """Pages around an outline that leaves some of them out: roots without a range, every third section gone, overlapping chapters."""
+    nodes = c.k_nodes(spark, sf).where("node_type <> 'SECTION' or start_page % 3 <> 0")
+    chapter = F.col("node_type") == "CHAPTER"
+    nodes = nodes.withColumns({"start_page": F.when(F.col("node_type") != "DOCUMENT", F.col("start_page") + F.when(chapter, 3).otherwise(0)), "end_page": F.when(F.col("node_type") != "DOCUMENT", F.col("end_page") + F.when(chapter & (F.col("ordinal") % 2 == 0), 20).otherwise(0))})
+    return c.k_pages(spark, sf).withColumn("page_number", F.col("page_number") * 3 - 2), nodes
+
+
+GAPPED = "gapped AS (SELECT material_id, node_id, parent_id, depth, ordinal, CASE WHEN node_type <> 'DOCUMENT' THEN start_page + CASE WHEN node_type = 'CHAPTER' THEN 3 ELSE 0 END END AS start_page, CASE WHEN node_type <> 'DOCUMENT' THEN end_page + CASE WHEN node_type = 'CHAPTER' AND ordinal % 2 = 0 THEN 20 ELSE 0 END END AS end_page FROM k_nodes WHERE node_type <> 'SECTION' OR start_page % 3 <> 0)"
+
+
+def _due_live(spark, sf):
+    """Jobs of materials, some of which are deleted or of another owner; every fourth job has none."""
+    i = F.col("event_id")
+    jobs = c.k_jobs(spark, sf).withColumns({"material_id": F.when(i % 4 > 0, i % 12), "owner_id": F.col("job_id") % 3})
+    materials = c.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("material_id"), (F.col("s_suppkey") % 3).alias("owner_id"), F.when(F.col("s_suppkey") % 5 == 0, "DELETED").otherwise("READY").alias("status"))
+    return it.due_jobs(it.retry_due(jobs), T0, materials=materials)
+
+
 def _bent_nodes(spark, sf):
     """The outline with a few faults: a shifted range, a repeated ordinal, a missing root."""
     n = c.k_nodes(spark, sf)
@@ -148,6 +167,7 @@ QUERIES = {
     "authorized_targets": lambda s, d: it.authorized_targets(_refs(s, d).select("ref_id", F.coalesce("material_id", F.lit("src1")).alias("material_id"), "node_id"), c.k_nodes(s, d)).select("ref_id", "material_id", "node_id"),
     "resolve_sources": lambda s, d: it.resolve_sources(c.k_pages(s, d).select("material_id").distinct(), c.k_chunks(s, d), _visuals(s, d)),
     "locate_nodes": lambda s, d: it.locate_nodes(c.k_pages(s, d), c.k_nodes(s, d)),
+    "locate_pages": lambda s, d: it.locate_nodes(*_gapped(s, d)),
     "node_closure": lambda s, d: it.node_closure(c.k_nodes(s, d)),
     "heading_paths": lambda s, d: it.heading_paths(c.k_nodes(s, d)),
     "outline_tree": lambda s, d: it.outline_tree(c.k_nodes(s, d)),
@@ -166,6 +186,7 @@ QUERIES = {
     "quality_profile": lambda s, d: it.quality_profile(c.k_pages(s, d)),
     "worst_quality": lambda s, d: it.worst_quality(c.k_pages(s, d), "material_id"),
     "usage_rollup": lambda s, d: it.usage_rollup(c.k_requests(s, d)),
+    "usage_sketches": lambda s, d: it.roll_up_sketches(it.usage_sketches(c.k_requests(s, d))).select("provider", "task", "status", "requests", "values"),
     "transition_counts": lambda s, d: it.transition_counts(c.k_jobs(s, d)),
     "derive_readiness": lambda s, d: it.derive_readiness(_facts(s, d)).select("job_id", "state"),
     "parent_status": lambda s, d: it.parent_status(it.derive_readiness(_facts(s, d)).select("job_id", "state", F.col("job_id").alias("version"), F.when(F.col("job_id") % 3 > 0, F.col("job_id") + F.col("job_id") % 2).alias("active_version"), F.when(F.col("job_id") % 5 == 0, "FAILED").when(F.col("job_id") % 5 < 3, "READY").otherwise("PARTIALLY_READY").alias("active_status"), F.when(F.col("job_id") % 13 == 0, "DELETED").alias("current_parent"))).select("job_id", "state", "parent"),
@@ -179,6 +200,7 @@ QUERIES = {
     "page_of": lambda s, d: it.page_of(c.table(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 1, 3).select("o_custkey", "o_orderkey", "place", "total", "pages"),
     "active_listing": lambda s, d: it.active_listing(c.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") % 2).alias("sort_order")), c.table(s, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), (F.col("r_regionkey") != 2).alias("active")), "n_regionkey", "n_name", "sort_order").select("n_regionkey", "id", "place"),
     "due_jobs": lambda s, d: it.due_jobs(it.retry_due(c.k_jobs(s, d)), T0),
+    "due_jobs_live": _due_live,
     "rank_providers": lambda s, d: it.rank_providers(_providers(s, d)),
     "set_mismatches": lambda s, d: it.set_mismatches(c.table(s, d, "conversations").where("turn % 2 = 0"), c.table(s, d, "conversations").where("turn % 2 = 1"), "conv_id", "role"),
     "outside_references": lambda s, d: it.outside_references(_citations(s, d).where("source_id is not null"), _cited(s, d, 7), ["answer_id", "source_id"]),
@@ -196,6 +218,8 @@ QUERIES = {
 
 J = "k_jobs"
 READY = "WITH g AS (SELECT job_id, count(*) FILTER (status = 'COMPLETED') AS c, count(*) FILTER (status = 'FAILED') AS f, ['SATISFIED','SATISFIED','ABSENT','FAILED'][job_id % 4 + 1] AS x FROM k_jobs GROUP BY 1), ready AS (SELECT job_id, CASE WHEN f > 12 OR x = 'FAILED' THEN 'FAILED' WHEN c <= 3 THEN 'UPLOADED' WHEN c % 3 = 0 THEN 'PROCESSING' WHEN job_id % 8 = 0 OR job_id % 9 = 0 THEN 'FAILED' WHEN x <> 'SATISFIED' THEN 'PROCESSING' WHEN job_id % 2 = 0 THEN 'PARTIALLY_READY' ELSE 'READY' END AS state FROM g)"
+DUE = f"attempt < 3 AND (status = 'PENDING' OR (status = 'RETRY' AND ts + to_seconds(least(300, 5 * 2 ** (attempt - 1))::BIGINT) <= TIMESTAMP '{T0}') OR (status = 'RUNNING' AND ts + INTERVAL 60 SECOND < TIMESTAMP '{T0}'))"
+
 ORACLE_SQL = {
     "scan_blocks": c.sql("k_pages", "SELECT doc_id, page_number, extraction_method FROM k_pages WHERE material_id = 'src0' AND page_number BETWEEN 3 AND 20"),
     "eligible_versions": c.sql("k_pages", f"WITH {VERSIONS} SELECT version_id, material_id FROM versions WHERE status <> 'DELETED' AND content_type = 'application/pdf' AND trim(storage_key) <> '' AND size > 0 AND page_count > 0"),
@@ -213,7 +237,7 @@ ORACLE_SQL = {
     "classify_failures": "SELECT event_id, CASE WHEN event_type IN ('error','click') THEN 'TRANSIENT' ELSE 'FATAL' END AS kind, CASE event_type WHEN 'error' THEN 'PROVIDER_ERROR' WHEN 'click' THEN 'TIMEOUT' WHEN 'purchase' THEN 'INVALID_CONTENT' ELSE 'UNKNOWN' END AS code FROM events",
     "chunk_corpus": "SELECT c_nationkey, count(*) AS chunks FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "authorized_targets": c.sql("k_pages k_nodes", f"WITH {REFS} SELECT ref_id, coalesce(r.material_id, 'src1') AS material_id, r.node_id FROM refs r LEFT JOIN k_nodes n ON n.node_id = r.node_id WHERE r.node_id IS NULL OR n.material_id = coalesce(r.material_id, 'src1')"),
-    "resolve_sources": c.sql("k_chunks", f"WITH {VISUALS}, v AS (SELECT material_id, bool_or(status = 'SUPPORTED') AS s FROM visuals GROUP BY 1) SELECT DISTINCT k.material_id, v.material_id IS NOT NULL AS has_visual, coalesce(s, false) AS has_supported FROM k_chunks k LEFT JOIN v ON v.material_id = k.material_id WHERE is_active AND trim(content) <> '' AND chunk_id % 50 < 20"),
+    "resolve_sources": c.sql("k_chunks", f"WITH {VISUALS}, v AS (SELECT material_id, bool_or(status = 'SUPPORTED') AS s FROM visuals GROUP BY 1) SELECT DISTINCT k.material_id, v.material_id IS NOT NULL AS has_visual, coalesce(s, false) AS has_supported FROM k_chunks k LEFT JOIN v ON v.material_id = k.material_id WHERE is_active AND trim(content) <> ''"),
     "locate_nodes": c.sql("k_pages k_nodes", "SELECT p.material_id, page_number, node_id FROM k_pages p JOIN k_nodes n ON n.material_id = p.material_id AND page_number BETWEEN start_page AND end_page QUALIFY row_number() OVER (PARTITION BY p.material_id, page_number ORDER BY depth DESC, end_page - start_page, start_page DESC, ordinal DESC) = 1"),
     "node_closure": c.sql("k_nodes", f"WITH {CLOSURE} SELECT * FROM closure", True),
     "heading_paths": c.sql("k_nodes", f"WITH {CLOSURE} SELECT descendant AS node_id, string_agg(title, ' > ' ORDER BY depth) AS path FROM closure c JOIN k_nodes n ON n.node_id = c.ancestor WHERE trim(title) <> '' GROUP BY 1", True),
@@ -231,6 +255,8 @@ ORACLE_SQL = {
     "chunk_sequence_check": c.sql("k_chunks", "WITH m AS (SELECT * REPLACE (CASE WHEN chunk_id % 101 = 0 THEN chunk_index + 1 ELSE chunk_index END AS chunk_index), chunk_index + CASE WHEN chunk_id % 103 = 0 THEN 2 ELSE 1 END AS named FROM k_chunks), p AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY chunk_index, chunk_id) - 1 AS place FROM m) SELECT chunk_id, chunk_index, place, CASE WHEN place <> chunk_index THEN 'POSITION' ELSE 'ID' END AS reason FROM p WHERE place <> chunk_index OR named <> chunk_index + 1"),
     "quality_profile": c.sql("k_pages", "SELECT extraction_method, quality, count(*) AS pages FROM k_pages GROUP BY 1, 2"),
     "worst_quality": c.sql("k_pages", "SELECT material_id, ['STRONG','LIMITED','POOR'][max(CASE quality WHEN 'STRONG' THEN 1 WHEN 'LIMITED' THEN 2 WHEN 'POOR' THEN 3 END)] AS quality FROM k_pages GROUP BY 1"),
+    "locate_pages": c.sql("k_pages k_nodes", f"WITH {GAPPED}, p AS (SELECT material_id, page_number * 3 - 2 AS page_number FROM k_pages) SELECT p.material_id, page_number, coalesce(node_id, p.material_id || '/r') AS node_id FROM p LEFT JOIN gapped n ON n.material_id = p.material_id AND page_number BETWEEN start_page AND end_page QUALIFY row_number() OVER (PARTITION BY p.material_id, page_number ORDER BY depth DESC, end_page - start_page, start_page DESC, ordinal DESC) = 1"),
+    "usage_sketches": c.sql("k_requests", "SELECT provider, task, status, count(*) AS requests, count(latency) AS \"values\" FROM k_requests GROUP BY ROLLUP (provider, task, status)"),
     "usage_rollup": c.sql("k_requests", "SELECT provider, task, status, count(*) AS requests, round(avg(latency), 6) AS mean_latency, quantile_disc(latency, 0.5) AS median_latency, quantile_disc(latency, 0.95) AS p95_latency, count(*) FILTER (status = 'FAILED') AS failures, sum(tokens)::BIGINT AS tokens, round(sum(cost), 4) AS cost, sum(retries)::BIGINT AS retries, count(*) FILTER (retries > 0) AS retried FROM k_requests GROUP BY ROLLUP (provider, task, status)"),
     "transition_counts": c.sql(J, "SELECT stage, status, count(*) AS n FROM k_jobs GROUP BY 1, 2"),
     "derive_readiness": c.sql(J, READY + " SELECT * FROM ready"),
@@ -244,7 +270,8 @@ ORACLE_SQL = {
     "failure_runs": c.sql("k_requests", "WITH r AS (SELECT *, sum((status <> 'FAILED')::INT) OVER (PARTITION BY provider ORDER BY ts, event_id) AS ok FROM k_requests) SELECT provider, min(ts) AS started, count(*) AS failures, max(ts) + INTERVAL 15 SECOND AS open_until FROM r WHERE status = 'FAILED' GROUP BY provider, ok HAVING count(*) >= 2"),
     "page_of": "SELECT o_custkey, o_orderkey, place, total, ((total + 2) // 3) AS pages FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE place > 3 AND place <= 6",
     "active_listing": "SELECT n_regionkey, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 2 END NULLS LAST, lower(n_name), n_nationkey) AS place FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey <> 2)",
-    "due_jobs": c.sql(J, f"SELECT event_id, job_id, status, ts FROM k_jobs WHERE attempt < 3 AND (status = 'PENDING' OR (status = 'RETRY' AND ts + to_seconds(least(300, 5 * 2 ** (attempt - 1))::BIGINT) <= TIMESTAMP '{T0}') OR (status = 'RUNNING' AND ts + INTERVAL 60 SECOND < TIMESTAMP '{T0}'))"),
+    "due_jobs": c.sql(J, f"SELECT event_id, job_id, status, ts FROM k_jobs WHERE {DUE}"),
+    "due_jobs_live": c.sql(J, f"SELECT event_id, job_id, status, ts FROM k_jobs WHERE {DUE} AND (event_id % 4 = 0 OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = event_id % 12 AND s_suppkey % 3 = job_id % 3 AND s_suppkey % 5 <> 0))"),
     "rank_providers": c.sql("k_requests", f"WITH {PROVIDERS}, f AS (SELECT task, arg_min(provider, n) AS provider FROM ranked GROUP BY 1) SELECT f.task, f.provider, (SELECT arg_min(r.provider, r.n) FROM ranked r WHERE r.task = f.task AND r.provider <> f.provider) AS fallback FROM f"),
     "set_mismatches": "WITH a AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS x FROM conversations WHERE turn % 2 = 0 GROUP BY 1), b AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS y FROM conversations WHERE turn % 2 = 1 GROUP BY 1) SELECT coalesce(a.conv_id, b.conv_id) AS conv_id FROM a FULL JOIN b ON a.conv_id = b.conv_id WHERE x IS DISTINCT FROM y",
     "outside_references": f"WITH {CIT} SELECT DISTINCT answer_id, source_id FROM cit WHERE source_id % 7 = 0",
