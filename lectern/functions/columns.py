@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from lectern.operators.chunking import count_tokens, split_oversized
 from lectern.operators.evaluation import phrase_match, semantic_tokens
 from lectern.operators.retrieval import cosine_similarity, trigrams
-from lectern.operators.text import byte_tokens, canonical_line, chunk_uuid, comparison_key, count_tokens, escape_xml, split_oversized, token_count
+from lectern.operators.text import byte_tokens, canonical_line, chunk_uuid, comparison_key, escape_xml, token_count
 
 __all__ = ["byte_tokens", "canonical_line", "chunk_uuid", "comparison_key", "cosine_similarity", "count_tokens", "escape_xml", "phrase_match", "register", "semantic_tokens", "split_oversized", "token_count", "trigrams"]
 

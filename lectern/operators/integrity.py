@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import stored
-from lectern.operators.text import chunk_documents, chunk_uuid
+from lectern.operators.chunking import chunk_documents
+from lectern.operators.text import chunk_uuid
 
 #: What a failure kind means (fixed values); anything else is FATAL.
 FAILURE_RULES = (("error", "TRANSIENT", "PROVIDER_ERROR"), ("click", "TRANSIENT", "TIMEOUT"), ("purchase", "FATAL", "INVALID_CONTENT"))
@@ -211,7 +212,8 @@ def outline_tree(nodes: DataFrame) -> DataFrame:
 
 def link_visuals(chunks: DataFrame, visuals: DataFrame, nodes: DataFrame) -> DataFrame:
     """(chunk_id, visual_id) where the visual's page is one of the chunk's and its node lies under the chunk's."""
-    pages = chunks.select("chunk_id", "material_id", F.col("node_id").alias("ancestor"), F.explode(F.sequence("start_page", "end_page")).alias("page_number"))
+    mine = F.col("primary_pages") if "primary_pages" in chunks.columns else F.sequence("start_page", "end_page")
+    pages = chunks.select("chunk_id", "material_id", F.col("node_id").alias("ancestor"), F.explode(mine).alias("page_number"))
     v = visuals.select("visual_id", "material_id", "page_number", F.col("node_id").alias("descendant"))
     return pages.join(v, ["material_id", "page_number"]).join(node_closure(nodes).drop("distance"), ["material_id", "ancestor", "descendant"]).select("chunk_id", "visual_id").distinct()
 

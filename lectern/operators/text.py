@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +23,16 @@ TOC_ENTRY = "^(.{2,480}?)(?:\\.{2,}|\\s{2,})([0-9ivxlcdm]{1,8})$"
 FIGURE_LABEL = "(?i)^\\s*(fig(?:ure)?\\.?\\s+\\d+(?:[-.]\\d+)?)(?:\\s*$|\\s*([.:\\-\u2013\u2014])\\s*(\\S.*))$"
 
 
+#: White space, as ranges of code points (fixed values): blanks and breaks, but not those that forbid a break.
+SPACES = ((0x09, 0x0D), (0x1C, 0x20), (0x1680, 0x1680), (0x2000, 0x2006), (0x2008, 0x200A), (0x2028, 0x2029), (0x205F, 0x205F), (0x3000, 0x3000))
+#: The same as part of a class of a regular expression.
+SPACE_CLASS = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in SPACES)
+
+
 def token_count(text: Column) -> Column:
-    """A run of letters, digits and marks costs a quarter of its length, rounded up; any other visible sign costs 1."""
+    """A run of letters, digits and marks costs a quarter of its length, rounded up; any other sign that isn't white space costs 1."""
     runs = F.regexp_extract_all(text, F.lit("[\\p{L}\\p{Nd}\\p{M}]+"), F.lit(0))
-    signs = F.length(F.regexp_replace(text, "[\\s\\p{L}\\p{Nd}\\p{M}]", ""))
+    signs = F.length(F.regexp_replace(text, f"[{SPACE_CLASS}\\p{{L}}\\p{{Nd}}\\p{{M}}]", ""))
     return (F.aggregate(runs, F.lit(0), lambda s, x: s + F.ceil(F.length(x) / 4).cast("int")) + signs).cast("long")
 
 
@@ -331,108 +336,6 @@ def chunk_uuid(version: Column, index: Column, namespace: str = CHUNK_NAMESPACE)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def count_tokens(text: str) -> int:
-    """The same count as ``token_count``, for use inside tasks."""
-    total, run = 0, 0
-    for ch in text:
-        if ch.isalpha() or ch.isdecimal():
-            run += 1
-            continue
-        total += -(-run // 4) + (not ch.isspace())
-        run = 0
-    return total + -(-run // 4)
-
-
-def _fitting(text: str, start: int, hard: int) -> int:
-    """The end of the longest piece from ``start`` on with at most ``hard`` tokens, by one walk over its signs."""
-    total = run = 0
-    for i in range(start, len(text)):
-        ch = text[i]
-        if ch.isalpha() or ch.isdecimal():
-            run += 1
-        else:
-            total += -(-run // 4) + (not ch.isspace())
-            run = 0
-        if total + -(-run // 4) > hard:
-            return i
-    return len(text)
-
-
-def split_oversized(text: str, hard: int, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Parts of at most ``hard`` tokens, cut at the last sentence end, row, cell or space, else hard.
-
-    With the own count each sign is looked at about once; another ``count`` is asked in bisection.
-    """
-    parts = []
-    while True:
-        if count is count_tokens:
-            lo = _fitting(text, 0, hard)
-        elif count(text) <= hard:
-            lo = len(text)
-        else:
-            lo, hi = 1, len(text)
-            while lo < hi:  # the longest beginning that fits
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if count(text[:mid]) <= hard else (lo, mid - 1)
-        if lo == len(text):
-            return [p for p in [*parts, text] if p]
-        head = text[: max(lo, 1)]
-        cut = next((at + len(m) for m in (". ", "! ", "? ", "\n", "\t", " ") if (at := head.rfind(m)) > 0), len(head))
-        parts.append(text[:cut].strip())
-        text = text[cut:].lstrip()
-
-
-def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap: int = 100, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """(material_id, segment, part, content, tokens, start_page, end_page, node_id, extraction_method).
-
-    ``units``: (material_id, unit_no, page_number, node_id, extraction_method, text).
-    A chunk ends where node or method change, when the target is reached or the
-    next unit would pass the hard limit; the last paragraph of at most ``overlap``
-    tokens begins the next chunk of the segment. Segments are found with windows,
-    so one group is a node's run of units, not a whole material.
-    """
-    w = Window.partitionBy("material_id").orderBy("unit_no")
-    new = ~F.lag("node_id").over(w).eqNullSafe(F.col("node_id")) | ~F.lag("extraction_method").over(w).eqNullSafe(F.col("extraction_method"))
-    cut = units.withColumn("segment", F.sum(new.cast("int")).over(w).cast("long"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_no")
-        first = pdf.iloc[0]
-        out, held = [], []  # held: (text, tokens, page)
-
-        def flush():
-            out.append((first.material_id, first.segment, len(out), "\n\n".join(h[0] for h in held), sum(h[1] for h in held), min(h[2] for h in held), max(h[2] for h in held), first.node_id, first.extraction_method))
-
-        carried = 0
-        for text, page in zip(pdf["text"], pdf["page_number"]):
-            for piece in split_oversized(text, hard, count):
-                n = count(piece)
-                if len(held) > carried and sum(h[1] for h in held) + n > hard:
-                    flush()
-                    held = held[-1:] if held[-1][1] <= overlap and held[-1][1] + n <= hard else []
-                    carried = len(held)
-                held.append((piece, n, page))
-                if sum(h[1] for h in held) >= target:
-                    flush()
-                    held = held[-1:] if held[-1][1] <= overlap else []
-                    carried = len(held)
-        if len(held) > carried:
-            flush()
-        return pd.DataFrame(out, columns=["material_id", "segment", "part", "content", "tokens", "start_page", "end_page", "node_id", "extraction_method"])
-
-    return cut.groupBy("material_id", "segment").applyInPandas(pack, "material_id string, segment long, part long, content string, tokens long, start_page long, end_page long, node_id string, extraction_method string")
-
-
-def chunk_documents(pages: DataFrame, located: DataFrame, target: int = 800, hard: int = 1000, overlap: int = 100) -> DataFrame:
-    """Pages to chunks with numbers and ids; ``located``: (material_id, page_number, node_id)."""
-    p = paragraphs(pages.withColumn("__k", F.struct("material_id", "page_number", "extraction_method")), "__k", "content")
-    order = Window.partitionBy("material_id").orderBy("page_number", "paragraph_no")
-    units = p.select("__k.*", "paragraph_no", F.col("paragraph").alias("text")).withColumn("unit_no", F.row_number().over(order)).join(located, ["material_id", "page_number"], "left")
-    packed = pack_chunks(units, target, hard, overlap)
-    n = F.row_number().over(Window.partitionBy("material_id").orderBy("segment", "part")).cast("long")
-    return packed.withColumn("chunk_index", n).withColumn("chunk_id", chunk_uuid(F.col("material_id"), F.col("chunk_index")))
-
-
 # ---- layout tables: words and lines with positions
 
 

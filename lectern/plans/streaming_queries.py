@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import columns
 from lectern.functions.storage import shared_folder
+from lectern.operators import chunking as ch
 from lectern.operators import retrieval as re_
-from lectern.operators import text as tx
 from lectern.plans import carriers as c
 from lectern.sources import readers
 from lectern.streaming import state as st
@@ -38,7 +38,7 @@ def _ingest(spark, sf):
     def chunks(batch):
         pages = batch.select(F.col("doc_id").cast("string").alias("material_id"), F.lit(1).cast("long").alias("page_number"), F.lit("NATIVE").alias("extraction_method"), F.col("text").alias("content"))
         located = pages.select("material_id", "page_number", F.concat(F.col("material_id"), F.lit("/r")).alias("node_id"))
-        return tx.chunk_documents(pages, located).select("chunk_id", "material_id", "chunk_index", "content")
+        return ch.chunk_documents(pages, located).select("chunk_id", "material_id", "chunk_index", "content")
 
     st.stream_ingest(docs.where("doc_id % 2 = 0"), chunks, f"{folder}/chunks", ["chunk_id"], f"{folder}/state-0")
     st.stream_ingest(docs, chunks, f"{folder}/chunks", ["chunk_id"], f"{folder}/state-1")

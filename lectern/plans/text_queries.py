@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern.operators import chunking as ch
 from lectern.operators import text as tx
 from lectern.plans import carriers as c
 from lectern.plans.retrieval_queries import RANKED, Q, _ranked
@@ -43,7 +44,23 @@ def _fragments(spark, sf):
 
 
 FRAGMENTS = "fragments AS (SELECT l_suppkey AS page, floor(l_quantity / 10) AS y, l_partkey % 12 * 10.0::DOUBLE + l_orderkey / 1e7 + l_linenumber / 1e9 AS x, 1.0::DOUBLE AS width FROM lineitem)"
-TOKENS = r"(list_sum([ceil(length(x) / 4) FOR x IN regexp_extract_all({0}, '[\p{{L}}\p{{Nd}}\p{{M}}]+')] || [0]) + length(regexp_replace({0}, '[\s\p{{L}}\p{{Nd}}\p{{M}}]', '', 'g')))::BIGINT"
+TOKENS = r"(list_sum([ceil(length(x) / 4) FOR x IN regexp_extract_all({0}, '[\p{{L}}\p{{Nd}}\p{{M}}]+')] || [0]) + length(regexp_replace({0}, '[SPACES\p{{L}}\p{{Nd}}\p{{M}}]', '', 'g')))::BIGINT".replace("SPACES", tx.SPACE_CLASS.replace("{", "{{").replace("}", "}}"))
+PACKED = rf"""WITH w AS (SELECT material_id, page_number, line_no, extraction_method, quality, list_filter(string_split_regex(line, '[ \t\r]+'), lambda x: x <> '') AS w FROM k_lines),
+ p AS (SELECT *, unnest(range(0, (len(w) + 11) // 12)) AS piece FROM w WHERE len(w) > 0),
+ u AS (SELECT material_id, page_number, line_no * 100000 + piece AS unit, extraction_method, quality, CASE WHEN line_no % 9 = 4 THEN 'TABLE' ELSE 'TEXT' END AS content_type, material_id || '/s' || ((page_number - 1) // 5) AS node_id, array_to_string(w[piece * 12 + 1:piece * 12 + 12], ' ') AS text FROM p),
+ t AS (SELECT *, {TOKENS.format("text")} AS n, coalesce(CASE WHEN lag(node_id) OVER o = node_id AND lag(extraction_method) OVER o = extraction_method AND lag(content_type) OVER o = content_type THEN 0 END, 1) AS new FROM u WHERE {TOKENS.format("text")} > 0 WINDOW o AS (PARTITION BY material_id ORDER BY page_number, unit)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY material_id ORDER BY page_number, unit) AS segment FROM t),
+ i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY material_id, segment ORDER BY page_number, unit) AS i, lag(n) OVER (PARTITION BY material_id, segment ORDER BY page_number, unit) AS n0, lag(text) OVER (PARTITION BY material_id, segment ORDER BY page_number, unit) AS text0, lag(quality) OVER (PARTITION BY material_id, segment ORDER BY page_number, unit) AS quality0 FROM s),
+ r(material_id, segment, i, part, held, carried) AS (SELECT material_id, segment, 1::BIGINT, 1::BIGINT, n, false FROM i WHERE i = 1
+  UNION ALL SELECT x.material_id, x.segment, x.i, r.part + (content_type = 'TABLE' OR r.held + n > 60)::INT,
+   CASE WHEN content_type = 'TABLE' THEN n WHEN r.held + n <= 60 THEN r.held + n WHEN n0 <= 20 THEN n0 + n ELSE n END, content_type = 'TEXT' AND r.held + n > 60 AND n0 <= 20
+  FROM r JOIN i x ON x.material_id = r.material_id AND x.segment = r.segment AND x.i = r.i + 1),
+ k AS (SELECT material_id, segment, part, any_value(node_id) AS node_id, any_value(extraction_method) AS extraction_method, any_value(content_type) AS content_type,
+   max(CASE quality WHEN 'STRONG' THEN 1 WHEN 'LIMITED' THEN 2 WHEN 'POOR' THEN 3 END) AS q, max(CASE WHEN carried THEN CASE quality0 WHEN 'STRONG' THEN 1 WHEN 'LIMITED' THEN 2 WHEN 'POOR' THEN 3 END END) AS q0,
+   max(held) AS tokens, min(page_number) AS start_page, max(page_number) AS end_page, count(*) + count(*) FILTER (carried) AS units, count(*) FILTER (carried) AS carried,
+   sha256(string_agg(CASE WHEN carried THEN text0 || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY i)) AS content
+  FROM r JOIN i USING (material_id, segment, i) GROUP BY material_id, segment, part)
+ SELECT material_id, row_number() OVER (PARTITION BY material_id ORDER BY segment, part) AS chunk_index, node_id, extraction_method, content_type, ['STRONG', 'LIMITED', 'POOR'][greatest(q, coalesce(q0, 0))] AS quality, tokens::BIGINT AS tokens, start_page, end_page, units, carried, content FROM k"""
 CANON = r"(CASE WHEN length(trim({0})) > 512 OR trim({0}) = '' THEN NULL WHEN regexp_matches(trim({0}), '^[0-9]+$') OR regexp_matches(trim({0}), '^(?i)page[ \t]+[0-9]+$') THEN '<PAGE_NUMBER>' ELSE regexp_replace(trim({0}), '[ \t]+', ' ', 'g') END)"
 KEY = r"substring(regexp_replace(regexp_replace(lower(trim({0})), '^[[:punct:]\s]+|[[:punct:]\s]+$', '', 'g'), '\s+', ' ', 'g'), 1, 512)"
 SLOTS = f"""seen AS (SELECT *, row_number() OVER (PARTITION BY material_id, page_number ORDER BY line_no) AS t, row_number() OVER (PARTITION BY material_id, page_number ORDER BY line_no DESC) AS b FROM k_lines WHERE trim(line) <> ''),
@@ -108,6 +125,22 @@ def _located(spark, sf):
     return p.select("material_id", "page_number", F.concat(F.col("material_id"), F.lit("/s"), F.floor((F.col("page_number") - 1) / 5).cast("string")).alias("node_id"))
 
 
+def _typed(spark, sf):
+    """Pages of which every seventh is a table."""
+    return c.k_pages(spark, sf).withColumn("content_type", F.when(F.col("doc_id") % 7 == 0, "TABLE").otherwise("TEXT"))
+
+
+def _packed(spark, sf):
+    """Lines in pieces of twelve words as units, some of them tables; the limit is never reached, so that no unit is split."""
+    lines = c.k_lines(spark, sf).select("material_id", "page_number", "line_no", "extraction_method", "quality", F.filter(F.split("line", "[ \t\r]+"), lambda x: x != "").alias("w"))
+    pieces = lines.where("size(w) > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 12).cast("int"))).alias("piece"))
+    text = F.array_join(F.slice("w", F.col("piece") * 12 + 1, F.lit(12)), " ")
+    units = pieces.select("material_id", "page_number", "line_no", (F.col("line_no") * 100_000 + F.col("piece")).alias("unit"), "extraction_method", "quality", F.when(F.col("line_no") % 9 == 4, "TABLE").otherwise("TEXT").alias("content_type"), text.alias("text"))
+    packed = ch.number_chunks(ch.pack_chunks(units.join(_located(spark, sf), ["material_id", "page_number"]), 60, 1_000_000, 20, order=("page_number", "unit")))
+    counts = F.size("sources").cast("long"), F.size(F.filter("sources", lambda x: x["overlap"])).cast("long")
+    return packed.select("material_id", "chunk_index", "node_id", "extraction_method", "content_type", "quality", "tokens", "start_page", "end_page", counts[0].alias("units"), counts[1].alias("carried"), F.sha2("content", 256).alias("content"))
+
+
 def _words(spark, sf):
     """The words of early lines as positions."""
     lines = c.k_lines(spark, sf)
@@ -147,7 +180,8 @@ QUERIES = {
     "match_outline": lambda s, d: tx.match_outline(_outline(s, d), _html_lines(s, d)),
     "caption_visuals": lambda s, d: tx.caption_visuals(_visuals(s, d), c.k_lines(s, d), "^(?i)(fig(ure)?\\.?|table|in|de|the|la|le)\\s"),
     "chunk_uuid": lambda s, d: c.k_chunks(s, d).select("chunk_id", tx.chunk_uuid(F.col("material_id"), F.col("chunk_index") + 1).alias("uuid")),
-    "chunk_documents": lambda s, d: tx.chunk_documents(c.k_pages(s, d), _located(s, d)),
+    "chunk_documents": lambda s, d: ch.chunk_documents(_typed(s, d), _located(s, d)).drop("primary_pages", "sources"),
+    "pack_chunks": _packed,
     "ocr_quality": lambda s, d: tx.ocr_quality(c.table(s, d, "lineitem").withColumn("confidence", 40 + F.col("l_quantity")), ["l_suppkey"], "confidence"),
     "ocr_text": lambda s, d: tx.ocr_text(_words(s, d)),
     "line_layout": lambda s, d: tx.line_layout(_layout(s, d)),
@@ -157,6 +191,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "pack_chunks": c.sql("k_lines", PACKED, recursive=True),
     "token_count": f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents",
     "byte_tokens": "SELECT doc_id, strlen(text) AS tokens FROM documents",
     "canonical_line": c.sql("k_lines", f"SELECT doc_id, line_no, {CANON.format('line')} AS canonical FROM k_lines"),

@@ -8,21 +8,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import columns
-from lectern.operators import evaluation, integrity, learner, retrieval, text
+from lectern.operators import chunking, evaluation, integrity, learner, retrieval, text
 from lectern.sources import readers
 from lectern.streaming import state
 
 
 def test_token_counters_agree(spark):
-    texts = ["", "a", "abcd efghi", "Größe-2, ok!", "x" * 9 + " 12345", "naïve  …"]
+    texts = ["", "a", "abcd efghi", "Größe-2, ok!", "x" * 9 + " 12345", "naïve  …", "हिन्दी पाठ", "e\u0301tude cafe\u0301", "a\u00a0b\u2003c\u202fd\u3000e\x1cf\x85g", "x²½Ⅷ٣", "😀 a😀b"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r.n for r in df.select(text.token_count(F.col("t")).alias("n")).collect()] == [text.count_tokens(t) for t in texts]
+    assert [r.n for r in df.select(text.token_count(F.col("t")).alias("n")).collect()] == [chunking.count_tokens(t) for t in texts]
 
 
 def test_long_units_are_split_inside_the_limit():
     body = "One two three. " * 50 + "w" * 400
-    parts = text.split_oversized(body, 40)
-    assert all(text.count_tokens(p) <= 40 for p in parts)
+    parts = chunking.split_oversized(body, 40)
+    assert all(chunking.count_tokens(p) <= 40 for p in parts)
     assert "".join(body.split()) == "".join("".join(parts).split())
 
 
@@ -31,7 +31,7 @@ def test_both_ways_of_splitting_agree():
     for _ in range(200):
         body = "".join(rng.choice(["word", "longerword", " ", " ", ". ", "\n", "\t", "-", "é", "12"]) for _ in range(rng.randint(0, 80)))
         for hard in (1, 3, 10):
-            assert text.split_oversized(body, hard) == text.split_oversized(body, hard, lambda t: text.count_tokens(t))
+            assert chunking.split_oversized(body, hard) == chunking.split_oversized(body, hard, lambda t: chunking.count_tokens(t))
 
 
 def test_the_whole_chunking_job(spark):
@@ -47,7 +47,7 @@ def test_the_whole_chunking_job(spark):
 def test_chunks_break_at_nodes_and_carry_an_overlap(spark):
     rows = [("m", i, i // 3 + 1, "n1" if i < 6 else "n2", "NATIVE", f"para{i} " + "word " * 8) for i in range(9)]
     units = spark.createDataFrame(rows, "material_id string, unit_no int, page_number long, node_id string, extraction_method string, text string")
-    out = sorted(text.pack_chunks(units, target=30, hard=60, overlap=100).collect(), key=lambda r: (r.segment, r.part))
+    out = sorted(chunking.pack_chunks(units, target=30, hard=60, overlap=100).collect(), key=lambda r: (r.segment, r.part))
     assert {r.node_id for r in out} == {"n1", "n2"} and all(r.tokens <= 60 for r in out)
     first, second = out[0].content.split("\n\n"), out[1].content.split("\n\n")
     assert first[-1] == second[0]  # the last paragraph begins the next chunk
@@ -288,7 +288,7 @@ def test_two_batches_give_the_chunks_of_one(spark, tmp_path):
 
     def chunks(batch):
         pages = batch.select(F.concat_ws("/", "source", "doc_id").alias("material_id"), F.lit(1).cast("long").alias("page_number"), F.lit("NATIVE").alias("extraction_method"), F.col("text").alias("content"))
-        return text.chunk_documents(pages, pages.select("material_id", "page_number", F.lit("n").alias("node_id")), 20, 40, 5).select("chunk_id", "material_id", "chunk_index", "content")
+        return chunking.chunk_documents(pages, pages.select("material_id", "page_number", F.lit("n").alias("node_id")), 20, 40, 5).select("chunk_id", "material_id", "chunk_index", "content")
 
     def run(name, parts):
         for n, part in enumerate(parts):
