@@ -343,59 +343,6 @@ def vector_search(queries: DataFrame, embeddings: DataFrame, limit: int = 10, by
     return out.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit).drop("tie")
 
 
-def approximate_vector_search(queries: DataFrame, embeddings: DataFrame, limit: int = 10, planes: int = 8, tables: int = 24, seed: int = 5, probe: int = 1, block: int = 5_000) -> DataFrame:
-    """Like ``vector_search`` over vectors whose sign pattern of random planes is within ``probe`` signs of the query's in some table.
-
-    Queries go out in blocks, as there; a task looks up the patterns of its vectors and compares only the pairs that meet.
-    """
-    zero = F.exists("embedding", lambda x: x != 0)
-    some = queries.where(zero).select("query_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    passes = max(1, -(-some.count() // block))
-    weights = 1 << np.arange(planes)
-    out = None
-    for p in range(passes):
-        part = some if passes == 1 else some.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        rows = part.collect()
-        if not rows:
-            continue
-        matrix = np.array([r.embedding for r in rows], np.float64)
-        normals = np.random.default_rng(seed).normal(size=(tables * planes, matrix.shape[1]))
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), matrix / np.linalg.norm(matrix, axis=1, keepdims=True), normals))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q, normals = shared.value
-            codes = lambda x: ((x @ normals.T > 0).reshape(len(x), tables, planes) * weights).sum(2)
-            apart = np.bitwise_count(np.arange(1 << planes)[:, None] ^ np.arange(1 << planes)[None, :])
-            near = [np.packbits(apart[:, mine] <= probe, axis=1) for mine in codes(q).T]  # the queries of each pattern, as bits
-            for b in batches:
-                for lo in range(0, b.num_rows, 2_000):
-                    part = b.slice(lo, 2_000)
-                    some, x = _vectors(part.column(1))
-                    if not len(some):
-                        continue
-                    vec = part.column(0).to_numpy()[some]
-                    met = np.zeros((len(x), near[0].shape[1]), np.uint8)
-                    for table, code in zip(near, codes(x).T):
-                        met |= table[code]
-                    met = np.unpackbits(met, axis=1, count=len(q)).T
-                    found = []
-                    for i in np.flatnonzero(met.any(1)):
-                        at = np.flatnonzero(met[i])
-                        sim = np.round(x[at] @ q[i], 9)
-                        top = np.lexsort((vec[at], -sim))[:limit]
-                        found.append((np.full(len(top), names[i]), vec[at[top]], sim[top]))
-                    if found:
-                        yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "similarity"])
-
-        held = embeddings.where(zero).select("vec_id", F.col("embedding").cast("array<float>"))
-        found = held.mapInArrow(best, "query_id long, vec_id long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.select(F.col("query_id").cast("long"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank_no")).where("false")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return out.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit)
-
-
 def vector_status(queries: DataFrame, dimension: int) -> DataFrame:
     """The state of the vector channel of each query (scope_size, generations, embedding may be missing).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.storage import stored
 from lectern.operators import evaluation as ev
 from lectern.operators import retrieval as re_
+from lectern.operators import vectors as vx
 from lectern.plans import carriers as c
 
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{Nd}}\p{{M}}]+')"
@@ -195,7 +196,7 @@ QUERIES = {
     "fts_match": lambda s, d: re_.fts_match(c.k_queries(s, d), c.k_chunks(s, d)),
     "cover_density": lambda s, d: re_.cover_density(c.k_queries(s, d), c.k_chunks(s, d)),
     "word_similarity": lambda s, d: re_.word_similarity(c.k_queries(s, d), c.k_chunks(s, d), 0.9),
-    "vector_search_approx": lambda s, d: re_.approximate_vector_search(_vec_queries(s, d), c.table(s, d, "embeddings")),
+    "vector_search_approx": lambda s, d: vx.approximate_vector_search(_vec_queries(s, d), c.table(s, d, "embeddings")),
     "embedding_violations": lambda s, d: re_.embedding_violations(c.table(s, d, "embeddings").withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 10)).when(F.col("label") == 4, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))), 64),
     "vector_status": lambda s, d: re_.vector_status(c.table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") != 2, F.col("embedding")).alias("embedding"), F.col("label").alias("scope_size"), (F.col("label") - 1).alias("generations")), 64),
     "missing_embeddings": lambda s, d: re_.missing_embeddings(c.k_chunks(s, d), c.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("generation")), 1).select("chunk_id", "material_id"),

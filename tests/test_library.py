@@ -80,27 +80,6 @@ def test_vector_search_skips_zero_vectors_and_breaks_ties_by_id(spark):
     assert retrieval.vector_search(q.where("query_id = 8"), e).count() == 0
 
 
-def test_approximate_search_finds_most_neighbours(spark):
-    rng = random.Random(1)
-    e = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)], "vec_id long, embedding array<float>")
-    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    exact = {(r.query_id, r.vec_id) for r in retrieval.vector_search(q, e, 3).collect()}
-    near = {(r.query_id, r.vec_id) for r in retrieval.approximate_vector_search(q, e, 3, planes=4).collect()}
-    assert len(exact & near) >= 0.8 * len(exact)
-
-
-def test_approximate_search_reaches_its_recall_as_registered(spark):
-    from lectern.plans.registry import QUERIES
-
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        pytest.skip("no test tables")
-    exact = {(r.query_id, r.vec_id): r.similarity for r in QUERIES["vector_search"](spark, sf).collect()}
-    near = {(r.query_id, r.vec_id): r.similarity for r in QUERIES["vector_search_approx"](spark, sf).collect()}
-    assert len(exact.keys() & near.keys()) >= 0.9 * len(exact) and len(near) == len(exact)
-    assert all(abs(near[k] - exact[k]) < 1e-8 for k in exact.keys() & near.keys())
-
-
 def test_word_similarity(spark):
     chunks = spark.createDataFrame([(1, "brachial plexus"), (2, "radial nerve")], "chunk_id long, content string")
     queries = spark.createDataFrame([(1, "brachial")], "query_id long, query string")
