@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import stored
+from lectern.operators.extents import extent_scores
 
 TOKEN = "[\\p{L}\\p{Nd}\\p{M}]+"
 
@@ -183,23 +184,34 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, cut)))
 
 
-def word_similarity(queries: DataFrame, chunks: DataFrame, threshold: float = 0.6, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(query_id, id, similarity): the share of the query's trigrams that the text has, from ``threshold`` on."""
+def trigram_share(queries: DataFrame, chunks: DataFrame, threshold: float, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """(query_id, id, share): the share of the query's trigrams that the text has anywhere, from ``threshold`` on; an upper bound of the similarity."""
     q = queries.select("query_id", trigrams(F.col("query")).alias("g")).select("query_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     words = tokens(chunks, id_col, text_col).select(id_col, "token").distinct()
     vocabulary = words.select("token").distinct().select("token", F.explode(trigrams(F.col("token"))).alias("gram"))
     shared = q.join(vocabulary, "gram").join(words, "token").groupBy("query_id", "n", id_col).agg(F.count_distinct("gram").alias("m"))
-    return shared.select("query_id", id_col, F.round(F.col("m") / F.col("n"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    return shared.select("query_id", id_col, (F.col("m") / F.col("n")).alias("share")).where(F.col("share") >= threshold)
+
+
+def word_similarity(queries: DataFrame, chunks: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(query_id, chunk_id, similarity) from ``threshold`` on.
+
+    The similarity is that of the query's trigrams with those of the stretch of the
+    text that is most like it: shared trigrams by all of both. Texts that have too
+    small a share of the query's trigrams anywhere are left out by joins first.
+    """
+    met = trigram_share(queries, chunks, threshold).select("query_id", "chunk_id")
+    return extent_scores(met, queries, chunks, threshold).where(F.col("similarity") >= threshold)
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10, similarity: float | None = 0.6, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, exact, rank, trigram, rank_no): matches by all words, literally or by trigrams, that the query may see.
 
     Owner and ``scope`` narrow the candidates before they are ranked, by ``visible``.
-    Literal ones come first, then by cover density, then by the share of the
-    query's trigrams in the text, then by chunk_index (where there is one) and id.
-    ``similarity`` is the share from which trigrams alone are a match; None leaves
-    this branch and its column out. The texts are split into words once.
+    Literal ones come first, then by cover density, then by the trigrams of the
+    stretch most like the query, then by chunk_index (where there is one) and id.
+    ``similarity`` is where trigrams alone are a match; None leaves this branch and
+    its column out. Postings are made once for words, phrases and cover density.
     """
     pair = ["query_id", "chunk_id"]
     if "owner_id" in queries.columns:
@@ -207,19 +219,22 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 10, simil
     postings = stored(query_postings(queries, chunks), "postings")
     exact = visible(literal_match(queries, chunks, postings), queries, chunks, scope).withColumn("exact", F.lit(True))
     union, order = visible(fts_match(queries, chunks, postings=postings), queries, chunks, scope).unionByName(exact.select(*pair)), [F.desc("exact"), F.desc("rank")]
+    matched = union.distinct().withColumn("matched", F.lit(True))
     if similarity is not None:
-        alike = visible(word_similarity(queries, chunks, similarity), queries, chunks, scope)
-        union = union.unionByName(alike.select(*pair))
-    union = stored(union.distinct(), "lexical-pairs")
-    ranked = union.join(exact, pair, "left").join(cover_density(queries, chunks, postings=postings, pairs=union), pair, "left")
-    signals = ranked.select(*pair, F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
-    if similarity is not None:
-        # matches by words or literally may be less alike than the threshold; their score is worked out pair by pair
-        scored = signals.join(alike, pair, "left")
-        rest = scored.where("similarity is null").join(queries.select("query_id", trigrams(F.col("query")).alias("g")), "query_id").join(chunks.select("chunk_id", trigrams(F.col("content")).alias("t")), "chunk_id")
-        share = F.round(F.size(F.array_intersect("g", "t")) / F.size("g"), 6)
-        rest = rest.select(*signals.columns, F.coalesce(F.when(F.size("g") > 0, share), F.lit(0.0)).alias("trigram"))
-        signals = scored.where("similarity is not null").withColumnRenamed("similarity", "trigram").unionByName(rest)
+        alike = visible(trigram_share(queries, chunks, similarity).select(*pair), queries, chunks, scope)
+        matched = matched.unionByName(alike.withColumn("matched", F.lit(False))).groupBy(*pair).agg(F.bool_or("matched").alias("matched"))
+    union = stored(matched, "lexical-pairs")
+    sure = union.where("matched").select(*pair)
+    ranked = union.join(exact, pair, "left").join(cover_density(queries, chunks, postings=postings, pairs=sure), pair, "left")
+    signals = ranked.select(*pair, "matched", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
+    if similarity is None:
+        signals = signals.drop("matched")
+    else:
+        # trigrams decide between equals, and who comes in behind all matches: only pairs that they can bring to the top are scored
+        place = F.rank().over(Window.partitionBy("query_id").orderBy(*order))
+        near = stored(signals.withColumn("place", place).where(F.col("place") <= limit).drop("place"), "lexical-signals")
+        scored = near.join(extent_scores(near.select(*pair), queries, chunks).withColumnRenamed("similarity", "trigram"), pair)
+        signals = scored.where(F.col("matched") | (F.col("trigram") >= similarity)).drop("matched")
         order.append(F.desc("trigram"))
     columns = signals.columns
     if "chunk_index" in chunks.columns:

@@ -18,6 +18,11 @@ def _vec_queries(spark, sf):
     return c.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _misspelt(spark, sf) -> DataFrame:
+    """The queries with the second and third sign of every word of five letters or more exchanged."""
+    return c.k_queries(spark, sf).withColumn("query", F.regexp_replace("query", "\\b(\\p{L})(\\p{L})(\\p{L})(?=\\p{L}{2})", "$1$3$2"))
+
+
 def _visual_links(spark, sf) -> DataFrame:
     """Each embedding stands for a figure of the chunk with its number."""
     e = c.table(spark, sf, "embeddings")
@@ -195,7 +200,8 @@ QUERIES = {
     "literal_match": lambda s, d: re_.literal_match(c.k_queries(s, d), c.k_chunks(s, d)),
     "fts_match": lambda s, d: re_.fts_match(c.k_queries(s, d), c.k_chunks(s, d)),
     "cover_density": lambda s, d: re_.cover_density(c.k_queries(s, d), c.k_chunks(s, d)),
-    "word_similarity": lambda s, d: re_.word_similarity(c.k_queries(s, d), c.k_chunks(s, d), 0.9),
+    "word_similarity": lambda s, d: re_.word_similarity(_misspelt(s, d), c.k_chunks(s, d)),
+    "lexical_search_misspelt": lambda s, d: re_.lexical_search(_misspelt(s, d), c.k_chunks(s, d)),
     "vector_search_approx": lambda s, d: vx.approximate_vector_search(_vec_queries(s, d), c.table(s, d, "embeddings")),
     "embedding_violations": lambda s, d: re_.embedding_violations(c.table(s, d, "embeddings").withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 10)).when(F.col("label") == 4, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))), 64),
     "vector_status": lambda s, d: re_.vector_status(c.table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") != 2, F.col("embedding")).alias("embedding"), F.col("label").alias("scope_size"), (F.col("label") - 1).alias("generations")), 64),
