@@ -19,8 +19,14 @@ FAILURE_RULES = (("error", "TRANSIENT", "PROVIDER_ERROR"), ("click", "TRANSIENT"
 
 
 def scan_blocks(blocks: DataFrame, material: str, first: int, last: int) -> DataFrame:
-    """Blocks of a page range in reading order; both filters reach the scan."""
-    return blocks.where((F.col("material_id") == material) & F.col("page_number").between(first, last)).orderBy("page_number", "doc_id")
+    """Blocks of page texts and tables of a page range, in reading order: a page's text, then its tables, each by ordinal.
+
+    Pages count from 1 and the range isn't empty, else an error. The filters reach the scan.
+    """
+    if first < 1 or last < first:
+        raise ValueError("not a range of pages")
+    wanted = (F.col("material_id") == material) & F.col("page_number").between(first, last) & F.col("block_type").isin("PAGE_TEXT", "TABLE_TEXT")
+    return blocks.where(wanted).orderBy("page_number", F.col("block_type") != "PAGE_TEXT", "ordinal")
 
 
 def eligible_versions(versions: DataFrame) -> DataFrame:

@@ -163,23 +163,6 @@ def classify_pages(pages: DataFrame, text_col: str, has_image: Column) -> DataFr
     return pages.withColumn("page_class", kind)
 
 
-def delimited_tables(lines: DataFrame) -> DataFrame:
-    """(material_id, page_number, first_line, rows, width): runs of two rows or more with one delimiter and width.
-
-    A row has tabs or pipes, not both; outer pipes go; no cell is empty; two cells at least.
-    """
-    tab, pipe = F.contains("line", F.lit("\t")), F.contains("line", F.lit("|"))
-    inner = F.regexp_replace(F.trim("line"), "^\\||\\|$", "")
-    cells = F.when(tab & ~pipe, F.split("line", "\t")).when(pipe & ~tab, F.split(inner, "\\|"))
-    cells = F.transform(cells, lambda x: F.trim(x))
-    good = cells.isNotNull() & (F.size(cells) >= 2) & ~F.exists(cells, lambda x: x == "")
-    rows = lines.withColumns({"width": F.when(good, F.size(cells)), "sep": F.when(tab, "T").otherwise("P")}).where("width is not null")
-    w = Window.partitionBy("material_id", "page_number").orderBy("line_no")
-    new = (F.lag("line_no").over(w) != F.col("line_no") - 1) | (F.lag("width").over(w) != F.col("width")) | (F.lag("sep").over(w) != F.col("sep"))
-    island = rows.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    return island.groupBy("material_id", "page_number", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("rows"), F.max("width").cast("long").alias("width")).where("rows >= 2").drop("run")
-
-
 def score_headings(lines: DataFrame, toc: DataFrame | None = None, threshold: int = 4) -> DataFrame:
     """Lines that are headings, with level, score and confidence.
 
@@ -376,21 +359,6 @@ def line_medians(layout: DataFrame) -> DataFrame:
     return layout.groupBy("page").agg(F.median(F.when(F.col("font") > 0, F.col("font"))).alias("median_font"), F.median(F.when(F.col("height") > 0, F.col("height"))).alias("median_height"))
 
 
-def position_tables(fragments: DataFrame, row_gap: float = 0.5, cell_gap: float = 2.0) -> DataFrame:
-    """(page, rows, columns, quality) from words with places (page, x, y, width): rows by baseline, cells by gaps.
-
-    A page is a table if two rows or more have the same number of cells, two at least; STRONG if all have.
-    """
-    w = Window.partitionBy("page").orderBy("y", "x")
-    rows = fragments.withColumn("row", F.sum(F.coalesce((F.col("y") - F.lag("y").over(w) > row_gap).cast("int"), F.lit(1))).over(w))
-    inside = Window.partitionBy("page", "row").orderBy("x")
-    cells = rows.withColumn("cell", F.sum(F.coalesce((F.col("x") - F.lag(F.col("x") + F.col("width")).over(inside) > cell_gap).cast("int"), F.lit(1))).over(inside))
-    width = cells.groupBy("page", "row").agg(F.max("cell").alias("cells"))
-    grid = width.groupBy("page").agg(F.count("*").alias("all_rows"), F.mode("cells", True).alias("columns")).where("columns >= 2")
-    same = width.join(grid, "page").where("cells = columns").groupBy("page", "all_rows", "columns").agg(F.count("*").alias("rows")).where("rows >= 2")
-    return same.select("page", "rows", F.col("columns").cast("long").alias("columns"), F.when(F.col("rows") == F.col("all_rows"), "STRONG").otherwise("LIMITED").alias("quality"))
-
-
 def escape_xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import integrity as it
@@ -148,8 +149,16 @@ def _faulty_nodes(spark, sf):
 FAULTS = "faults AS (SELECT * REPLACE (CASE WHEN ends_with(node_id, '1/c1') THEN 'PART' ELSE node_type END AS node_type, CASE WHEN ends_with(node_id, '2/s6') THEN material_id || '/s4' ELSE parent_id END AS parent_id), CASE WHEN start_page % 7 = 0 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM k_nodes)"
 CIT = "cit AS (SELECT user_id AS answer_id, CASE WHEN event_id % 10 <> 0 THEN event_id % 50 END AS source_id FROM events)"
 
+def _blocks(spark, sf):
+    """Three or four blocks for each page: tables before and after its text by ordinal, and a caption."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("block_type"), o.cast("long").alias("ordinal")) for k, o in (("TABLE_TEXT", F.col("doc_id") % 3), ("PAGE_TEXT", F.lit(3)), ("TABLE_TEXT", 9 - F.col("doc_id") % 5), ("CAPTION", F.lit(4)))))
+    return c.k_pages(spark, sf).select("doc_id", "material_id", "page_number", F.inline(kinds))
+
+
+BLOCKS = "blocks AS (SELECT doc_id, material_id, page_number, b.block_type, b.ordinal FROM (SELECT *, unnest([{'block_type': 'TABLE_TEXT', 'ordinal': doc_id % 3}, {'block_type': 'PAGE_TEXT', 'ordinal': 3}, {'block_type': 'TABLE_TEXT', 'ordinal': 9 - doc_id % 5}, {'block_type': 'CAPTION', 'ordinal': 4}]) AS b FROM k_pages))"
+
 QUERIES = {
-    "scan_blocks": lambda s, d: it.scan_blocks(c.k_pages(s, d), "src0", 3, 20).select("doc_id", "page_number", "extraction_method"),
+    "scan_blocks": lambda s, d: it.scan_blocks(_blocks(s, d), "src0", 3, 20).select("doc_id", "page_number", "block_type", "ordinal").withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.partitionBy("page_number").orderBy("place")).cast("long")),
     "eligible_versions": lambda s, d: it.eligible_versions(_versions(s, d)).select("version_id", "material_id"),
     "content_addressed": lambda s, d: it.content_addressed(c.k_pages(s, d).withColumn("slot", F.col("page_number") % 5), "material_id", "slot", "content"),
     "append_or_verify": lambda s, d: it.append_or_verify(c.k_pages(s, d).where("doc_id % 3 > 0").select("doc_id", "material_id", "quality"), c.k_pages(s, d).select("doc_id", "material_id", F.when(F.col("doc_id") % 7 == 0, "POOR").otherwise(F.col("quality")).alias("quality")), ["doc_id"]).select("doc_id", "state"),
@@ -221,7 +230,7 @@ READY = "WITH g AS (SELECT job_id, count(*) FILTER (status = 'COMPLETED') AS c,
 DUE = f"attempt < 3 AND (status = 'PENDING' OR (status = 'RETRY' AND ts + to_seconds(least(300, 5 * 2 ** (attempt - 1))::BIGINT) <= TIMESTAMP '{T0}') OR (status = 'RUNNING' AND ts + INTERVAL 60 SECOND < TIMESTAMP '{T0}'))"
 
 ORACLE_SQL = {
-    "scan_blocks": c.sql("k_pages", "SELECT doc_id, page_number, extraction_method FROM k_pages WHERE material_id = 'src0' AND page_number BETWEEN 3 AND 20"),
+    "scan_blocks": c.sql("k_pages", f"WITH {BLOCKS} SELECT doc_id, page_number, block_type, ordinal, row_number() OVER (PARTITION BY page_number ORDER BY block_type <> 'PAGE_TEXT', ordinal) AS place FROM blocks WHERE material_id = 'src0' AND page_number BETWEEN 3 AND 20 AND block_type IN ('PAGE_TEXT', 'TABLE_TEXT')"),
     "eligible_versions": c.sql("k_pages", f"WITH {VERSIONS} SELECT version_id, material_id FROM versions WHERE status <> 'DELETED' AND content_type = 'application/pdf' AND trim(storage_key) <> '' AND size > 0 AND page_count > 0"),
     "content_addressed": c.sql("k_pages", "SELECT DISTINCT material_id AS version, page_number % 5 AS page, 'materials/' || material_id || '/visuals/' || (page_number % 5) || '/' || sha256(content) AS storage_key FROM k_pages"),
     "append_or_verify": c.sql("k_pages", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'NEW' WHEN (CASE WHEN doc_id % 7 = 0 THEN 'POOR' ELSE quality END) IS NOT DISTINCT FROM quality THEN 'SAME' ELSE 'CONFLICT' END AS state FROM k_pages"),

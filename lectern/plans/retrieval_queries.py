@@ -108,6 +108,26 @@ def metrics(spark, sf):
     return stored(ev.retrieval_metrics(_ranked(spark, sf, hits), _judged(spark, sf, hits), c.k_queries(spark, sf)), "metrics")
 
 
+def _spoilt(spark, sf):
+    """Vectors of which some are missing, short, not finite or zero; their generation is the label, their model now and then another one."""
+    at, v = F.col("vec_id") % 11, F.col("embedding")
+    bad = F.when(at == 3, F.slice(v, 1, 10)).when(at == 4, F.transform(v, lambda x: x * 0)).when(at == 2, F.transform(v, lambda x, i: F.when(i == 7, F.lit("NaN").cast("float")).otherwise(x))).when(at != 5, v)
+    model = (F.col("label") + F.when(F.col("vec_id") % 13 == 0, 1).otherwise(0)) % 2
+    return c.table(spark, sf, "embeddings").select("vec_id", "label", F.when(at.isin(2, 3, 4, 5), bad).otherwise(v).alias("embedding"), F.col("label").alias("generation"), F.concat(F.lit("m"), model.cast("string")).alias("model"))
+
+
+def _generations(spark, sf):
+    """A generation for each label but one; one has another size."""
+    g = c.table(spark, sf, "embeddings").select(F.col("label").alias("generation")).distinct().where("generation <> 6")
+    return g.select("generation", F.concat(F.lit("m"), (F.col("generation") % 2).cast("string")).alias("model"), F.when(F.col("generation") == 5, 32).otherwise(64).alias("dimension"))
+
+
+def _channel(spark, sf):
+    """Queries in every state of the vector channel, told by label and by what ``_spoilt`` did."""
+    at = F.col("label")
+    return _spoilt(spark, sf).select(F.col("vec_id").alias("query_id"), "embedding", at.alias("scope_size"), (at - 1).alias("generations"), (at != 2).alias("provider"), (at == 3).alias("failed"), F.lit("m").alias("model"), F.when(at == 4, "other").otherwise("m").alias("generation_model"))
+
+
 def _answers(spark, sf):
     """Assistant turns with the user turn before them."""
     t = c.table(spark, sf, "conversations")
@@ -115,15 +135,15 @@ def _answers(spark, sf):
     words = F.slice(F.split("prompt", " "), 1, 2)
     return t.where("role = 'assistant'").join(user, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("output"), "prompt", F.array_join(words, " ").alias("concept"), F.substring("text", 1, 12).alias("expected"),
-        F.concat(F.lit("p"), (F.col("conv_id") % 2).cast("string")).alias("provider"), F.concat(F.lit("t"), (F.col("turn") % 3).cast("string")).alias("task"))
+        F.concat(F.lit("p"), (F.col("conv_id") % 2).cast("string")).alias("provider"), F.concat(F.lit("m"), (F.col("conv_id") % 6).cast("string")).alias("model"), F.concat(F.lit("t"), (F.col("turn") % 3).cast("string")).alias("task"))
 
 
-ANSWERS = """answers AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS output, u.text AS prompt, array_to_string(string_split(u.text, ' ')[1:2], ' ') AS concept, substring(a.text, 1, 12) AS expected, 'p' || (a.conv_id % 2) AS provider, 't' || (a.turn % 3) AS task
+ANSWERS = """answers AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS output, u.text AS prompt, array_to_string(string_split(u.text, ' ')[1:2], ' ') AS concept, substring(a.text, 1, 12) AS expected, 'p' || (a.conv_id % 2) AS provider, 'm' || (a.conv_id % 6) AS model, 't' || (a.turn % 3) AS task
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant')"""
 FORBIDDEN = ["idiot", "###"]
 SEM = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN ('a', 'an', 'the'))"
 MATCH = "(len(p) > 0 AND len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p AND NOT list_has_any(t[greatest(i - 3, 1):i - 1], ['no', 'not', 'never', 'without']))) > 0)"
-RESULTS = ANSWERS + ", toks AS (SELECT *, " + SEM.format("output") + " AS t, " + SEM.format("concept") + " AS p FROM answers)" + rf""", results AS (SELECT id, provider, task, array_to_string(list_filter([
+RESULTS = ANSWERS + ", toks AS (SELECT *, " + SEM.format("output") + " AS t, " + SEM.format("concept") + " AS p FROM answers)" + rf""", results AS (SELECT id, provider, model, task, array_to_string(list_filter([
   CASE WHEN contains(lower(output), 'idiot') OR contains(lower(output), '###') THEN 'FORBIDDEN_TERM' END, CASE WHEN length(trim(expected)) > 0 AND contains(lower(prompt), lower(trim(expected))) THEN 'ANSWER_LEAK' END,
   CASE WHEN len(list_filter(string_split_regex(trim(output), '\s+'), lambda x: x <> '')) > 120 THEN 'TOO_LONG' END, CASE WHEN trim(output) = '' THEN 'BLANK' END, CASE WHEN NOT {MATCH} THEN 'CONCEPT_MISSING' END], lambda x: x IS NOT NULL), ',') AS failed FROM toks)"""
 
@@ -203,8 +223,9 @@ QUERIES = {
     "word_similarity": lambda s, d: re_.word_similarity(_misspelt(s, d), c.k_chunks(s, d)),
     "lexical_search_misspelt": lambda s, d: re_.lexical_search(_misspelt(s, d), c.k_chunks(s, d)),
     "vector_search_approx": lambda s, d: vx.approximate_vector_search(_vec_queries(s, d), c.table(s, d, "embeddings")),
-    "embedding_violations": lambda s, d: re_.embedding_violations(c.table(s, d, "embeddings").withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 10)).when(F.col("label") == 4, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))), 64),
-    "vector_status": lambda s, d: re_.vector_status(c.table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") != 2, F.col("embedding")).alias("embedding"), F.col("label").alias("scope_size"), (F.col("label") - 1).alias("generations")), 64),
+    "embedding_violations": lambda s, d: re_.embedding_violations(_spoilt(s, d).drop("label"), 64),
+    "embedding_violations_generations": lambda s, d: re_.embedding_violations(_spoilt(s, d), 0, _generations(s, d)),
+    "vector_status": lambda s, d: re_.vector_status(_channel(s, d), 64),
     "missing_embeddings": lambda s, d: re_.missing_embeddings(c.k_chunks(s, d), c.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("generation")), 1).select("chunk_id", "material_id"),
     "embed_missing": lambda s, d: re_.embed_missing(c.k_chunks(s, d), c.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("generation")), 1, _length_embedding),
     "inspect_retrieval": lambda s, d: re_.inspect_retrieval(fused(s, d)),
@@ -232,6 +253,7 @@ QUERIES = {
     "near_duplicate_questions": lambda s, d: ev.near_duplicates(c.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")),
     "evaluate_outputs": _results,
     "pass_rates": lambda s, d: ev.pass_rates(_results(s, d)),
+    "failed_cases": lambda s, d: ev.failed_cases(_results(s, d)),
 }
 
 
@@ -251,8 +273,9 @@ ORACLE_SQL = {
     "literal_match": c.sql(Q, f"WITH {LEX} SELECT * FROM literal"),
     "fts_match": c.sql(Q, f"WITH {LEX} SELECT * FROM hits"),
     "cover_density": c.sql(Q, f"WITH {LEX} SELECT * FROM density"),
-    "embedding_violations": "SELECT vec_id, CASE WHEN label = 3 THEN 'DIMENSION' ELSE 'ZERO_NORM' END AS reason FROM embeddings WHERE label IN (3, 4)",
-    "vector_status": "SELECT vec_id AS query_id, CASE label WHEN 0 THEN 'EMPTY_SCOPE' WHEN 1 THEN 'NO_GENERATION' WHEN 2 THEN 'NO_PROVIDER' ELSE 'AVAILABLE' END AS status FROM embeddings",
+    "embedding_violations": "SELECT vec_id, CASE WHEN vec_id % 11 = 5 THEN 'MISSING' WHEN vec_id % 11 = 3 THEN 'DIMENSION' WHEN vec_id % 11 = 2 THEN 'NOT_FINITE' ELSE 'ZERO_NORM' END AS reason FROM embeddings WHERE vec_id % 11 IN (2, 3, 4, 5)",
+    "embedding_violations_generations": "WITH g AS (SELECT label AS generation, 'm' || (label % 2) AS model, CASE WHEN label = 5 THEN 32 ELSE 64 END AS size FROM (SELECT DISTINCT label FROM embeddings) WHERE label <> 6), r AS (SELECT vec_id, CASE WHEN vec_id % 11 = 5 THEN 'MISSING' WHEN g.model IS NULL THEN 'GENERATION' WHEN g.model <> 'm' || (CASE WHEN vec_id % 13 = 0 THEN label + 1 ELSE label END % 2) THEN 'MODEL' WHEN size <> CASE vec_id % 11 WHEN 3 THEN 10 ELSE 64 END THEN 'DIMENSION' WHEN vec_id % 11 = 2 THEN 'NOT_FINITE' WHEN vec_id % 11 = 4 THEN 'ZERO_NORM' END AS reason FROM embeddings LEFT JOIN g ON generation = label) SELECT * FROM r WHERE reason IS NOT NULL",
+    "vector_status": "SELECT vec_id AS query_id, CASE WHEN label = 0 THEN 'EMPTY_SCOPE' WHEN label = 1 THEN 'NO_GENERATION' WHEN label = 2 THEN 'NO_PROVIDER' WHEN label = 3 OR vec_id % 11 = 5 THEN 'FAILED' WHEN label = 4 THEN 'INCOMPATIBLE' WHEN vec_id % 11 IN (3, 4) THEN 'INVALID' ELSE 'AVAILABLE' END AS status FROM embeddings",
     "missing_embeddings": c.sql("k_chunks", "SELECT chunk_id, material_id FROM k_chunks WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 1)"),
     "inspect_retrieval": c.sql(Q, f"WITH {FUSED} SELECT query_id, count(*) AS hits, count(lexical_rank) AS lexical_hits, count(vector_rank) AS vector_hits, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank_no) AS \"order\" FROM fused GROUP BY 1"),
     "dedup_evidence": c.sql(Q, f"WITH {RANKED} SELECT query_id, chunk_id, rank_no FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY rank_no) = 1"),
@@ -277,6 +300,7 @@ ORACLE_SQL = {
     "phrase_match": f"WITH {RESULTS} SELECT id, {MATCH} AS asserted, (len(p) > 0 AND len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) > 0) AS mentioned FROM toks",
     "output_rules": f"WITH {RESULTS} SELECT id, replace(replace(failed, ',CONCEPT_MISSING', ''), 'CONCEPT_MISSING', '') AS failed FROM results",
     "evaluate_outputs": f"WITH {RESULTS} SELECT *, failed = '' AS passed FROM results",
-    "pass_rates": f"WITH {RESULTS} SELECT provider, task, count(*) AS cases, round(avg((failed = '')::INT), 9) AS pass_rate FROM results GROUP BY CUBE (provider, task)",
+    "pass_rates": f"WITH {RESULTS} SELECT provider, model, task, grouping_id(provider, model, task) AS level, count(*) AS cases, count(*) FILTER (failed <> '') AS failed_cases, round(avg((failed = '')::INT), 9) AS pass_rate FROM results GROUP BY CUBE (provider, model, task)",
+    "failed_cases": f"WITH {RESULTS} SELECT provider, model, task, id, unnest(string_split(failed, ',')) AS rule FROM results WHERE failed <> ''",
     "near_duplicate_questions": "WITH r AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS text FROM documents), c AS (SELECT text, min(id) AS id FROM r WHERE text <> '' GROUP BY text), w AS (SELECT id, text, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 3)) AS w FROM c), e AS (SELECT id, unnest(w) AS word FROM w), p AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2) SELECT a, b FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE n >= 0.75 * (len(x.w) + len(y.w) - n) UNION SELECT x.id, y.id FROM c x JOIN c y ON x.id < y.id AND (contains(x.text, y.text) OR contains(y.text, x.text)) UNION SELECT c.id, r.id FROM r JOIN c USING (text) WHERE r.id <> c.id",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking as ch
+from lectern.operators import tables as tb
 from lectern.operators import text as tx
 from lectern.plans import carriers as c
 from lectern.plans.retrieval_queries import RANKED, Q, _ranked
@@ -40,10 +41,40 @@ LAYOUT = "layout AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS
 
 
 def _fragments(spark, sf):
-    return c.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), F.floor(F.col("l_quantity") / 10).cast("double").alias("y"), (F.col("l_partkey") % 12 * 10.0 + F.col("l_orderkey") / 1e7 + F.col("l_linenumber") / 1e9).alias("x"), F.lit(1.0).alias("width"))
-
-
-FRAGMENTS = "fragments AS (SELECT l_suppkey AS page, floor(l_quantity / 10) AS y, l_partkey % 12 * 10.0::DOUBLE + l_orderkey / 1e7 + l_linenumber / 1e9 AS x, 1.0::DOUBLE AS width FROM lineitem)"
+    """Each order as a page and each of its lines as a row of words; some orders have titles, gaps, shifted or overlapping columns, prose, two grids side by side."""
+    k, n = F.col("l_orderkey"), F.col("n")
+    wide = (k + n) % 6 != 0
+    word = lambda x, text, when=F.lit(True): F.when(when, F.struct(x.cast("double").alias("x"), text.alias("text")))
+    second = F.when(k % 7 == 0, 100).when(k % 2 == 0, 200 + F.col("l_partkey") % 4 * 3).otherwise(200)
+    words = F.array_compact(F.array(
+        word(F.lit(50), F.concat("l_returnflag", F.col("l_partkey").cast("string"))),
+        word(F.lit(84), F.concat(F.lit("of"), F.col("l_suppkey").cast("string"))),
+        word(second, F.concat("l_linestatus", F.when((k % 5 == 0) & (n % 2 == 0), " done.").otherwise("")), wide),
+        word(F.lit(320), F.col("l_quantity").cast("long").cast("string"), wide & ~((k % 11 == 0) & (n == 2))),
+        word(F.lit(600), F.lit("each"), wide & (k % 4 == 0)),
+    ))
+    lines = c.table(spark, sf, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    return lines.select(k.alias("page"), (n * 20 + F.when((k % 3 == 0) & (n > 3), 100).otherwise(0)).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"), F.inline(words))
+
+
+FRAGMENTS = """f0 AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, * FROM lineitem), fragments AS (SELECT k AS page, (n * 20 + CASE WHEN k % 3 = 0 AND n > 3 THEN 100 ELSE 0 END)::DOUBLE AS y, 30::DOUBLE AS width, 10::DOUBLE AS height, w.x::DOUBLE AS x, w.text AS text FROM (SELECT k, n, unnest([
+  {'x': 50, 'text': l_returnflag || l_partkey}, {'x': 84, 'text': 'of' || l_suppkey},
+  {'x': CASE WHEN k % 7 = 0 THEN 100 WHEN k % 2 = 0 THEN 200 + l_partkey % 4 * 3 ELSE 200 END, 'text': CASE WHEN (k + n) % 6 <> 0 THEN l_linestatus || CASE WHEN k % 5 = 0 AND n % 2 = 0 THEN ' done.' ELSE '' END END},
+  {'x': 320, 'text': CASE WHEN (k + n) % 6 <> 0 AND NOT (k % 11 = 0 AND n = 2) THEN (l_quantity::BIGINT)::VARCHAR END}, {'x': 600, 'text': CASE WHEN (k + n) % 6 <> 0 AND k % 4 = 0 THEN 'each' END}]) AS w FROM f0) WHERE w.text IS NOT NULL)"""
+# rows of these pages stand 20 apart, so neighbours tell them
+GRIDS = FRAGMENTS + r""", r AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y, x) AS row_no FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x) <= 4.5 THEN 0 ELSE 1 END AS new FROM fragments)),
+ g AS (SELECT *, x - lag(x + width) OVER (PARTITION BY page, row_no ORDER BY x) AS gap FROM r),
+ h AS (SELECT *, sum(CASE WHEN gap <= 18 THEN 0 ELSE 1 END) OVER (PARTITION BY page, row_no ORDER BY x) AS cell FROM g),
+ cells AS (SELECT page, row_no, cell, min(y) AS y, min(x) AS x, arg_max(x + width, x) AS e, string_agg(CASE WHEN gap <= 18 AND gap > 1.5 THEN ' ' ELSE '' END || text, '' ORDER BY x) AS text, coalesce(bool_or(gap < -0.5), false) AS over FROM h GROUP BY ALL),
+ rws AS (SELECT page, row_no, min(y) AS y, count(*) AS n, bool_or(over) AS over, list(text ORDER BY cell) AS texts FROM cells GROUP BY ALL),
+ near AS (SELECT *, coalesce(y - lag(y) OVER w <= 35, false) AS joins, coalesce(lead(y) OVER w - y <= 35 AND lead(n) OVER w >= 2, false) AS heads FROM rws WINDOW w AS (PARTITION BY page ORDER BY row_no)),
+ runs AS (SELECT *, count(*) FILTER (n = 1 OR NOT joins) OVER (PARTITION BY page ORDER BY row_no) AS run FROM near WHERE n >= 2 OR heads),
+ tabs AS (SELECT page, run, count(*) AS rows, min(n) AS least, max(n) AS columns, bool_or(over) AS over, bool_or(len(list_filter(texts, lambda t: length(t) > 80 OR regexp_matches(t, '[.?!]$') OR len(string_split(t, ' ')) > 8)) > 0) AS prose,
+   arg_min(texts, row_no) FILTER (n >= 2) AS head FROM runs GROUP BY ALL),
+ good AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY run) AS table_no FROM tabs WHERE rows >= 2 AND NOT prose AND len(list_filter(head, lambda t: length(t) > 40 OR len(string_split(t, ' ')) > 2)) = 0),
+ cols AS (SELECT page, run, cell, max(x) - arg_min(x, row_no) AS up, arg_min(x, row_no) - min(x) AS down, avg(gap) AS gap FROM (SELECT page, run, row_no, cell, x, lead(x) OVER (PARTITION BY page, row_no ORDER BY cell) - e AS gap FROM cells JOIN runs USING (page, row_no)) GROUP BY ALL),
+ fit AS (SELECT page, run, max(greatest(up, down)) AS shift, list_sort(list(gap) FILTER (gap IS NOT NULL), 'DESC') AS gaps FROM cols GROUP BY ALL),
+ grids AS (SELECT page, run, table_no, columns, CASE WHEN rows >= 3 AND least = columns AND NOT over AND shift <= 8 AND NOT (columns >= 4 AND gaps[1] >= 48 AND gaps[1] > 1.8 * gaps[2]) THEN 'STRONG' ELSE 'LIMITED' END AS quality FROM good JOIN fit USING (page, run))"""
 TOKENS = r"(list_sum([ceil(length(x) / 4) FOR x IN regexp_extract_all({0}, '[\p{{L}}\p{{Nd}}\p{{M}}]+')] || [0]) + length(regexp_replace({0}, '[SPACES\p{{L}}\p{{Nd}}\p{{M}}]', '', 'g')))::BIGINT".replace("SPACES", tx.SPACE_CLASS.replace("{", "{{").replace("}", "}}"))
 PACKED = rf"""WITH w AS (SELECT material_id, page_number, line_no, extraction_method, quality, list_filter(string_split_regex(line, '[ \t\r]+'), lambda x: x <> '') AS w FROM k_lines),
  p AS (SELECT *, unnest(range(0, (len(w) + 11) // 12)) AS piece FROM w WHERE len(w) > 0),
@@ -169,7 +200,7 @@ QUERIES = {
     "normalize_pages": lambda s, d: tx.normalize_pages(c.k_pages(s, d), tx.repeated_lines(c.k_lines(s, d), 0.04)).select("doc_id", "normalized"),
     "paragraphs": lambda s, d: tx.paragraphs(_docs(s, d).withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n \n"))), "doc_id", "text"),
     "classify_pages": lambda s, d: tx.classify_pages(c.table(s, d, "pages").withColumn("body", F.when(F.col("page_id") % 4 == 0, F.lit(" ab ")).when(F.col("page_id") % 4 == 1, F.lit(" \n")).otherwise(F.regexp_replace("html", "<[^>]*>", " "))), "body", F.col("page_id") % 3 == 0).select("page_id", "page_class"),
-    "delimited_tables": lambda s, d: tx.delimited_tables(c.k_lines(s, d)),
+    "delimited_tables": lambda s, d: tb.delimited_tables(c.k_lines(s, d)),
     "score_headings": _headings,
     "heading_parents": lambda s, d: tx.heading_parents(_headings(s, d)).select("material_id", "pos", "parent", "ordinal", "level"),
     "detect_structure": lambda s, d: tx.detect_structure(_headed(s, d), c.k_pages(s, d)),
@@ -186,7 +217,8 @@ QUERIES = {
     "ocr_text": lambda s, d: tx.ocr_text(_words(s, d)),
     "line_layout": lambda s, d: tx.line_layout(_layout(s, d)),
     "line_medians": lambda s, d: tx.line_medians(_layout(s, d)),
-    "position_tables": lambda s, d: tx.position_tables(_fragments(s, d)),
+    "position_tables": lambda s, d: tb.position_tables(_fragments(s, d)),
+    "position_cells": lambda s, d: tb.position_cells(_fragments(s, d)),
     "assemble_context": lambda s, d: tx.assemble_context(_ranked(s, d)),
 }
 
@@ -208,10 +240,10 @@ ORACLE_SQL = {
  SELECT d.doc_id, coalesce(string_agg(piece, '' ORDER BY line_no), '') AS normalized FROM k_pages d LEFT JOIN p USING (doc_id) GROUP BY 1"""),
     "paragraphs": r"WITH p AS (SELECT doc_id, string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\n[ \t]*\n\s*') AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS paragraph, generate_subscripts(t, 1) - 1 AS paragraph_no FROM p) SELECT * FROM e WHERE trim(paragraph) <> ''",
     "classify_pages": r"WITH b AS (SELECT page_id, length(regexp_replace(CASE page_id % 4 WHEN 0 THEN ' ab ' WHEN 1 THEN ' ' || chr(10) ELSE regexp_replace(html, '<[^>]*>', ' ', 'g') END, '[\s\p{C}\p{Z}]', '', 'g')) AS n FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 AND n >= 8 THEN 'MIXED' WHEN page_id % 3 = 0 THEN 'IMAGE_ONLY' WHEN n >= 1 THEN 'NATIVE_TEXT' ELSE 'UNREADABLE' END AS page_class FROM b",
-    "delimited_tables": c.sql("k_lines", r"""WITH cells AS (SELECT *, contains(line, chr(9)) AS tab, [trim(x) FOR x IN CASE WHEN contains(line, chr(9)) AND NOT contains(line, '|') THEN string_split(line, chr(9)) WHEN contains(line, '|') AND NOT contains(line, chr(9)) THEN string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|') ELSE [''] END] AS cs FROM k_lines),
+    "delimited_tables": c.sql("k_lines", r"""WITH cells AS (SELECT *, contains(line, chr(9)) AS tab, [trim(x) FOR x IN CASE WHEN contains(line, chr(9)) AND NOT contains(line, '|') THEN string_split(line, chr(9)) WHEN contains(line, '|') AND NOT contains(line, chr(9)) THEN string_split(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^\||\|$', '', 'g'), '|') ELSE [''] END] AS cs FROM k_lines),
  good AS (SELECT *, len(cs) AS width FROM cells WHERE len(cs) >= 2 AND NOT list_contains(cs, '')),
  runs AS (SELECT *, sum(new) OVER (PARTITION BY material_id, page_number ORDER BY line_no) AS run FROM (SELECT *, CASE WHEN lag(line_no) OVER w = line_no - 1 AND lag(width) OVER w = width AND lag(tab) OVER w = tab THEN 0 ELSE 1 END AS new FROM good WINDOW w AS (PARTITION BY material_id, page_number ORDER BY line_no)))
- SELECT material_id, page_number, min(line_no) AS first_line, count(*) AS rows, max(width) AS width FROM runs GROUP BY material_id, page_number, run HAVING count(*) >= 2"""),
+ SELECT material_id, page_number, min(line_no) AS first_line, count(*) AS rows, max(width) AS width, string_agg(CASE WHEN tab THEN array_to_string(cs, chr(9)) ELSE array_to_string(cs, ' | ') END, chr(10) ORDER BY line_no) AS content FROM runs GROUP BY material_id, page_number, run HAVING count(*) >= 2"""),
     "score_headings": c.sql("k_lines", f"WITH {SCORED} SELECT * FROM found"),
     "heading_parents": c.sql("k_lines", f"WITH {SCORED} SELECT material_id, pos, parent, ordinal, level FROM kept"),
     "detect_structure": c.sql("k_lines", f"WITH {SCORED} SELECT * FROM spans"),
@@ -240,9 +272,7 @@ ORACLE_SQL = {
  SELECT page, line, CASE WHEN y <= 0.14 THEN 'TOP' WHEN y >= 0.86 THEN 'BOTTOM' ELSE 'BODY' END AS band, CASE WHEN abs(x + width / 2 - 0.5::DOUBLE) <= 0.05::DOUBLE THEN 'CENTRE' ELSE 'SIDE' END AS alignment,
  CASE WHEN font / mf >= 1.6 THEN 'STRONG' WHEN font / mf >= 1.25 THEN 'RAISED' ELSE 'PLAIN' END AS prominence, coalesce(gap > 1.8 * mh, false) AS separated FROM g JOIN m USING (page)""",
     "line_medians": f"WITH {LAYOUT} SELECT page, median(font) FILTER (font > 0) AS median_font, median(height) FILTER (height > 0) AS median_height FROM layout GROUP BY 1",
-    "position_tables": f"""WITH {FRAGMENTS}, r AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y, x) AS row FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x) <= 0.5 THEN 0 ELSE 1 END AS new FROM fragments)),
- c AS (SELECT *, sum(brk) OVER (PARTITION BY page, row ORDER BY x) AS cell FROM (SELECT *, CASE WHEN x - lag(x + width) OVER (PARTITION BY page, row ORDER BY x) <= 2.0 THEN 0 ELSE 1 END AS brk FROM r)),
- w AS (SELECT page, row, max(cell) AS cells FROM c GROUP BY 1, 2), f AS (SELECT page, cells, count(*) AS n FROM w GROUP BY 1, 2), m AS (SELECT page, arg_min(cells, {{'a': -n, 'b': cells}}) AS columns, sum(n) AS all_rows FROM f GROUP BY 1)
- SELECT page, count(*) AS rows, columns::BIGINT AS columns, CASE WHEN count(*) = all_rows THEN 'STRONG' ELSE 'LIMITED' END AS quality FROM w JOIN m USING (page) WHERE cells = columns AND columns >= 2 GROUP BY page, columns, all_rows HAVING count(*) >= 2""",
+    "position_tables": f"WITH {GRIDS} SELECT page, table_no, count(*) AS rows, columns, quality, string_agg(CASE quality WHEN 'STRONG' THEN array_to_string(texts, chr(9)) ELSE array_to_string(texts, ' ') END, chr(10) ORDER BY row_no) AS content FROM runs JOIN grids USING (page, run) GROUP BY page, table_no, columns, quality",
+    "position_cells": f"WITH {GRIDS} SELECT page, table_no, dense_rank() OVER (PARTITION BY page, run ORDER BY row_no) AS row_no, cell::BIGINT AS column_no, x, text, columns, quality FROM cells JOIN runs USING (page, row_no) JOIN grids USING (page, run)",
     "assemble_context": c.sql(Q, f"WITH {RANKED} SELECT query_id, string_agg('<source rank=\"' || rank_no || '\" id=\"' || chunk_id || '\">' || replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</source>', chr(10) ORDER BY rank_no) AS context, count(*) AS sources FROM ranked GROUP BY 1"),
 }

@@ -293,7 +293,24 @@ def test_outline_takes_over_headings(spark):
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
-    spark.createDataFrame([("m", 1, 1, "t", "big")], "material_id string, page_number long, doc_id long, content string, other string").write.parquet(f"file://{tmp_path}/p")
+    spark.createDataFrame([("m", 1, 1, "PAGE_TEXT", 1, "t", "big")], "material_id string, page_number long, doc_id long, block_type string, ordinal long, content string, other string").write.parquet(f"file://{tmp_path}/p")
     plan = integrity.scan_blocks(spark.read.parquet(f"file://{tmp_path}/p"), "m", 1, 5).select("doc_id", "page_number")._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters")[1]
     assert "material_id,m)" in pushed and "GreaterThanOrEqual(page_" in pushed and "other" not in plan.split("ReadSchema")[1]
+
+
+def test_blocks_in_reading_order(spark):
+    rows = [("m", 2, "TABLE_TEXT", 1), ("m", 2, "PAGE_TEXT", 5), ("m", 1, "TABLE_TEXT", 9), ("m", 1, "TABLE_TEXT", 2), ("m", 1, "CAPTION", 1), ("n", 1, "PAGE_TEXT", 1), ("m", 3, "PAGE_TEXT", 1), ("m", 1, None, 1), (None, 1, "PAGE_TEXT", 1)]
+    blocks = spark.createDataFrame(rows, "material_id string, page_number long, block_type string, ordinal long").repartition(3)
+    assert [(r.page_number, r.block_type, r.ordinal) for r in integrity.scan_blocks(blocks, "m", 1, 2).collect()] == [(1, "TABLE_TEXT", 2), (1, "TABLE_TEXT", 9), (2, "PAGE_TEXT", 5), (2, "TABLE_TEXT", 1)]
+    for first, last in ((0, 2), (3, 2)):
+        with pytest.raises(ValueError):
+            integrity.scan_blocks(blocks, "m", first, last)
+
+
+def test_failed_cases_by_model(spark):
+    results = spark.createDataFrame([(1, "p", "a", "t", "", True), (2, "p", "a", "t", "BLANK,TOO_LONG", False), (3, "p", None, "t", "BLANK", False)], "id long, provider string, model string, task string, failed string, passed boolean")
+    assert {tuple(r) for r in evaluation.failed_cases(results).collect()} == {("p", "a", "t", 2, "BLANK"), ("p", "a", "t", 2, "TOO_LONG"), ("p", None, "t", 3, "BLANK")}
+    rates = {(r.model, r.level): (r.cases, r.failed_cases, r.pass_rate) for r in evaluation.pass_rates(results).collect() if r.provider and r.task}
+    assert rates == {("a", 0): (2, 1, 0.5), (None, 0): (1, 1, 0.0), (None, 2): (3, 2, round(1 / 3, 9))}
+    assert {r.model for r in evaluation.pass_rates(results.drop("model")).collect()} == {None}
