@@ -11,7 +11,9 @@ from lectern.functions.storage import shared_folder
 from lectern.operators import chunking as ch
 from lectern.operators import retrieval as re_
 from lectern.plans import carriers as c
+from lectern.sources import committed as co
 from lectern.sources import readers
+from lectern.sources import word_tables as wt
 from lectern.streaming import state as st
 from lectern.streaming import timers as tm
 
@@ -75,9 +77,35 @@ def _delimited(spark, sf):
     return spark.sql("SELECT doc_id, r.line_no, array_join(r.cells, '|') AS cells FROM {t}, LATERAL delimited_rows(text) AS r", t=text)
 
 
+def _word_files(spark, sf):
+    """The words of documents as word tables of many pages, in order, read and checked file by file."""
+    lines = c.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("t", "[\\s\"]+"), lambda x: x != "")).alias("k", "word"))
+    zero = F.concat_ws("\t", *(F.lit("0") for _ in range(4)))
+    row = F.concat_ws("\t", F.lit("5"), (F.col("doc_id") + 1).cast("string"), F.lit("1"), F.lit("1"), F.col("line").cast("string"), (F.col("k") + 1).cast("string"), zero, (F.length("word") % 100).cast("string"), "word")
+    head = F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit(-1).alias("line"), F.lit(-1).alias("k"), F.lit("\t".join(wt.NAMES)).alias("row"))
+    dealt = words.select("doc_id", "line", "k", row.alias("row")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    heads = dealt.select("part").distinct().select(head.alias("h"), "part").select("h.*", "part")
+    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    dealt.unionByName(heads).repartition("part").sortWithinPartitions("part", "doc_id", "line", "k").select("row", "part").write.partitionBy("part").text(folder)
+    read = wt.read_word_tables(spark, folder, most_rows=1 << 40, most_chars=1 << 30)
+    return read.groupBy((F.col("page_num") - 1).cast("long").alias("doc_id"), "line_num").agg(F.count("*").alias("words"), F.sum("conf").cast("long").alias("signs"))
+
+
+def _committed(spark, sf):
+    """Documents in three batches, one of which comes twice."""
+    docs = c.table(spark, sf, "documents")
+    folder = f"{shared_folder(spark)}/committed-{uuid.uuid4().hex}"
+    for number in (0, 1, 1, 2):
+        co.append_committed(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)) == number), folder, number)
+    return co.read_committed(spark, folder)
+
+
 QUERIES = {
     "read_golden": _golden,
     "read_ocr_words": _word_table,
+    "read_word_tables": _word_files,
+    "append_committed": _committed,
     "delimited_rows": _delimited,
     "stream_evidence": lambda s, d: st.run_to_end(st.stream_evidence(_events(s, d)), "complete"),
     "stream_streaks": lambda s, d: st.latest(st.run_to_end(st.stream_streaks(_events(s, d)), "append"), ["mission_id", "concept"], "seen"),
@@ -102,6 +130,8 @@ SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTER
 
 ORACLE_SQL = {
     "read_golden": "SELECT item_id::VARCHAR AS query_id, 'EXPECTED' AS grade, doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) UNION ALL SELECT item_id::VARCHAR, 'ACCEPTABLE', '0' FROM benchmark",
+    "read_word_tables": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_num FROM documents), w AS (SELECT doc_id, line_num, unnest(list_filter(string_split_regex(t, '[\s\"]+'), lambda x: x <> '')) AS word FROM l) SELECT doc_id, line_num::INT AS line_num, count(*) AS words, sum(length(word) % 100)::BIGINT AS signs FROM w GROUP BY ALL",
+    "append_committed": "SELECT * FROM documents",
     "read_ocr_words": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line_num FROM documents), w AS (SELECT doc_id, line_num, unnest(list_filter(string_split_regex(t, '[\s\"]+'), lambda x: x <> '')) AS word FROM l) SELECT doc_id::INT AS page_num, line_num::INT AS line_num, count(*) AS words, sum(length(word) % 100)::BIGINT AS signs FROM w GROUP BY 1, 2",
     "delimited_rows": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, ', ', chr(9)), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), c AS (SELECT doc_id, line_no, [trim(x, ' ' || chr(13) || chr(11) || chr(12)) FOR x IN CASE WHEN contains(line, chr(9)) THEN string_split(line, chr(9)) ELSE string_split(trim(trim(line), '|'), '|') END] AS cells FROM l WHERE contains(line, chr(9)) <> contains(line, '|')) SELECT doc_id, line_no, array_to_string(cells, '|') AS cells FROM c WHERE len(cells) >= 2 AND NOT list_contains(cells, '')",
     "stream_evidence": c.sql("k_attempts", "SELECT mission_id, concept, count(*) AS attempts, max(CASE outcome WHEN 'CORRECT' THEN 2 WHEN 'PARTIAL' THEN 1 ELSE 0 END)::BIGINT AS best FROM k_attempts WHERE outcome IS NOT NULL GROUP BY 1, 2"),
