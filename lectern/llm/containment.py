@@ -137,11 +137,14 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, i
     Texts are lower-cased in A-Z and split at spaces and the bytes 9 to 13; an
     item of fewer than five words is one shingle, found only in a document of
     just these words. Null or empty items and documents match nothing. Repeated
-    documents give repeated rows; of items with a null id only the text counts.
+    documents and items give repeated rows; of items with a null id only the text
+    counts. Equal items go out once with their number, so blocks by a hash are
+    even, whatever repeats.
     Documents stay where they are: no shuffle, no pairs beyond the matches.
     """
     spark = docs.sparkSession
     numbered = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    numbered = numbered.groupBy("id", "text").agg(F.count("*").alias("n"))
     passes = _passes(numbered, block_items, block_bytes)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -150,8 +153,9 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, i
         rows = sorted(block.collect(), key=lambda r: (r.id is not None, r.id or 0, r.text))
         shared = spark.sparkContext.broadcast(ItemBlock([r.id or 0 for r in rows], [r.text for r in rows]))
         nulls = frozenset(i for i, r in enumerate(rows) if r.id is None)
+        times = np.array([r.n for r in rows], np.int64)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, nulls=nulls) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, nulls=nulls, times=times) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 buf, off = utf8(b.column(1))
                 for lo, hi in chunks(off):
@@ -160,13 +164,13 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, i
                         r, i, s, k = map(list, zip(*hits))
                         ids = shared.value.ids[i]
                         yield pa.record_batch(
-                            [b.column(0).take(pa.array([lo + x for x in r])), pa.array(ids, pa.int64(), mask=np.array([x in nulls for x in i])), pa.array(s, pa.int64()), pa.array(k, pa.int64())],
-                            ["doc_id", "item_id", "shared", "item_shingles"],
+                            [b.column(0).take(pa.array([lo + x for x in r])), pa.array(ids, pa.int64(), mask=np.array([x in nulls for x in i])), pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(times[i])],
+                            ["doc_id", "item_id", "shared", "item_shingles", "n"],
                         )
 
-        found = source.mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long")
+        found = source.mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long, n long")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.select("doc_id", "item_id", "shared", "item_shingles", F.explode(F.sequence(F.lit(1), "n"))).drop("col")
 
 
 def op6_containment(spark, sf_dir: str) -> DataFrame:

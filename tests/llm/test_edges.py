@@ -44,3 +44,16 @@ def test_stages_keep_columns_of_any_name(spark):
             kept = out.collect()
             assert kept and all(r[c] == c for r in kept for c in names)
     assert line_spread.lines_stage(spark, base.withColumn("gone", F.lit(1)), "").where("text like 'the line%'").count() == 1
+
+
+def test_equal_items_go_out_once(spark, monkeypatch):
+    """Thousands of equal items make no block of more than one, and each of them is reported."""
+    sizes = []
+    build = containment.ItemBlock.__init__
+    monkeypatch.setattr(containment.ItemBlock, "__init__", lambda block, ids, texts: sizes.append(len(ids)) or build(block, ids, texts))
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, f"zero {text} eight"), (2, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text)] * 500 + [(None, text)] * 2 + [(8, "other words that stand in no document")], "item_id long, text string")
+    got = [tuple(r) for r in containment.find_contained(docs, items, block_items=2).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 7, 3, 3)] * 500 + [(1, None, 3, 3)] * 2, key=repr)
+    assert sum(sizes) == 3
