@@ -122,27 +122,30 @@ class KernelModel:
         return [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, p.max(1).astype(np.float64), 0.0)
 
 
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int, most_chars: int) -> DataFrame:
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int, most_chars: int, most_total: int = 10_000_000) -> DataFrame:
     """At most ``per_lang`` texts of each of the ``max_langs`` most frequent languages, first by a hash of the id.
 
-    Texts of more than ``most_chars`` signs are not in the sample, so its size is bounded.
+    Texts of more than ``most_chars`` signs are not in the sample, and each language has
+    an equal share of ``most_total`` signs, so the size of the sample is bounded by it.
     The ranking carries ids only, and ties fall to the text's hash, so the sample is the same in each run.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw")).where("lang is not null and text is not null").where(F.length("text") <= most_chars)
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    w = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
-    return rows.join(F.broadcast(top), "lang", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_lang)
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    top = top.select("lang", F.count("*").over(Window.partitionBy(F.lit(0))).alias("langs"))  # max_langs rows at most
+    w = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.join(F.broadcast(top), "lang").withColumns({"rank": F.row_number().over(w), "signs": F.sum(F.length("text")).over(w)})
+    return ranked.where((F.col("rank") <= per_lang) & (F.col("signs") * F.col("langs") <= most_total))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, landmarks_per_lang: int = 16, max_langs: int = 200, most_chars: int = 20_000, ridge: float = 1e-3) -> KernelModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, landmarks_per_lang: int = 16, max_langs: int = 200, most_chars: int = 20_000, most_total: int = 10_000_000, ridge: float = 1e-3) -> KernelModel:
     """Fits the model on the bounded sample of ``training_sample``.
 
-    The driver holds per_lang * max_langs whole texts of up to most_chars signs at
-    most. Rows without a language or text are left out; of equal languages in
+    The driver holds whole texts of ``most_total`` signs at most, some 50 bytes of
+    n-grams for each. Rows without a language or text are left out; of equal languages in
     frequency the first by name is taken. No labelled row gives a model without
     languages, which answers ``und``.
     """
-    picked = training_sample(labelled, id_col, text_col, lang_col, per_lang, max_langs, most_chars)
+    picked = training_sample(labelled, id_col, text_col, lang_col, per_lang, max_langs, most_chars, most_total)
     rows = sorted(picked.select("lang", "rank", "text").collect())
     langs = sorted({r.lang for r in rows})
     if not langs:

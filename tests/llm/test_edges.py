@@ -57,3 +57,13 @@ def test_equal_items_go_out_once(spark, monkeypatch):
     got = [tuple(r) for r in containment.find_contained(docs, items, block_items=2).collect()]
     assert sorted(got, key=repr) == sorted([(1, 7, 3, 3)] * 500 + [(1, None, 3, 3)] * 2, key=repr)
     assert sum(sizes) == 3
+
+
+def test_training_sample_is_bounded_by_signs(spark):
+    """However many languages there are, the sample has no more signs than its bound, and each language has its share."""
+    rows = [(n, f"l{n % 40}", "abcde fghij " * (1 + n % 7)) for n in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sample = language_id.training_sample(docs, "doc_id", "text", "lang", 50, 30, 60, 9_000).groupBy("lang").agg(F.sum(F.length("text")).alias("signs"), F.count("*").alias("texts")).collect()
+    assert len(sample) == 30 and all(240 < r.signs <= 300 for r in sample)
+    few = language_id.training_sample(docs, "doc_id", "text", "lang", 50, 30, 60, 10**9).groupBy("lang").count().collect()
+    assert {r["count"] for r in few} == {50}
