@@ -78,13 +78,13 @@ def _delimited(spark, sf):
 
 
 def _word_files(spark, sf):
-    """The words of documents as word tables of many pages, in order, read and checked file by file."""
+    """The words of documents as word tables of a thousand pages each, in order, read and checked file by file."""
     lines = c.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("t", "[\\s\"]+"), lambda x: x != "")).alias("k", "word"))
     zero = F.concat_ws("\t", *(F.lit("0") for _ in range(4)))
     row = F.concat_ws("\t", F.lit("5"), (F.col("doc_id") + 1).cast("string"), F.lit("1"), F.lit("1"), F.col("line").cast("string"), (F.col("k") + 1).cast("string"), zero, (F.length("word") % 100).cast("string"), "word")
     head = F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit(-1).alias("line"), F.lit(-1).alias("k"), F.lit("\t".join(wt.NAMES)).alias("row"))
-    dealt = words.select("doc_id", "line", "k", row.alias("row")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    dealt = words.select("doc_id", "line", "k", row.alias("row"), F.floor(F.col("doc_id") / 1000).alias("part"))
     heads = dealt.select("part").distinct().select(head.alias("h"), "part").select("h.*", "part")
     folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
     dealt.unionByName(heads).repartition("part").sortWithinPartitions("part", "doc_id", "line", "k").select("row", "part").write.partitionBy("part").text(folder)
