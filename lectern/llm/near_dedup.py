@@ -6,13 +6,20 @@ from 4 * HALVES minima. Two texts that meet in a table share a left and a right
 half; at a similarity of 0.75 a pair meets nowhere with a probability below
 2 * (1 - 0.75**2)**HALVES, 1 in 10,000. Equal shingle sets are taken together first.
 
-The texts that meet, directly or by others, form a family. Families are
-compared exactly on full shingle sets: a family is dealt into blocks of bounded
-size, each pair of blocks is one task that multiplies presence matrices, and
-only labels of linked texts leave the task, never pairs. A family of more than
-``HALVES**2`` blocks is compared table bucket by table bucket instead, so that no
-text is copied more often than it has table keys. The components of the labels
-are the result.
+The texts that meet, directly or by others, form a family. Texts are compared
+exactly, on full shingle sets: a task gets a group of bounded size, multiplies
+presence matrices, and returns labels of linked texts, never pairs. A family of
+one block is one group. In a larger one
+
+1. each text is compared with the smallest text of each table bucket it is in,
+   which makes classes of texts that are linked, directly or by others;
+2. a bucket whose texts are all of one class is done. In any other the texts
+   outside its largest class, block by block, meet each other and that class,
+   whose texts don't meet each other again.
+
+Copies of one text, however alike, are so read as often as they have different
+anchors, at most HALVES**2 times, not once for each block of their bucket. The
+components of all labels are the result.
 """
 
 from __future__ import annotations
@@ -135,18 +142,73 @@ def _linked(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
         label = low
 
 
-def compare_families(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) links that join all texts of a family that are linked; ``members``: (rep, family, n_shingles)."""
-    members = members.withColumn("salt", _salt("rep"))
-    blocks = F.greatest(F.ceil(F.col("count") / BLOCK_TEXTS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    sizes = _spread(members.withColumn("one", F.lit(1)), ["family"], (F.sum, "one", "count"), (F.sum, "n_shingles", "weight"), where="true").select("family", "salt", blocks.alias("blocks"))
-    dealt = members.join(sizes, ["family", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "family", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+def _blocks(count: str, weight: str):
+    return F.greatest(F.ceil(F.col(count) / BLOCK_TEXTS), F.ceil(F.col(weight) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def with_blocks(rows: DataFrame, of: str, rep: str = "rep") -> DataFrame:
+    """The rows with the number of blocks that the texts ``rep`` of each ``of`` fill."""
+    rows = rows.withColumn("salt", _salt(rep)).withColumn("one", F.lit(1))
+    sizes = _spread(rows, [of], (F.sum, "one", "count"), (F.sum, "n_shingles", "weight"), where="true")
+    return rows.join(sizes.select(of, "salt", _blocks("count", "weight").alias("blocks")), [of, "salt"]).drop("one", "salt")
+
+
+def around_anchors(meets: DataFrame) -> DataFrame:
+    """(group, rep): each anchor with a block of the texts that it meets; input (a, b, n_shingles), a the anchor."""
+    dealt = with_blocks(meets, "a", "b").withColumn("group", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
+    return dealt.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def between_classes(rows: DataFrame) -> DataFrame:
+    """(group, rep) for the buckets with several classes; input (rep, key, class, n_shingles).
+
+    Every two texts of different classes in one bucket share a group. Buckets of
+    the same texts count once.
+    """
+    rows = rows.withColumn("salt", _salt("rep"))
+    each = rows.groupBy("key", "class").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"), F.expr("bit_xor(xxhash64(rep))").alias("mark")
+    )
+    whole = each.groupBy("key").agg(
+        F.max(F.struct("n", "class", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_or("salts").alias("salts"), F.expr("bit_xor(mark)").alias("mark")
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    tasks = copies.join(texts, "rep")
-    group = F.when(F.col("blocks") > 1, F.xxhash64("family", "i", "j")).otherwise(F.xxhash64("family"))
+    mixed = whole.where("n > most.n").groupBy("n", "w", "mark").agg(F.min_by(F.struct("key", "most", "salts"), "key").alias("b"))
+    mixed = mixed.select("b.key", "b.salts", "n", "w", F.col("b.most.class").alias("most"), F.col("b.most.n").alias("most_n"), F.col("b.most.w").alias("most_w"))
+    mixed = mixed.withColumn("rest_n", F.expr("n - most_n")).withColumn("rest_w", F.expr("w - most_w")).select(
+        "key", "most", (_blocks("n", "w") == 1).alias("whole"), _blocks("most_n", "most_w").alias("inside"), _blocks("rest_n", "rest_w").alias("outside"),
+        F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (salts & shiftleft(1L, s)) <> 0)")).alias("salt"),
+    )
+    dealt = rows.join(mixed, ["key", "salt"]).withColumn("most", F.col("class") == F.col("most"))
+    dealt = dealt.withColumn("place", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    key, place = F.col("key"), F.col("place")
+    others = F.filter(F.sequence(F.lit(0), F.col("outside") - 1), lambda j: j != place)
+    groups = (
+        F.when(F.col("whole"), F.array(F.xxhash64(key)))
+        .when(F.col("most"), F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda j: F.xxhash64(key, F.lit("in"), j, place)))
+        .otherwise(
+            F.concat(
+                F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda j: F.xxhash64(key, F.lit("in"), place, j)),
+                F.transform(others, lambda j: F.xxhash64(key, F.lit("out"), F.least(place, j), F.greatest(place, j))),
+            )
+        )
+    )
+    return dealt.select(F.explode(groups).alias("group"), "rep")
+
+
+def links_of_large(large: DataFrame, keys: DataFrame, texts: DataFrame, percent: int, made: list[str]) -> DataFrame:
+    """(a, b) links that join what is linked in families of more than one block; ``large``: (rep, n_shingles)."""
+    texts = stored(texts.join(large.select("rep"), "rep", "left_semi"), "large-texts", made)
+    keys = keys.join(large, "rep")
+    meets = meetings(keys).join(large.withColumnRenamed("rep", "b"), "b")
+    near = stored(compare(around_anchors(meets), texts, percent), "anchored", made)
+    classes = components(near, made=made).select(F.col("node").alias("rep"), F.col("root").alias("class"))
+    rows = keys.join(classes, "rep", "left").select("rep", "key", F.coalesce("class", "rep").alias("class"), "n_shingles")
+    return near.unionByName(compare(between_classes(rows), texts, percent))
+
+
+def compare(groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that join all texts of a group that are linked; ``groups``: (group, rep), ``texts``: (rep, text)."""
+    tasks = groups.join(texts, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; groups are compared as they end."""
@@ -177,7 +239,7 @@ def compare_families(members: DataFrame, docs: DataFrame, percent: int, id_col:
         if held:
             yield judged()
 
-    rows = tasks.select(group.alias("group"), "rep", "text").repartition("group").sortWithinPartitions("group")
+    rows = tasks.select("group", "rep", "text").repartition("group").sortWithinPartitions("group")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -198,7 +260,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     keys = table_keys(texts, made)
     families = components(meetings(keys), made=made).select(F.col("node").alias("rep"), F.col("root").alias("family"))
     members = stored(families.join(sets.select("rep", "n_shingles"), "rep"), "members", made)
-    links = compare_families(_groups(members, keys), docs, percent, id_col, text_col)
+    sized = with_blocks(members, "family")
+    whole = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    links = compare(sized.where("blocks = 1").select(F.xxhash64("family").alias("group"), "rep"), whole, percent)
+    large = stored(sized.where("blocks > 1").select("rep", "n_shingles"), "large", made)
+    if not large.isEmpty():
+        links = links.unionByName(links_of_large(large, keys, whole, percent, made))
     roots = components(links, made=made).select(F.col("node").alias("rep"), "root")
     named_sets = sets.join(roots, "rep", "left").where("n > 1 or root is not null").select("fp1", "fp2", F.coalesce("root", "rep").alias("component"))
     # a set of many rows is joined in parts, like the groups above
@@ -212,15 +279,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     return result
 
 
-def _groups(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """(rep, family, n_shingles) of what is compared together: families, and the table buckets of very large ones."""
-    large = members.groupBy("family").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("weight"))
-    large = large.where((F.col("count") > BLOCK_TEXTS * HALVES**2) | (F.col("weight") > BLOCK_SHINGLES * HALVES**2)).select("family")
-    small = members.join(large, "family", "left_anti")
-    buckets = members.join(large, "family", "left_semi").join(keys.select("rep", "key"), "rep").select("rep", F.col("key").alias("family"), "n_shingles")
-    return small.unionByName(buckets)
-
-
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
