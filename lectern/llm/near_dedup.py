@@ -11,11 +11,10 @@ exactly, on full shingle sets: a task gets a group of bounded size, multiplies
 presence matrices, and returns labels of linked texts, never pairs. A family of
 one block is one group. In a larger one
 
-1. each text is compared with the smallest text of each table bucket it is in,
-   which makes classes of texts that are linked, directly or by others;
-2. a bucket whose texts are all of one class is done. In any other the texts
-   outside its largest class, block by block, meet each other and that class,
-   whose texts don't meet each other again.
+1. each text is compared with its anchors, the smallest texts of the table
+   buckets it is in, and with the texts of one block around each anchor;
+2. the texts that an anchor's block doesn't link with it meet, block by block,
+   each other and those that are linked; the linked ones don't meet again.
 
 Copies of one text, however alike, are so read as often as they have different
 anchors, at most HALVES**2 times, not once for each block of their bucket. The
@@ -159,51 +158,43 @@ def around_anchors(meets: DataFrame) -> DataFrame:
     return dealt.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
-def between_classes(rows: DataFrame) -> DataFrame:
-    """(group, rep) for the buckets with several classes; input (rep, key, class, n_shingles).
+def apart_from_anchors(meets: DataFrame, near: DataFrame) -> DataFrame:
+    """(group, rep) for anchors that aren't linked with all they meet; input (a, b, n_shingles), and links (a, b) found.
 
-    Every two texts of different classes in one bucket share a group. Buckets of
-    the same texts count once.
+    Every two texts that meet one anchor share a group, unless both are linked
+    with it already.
     """
-    rows = rows.withColumn("salt", _salt("rep"))
-    each = rows.groupBy("key", "class").agg(
-        F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"), F.expr("bit_xor(xxhash64(rep))").alias("mark")
-    )
-    whole = each.groupBy("key").agg(
-        F.max(F.struct("n", "class", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_or("salts").alias("salts"), F.expr("bit_xor(mark)").alias("mark")
-    )
-    mixed = whole.where("n > most.n").groupBy("n", "w", "mark").agg(F.min_by(F.struct("key", "most", "salts"), "key").alias("b"))
-    mixed = mixed.select("b.key", "b.salts", "n", "w", F.col("b.most.class").alias("most"), F.col("b.most.n").alias("most_n"), F.col("b.most.w").alias("most_w"))
-    mixed = mixed.withColumn("rest_n", F.expr("n - most_n")).withColumn("rest_w", F.expr("w - most_w")).select(
-        "key", "most", (_blocks("n", "w") == 1).alias("whole"), _blocks("most_n", "most_w").alias("inside"), _blocks("rest_n", "rest_w").alias("outside"),
-        F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (salts & shiftleft(1L, s)) <> 0)")).alias("salt"),
-    )
-    dealt = rows.join(mixed, ["key", "salt"]).withColumn("most", F.col("class") == F.col("most"))
-    dealt = dealt.withColumn("place", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
-    key, place = F.col("key"), F.col("place")
-    others = F.filter(F.sequence(F.lit(0), F.col("outside") - 1), lambda j: j != place)
+    rows = meets.join(near.select("a", "b", F.lit(True).alias("linked")).distinct(), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    one, size = F.lit(1), F.col("n_shingles")
+    for name, value in (("in_n", one), ("in_w", size)):
+        rows = rows.withColumn(name, F.when(F.col("linked"), value).otherwise(0)).withColumn(name.replace("in", "all"), value)
+    rows = rows.withColumn("salt", _salt("b"))
+    sums = [(F.sum, name, name) for name in ("in_n", "in_w", "all_n", "all_w")]
+    sums = _spread(rows, ["a"], *sums, where="in_n < all_n and all_n > 1").withColumns({"out_n": F.expr("all_n - in_n"), "out_w": F.expr("all_w - in_w")})
+    mixed = sums.select("a", "salt", (_blocks("all_n", "all_w") == 1).alias("whole"), _blocks("in_n", "in_w").alias("inside"), _blocks("out_n", "out_w").alias("outside"))
+    dealt = rows.select("a", "b", "linked", "salt").join(mixed, ["a", "salt"])
+    dealt = dealt.withColumn("place", F.pmod(F.xxhash64("b"), F.when(F.col("linked"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    key, place = F.col("a"), F.col("place")
+    ins, outs = F.sequence(F.lit(0), F.col("inside") - 1), F.sequence(F.lit(0), F.col("outside") - 1)
     groups = (
-        F.when(F.col("whole"), F.array(F.xxhash64(key)))
-        .when(F.col("most"), F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda j: F.xxhash64(key, F.lit("in"), j, place)))
+        F.when(F.col("whole"), F.array(F.xxhash64(key, F.lit("all"))))
+        .when(F.col("linked"), F.transform(outs, lambda j: F.xxhash64(key, F.lit("in"), j, place)))
         .otherwise(
             F.concat(
-                F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda j: F.xxhash64(key, F.lit("in"), place, j)),
-                F.transform(others, lambda j: F.xxhash64(key, F.lit("out"), F.least(place, j), F.greatest(place, j))),
+                F.transform(ins, lambda j: F.xxhash64(key, F.lit("in"), place, j)),
+                F.transform(F.filter(outs, lambda j: j != place), lambda j: F.xxhash64(key, F.lit("out"), F.least(place, j), F.greatest(place, j))),
             )
         )
     )
-    return dealt.select(F.explode(groups).alias("group"), "rep")
+    return dealt.select(F.explode(groups).alias("group"), F.col("b").alias("rep"))
 
 
-def links_of_large(large: DataFrame, keys: DataFrame, texts: DataFrame, percent: int, made: list[str]) -> DataFrame:
+def links_of_large(large: DataFrame, meets: DataFrame, texts: DataFrame, percent: int, made: list[str]) -> DataFrame:
     """(a, b) links that join what is linked in families of more than one block; ``large``: (rep, n_shingles)."""
     texts = stored(texts.join(large.select("rep"), "rep", "left_semi"), "large-texts", made)
-    keys = keys.join(large, "rep")
-    meets = meetings(keys).join(large.withColumnRenamed("rep", "b"), "b")
+    meets = meets.join(large.withColumnRenamed("rep", "b"), "b").select("a", "b", "n_shingles")
     near = stored(compare(around_anchors(meets), texts, percent), "anchored", made)
-    classes = components(near, made=made).select(F.col("node").alias("rep"), F.col("root").alias("class"))
-    rows = keys.join(classes, "rep", "left").select("rep", "key", F.coalesce("class", "rep").alias("class"), "n_shingles")
-    return near.unionByName(compare(between_classes(rows), texts, percent))
+    return near.unionByName(compare(apart_from_anchors(meets, near), texts, percent))
 
 
 def compare(groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -257,15 +248,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"))
     sets = stored(sets, "sets", made)
     texts = named.withColumnRenamed("doc_id", "rep").join(sets.select("rep"), "rep", "left_semi").select("rep", "halves").dropDuplicates(["rep"])
-    keys = table_keys(texts, made)
-    families = components(meetings(keys), made=made).select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    meets = stored(meetings(table_keys(texts, made)), "meets", made)
+    families = components(meets, made=made).select(F.col("node").alias("rep"), F.col("root").alias("family"))
     members = stored(families.join(sets.select("rep", "n_shingles"), "rep"), "members", made)
     sized = with_blocks(members, "family")
     whole = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     links = compare(sized.where("blocks = 1").select(F.xxhash64("family").alias("group"), "rep"), whole, percent)
     large = stored(sized.where("blocks > 1").select("rep", "n_shingles"), "large", made)
     if not large.isEmpty():
-        links = links.unionByName(links_of_large(large, keys, whole, percent, made))
+        links = links.unionByName(links_of_large(large, meets, whole, percent, made))
     roots = components(links, made=made).select(F.col("node").alias("rep"), "root")
     named_sets = sets.join(roots, "rep", "left").where("n > 1 or root is not null").select("fp1", "fp2", F.coalesce("root", "rep").alias("component"))
     # a set of many rows is joined in parts, like the groups above

@@ -64,19 +64,23 @@ def test_classes_that_share_buckets(spark, monkeypatch, texts, shingles):
     assert len(set(got.values())) > 2 and counts[2] > 0
 
 
-def test_every_two_texts_of_different_classes_share_a_group(spark, monkeypatch):
+def test_every_two_texts_of_an_anchor_share_a_group(spark, monkeypatch):
+    """But those that are both linked with it; an anchor that is linked with all of its texts has no group."""
     rng = random.Random(2)
-    rows = [(i, key, 100 * (i % 7 if i % 3 else 0), 50) for key in (1, 2, 3) for i in rng.sample(range(60), 40)]
-    rows += [(i, 4, 0, 50) for i in range(30)]  # one class: nothing to compare
-    df = spark.createDataFrame(rows, "rep long, key long, class long, n_shingles long")
+    rows = [(a, b, 50) for a in (1, 2, 3) for b in rng.sample(range(10, 70), 40)] + [(4, b, 50) for b in range(10, 40)]
+    linked = [(a, b) for a, b, _ in rows if a in (1, 4) and b % 3 or a == 4] + [(10, 11), (1, 10), (1, 10)]
+    meets = spark.createDataFrame(rows, "a long, b long, n_shingles long")
+    near = spark.createDataFrame(linked, "a long, b long")
     for texts in (1, 6, 200):
         monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", texts)
         groups: dict = {}
-        for r in near_dedup.between_classes(df).collect():
+        for r in near_dedup.apart_from_anchors(meets, near).collect():
             groups.setdefault(r.group, set()).add(r.rep)
         met = {(a, b) for g in groups.values() for a in g for b in g}
-        of = {(i, key): c for i, key, c, _ in rows}
-        for (i, key), c in of.items():
-            for (j, other), d in of.items():
-                assert key != other or c == d or (i, j) in met
+        for key in (1, 2, 3):
+            mine = [b for a, b, _ in rows if a == key]
+            done = {b for a, b in linked if a == key}
+            assert all((x, y) in met or {x, y} <= done for x in mine for y in mine)
         assert all(len(g) <= max(2, 8 * texts) for g in groups.values())
+    alone = near_dedup.apart_from_anchors(meets.where("a = 4"), near)
+    assert alone.count() == 0
