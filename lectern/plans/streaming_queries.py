@@ -35,7 +35,7 @@ def _progress(spark, sf):
 def _ingest(spark, sf):
     """Documents one by one as materials of their own, in two runs, the second over all again."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    docs = spark.readStream.schema(c.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    docs = st.read_table(spark, sf, "documents")
 
     def chunks(batch):
         pages = batch.select(F.col("doc_id").cast("string").alias("material_id"), F.lit(1).cast("long").alias("page_number"), F.lit("NATIVE").alias("extraction_method"), F.col("text").alias("content"))

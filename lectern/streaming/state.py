@@ -61,10 +61,17 @@ def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], Da
         return spark.createDataFrame([], known)
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a file stream, be it a file or a folder of files, whatever these are called."""
+    # a stream can't begin at a single file, but a pattern in the path meets files and folders
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
+
+
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """The table as a file stream with event time."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    stream = read_table(spark, folder, name)
+    schema = stream.schema
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else stream
 
 
