@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import stored
-from lectern.operators.text import SPACES, chunk_uuid, paragraphs, token_count
+from lectern.operators.text import SPACE_CLASS, SPACES, chunk_uuid, paragraphs
 
 
 class _Kinds(dict):
@@ -106,9 +106,10 @@ class _Packer:
     trailing: tuple | None = None
 
     def add(self, text: str, page: int, unit: int, quality: str | None) -> Iterator[tuple]:
-        pieces = split_oversized(text, self.hard, self.count, self.table)
+        whole = self.count(text)
+        pieces = [text] if whole <= self.hard else split_oversized(text, self.hard, self.count, self.table)
         for piece in pieces:
-            n = self.count(piece)
+            n = whole if len(pieces) == 1 else self.count(piece)
             if not n:
                 continue
             if self.held and self.tokens + n > self.target:
@@ -127,8 +128,10 @@ class _Packer:
             content = "\n\n".join(h[0] for h in self.held)
             own = [h for h in self.held if not h[6]]
             worst = max((h[4] for h in self.held if h[4] is not None), key=lambda q: _QUALITY.get(q, 0), default=None)
-            sources = [{"page_number": h[2], "unit": h[3], "position": k + 1, "overlap": h[6]} for k, h in enumerate(self.held)]
-            yield content, self.count(content), min(h[2] for h in own), max(h[2] for h in own), sorted({h[2] for h in own}), worst, sources
+            sources = [(h[2], h[3], k, h[6]) for k, h in enumerate(self.held, 1)]
+            # white space parts the pieces, so by the own count they cost together what each costs
+            tokens = sum(h[1] for h in self.held) if self.count is count_tokens else self.count(content)
+            yield content, tokens, min(h[2] for h in own), max(h[2] for h in own), sorted({h[2] for h in own}), worst, sources
             self.trailing = None if self.table else self.held[-1]
         self.held, self.tokens = [], 0
 
@@ -138,6 +141,18 @@ _CHUNK = pa.schema([
     ("primary_pages", pa.list_(pa.int64())), ("node_id", pa.string()), ("extraction_method", pa.string()), ("content_type", pa.string()), ("quality", pa.string()),
     ("sources", pa.list_(pa.struct([("page_number", pa.int64()), ("unit", pa.int64()), ("position", pa.int32()), ("overlap", pa.bool_())]))),
 ])
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows in the order of ``_CHUNK``, the sources as tuples."""
+    *columns, sources = zip(*rows)
+    kind = _CHUNK.field("sources").type
+    offsets = pa.array(np.cumsum([0, *map(len, sources)]), pa.int32())
+    flat = zip(*(x for each in sources for x in each))
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, kind.value_type)], fields=list(kind.value_type))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _CHUNK)), pa.ListArray.from_arrays(offsets, structs).cast(kind)], schema=_CHUNK)
+
+
 _CHUNK_SCHEMA = (
     "material_id string, segment long, part long, content string, tokens long, start_page long, end_page long, primary_pages array<long>, node_id string, "
     "extraction_method string, content_type string, quality string, sources array<struct<page_number:long,unit:long,position:int,overlap:boolean>>"
@@ -163,7 +178,8 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
     """
     kind = F.coalesce("content_type", F.lit("TEXT")) if "content_type" in units.columns else F.lit("TEXT")
     quality = F.col("quality") if "quality" in units.columns else F.lit(None).cast("string")
-    some = units.where(token_count(F.col("text")) > 0).select("material_id", *order, F.col("page_number").cast("long").alias("page"), "node_id", "extraction_method", kind.alias("content_type"), quality.alias("quality"), "text")
+    # any sign that isn't white space costs a token
+    some = units.where(F.col("text").rlike(f"[^{SPACE_CLASS}]")).select("material_id", *order, F.col("page_number").cast("long").alias("page"), "node_id", "extraction_method", kind.alias("content_type"), quality.alias("quality"), "text")
     alike = ["node_id", "extraction_method", "content_type"]
     w = Window.partitionBy("material_id").orderBy(*order, *alike)
     slim = some.select("material_id", *order, *alike).distinct()
@@ -180,7 +196,7 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
             nonlocal part
             for content, tokens, first, last, pages, worst, sources in chunks:
                 material, segment, node, method, content_type = key
-                out.append(dict(zip(_CHUNK.names, (material, segment, part, content, tokens, first, last, pages, node, method, content_type, worst, sources))))
+                out.append((material, segment, part, content, tokens, first, last, pages, node, method, content_type, worst, sources))
                 part += 1
 
         for b in batches:
@@ -193,19 +209,23 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
                     packer = _Packer(target, hard, overlap, count, content_type == "TABLE")
                 rows(packer.add(text, page, unit, worst))
                 if len(out) >= 500:
-                    yield pa.RecordBatch.from_pylist(out, _CHUNK)
+                    yield _chunk_batch(out)
                     out = []
         if packer:
             rows(packer.flush())
         if out:
-            yield pa.RecordBatch.from_pylist(out, _CHUNK)
+            yield _chunk_batch(out)
 
     dealt = cut.repartition("material_id", "segment").sortWithinPartitions("material_id", "segment", *order)
     return dealt.select("material_id", "segment", "node_id", "extraction_method", "content_type", "page", F.col(order[-1]).cast("long"), "quality", "text").mapInArrow(run, _CHUNK_SCHEMA)
 
 
 def number_chunks(packed: DataFrame) -> DataFrame:
-    """Adds chunk_index, from 1 in each material, and the chunk's id; only counts of segments are put in order."""
+    """Adds chunk_index, from 1 in each material, and the chunk's id; only counts of segments are put in order.
+
+    The chunks are read twice, for the numbers of segments and with them, so they are written first.
+    """
+    packed = stored(packed, "packed")
     w = Window.partitionBy("material_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     before = packed.groupBy("material_id", "segment").agg(F.count("*").alias("n")).select("material_id", "segment", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     index: Column = (F.col("before") + F.col("part") + 1).cast("long")
@@ -229,5 +249,4 @@ def chunk_documents(pages: DataFrame, located: DataFrame, target: int = 800, har
     text = paragraphs(keyed.where("k.content_type <> 'TABLE'"), "k", "content").select("k.*", "paragraph_no", F.col("paragraph").alias("text"))
     tables = keyed.where("k.content_type = 'TABLE'").select("k.*", F.lit(0).cast("long").alias("paragraph_no"), F.col("content").alias("text"))
     units = text.unionByName(tables).join(located, ["material_id", "page_number"], "left")
-    # the chunks are read twice, for the numbers of segments and with them
-    return number_chunks(stored(pack_chunks(units, target, hard, overlap, count, ("page_number", "block_no", "paragraph_no")), "packed"))
+    return number_chunks(pack_chunks(units, target, hard, overlap, count, ("page_number", "block_no", "paragraph_no")))
