@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -54,27 +55,39 @@ def text_rows(fragments: DataFrame, keys: list[str]) -> DataFrame:
     types = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, number, line, start, schema = None, 0, [], 0.0, None
+        page, number, line, start = None, 0, [], 0.0
+        kinds: list[pa.Field] = []
+        rows: list[tuple] = []
 
-        def row() -> dict:
+        def close() -> None:
             cells, over = cells_of(line)
-            return dict(zip(keys, page)) | {"row_no": number, "y": start, "height": max(f[2] for f in line), "ambiguous": over, "cells": cells}
+            rows.append((*page, number, start, max(f[2] for f in line), over, cells))
+
+        def batch() -> pa.RecordBatch:
+            *columns, cells = zip(*rows)
+            flat = [[c[n] for each in cells for c in each] for n in ("x", "end", "text")]
+            kind = ROW[-1][1]
+            structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, kind.value_type)], fields=list(kind.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, cells), initial=0)), pa.int32()), structs)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, kinds)), lists.cast(kind)], schema=pa.schema(kinds))
 
         for b in batches:
-            schema = schema or pa.schema([*(b.schema.field(c) for c in keys), *ROW])
-            out = []
+            kinds = kinds or [*(b.schema.field(c) for c in keys), *(pa.field(*f) for f in ROW)]
             for f in zip(*(c.to_pylist() for c in b.columns)):
                 key, (y, x, width, height, text) = f[:k], f[k:]
                 if line and (key != page or abs(y - start) > max(BASELINE, BASELINE_HEIGHTS * height)):
-                    out.append(row())
+                    close()
                     line = []
                 if not line:
                     number, start = number + 1 if key == page else 1, y
                 page = key
                 line.append((x, width, height, text))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            if rows:
+                yield batch()
         if line:
-            yield pa.RecordBatch.from_pylist([row()], schema=schema)
+            close()
+            yield batch()
 
     dealt = words.repartition(*keys).sortWithinPartitions(*keys, "y", "x", "text")
     return dealt.mapInArrow(run, f"{types}, row_no long, y double, height double, ambiguous boolean, cells array<struct<x: double, end: double, text: string>>")
@@ -100,10 +113,10 @@ def position_cells(fragments: DataFrame, keys: list[str] | None = None) -> DataF
     partitioning, which spill, so no table is held in memory.
     """
     keys = keys or ["page"]
-    page = F.struct(*keys).alias("__page")  # never null, so null keys are one page
-    w = Window.partitionBy("__page").orderBy("row_no")
+    page = [f"__{k}" for k in keys]  # other names than those below; a window takes null keys as one page
+    w = Window.partitionBy(*page).orderBy("row_no")
     near = lambda y, y0, h0: F.coalesce(y - y0 <= ROW_GAP_HEIGHTS * F.greatest(h0, F.col("height")), F.lit(False))
-    rows = text_rows(fragments, keys).select(page, "row_no", "y", "height", "ambiguous", "cells", F.size("cells").alias("n"))
+    rows = text_rows(fragments, keys).select(*(F.col(k).alias(p) for k, p in zip(keys, page)), "row_no", "y", "height", "ambiguous", "cells", F.size("cells").alias("n"))
     rows = rows.withColumns({
         "joins": near(F.col("y"), F.lag("y").over(w), F.lag("height").over(w)),
         "heads": F.coalesce(F.lead("n").over(w) >= 2, F.lit(False)) & near(F.lead("y").over(w), F.col("y"), F.lead("height").over(w)),
@@ -112,11 +125,11 @@ def position_cells(fragments: DataFrame, keys: list[str] | None = None) -> DataF
     runs = rows.where("n >= 2 or heads").withColumn("run", F.count_if((F.col("n") == 1) | ~F.col("joins")).over(w))
     first_wide = (F.col("n") >= 2) & ~(F.col("joins") & F.col("follows"))
     gap = F.try_element_at("cells", F.col("i") + 2)["x"] - F.col("c.end")
-    cells = runs.select("*", F.posexplode("cells").alias("i", "c")).select("__page", "run", "row_no", "n", "ambiguous", first_wide.alias("first"), "i", "c.x", "c.text", gap.alias("gap"))
+    cells = runs.select("*", F.posexplode("cells").alias("i", "c")).select(*page, "run", "row_no", "n", "ambiguous", first_wide.alias("first"), "i", "c.x", "c.text", gap.alias("gap"))
 
-    column = Window.partitionBy("__page", "run", "i")
+    column = Window.partitionBy(*page, "run", "i")
     cells = cells.withColumns({"anchor": F.min_by("x", "row_no").over(column), "gap": F.avg("gap").over(column), "rows": F.count("*").over(column)})
-    table = Window.partitionBy("__page", "run")
+    table = Window.partitionBy(*page, "run")
     long = ~_compact(F.col("text"), *ANY_CELL) | (F.col("first") & ~_compact(F.col("text"), *HEAD_CELL))
     cells = cells.withColumns({"rows": F.max("rows").over(table), "prose": F.bool_or(long).over(table), "widest": F.max_by("i", "gap").over(table)}).where("rows >= 2 and not prose")
     largest, second = F.max("gap").over(table), F.max(F.when(F.col("i") != F.col("widest"), F.col("gap"))).over(table)
@@ -125,8 +138,8 @@ def position_cells(fragments: DataFrame, keys: list[str] | None = None) -> DataF
     strong = (F.col("rows") >= 3) & even & ~F.bool_or("ambiguous").over(table) & ~apart
     number = lambda w: F.dense_rank().over(w).cast("long")
     return cells.select(
-        "__page.*",
-        number(Window.partitionBy("__page").orderBy("run")).alias("table_no"), number(Window.partitionBy("__page", "run").orderBy("row_no")).alias("row_no"), (F.col("i") + 1).cast("long").alias("column_no"),
+        *(F.col(p).alias(k) for p, k in zip(page, keys)),
+        number(Window.partitionBy(*page).orderBy("run")).alias("table_no"), number(Window.partitionBy(*page, "run").orderBy("row_no")).alias("row_no"), (F.col("i") + 1).cast("long").alias("column_no"),
         "x", "text", F.max("n").over(table).cast("long").alias("columns"), F.when(strong, "STRONG").otherwise("LIMITED").alias("quality"),
     )
 
