@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import columns
@@ -78,17 +79,20 @@ def _delimited(spark, sf):
 
 
 def _word_files(spark, sf):
-    """The words of documents as word tables of a thousand pages each, in order, read and checked file by file."""
-    lines = c.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("t", "[\\s\"]+"), lambda x: x != "")).alias("k", "word"))
-    zero = F.concat_ws("\t", *(F.lit("0") for _ in range(4)))
-    row = F.concat_ws("\t", F.lit("5"), (F.col("doc_id") + 1).cast("string"), F.lit("1"), F.lit("1"), F.col("line").cast("string"), (F.col("k") + 1).cast("string"), zero, (F.length("word") % 100).cast("string"), "word")
-    head = F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit(-1).alias("line"), F.lit(-1).alias("k"), F.lit("\t".join(wt.NAMES)).alias("row"))
-    dealt = words.select("doc_id", "line", "k", row.alias("row"), F.floor(F.col("doc_id") / 1000).alias("part"))
-    heads = dealt.select("part").distinct().select(head.alias("h"), "part").select("h.*", "part")
+    """The words of documents as word tables of a thousand pages each, in order, read and checked file by file.
+
+    Texts are dealt and put in order, not words: a text's lines of the table are one value.
+    """
+    docs = c.table(spark, sf, "documents").where(F.col("text").rlike('[^\\s"]')).select("doc_id", "text", F.floor(F.col("doc_id") / 1000).alias("part"))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) == 1
+    page = F.coalesce((F.col("doc_id") + 1).cast("string"), F.lit(""))
+    row = lambda line, w, k: F.concat(line, (k + 1).cast("string"), F.lit("\t0\t0\t0\t0\t"), (F.length(w) % 100).cast("string"), F.lit("\t"), w)
+    of_line = lambda t, n: F.transform(F.regexp_extract_all(t, F.lit('[^\\s"]+'), F.lit(0)), lambda w, k: row(F.concat(F.lit("5\t"), page, F.lit("\t1\t1\t"), n.cast("string"), F.lit("\t")), w, k))
+    rows = F.array_join(F.flatten(F.transform(F.split("text", "\n"), of_line)), "\n")
+    head = F.when(F.col("first"), F.lit("\t".join(wt.NAMES) + "\n")).otherwise(F.lit(""))
     folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
-    dealt.unionByName(heads).repartition("part").sortWithinPartitions("part", "doc_id", "line", "k").select("row", "part").write.partitionBy("part").text(folder)
-    read = wt.read_word_tables(spark, folder, most_rows=1 << 40, most_chars=1 << 30)
+    docs.withColumn("first", first).sortWithinPartitions("part", "doc_id").select(F.concat(head, rows).alias("row"), "part").write.partitionBy("part").option("zlib.compress.level", "BEST_SPEED").text(folder, compression="gzip")
+    read = wt.read_word_tables(spark, folder, most_rows=1 << 40, most_chars=1 << 30, task_bytes=8 << 20)
     return read.groupBy((F.col("page_num") - 1).cast("long").alias("doc_id"), "line_num").agg(F.count("*").alias("words"), F.sum("conf").cast("long").alias("signs"))
 
 
