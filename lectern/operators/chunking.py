@@ -173,8 +173,10 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
     the count of the content, ``quality`` the worst of its units, and ``sources``
     the units in order, by page and the last column of ``order``.
 
-    Runs of units are numbered on rows without texts; a run is packed as a stream
-    that holds one chunk.
+    Runs of units are numbered on rows without texts. Texts are shuffled once, by
+    node, method and type, which a run agrees in, and sorted; among them stands a row
+    for the beginning of each run, with its number. A run is packed as a stream that
+    holds one chunk.
     """
     kind = F.coalesce("content_type", F.lit("TEXT")) if "content_type" in units.columns else F.lit("TEXT")
     quality = F.col("quality") if "quality" in units.columns else F.lit(None).cast("string")
@@ -182,12 +184,11 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
     some = units.where(F.col("text").rlike(f"[^{SPACE_CLASS}]")).select("material_id", *order, F.col("page_number").cast("long").alias("page"), "node_id", "extraction_method", kind.alias("content_type"), quality.alias("quality"), "text")
     alike = ["node_id", "extraction_method", "content_type"]
     w = Window.partitionBy("material_id").orderBy(*order, *alike)
-    slim = some.select("material_id", *order, *alike).distinct()
+    # with the quality both readings of the units need the same columns, so that what is shuffled for them is used twice
+    slim = some.select("material_id", *order, *alike, "quality").distinct()
     new = ~F.lag(F.struct(*alike)).over(w).eqNullSafe(F.struct(*alike))
-    runs = slim.withColumn("new", new.cast("int")).withColumn("segment", F.sum("new").over(w).cast("long")).drop("new").alias("r")
-    left = some.alias("u")
-    on = [F.col(f"u.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("material_id", *order, *alike)]
-    cut = left.join(runs, on).select("u.*", "r.segment")
+    runs = slim.withColumn("new", new.cast("int")).withColumn("segment", F.sum("new").over(w).cast("long")).where("new = 1").drop("new")
+    cut = some.withColumn("segment", F.lit(None).cast("long")).unionByName(runs, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, packer, part, out = None, None, 0, []
@@ -202,11 +203,12 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
         for b in batches:
             columns = [b.column(k).to_pylist() for k in range(9)]
             for material, segment, node, method, content_type, page, unit, worst, text in zip(*columns):
-                if (material, segment) != (key and key[:2]):
+                if segment is not None:  # a run begins
                     if packer:
                         rows(packer.flush())
                     key, part = (material, segment, node, method, content_type), 0
                     packer = _Packer(target, hard, overlap, count, content_type == "TABLE")
+                    continue
                 rows(packer.add(text, page, unit, worst))
                 if len(out) >= 500:
                     yield _chunk_batch(out)
@@ -216,7 +218,7 @@ def pack_chunks(units: DataFrame, target: int = 800, hard: int = 1000, overlap:
         if out:
             yield _chunk_batch(out)
 
-    dealt = cut.repartition("material_id", "segment").sortWithinPartitions("material_id", "segment", *order)
+    dealt = cut.repartition("material_id", *alike).sortWithinPartitions("material_id", *alike, *order, F.col("segment").isNull())
     return dealt.select("material_id", "segment", "node_id", "extraction_method", "content_type", "page", F.col(order[-1]).cast("long"), "quality", "text").mapInArrow(run, _CHUNK_SCHEMA)
 
 
